@@ -20,45 +20,47 @@ from ricefield.sources.model import Tables
 
 
 
-def _keyed_municipalities(tables: Tables, season: str) -> DataFrame:
-    r = municipality_rollup(tables.season(season))
+def municipality_comparison(tables: Tables, base: str, current: str) -> DataFrame:
+    """One row per municipality key: both seasons' associations, farmers, area, MT,
+    the MT difference and percent change, and ``pos`` = rank by current MT descending
+    (stable: base-season keys first in id order, then current-only keys).
+
+    The merge is one aggregation by key over both seasons' rollup rows (a pivot, not a
+    join): per season the highest-id row's values (last wins), the lowest id, and for
+    the current season the lowest-id row's name.
+    """
+    r = municipality_rollup(tables.season(base, current))
     side = r.select(
+        "season",
         "id",
-        "name",
         py_key("name").alias("key"),
-        "associations",
-        "farmers",
-        r2("area").alias("area"),
-        r2(mt("kg")).alias("mt"),
+        F.struct(
+            "name", "associations", "farmers", r2("area").alias("area"), r2(mt("kg")).alias("mt")
+        ).alias("vals"),
     )
-    vals = F.struct("name", "associations", "farmers", "area", "mt")
-    return side.groupBy("key").agg(
-        F.max_by(vals, "id").alias("last"),
-        F.min_by("name", "id").alias("first_name"),
-        F.min("id").alias("first_id"),
+    in_b = F.col("season") == base
+    in_c = F.col("season") == current
+    per_key = side.groupBy("key").agg(
+        F.max_by("vals", F.when(in_b, F.col("id"))).alias("b"),
+        F.max_by("vals", F.when(in_c, F.col("id"))).alias("c"),
+        F.min_by("vals.name", F.when(in_c, F.col("id"))).alias("c_first_name"),
+        F.min(F.when(in_b, F.col("id"))).alias("b_first_id"),
+        F.min(F.when(in_c, F.col("id"))).alias("c_first_id"),
     )
-
-
-def municipality_comparison(tables: Tables, base: str, current: str) -> DataFrame:
-    """One row per municipality key: both seasons' associations, farmers, area, MT,
-    the MT difference and percent change, and ``pos`` = rank by current MT descending
-    (stable: base-season keys first in id order, then current-only keys)."""
-    b = _keyed_municipalities(tables, base).alias("b")
-    c = _keyed_municipalities(tables, current).alias("c")
-    j = b.join(c, F.col("b.key") == F.col("c.key"), "full_outer")
-    in_base = F.col("b.key").isNotNull()
-    out = j.select(
-        F.when(in_base, F.col("b.last.name")).otherwise(F.col("c.first_name")).alias("municipality"),
-        F.coalesce(F.col("b.last.associations"), F.lit(0).cast("long")).alias("base_associations"),
-        F.coalesce(F.col("c.last.associations"), F.lit(0).cast("long")).alias("current_associations"),
-        F.coalesce(F.col("b.last.farmers"), F.lit(0).cast("long")).alias("base_farmers"),
-        F.coalesce(F.col("c.last.farmers"), F.lit(0).cast("long")).alias("current_farmers"),
-        F.coalesce(F.col("b.last.area"), F.lit(0.0)).alias("base_area"),
-        F.coalesce(F.col("c.last.area"), F.lit(0.0)).alias("current_area"),
-        F.coalesce(F.col("b.last.mt"), F.lit(0.0)).alias("base_mt"),
-        F.coalesce(F.col("c.last.mt"), F.lit(0.0)).alias("current_mt"),
+    in_base = F.col("b_first_id").isNotNull()
+    zero_l = F.lit(0).cast("long")
+    out = per_key.select(
+        F.when(in_base, F.col("b.name")).otherwise(F.col("c_first_name")).alias("municipality"),
+        F.coalesce(F.col("b.associations"), zero_l).alias("base_associations"),
+        F.coalesce(F.col("c.associations"), zero_l).alias("current_associations"),
+        F.coalesce(F.col("b.farmers"), zero_l).alias("base_farmers"),
+        F.coalesce(F.col("c.farmers"), zero_l).alias("current_farmers"),
+        F.coalesce(F.col("b.area"), F.lit(0.0)).alias("base_area"),
+        F.coalesce(F.col("c.area"), F.lit(0.0)).alias("current_area"),
+        F.coalesce(F.col("b.mt"), F.lit(0.0)).alias("base_mt"),
+        F.coalesce(F.col("c.mt"), F.lit(0.0)).alias("current_mt"),
         F.when(in_base, F.lit(0)).otherwise(F.lit(1)).alias("src_rank"),
-        F.when(in_base, F.col("b.first_id")).otherwise(F.col("c.first_id")).alias("src_id"),
+        F.coalesce(F.col("b_first_id"), F.col("c_first_id")).alias("src_id"),
     )
     out = out.select(
         "*",
@@ -132,12 +134,13 @@ def top_performers(comparison: DataFrame, base: str, current: str) -> DataFrame:
     )
 
 
-def _keyed_associations(tables: Tables, season: str) -> DataFrame:
-    t = tables.season(season)
+def _keyed_associations(tables: Tables, seasons: list[str]) -> DataFrame:
+    t = tables.season(*seasons)
     ar = association_rollup(t)
-    m = t.municipality.select(F.col("id").alias("m_id"), F.col("name").alias("municipality"))
-    j = ar.join(m, ar.municipality_id == m.m_id, "inner")
+    m = t.municipality.select(F.col("season").alias("m_season"), F.col("id").alias("m_id"), F.col("name").alias("municipality"))
+    j = ar.join(m, (ar.season == m.m_season) & (ar.municipality_id == m.m_id), "inner")
     return j.select(
+        F.col("season"),
         F.col("id"),
         F.col("municipality"),
         sql_key("municipality").alias("mkey"),
@@ -156,8 +159,9 @@ def association_comparison(tables: Tables, base: str, current: str) -> DataFrame
     ``pos`` orders by municipality, base name, current name (NULLs first), ids.
     Yield = round(unrounded MT / unrounded area, 2), 0 without area.
     """
-    b = _keyed_associations(tables, base).alias("b")
-    c = _keyed_associations(tables, current).alias("c")
+    keyed = _keyed_associations(tables, [base, current])
+    b = keyed.where(F.col("season") == base).alias("b")
+    c = keyed.where(F.col("season") == current).alias("c")
     j = b.join(c, (F.col("b.mkey") == F.col("c.mkey")) & (F.col("b.akey") == F.col("c.akey")), "full_outer")
     out = j.select(
         F.coalesce(F.col("b.municipality"), F.col("c.municipality")).alias("municipality"),

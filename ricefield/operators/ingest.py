@@ -189,50 +189,75 @@ def read_upload(spark: SparkSession, path: str, fmt: str = "csv", preferred: str
     )
 
 
+def _scope_col(scope: str | dict[str, str], season_col: str = "season", assoc_col: str = "association_id"):
+    """Dedupe scope key next to (season, key): the association id for seasons deduped per
+    association, NULL for seasons deduped over the whole season."""
+    scopes = {"*": scope} if isinstance(scope, str) else dict(scope)
+    for v in scopes.values():
+        if v not in ("season", "association"):
+            raise ValueError(f"unknown dedupe scope {v!r}")
+    default = scopes.pop("*", "season")
+    assoc_seasons = [s for s, v in scopes.items() if v == "association"]
+    season_seasons = [s for s, v in scopes.items() if v == "season"]
+    null = F.lit(None).cast("long")
+    if default == "association":
+        cond = ~F.col(season_col).isin(season_seasons) if season_seasons else F.lit(True)
+    else:
+        cond = F.col(season_col).isin(assoc_seasons) if assoc_seasons else F.lit(False)
+    return F.when(cond, F.col(assoc_col).cast("long")).otherwise(null)
+
+
 def classify_upload(
     rows: DataFrame,
     existing: DataFrame,
     order: list[str],
-    scope: str = "season",
-    durable: bool = False,
+    scope: str | dict[str, str] = "season",
+    durable: bool = True,
 ) -> DataFrame:
     """Classify cleaned upload rows (``clean_upload`` output plus ``season`` and
     ``association_id``) against the ``existing`` farmer table.
 
-    Returns the rows with ``status`` and, for inserted rows, the new ``id``.
-    ``order`` columns give file order and must be unique per season.
-    ``durable=True`` checkpoints the cleaned rows first (reliable checkpoint in
-    ``spark.checkpoint.dir``) so file positions survive executor loss.
+    ``scope`` is 'season', 'association', or a dict season -> scope.  Returns the rows
+    with ``status`` and, for inserted rows, the new ``id``.  ``order`` columns give file
+    order and must be unique per season.  ``durable`` checkpoints the cleaned rows first
+    (reliable checkpoint in ``spark.checkpoint.dir``): file positions then survive
+    executor loss and the upload is read once, not once per use.
     """
-    if scope == "season":
-        scope_cols = ["season"]
-    elif scope == "association":
-        scope_cols = ["season", "association_id"]
-    else:
-        raise ValueError(f"unknown dedupe scope {scope!r}")
     if durable:
         checkpoint_dir(rows.sparkSession)
         rows = rows.checkpoint(eager=True)
     ord_struct = F.struct(*[F.col(c) for c in order])
     ord_type = rows.select(ord_struct.alias("o")).schema["o"].dataType
+    rows = rows.withColumn("_scope", _scope_col(scope))
     keyed = rows.where(~F.col("skipped") & (F.col("key") != ""))
     ex_keys = (
-        existing.select(*scope_cols, sql_key("rsbsa").alias("key"))
+        existing.select("season", _scope_col(scope).alias("_scope"), sql_key("rsbsa").alias("key"))
         .where(F.col("key").isNotNull() & (F.col("key") != ""))
-        .select(*scope_cols, "key", F.lit(1).alias("exists"), F.lit(None).cast(ord_type).alias("_ord"))
+        .select("season", "_scope", "key", F.lit(1).alias("exists"), F.lit(None).cast(ord_type).alias("_ord"))
+    )
+    up_keys = keyed.select("season", "_scope", "key", F.lit(0).alias("exists"), ord_struct.alias("_ord"))
+    per_key = (
+        ex_keys.unionByName(up_keys)
+        .groupBy("season", "_scope", "key")
+        .agg(F.max("exists").alias("_exists"), F.min("_ord").alias("_first"))
+        .withColumnRenamed("season", "_pk_season")
+        .withColumnRenamed("_scope", "_pk_scope")
+        .withColumnRenamed("key", "_pk_key")
     )
-    up_keys = keyed.select(*scope_cols, "key", F.lit(0).alias("exists"), ord_struct.alias("_ord"))
-    per_key = ex_keys.unionByName(up_keys).groupBy(*scope_cols, "key").agg(
-        F.max("exists").alias("_exists"), F.min("_ord").alias("_first")
+    cond = (
+        (keyed.season == per_key._pk_season)
+        & keyed._scope.eqNullSafe(per_key._pk_scope)
+        & (keyed.key == per_key._pk_key)
     )
-    judged = keyed.join(per_key, [*scope_cols, "key"], "left").select(
-        *rows.columns,
+    out_cols = [c for c in rows.columns if c != "_scope"]
+    judged = keyed.join(per_key, cond, "left").select(
+        *out_cols,
         F.when((F.col("_exists") == 0) & (ord_struct == F.col("_first")), F.lit(STATUS_INSERTED))
         .otherwise(F.lit(STATUS_DUPLICATE))
         .alias("status"),
     )
     unkeyed = rows.where(F.col("skipped") | (F.col("key") == "")).select(
-        *rows.columns,
+        *out_cols,
         F.when(F.col("skipped"), F.lit(STATUS_SKIPPED)).otherwise(F.lit(STATUS_INSERTED)).alias("status"),
     )
     classified = judged.unionByName(unkeyed)
@@ -268,3 +293,44 @@ def apply_upload(farmer: DataFrame, classified: DataFrame) -> DataFrame:
     """Farmer table after the upload (existing rows plus inserted rows)."""
     cols = [f.name for f in FARMER.fields]
     return farmer.select(*cols).unionByName(inserted_farmers(classified).select(*cols))
+
+
+def run_upload(
+    spark: SparkSession,
+    path: str,
+    tables_root: str,
+    association_id: int | None = None,
+    season: str | None = None,
+    scope: str | dict[str, str] = "season",
+    template: str = "full",
+    fmt: str = "csv",
+) -> DataFrame:
+    """End-to-end upload job: read the files at ``path``, clean and classify the rows
+    against the farmer table under ``tables_root`` and commit the inserted rows (staged
+    write + swap, all rows or none).  ``season`` / ``association_id`` give the target when
+    the files carry no such columns.  Returns the per-season summary.
+    """
+    from ricefield.sinks.tables import write_staged
+    from ricefield.sources.model import read_table
+
+    raw = read_upload(spark, path, fmt=fmt)
+    extra = [c for c in ("season", "association_id") if c in [x.strip().lower() for x in raw.columns]]
+    cleaned = clean_upload(raw, template=template, keep=extra + ["_file", "_block", "_row"])
+    if "season" not in extra:
+        if season is None:
+            raise ValueError("season is required when the upload has no season column")
+        cleaned = cleaned.withColumn("season", F.lit(season))
+    if "association_id" not in extra:
+        if association_id is None:
+            raise ValueError("association_id is required when the upload has no association_id column")
+        cleaned = cleaned.withColumn("association_id", F.lit(association_id).cast("long"))
+    else:
+        cleaned = cleaned.withColumn("association_id", F.col("association_id").cast("long"))
+    existing = read_table(spark, tables_root, "farmer")
+    seasons = [r["season"] for r in cleaned.select("season").distinct().collect()]  # a handful of labels
+    existing = existing.where(F.col("season").isin(seasons))
+    classified = classify_upload(cleaned, existing, ["_file", "_block", "_row"], scope=scope, durable=True)
+    classified = classified.checkpoint(eager=True)
+    new_farmer = apply_upload(read_table(spark, tables_root, "farmer"), classified)
+    write_staged(spark, {"farmer": new_farmer}, tables_root, verify=False)
+    return upload_summary(classified)

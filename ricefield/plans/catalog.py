@@ -29,10 +29,19 @@ REPORT_SEASON = "all"
 REPORT_MUNICIPALITY = "nation_1"
 REPORT_SEARCH = "customer#00000"
 REPORT_PAGE = 3
+UPLOAD_SCOPES = {"wet": "season", "dry": "association"}
+
+
+_MODELS: dict = {}
 
 
 def _t(spark: SparkSession, sf_dir: str, with_variety: bool = False):
-    return dt.model_tables(spark, sf_dir, with_variety=with_variety)
+    """The stand-in model tables as lazy DataFrames, built once per session and folder
+    (plan construction only; every action still reads the parquet files)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, with_variety)
+    if key not in _MODELS:
+        _MODELS[key] = dt.model_tables(spark, sf_dir, with_variety=with_variety)
+    return _MODELS[key]
 
 
 # ----------------------------------------------------------------- rollups
@@ -154,13 +163,8 @@ def _classified(spark, sf_dir):
     raw = dt.upload_rows(spark, sf_dir)
     cleaned = ingest.clean_upload(raw, template="full", keep=["season", "association_id", "line"])
     existing = dt.existing_farmers(spark, sf_dir)
-    wet = ingest.classify_upload(
-        cleaned.where(F.col("season") == "wet"), existing.where(F.col("season") == "wet"), ["line"], scope="season"
-    )
-    dry = ingest.classify_upload(
-        cleaned.where(F.col("season") == "dry"), existing.where(F.col("season") == "dry"), ["line"], scope="association"
-    )
-    return wet.unionByName(dry)
+    # wet dedupes RSBSA over the whole season, dry within the target association
+    return ingest.classify_upload(cleaned, existing, ["line"], scope=UPLOAD_SCOPES)
 
 
 def upload_classified(spark, sf_dir):
@@ -261,6 +265,47 @@ def short_export(spark, sf_dir):
     return exports.short_rows(t.farmer, t.association)
 
 
+# ------------------------------------------------------------ table jobs
+
+
+def _live(spark, sf_dir):
+    """Write the stand-in model tables to a fresh work folder (staged commit)."""
+    from ricefield.sinks import tables as tj
+
+    root = tj.work_dir(spark)
+    live = f"{root}/live"
+    tj.write_staged(spark, _t(spark, sf_dir, with_variety=True), live)
+    return tj, root, live
+
+
+def snapshot_restore(spark, sf_dir):
+    """Snapshot the tables, delete region-2 municipalities (cascade), restore the
+    snapshot: row counts per table and season after the restore."""
+    from ricefield.sources.model import read_tables, write_tables
+
+    tj, root, live = _live(spark, sf_dir)
+    ts = tj.snapshot(spark, live, f"{root}/snapshots")
+    t = read_tables(spark, live)
+    changed, _ = changes.delete_municipalities(t, dt.municipality_deletions(spark, sf_dir))
+    tj.write_staged(spark, changed, live, verify=False)
+    return tj.restore(spark, f"{root}/snapshots", ts, live)
+
+
+def import_replace(spark, sf_dir):
+    """Export the tables as CSV, then replace-import them into the live folder."""
+    tj, root, live = _live(spark, sf_dir)
+    from ricefield.sources.model import read_tables
+
+    tj.export_tables(read_tables(spark, live), f"{root}/export", fmt="csv")
+    return tj.import_replace(spark, f"{root}/export", live, fmt="csv")
+
+
+def table_copy(spark, sf_dir):
+    """Copy all tables to a second store with a per-table row-count check."""
+    tj, root, live = _live(spark, sf_dir)
+    return tj.copy_tables(spark, live, f"{root}/copy")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [
         "season_summary",
@@ -303,6 +348,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "seed_varieties",
         "template_export",
         "short_export",
+        "snapshot_restore",
+        "import_replace",
+        "table_copy",
     ]
     g = globals()
     return {n: g[n] for n in names}

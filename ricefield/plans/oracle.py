@@ -650,6 +650,13 @@ def oracle_sql() -> dict[str, str]:
                        FROM (SELECT DISTINCT season, variety AS name FROM farmer WHERE variety <> ''))""",
         f"seeds(seed_order, name) AS (VALUES {seeds})",
     )
+    all_counts = W(
+        _counts({"municipality": "muni", "association": "assoc", "variety": "variety", "farmer": "farmer"}),
+        """variety AS (SELECT DISTINCT season, variety AS name FROM farmer WHERE variety <> '')""",
+    )
+    q["snapshot_restore"] = all_counts
+    q["import_replace"] = all_counts
+    q["table_copy"] = all_counts
     q["template_export"] = _template_sql()
     q["short_export"] = _short_sql()
     return q
