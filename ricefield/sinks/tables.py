@@ -14,6 +14,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ricefield.session import checkpoint_dir
 from ricefield.sources.model import SCHEMAS, TABLE_ORDER, Tables, conform, read_table, table_path, write_table
@@ -119,6 +121,24 @@ def write_staged(spark: SparkSession, tables: Tables | dict[str, DataFrame], des
 # ------------------------------------------------------------------ export / import
 
 
+# Fixed value: NULL marker of the CSV database export, so NULL and '' both survive.
+CSV_NULL = "\\N"
+
+
+def csv_writer(writer):
+    """CSV with header that keeps cell text exactly (no trimming) and marks NULLs."""
+    return (
+        writer.option("header", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("nullValue", CSV_NULL)
+    )
+
+
+def csv_reader(reader):
+    return reader.option("header", True).option("nullValue", CSV_NULL)
+
+
 def export_tables(tables: Tables, out_root: str, fmt: str = "parquet") -> None:
     """Whole-database export: one folder per table (parquet partitioned by season, or CSV
     with header)."""
@@ -130,7 +150,7 @@ def export_tables(tables: Tables, out_root: str, fmt: str = "parquet") -> None:
         if fmt == "parquet":
             write_table(df, out_root, name)
         elif fmt == "csv":
-            df.write.mode("overwrite").option("header", True).csv(table_path(out_root, name))
+            csv_writer(df.write.mode("overwrite")).csv(table_path(out_root, name))
         else:
             raise ValueError(f"unknown export format {fmt!r}")
 
@@ -149,9 +169,12 @@ def read_export(spark: SparkSession, root: str, fmt: str = "parquet", tables: li
             problems.append(f"{name}: missing")
             continue
         if fmt == "parquet":
-            df = spark.read.parquet(path)
+            try:
+                df = spark.read.parquet(path)
+            except AnalysisException:  # a folder without data files: an empty table
+                df = spark.read.schema(SCHEMAS[name]).parquet(path)
         elif fmt == "csv":
-            df = spark.read.option("header", True).csv(path)
+            df = csv_reader(spark.read).csv(path)
         else:
             raise ValueError(f"unknown import format {fmt!r}")
         missing = [f.name for f in SCHEMAS[name].fields if f.name not in df.columns]
@@ -199,8 +222,10 @@ def list_snapshots(spark: SparkSession, snap_root: str) -> DataFrame:
     for name in TABLE_ORDER:
         path = table_path(snap_root, name)
         if path_exists(spark, path):
-            df = spark.read.option("basePath", path).parquet(path)
-            parts.append(df.groupBy(F.col("ts").cast("string").alias("ts")).agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name)))
+            schema = StructType(SCHEMAS[name].fields + [StructField("ts", StringType())])
+            df = spark.read.schema(schema).option("basePath", path).parquet(path)
+            per_ts = df.groupBy("ts").agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
+            parts.append(per_ts)
     if not parts:
         return spark.createDataFrame([], "ts string, table_name string, rows long")
     return reduce(DataFrame.unionByName, parts).select("ts", "table_name", "rows").orderBy(F.desc("ts"), "table_name")

@@ -36,13 +36,14 @@ def upload_stream(spark: SparkSession, landing: str) -> DataFrame:
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
     )
 
 
 def _commit_batch(tables_root: str, scope, summaries_path: str | None):
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # row position inside each file split (streaming plans cannot number rows)
+        batch = batch.withColumn("_row", F.monotonically_increasing_id())
         cleaned = clean_upload(batch, template="full", keep=["season", "association_id", "_file", "_block", "_row"])
         farmer = read_table(spark, tables_root, "farmer")
         classified = classify_upload(cleaned, farmer, ["_file", "_block", "_row"], scope=scope, durable=True)
