@@ -139,14 +139,36 @@ MISSING_TOKENS = [
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_TOKENS_SQL = ", ".join(_sql_str(t) for t in MISSING_TOKENS)
+
+
 def text_or_blank(x) -> Column:
-    """Stripped text; NULL and the missing-value tokens become ''."""
+    """Stripped text; NULL and the missing-value tokens become ''.
+
+    Given a column name, the expression is built as one SQL expression (one call into
+    the JVM instead of one per token)."""
+    if isinstance(x, str):
+        c = f"CAST(`{x}` AS STRING)"
+        return F.expr(
+            f"CASE WHEN {c} IS NULL OR {c} IN ({_TOKENS_SQL}) THEN '' "
+            f"ELSE regexp_replace({c}, '(?U)^\\\\s+|\\\\s+$', '') END"
+        )
     raw = _c(x).cast("string")
     return F.when(raw.isNull() | raw.isin(MISSING_TOKENS), F.lit("")).otherwise(py_strip(raw))
 
 
 def number_or_zero(x) -> Column:
     """Numeric text -> double, anything else (blank, '1,200', 'x', '12d', 'nan') -> 0.0."""
+    if isinstance(x, str):
+        c = f"CAST(`{x}` AS STRING)"
+        pattern = NUMBER_PATTERN.replace("\\", "\\\\")
+        return F.expr(
+            f"coalesce(nanvl(CASE WHEN {c} RLIKE '{pattern}' THEN try_cast(trim({c}) AS DOUBLE) END, 0D), 0D)"
+        )
     s = _c(x).cast("string")
     v = F.when(s.rlike(NUMBER_PATTERN), F.trim(s).try_cast("double"))
     return F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))

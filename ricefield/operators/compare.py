@@ -20,10 +20,23 @@ from ricefield.sources.model import Tables
 
 
 
+# List order of the comparison: current MT descending, then the merge's insertion
+# order (base-season keys first by lowest id, then current-only keys).
+def _list_order():
+    return [F.desc("current_mt"), F.asc("src_rank"), F.asc("src_id")]
+
+
 def municipality_comparison(tables: Tables, base: str, current: str) -> DataFrame:
     """One row per municipality key: both seasons' associations, farmers, area, MT,
     the MT difference and percent change, and ``pos`` = rank by current MT descending
-    (stable: base-season keys first in id order, then current-only keys).
+    (stable: base-season keys first in id order, then current-only keys)."""
+    ranked = sequence_number(municipality_merge(tables, base, current), _list_order())
+    return ranked.drop("src_rank", "src_id")
+
+
+def municipality_merge(tables: Tables, base: str, current: str) -> DataFrame:
+    """The comparison rows without positions; ``src_rank``/``src_id`` carry the
+    insertion order that breaks ties in the list order.
 
     The merge is one aggregation by key over both seasons' rollup rows (a pivot, not a
     join): per season the highest-id row's values (last wins), the lowest id, and for
@@ -62,13 +75,11 @@ def municipality_comparison(tables: Tables, base: str, current: str) -> DataFram
         F.when(in_base, F.lit(0)).otherwise(F.lit(1)).alias("src_rank"),
         F.coalesce(F.col("b_first_id"), F.col("c_first_id")).alias("src_id"),
     )
-    out = out.select(
+    return out.select(
         "*",
         r2(F.col("current_mt") - F.col("base_mt")).alias("difference"),
         pct_change("base_mt", "current_mt").alias("change"),
     )
-    ranked = sequence_number(out, [F.desc("current_mt"), "src_rank", "src_id"])
-    return ranked.drop("src_rank", "src_id")
 
 
 def municipality_yield(comparison: DataFrame) -> DataFrame:
@@ -95,8 +106,10 @@ HIGHLIGHT_METRICS = ["production", "yield", "area"]
 def top_performers(comparison: DataFrame, base: str, current: str) -> DataFrame:
     """Six highlights: highest production, highest yield, largest area, for each season.
 
-    A pick is the first maximum in comparison order (``pos``).  One aggregate over an
-    unpivot of the metrics; with no municipalities every pick is '-' with zeros.
+    A pick is the first maximum in list order.  ``comparison`` is either the ranked
+    comparison (``pos``) or ``municipality_merge`` output, whose list-order keys break
+    ties directly (no global ranking needed).  One aggregate over an unpivot of the
+    metrics; with no municipalities every pick is '-' with zeros.
     """
     spark = comparison.sparkSession
     sides = []
@@ -112,11 +125,16 @@ def top_performers(comparison: DataFrame, base: str, current: str) -> DataFrame:
                     a.alias("area"),
                 )
             )
-    long = comparison.select("pos", "municipality", F.explode(F.array(*sides)).alias("x")).select(
-        "pos", "municipality", "x.*"
+    if "pos" in comparison.columns:
+        tie = [-F.col("pos")]
+    else:  # later in list order = smaller current MT, then larger src_rank / src_id
+        tie = [F.col("current_mt"), -F.col("src_rank"), -F.col("src_id")]
+    keep = ["pos"] if "pos" in comparison.columns else ["current_mt", "src_rank", "src_id"]
+    long = comparison.select(*keep, "municipality", F.explode(F.array(*sides)).alias("x")).select(
+        *keep, "municipality", "x.*"
     )
     picks = long.groupBy("metric", "season").agg(
-        F.max_by(F.struct("municipality", "value", "mt", "area"), F.struct(F.col("value"), -F.col("pos"))).alias("p")
+        F.max_by(F.struct("municipality", "value", "mt", "area"), F.struct(F.col("value"), *tie)).alias("p")
     )
     slots = spark.createDataFrame(
         [(mt_, s, i * 2 + j) for i, mt_ in enumerate(HIGHLIGHT_METRICS) for j, s in enumerate((base, current))],

@@ -136,25 +136,29 @@ def clean_upload(df: DataFrame, template: str = "full", keep: list[str] = ()) ->
         fields = SHORT_FIELDS
     else:
         raise ValueError(f"unknown template {template!r}")
-    cell = {k: _cell(df, v) for k, v in fields.items()}
-    last = text_or_blank(cell["last_name"])
-    first = text_or_blank(cell["first_name"])
-    rsbsa = text_or_blank(cell["rsbsa"])
-    claimed = text_or_blank(cell["claimed"])
-    planted = text_or_blank(cell["planted"])
-    return df.select(
-        *[F.col(f"`{k}`").alias(k) for k in keep],
-        rsbsa.alias("rsbsa"),
-        last.alias("last_name"),
-        first.alias("first_name"),
-        text_or_blank(cell["middle_name"]).alias("middle_name"),
-        text_or_blank(cell["suffix"]).alias("suffix"),
-        number_or_zero(cell["area"]).alias("area"),
+    # the read cells under fixed names, then one typed projection over them
+    cells = df.select(
+        *[F.col(f"`{k}`").alias(k) for k in keep], *[_cell(df, v).alias(f"_cell_{k}") for k, v in fields.items()]
+    )
+    typed = cells.select(
+        *keep,
+        *[text_or_blank(f"_cell_{k}").alias(k) for k in ("rsbsa", "last_name", "first_name", "middle_name", "suffix", "claimed", "planted")],
+        *[number_or_zero(f"_cell_{k}").alias(k) for k in ("area", "sacks", "kg")],
+    )
+    claimed, planted = F.col("claimed"), F.col("planted")
+    return typed.select(
+        *keep,
+        "rsbsa",
+        "last_name",
+        "first_name",
+        "middle_name",
+        "suffix",
+        "area",
         F.when(claimed != "", claimed).when(planted != "", planted).otherwise(F.lit("")).alias("variety"),
-        number_or_zero(cell["sacks"]).alias("sacks"),
-        number_or_zero(cell["kg"]).alias("kg"),
-        py_key(rsbsa).alias("key"),
-        ((last == "") & (first == "")).alias("skipped"),
+        "sacks",
+        "kg",
+        py_key("rsbsa").alias("key"),
+        ((F.col("last_name") == "") & (F.col("first_name") == "")).alias("skipped"),
     )
 
 
@@ -220,8 +224,8 @@ def classify_upload(
     ``scope`` is 'season', 'association', or a dict season -> scope.  Returns the rows
     with ``status`` and, for inserted rows, the new ``id``.  ``order`` columns give file
     order and must be unique per season.  ``durable`` checkpoints the cleaned rows first
-    (reliable checkpoint in ``spark.checkpoint.dir``): file positions then survive
-    executor loss and the upload is read once, not once per use.
+    (reliable checkpoint in ``spark.checkpoint.dir``): needed when the order columns are
+    generated row numbers (file reads), so they survive executor loss.
     """
     if durable:
         checkpoint_dir(rows.sparkSession)
@@ -261,6 +265,10 @@ def classify_upload(
         F.when(F.col("skipped"), F.lit(STATUS_SKIPPED)).otherwise(F.lit(STATUS_INSERTED)).alias("status"),
     )
     classified = judged.unionByName(unkeyed)
+    # One reliable checkpoint of the classified rows: ids and the returned frame are
+    # read from it, so classification runs once and survives executor loss.
+    checkpoint_dir(rows.sparkSession)
+    classified = classified.checkpoint(eager=True)
     return assign_ids(classified, existing, order)
 
 

@@ -13,9 +13,8 @@ restarting per group), the DataFrame form of ``zipWithIndex``:
    index inside this partition + 1.
 
 The order columns must form a total order (append a unique id as last tie-break) so
-that positions are deterministic.  The input is checkpointed (written once to
-``spark.checkpoint.dir``) unless the caller declares it stable, so both uses read the
-same rows in the same order and get the same range bounds.
+that positions are deterministic.  The tagged rows are checkpointed (written once to
+``spark.checkpoint.dir``) so the counts and the positions come from one split.
 """
 
 from __future__ import annotations
@@ -35,27 +34,23 @@ def sequence_number(
     name: str = "pos",
     start: int | Column = 1,
     num_partitions: int | None = None,
-    stable: bool = False,
 ) -> DataFrame:
     """Add ``name`` = 1-based (or ``start``-based) position of each row in
-    (partition_by, order) order.  ``stable=True`` declares that ``df`` reads the same
-    rows in the same partition order on every evaluation (e.g. it was just
-    checkpointed); otherwise it is checkpointed here first."""
+    (partition_by, order) order."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = list(partition_by)
     keys = [F.col(p) for p in part] + [F.col(o) if isinstance(o, str) else o for o in order]
-    if not stable:
-        # Range bounds are sampled from the input; after a shuffle its row order is not
-        # fixed, so the two uses below could split rows differently.  A reliable
-        # checkpoint pins one evaluation (and survives executor loss).
-        checkpoint_dir(spark)
-        df = df.checkpoint(eager=True)
     tagged = (
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .select("*", F.spark_partition_id().alias("_rf_pid"), F.monotonically_increasing_id().alias("_rf_mid"))
     )
+    # The range partitioner samples its bounds with a seed tied to the RDD id, so two
+    # evaluations may split rows differently.  A reliable checkpoint of the tagged rows
+    # pins one split for both uses below (and survives executor loss).
+    checkpoint_dir(spark)
+    tagged = tagged.checkpoint(eager=True)
     stats = tagged.groupBy("_rf_pid", *part).agg(
         F.min("_rf_mid").alias("_rf_first"), F.count(F.lit(1)).alias("_rf_cnt")
     )

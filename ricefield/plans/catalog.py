@@ -111,8 +111,8 @@ def municipality_yield(spark, sf_dir):
 
 
 def top_performers(spark, sf_dir):
-    cmp_ = compare.municipality_comparison(_t(spark, sf_dir), BASE, CURRENT)
-    return compare.top_performers(cmp_, BASE, CURRENT)
+    merged = compare.municipality_merge(_t(spark, sf_dir), BASE, CURRENT)
+    return compare.top_performers(merged, BASE, CURRENT)
 
 
 def association_comparison(spark, sf_dir):
@@ -164,7 +164,8 @@ def _classified(spark, sf_dir):
     cleaned = ingest.clean_upload(raw, template="full", keep=["season", "association_id", "line"])
     existing = dt.existing_farmers(spark, sf_dir)
     # wet dedupes RSBSA over the whole season, dry within the target association
-    return ingest.classify_upload(cleaned, existing, ["line"], scope=UPLOAD_SCOPES)
+    # file order is the stored ``line`` column, so the input needs no checkpoint
+    return ingest.classify_upload(cleaned, existing, ["line"], scope=UPLOAD_SCOPES, durable=False)
 
 
 def upload_classified(spark, sf_dir):

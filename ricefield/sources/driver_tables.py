@@ -29,8 +29,16 @@ FARMER_VARIETIES = ["Bigante", "Lp2096", "NK 5017", "S6003", "SL 20", "RC 222",
 UPLOAD_CUTOFF = "1999-01-01"
 
 
+_READS: dict = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The driver table as a lazy DataFrame, resolved once per session (file listing and
+    footer schema); every action still scans the file."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _READS[key]
 
 
 def municipality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +93,18 @@ def _variety() -> F.Column:
     return F.element_at(F.array([F.lit(v) for v in FARMER_VARIETIES]), (F.col("o_orderkey") % 9 + 1).cast("int"))
 
 
+_SOURCES: dict = {}
+
+
 def farmer_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Farmer rows plus the order date (used only to split existing/uploaded rows)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _SOURCES:
+        _SOURCES[key] = _farmer_source(spark, sf_dir)
+    return _SOURCES[key]
+
+
+def _farmer_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")

@@ -146,3 +146,16 @@ def test_top_variety(spark):
     assert (rows[1]["top_variety"], rows[1]["top_value"]) == ("SL 8", 100.0)  # tie: first seen
     assert (rows[2]["top_variety"], rows[2]["top_value"]) == (None, 0.0)
     assert rows[3]["top_variety"] is None
+
+
+def test_top_performers_ties_follow_list_order(spark):
+    munis = [("wet", 2, "B"), ("wet", 1, "A"), ("dry", 2, "b"), ("dry", 1, "a"), ("dry", 3, "C")]
+    assocs = [("wet", 1, 1, "x"), ("wet", 2, 2, "y"), ("dry", 1, 1, "x"), ("dry", 2, 2, "y"), ("dry", 3, 3, "z")]
+    farmers = [farmer_row(s, i, a, area=1.0, sacks=20.0, kg=50.0) for i, (s, a) in enumerate([("wet", 1), ("wet", 2), ("dry", 1), ("dry", 2), ("dry", 3)], 1)]
+    t = tables(spark, munis, assocs, farmers)
+    merged = compare.municipality_merge(t, "wet", "dry")
+    ranked = compare.municipality_comparison(t, "wet", "dry")
+    a = {(r["metric"], r["season"]): r["municipality"] for r in compare.top_performers(merged, "wet", "dry").collect()}
+    b = {(r["metric"], r["season"]): r["municipality"] for r in compare.top_performers(ranked, "wet", "dry").collect()}
+    assert a == b
+    assert set(a.values()) == {"A"}  # all tie; 'A' (lowest id, base season) is first in list order
