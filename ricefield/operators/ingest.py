@@ -230,7 +230,8 @@ def classify_upload(
     if durable:
         checkpoint_dir(rows.sparkSession)
         rows = rows.checkpoint(eager=True)
-    ord_struct = F.struct(*[F.col(c) for c in order])
+    # a single order column is compared as is (hash aggregation); several as a struct
+    ord_struct = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     ord_type = rows.select(ord_struct.alias("o")).schema["o"].dataType
     rows = rows.withColumn("_scope", _scope_col(scope))
     keyed = rows.where(~F.col("skipped") & (F.col("key") != ""))

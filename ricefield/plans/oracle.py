@@ -312,6 +312,7 @@ def _template_sql() -> str:
 SELECT f.season, f.association_id,
        row_number() OVER (PARTITION BY f.season, f.association_id
                           ORDER BY f.last_name NULLS FIRST, f.first_name NULLS FIRST, f.id) AS pos,
+       f.last_name AS _last, f.first_name AS _first, f.id AS _id,
        {cols}
 FROM farmer f"""
     )
@@ -329,6 +330,7 @@ SELECT f.season, f.association_id,
        coalesce({slug}, 'association') || '_' || f.season || '_farmers' AS file_stem,
        row_number() OVER (PARTITION BY f.season, f.association_id
                           ORDER BY f.last_name NULLS FIRST, f.first_name NULLS FIRST, f.id) AS pos,
+       f.last_name AS _last, f.first_name AS _first, f.id AS _id,
        {cols}
 FROM farmer f LEFT JOIN assoc a ON a.season = f.season AND a.id = f.association_id"""
     )

@@ -65,32 +65,44 @@ def column_name(header: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", header.lower()).strip("_")
 
 
-def _ordered(farmer: DataFrame) -> DataFrame:
-    order = [F.asc_nulls_first("last_name"), F.asc_nulls_first("first_name"), "id"]
-    return sequence_number(farmer, order, partition_by=["season", "association_id"])
+# List order inside an association: last name, first name (NULLs first), id.
+LIST_ORDER = ["_last", "_first", "_id"]
 
 
-def template_rows(farmer: DataFrame) -> DataFrame:
-    """Template export rows of every association: season, association_id, pos, then
-    the 23 template columns (blank ones as '')."""
-    f = _ordered(farmer)
+def _list_keys(farmer: DataFrame) -> list:
+    return [F.col("last_name").alias("_last"), F.col("first_name").alias("_first"), F.col("id").alias("_id")]
+
+
+def _ordered(f: DataFrame, with_pos: bool) -> DataFrame:
+    if not with_pos:
+        return f
+    order = [F.asc_nulls_first("_last"), F.asc_nulls_first("_first"), "_id"]
+    return sequence_number(f, order, partition_by=["season", "association_id"])
+
+
+def template_rows(farmer: DataFrame, with_pos: bool = True) -> DataFrame:
+    """Template export rows of every association: season, association_id, [pos], the
+    list-order keys (_last, _first, _id), then the 23 template columns (blank ones as '').
+    ``with_pos=False`` skips the position column (the writer sorts by the keys)."""
     cols = [
         (F.col(field) if field else F.lit("")).alias(column_name(header)) for header, field in TEMPLATE_EXPORT
     ]
-    return f.select("season", "association_id", "pos", *cols)
+    f = _ordered(farmer.select("season", "association_id", *_list_keys(farmer), *cols), with_pos)
+    pos = ["pos"] if with_pos else []
+    return f.select("season", "association_id", *pos, *LIST_ORDER, *[column_name(h) for h, _ in TEMPLATE_EXPORT])
 
 
-def short_rows(farmer: DataFrame, association: DataFrame) -> DataFrame:
+def short_rows(farmer: DataFrame, association: DataFrame, with_pos: bool = True) -> DataFrame:
     """Short export rows of every association with farmers, plus ``file_stem`` =
     '<association name lower, spaces as _>_<season>_farmers' ('association' when the
     association row is missing).  Associations without farmers export nothing."""
     a = association.select(F.col("season").alias("a_season"), F.col("id").alias("a_id"), F.col("name").alias("a_name"))
     f = farmer.join(a, (farmer.season == a.a_season) & (farmer.association_id == a.a_id), "left")
     stem = F.concat(F.coalesce(slug("a_name"), F.lit("association")), F.lit("_"), F.col("season"), F.lit("_farmers"))
-    f = f.select(*farmer.columns, stem.alias("file_stem"))
-    f = _ordered(f)
     cols = [F.col(field).alias(column_name(header)) for header, field in SHORT_EXPORT]
-    return f.select("season", "association_id", "file_stem", "pos", *cols)
+    f = _ordered(f.select("season", "association_id", stem.alias("file_stem"), *_list_keys(f), *cols), with_pos)
+    pos = ["pos"] if with_pos else []
+    return f.select("season", "association_id", "file_stem", *pos, *LIST_ORDER, *[column_name(h) for h, _ in SHORT_EXPORT])
 
 
 def _display(df: DataFrame, spec) -> DataFrame:
@@ -98,18 +110,24 @@ def _display(df: DataFrame, spec) -> DataFrame:
     return df.select(*keep, *[F.col(column_name(h)).alias(h) for h, _ in spec])
 
 
+def _sort_keys():
+    return [F.asc_nulls_first("_last"), F.asc_nulls_first("_first"), F.asc("_id")]
+
+
 def write_template_export(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header, one folder per (season, association_id), rows in list order.
 
-    Range partitioning on (season, association_id, pos) keeps each file an ordered,
-    contiguous slice and splits a very large association over several tasks/files
-    (part numbers follow list order)."""
+    ``rows`` from ``template_rows(..., with_pos=False)``.  Range partitioning on
+    (season, association_id, list order) keeps each file an ordered, contiguous slice
+    and splits a very large association over several tasks/files (part numbers follow
+    list order)."""
     out = _display(rows, TEMPLATE_EXPORT)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col("season"), F.col("association_id"), *_sort_keys()]
     (
-        out.repartitionByRange(n, "season", "association_id", "pos")
-        .sortWithinPartitions("season", "association_id", "pos")
-        .drop("pos")
+        out.repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys)
+        .drop("pos", *LIST_ORDER)
         .write.mode(mode)
         .partitionBy("season", "association_id")
         .option("header", True)
@@ -120,12 +138,14 @@ def write_template_export(rows: DataFrame, path: str, mode: str = "overwrite") -
 
 
 def write_short_export(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV with header, one folder per file stem, rows in list order (see above)."""
     out = _display(rows, SHORT_EXPORT)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col("file_stem"), *_sort_keys()]
     (
-        out.repartitionByRange(n, "file_stem", "pos")
-        .sortWithinPartitions("file_stem", "pos")
-        .drop("pos", "season", "association_id")
+        out.repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys)
+        .drop("pos", "season", "association_id", *LIST_ORDER)
         .write.mode(mode)
         .partitionBy("file_stem")
         .option("header", True)
