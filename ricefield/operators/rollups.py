@@ -221,15 +221,17 @@ def municipality_listing(tables: Tables) -> DataFrame:
     return sequence_number(r, ["name", "id"], partition_by=["season"])
 
 
-def association_listing(tables: Tables) -> DataFrame:
-    """Associations by name with municipality name (NULL for orphans) and farmer count."""
+def association_listing(tables: Tables, newest_first: bool = False) -> DataFrame:
+    """Associations by name (or newest first: id descending) with municipality name
+    (NULL for orphans) and farmer count; ``pos`` within season."""
     ar = association_rollup(tables)
     m = tables.municipality.select(
         F.col("season").alias("m_season"), F.col("id").alias("m_id"), F.col("name").alias("municipality_name")
     )
     j = ar.join(m, (ar.season == m.m_season) & (ar.municipality_id == m.m_id), "left")
     r = j.select("season", "id", "name", "municipality_name", F.col("farmers").alias("farmer_count"))
-    return sequence_number(r, ["name", "id"], partition_by=["season"])
+    order = [F.desc("id")] if newest_first else ["name", "id"]
+    return sequence_number(r, order, partition_by=["season"])
 
 
 def municipality_associations(tables: Tables) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ricefield.functions.exprs import contains_any, full_name
+from ricefield.functions.exprs import contains_any, display_or, full_name
 from ricefield.operators.ranking import sequence_number
 from ricefield.sources.model import FARMER, Tables
 
@@ -62,7 +62,9 @@ def farmer_search(
 def association_farmers(tables: Tables, term: str = "", case_sensitive: bool = False) -> DataFrame:
     """Farmer list of every existing association, optionally filtered by ``term`` on
     RSBSA / last / first name, ordered by last name, first name (NULLs first), id;
-    ``pos`` restarts per (season, association)."""
+    ``pos`` restarts per (season, association).  Adds per-row production
+    (``total_kg`` = bags x kg per bag, missing factors as 0; ``total_mt``) and display
+    columns with '-' for a blank RSBSA or middle name."""
     term = term.strip()
     f = tables.farmer
     if term:
@@ -70,7 +72,15 @@ def association_farmers(tables: Tables, term: str = "", case_sensitive: bool = F
     a = tables.association.select(F.col("season").alias("a_season"), F.col("id").alias("a_id"))
     f = f.join(a, (f.season == a.a_season) & (f.association_id == a.a_id), "left_semi")
     order = [F.asc_nulls_first("last_name"), F.asc_nulls_first("first_name"), "id"]
-    return sequence_number(f.select(*FARMER_COLS), order, partition_by=["season", "association_id"])
+    per_row_kg = F.coalesce(F.col("sacks"), F.lit(0.0)) * F.coalesce(F.col("kg"), F.lit(0.0))
+    rows = f.select(
+        *FARMER_COLS,
+        per_row_kg.alias("total_kg"),
+        (per_row_kg / 1000.0).alias("total_mt"),
+        display_or("rsbsa").alias("rsbsa_display"),
+        display_or("middle_name").alias("middle_name_display"),
+    )
+    return sequence_number(rows, order, partition_by=["season", "association_id"])
 
 
 def farmer_list(tables: Tables, limit: int = LIST_CAP) -> DataFrame:

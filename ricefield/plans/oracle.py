@@ -503,6 +503,10 @@ def oracle_sql() -> dict[str, str]:
     t = C.ASSOCIATION_SEARCH_TERM
     q["association_farmer_search"] = W(
         f"""SELECT {FARMER_COLS_F},
+               coalesce(f.sacks, 0) * coalesce(f.kg, 0) AS total_kg,
+               coalesce(f.sacks, 0) * coalesce(f.kg, 0) / 1000.0::DOUBLE AS total_mt,
+               coalesce(nullif(f.rsbsa, ''), '-') AS rsbsa_display,
+               coalesce(nullif(f.middle_name, ''), '-') AS middle_name_display,
                row_number() OVER (PARTITION BY f.season, f.association_id
                                   ORDER BY f.last_name NULLS FIRST, f.first_name NULLS FIRST, f.id) AS pos
         FROM farmer f

@@ -80,3 +80,20 @@ def test_trend_and_marker(spark):
 def test_slug(spark):
     df = spark.createDataFrame([("Rice One",), (" San José Farmers ",), ("../x",)], "s string")
     assert [r[0] for r in df.select(X.slug("s")).collect()] == ["rice_one", "san_jos_farmers", "x"]
+
+
+def test_r2_random_doubles_match_python(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    values = []
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.floats(min_value=-1e9, max_value=1e9, allow_nan=False, allow_infinity=False))
+    def collect(v):
+        values.append(v)
+
+    collect()
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in df.select(X.r2("x")).collect()]
+    assert got == [round(v, 2) for v in values]

@@ -96,3 +96,23 @@ def test_farmer_list_cap(spark):
     rows = search.farmer_list(t).collect()
     assert len(rows) == 100 and sorted(r["pos"] for r in rows) == list(range(1, 101))
     assert max(r["last_name"] for r in rows) == "Name099"
+
+
+def test_farmer_list_display_columns(spark):
+    t = tables(
+        spark,
+        [("wet", 1, "M")],
+        [("wet", 1, 1, "A")],
+        [farmer_row("wet", 1, 1, "", "Cruz", "Ana", None, sacks=10.0, kg=None), farmer_row("wet", 2, 1, "R-2", "Ng", "Li", "B", sacks=2.0, kg=50.0)],
+    )
+    rows = {r["id"]: r for r in search.association_farmers(t).collect()}
+    assert (rows[1]["total_kg"], rows[1]["rsbsa_display"], rows[1]["middle_name_display"]) == (0.0, "-", "-")
+    assert (rows[2]["total_kg"], rows[2]["total_mt"], rows[2]["rsbsa_display"]) == (100.0, 0.1, "R-2")
+
+
+def test_association_listing_newest_first(spark):
+    from ricefield.operators import rollups
+
+    t = tables(spark, [("wet", 1, "M")], [("wet", 1, 1, "B"), ("wet", 2, 1, "A"), ("wet", 3, 9, "C")], [])
+    rows = sorted(rollups.association_listing(t, newest_first=True).collect(), key=lambda r: r["pos"])
+    assert [r["id"] for r in rows] == [3, 2, 1] and rows[0]["municipality_name"] is None
