@@ -185,8 +185,30 @@ def display_or(x, default: str = "-") -> Column:
     return F.coalesce(F.nullif(_c(x), F.lit("")), F.lit(default))
 
 
+# Latin-1 letters and their ASCII base letters (Unicode NFKD decomposition without the
+# combining marks), generated once by a rule rather than listed by hand.
+def _latin1_ascii():
+    import unicodedata
+
+    src, dst = [], []
+    for code in range(0xC0, 0x100):
+        ch = chr(code)
+        base = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
+        if len(base) == 1 and base != ch:
+            src.append(ch)
+            dst.append(base)
+    return "".join(src), "".join(dst)
+
+
+_ACCENTED, _BASE = _latin1_ascii()
+
+
 def slug(x) -> Column:
-    """Export file stem: ``name.lower().replace(' ', '_')`` with unsafe characters removed."""
-    s = F.regexp_replace(F.lower(_c(x)), " ", "_")
+    """Export file stem: ``name.lower().replace(' ', '_')`` made file-name safe: accented
+    Latin letters to their base letter, whitespace runs to '_', other characters outside
+    ``[A-Za-z0-9_.-]`` removed, leading/trailing '.' and '_' stripped."""
+    s = F.translate(F.lower(_c(x)), _ACCENTED, _BASE)
+    s = F.regexp_replace(s, " ", "_")
+    s = F.regexp_replace(py_strip(s), r"(?U)\s+", "_")
     s = F.regexp_replace(s, r"[^A-Za-z0-9_.-]", "")
     return F.regexp_replace(s, r"^[._]+|[._]+$", "")

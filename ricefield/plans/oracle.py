@@ -321,8 +321,8 @@ FROM farmer f"""
 def _short_sql() -> str:
     cols = ", ".join(f"f.{field} AS {column_name(header)}" for header, field in SHORT_EXPORT)
     slug = (
-        "regexp_replace(regexp_replace(regexp_replace(lower(a.name), ' ', '_', 'g'), "
-        "'[^A-Za-z0-9_.-]', '', 'g'), '^[._]+|[._]+$', '', 'g')"
+        "regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(a.name)), ' ', '_', 'g'), "
+        "'\\s+', '_', 'g'), '[^A-Za-z0-9_.-]', '', 'g'), '^[._]+|[._]+$', '', 'g')"
     )
     return W(
         f"""

@@ -78,8 +78,8 @@ def test_trend_and_marker(spark):
 
 
 def test_slug(spark):
-    df = spark.createDataFrame([("Rice One",), (" San José Farmers ",), ("../x",)], "s string")
-    assert [r[0] for r in df.select(X.slug("s")).collect()] == ["rice_one", "san_jos_farmers", "x"]
+    df = spark.createDataFrame([("Rice One",), ("San José\tFarmers",), ("../x",), ("Customer#000000001",)], "s string")
+    assert [r[0] for r in df.select(X.slug("s")).collect()] == ["rice_one", "san_jose_farmers", "x", "customer000000001"]
 
 
 def test_r2_random_doubles_match_python(spark):
