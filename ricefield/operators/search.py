@@ -88,7 +88,7 @@ def farmer_list(tables: Tables, limit: int = LIST_CAP) -> DataFrame:
     and municipality names (left joins keep orphans).  The limit runs before the joins
     as a per-partition top-k (WindowGroupLimit), so only ``limit`` rows per season move."""
     w = Window.partitionBy("season").orderBy(F.asc_nulls_first("last_name"), F.asc_nulls_first("first_name"), "id")
-    top = tables.farmer.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)
+    top = tables.farmer.withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= limit)
     a, m = _parents(tables)
     j = top.join(a, (top.season == a.a_season) & (top.association_id == a.a_id), "left")
     j = j.join(m, (j.a_season == m.m_season) & (j.a_municipality_id == m.m_id), "left")
@@ -176,7 +176,7 @@ def report_page(rows: DataFrame, page, per_page: int = PER_PAGE) -> DataFrame:
     order = [F.asc_nulls_first("farmer_name"), "season", "id"]
     top = rows.orderBy(*order).offset(offset).limit(per_page)
     w = Window.orderBy(*order)  # over at most ``per_page`` rows
-    return top.withColumn("pos", F.row_number().over(w) + F.lit(offset))
+    return top.withColumn("pos", (F.row_number().over(w) + F.lit(offset)).cast("long"))
 
 
 def report_page_info(stats: DataFrame, page, per_page: int = PER_PAGE) -> DataFrame:

@@ -16,6 +16,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def duck(sf_dir):
     con = duckdb.connect()
     for t in TABLES:
@@ -52,6 +55,12 @@ def compare(spark, con, name, fn, sql, sf_dir):
     drows = rel.fetchall()
     res = {"name": name, "spark_rows": len(srows), "duck_rows": len(drows), "spark_sec": round(t1 - t0, 2)}
     res["cols_ok"] = sorted(scols) == sorted(dcols)
+    spark_types = {f.name: TYPE_MAP.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    duck_types = {c: str(t) for c, t in zip(dcols, rel.types)}
+    bad_types = {c: (spark_types[c], duck_types.get(c)) for c in spark_types if duck_types.get(c) != spark_types[c]}
+    res["types_ok"] = not bad_types
+    if bad_types:
+        res["types"] = bad_types
     if not res["cols_ok"]:
         res["cols"] = (sorted(set(scols) - set(dcols)), sorted(set(dcols) - set(scols)))
         return res
@@ -84,7 +93,7 @@ def main():
             r = compare(spark, con, name, fn, sqls[name], sf_dir)
         except Exception as e:  # noqa: BLE001
             r = {"name": name, "error": repr(e)[:800]}
-        ok = r.get("values_ok") and r.get("spark_rows") == r.get("duck_rows")
+        ok = r.get("values_ok") and r.get("types_ok") and r.get("spark_rows") == r.get("duck_rows")
         bad += 0 if ok else 1
         print(("OK  " if ok else "BAD ") + str(r), flush=True)
     print("bad:", bad)
