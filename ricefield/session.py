@@ -17,6 +17,8 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of ranked frames are removed once their plans are garbage
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
