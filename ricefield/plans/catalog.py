@@ -79,6 +79,10 @@ def association_listing(spark, sf_dir):
     return rollups.association_listing(_t(spark, sf_dir))
 
 
+def association_listing_newest(spark, sf_dir):
+    return rollups.association_listing(_t(spark, sf_dir), newest_first=True)
+
+
 def association_rollup(spark, sf_dir):
     return rollups.municipality_associations(_t(spark, sf_dir))
 
@@ -176,6 +180,12 @@ def upload_summary(spark, sf_dir):
     return ingest.upload_summary(_classified(spark, sf_dir))
 
 
+def upload_apply(spark, sf_dir):
+    """Farmer table after the upload: rows per season (existing + inserted)."""
+    table = ingest.apply_upload(dt.existing_farmers(spark, sf_dir), _classified(spark, sf_dir))
+    return changes.table_counts({"farmer": table})
+
+
 # ------------------------------------------------------------- change-sets
 
 
@@ -317,6 +327,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "municipality_rollup",
         "municipality_listing",
         "association_listing",
+        "association_listing_newest",
         "association_rollup",
         "municipality_totals",
         "association_kpi",
@@ -335,6 +346,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "municipality_names",
         "upload_classified",
         "upload_summary",
+        "upload_apply",
         "insert_farmers",
         "update_farmers",
         "update_farmer_outcomes",

@@ -387,6 +387,13 @@ def oracle_sql() -> dict[str, str]:
              LEFT JOIN farmer f ON f.season = a.season AND f.association_id = a.id
              GROUP BY a.season, a.id, a.name, m.name)"""
     )
+    q["association_listing_newest"] = W(
+        """SELECT *, row_number() OVER (PARTITION BY season ORDER BY id DESC) AS pos FROM (
+             SELECT a.season, a.id, a.name, m.name AS municipality_name, count(f.id) AS farmer_count
+             FROM assoc a LEFT JOIN muni m ON m.season = a.season AND m.id = a.municipality_id
+             LEFT JOIN farmer f ON f.season = a.season AND f.association_id = a.id
+             GROUP BY a.season, a.id, a.name, m.name)"""
+    )
     q["association_rollup"] = W(
         """SELECT *, row_number() OVER (PARTITION BY season, municipality_id ORDER BY name, id) AS pos FROM (
              SELECT a.season, a.municipality_id, a.id, a.name, count(f.id) AS farmer_count,
@@ -550,6 +557,13 @@ def oracle_sql() -> dict[str, str]:
         UPLOAD_SQL,
         UPLOAD_CLEAN,
     )
+    q["upload_apply"] = W(
+        """SELECT 'farmer' AS table_name, season, count(*) AS rows FROM (
+               SELECT season FROM existing UNION ALL SELECT season FROM classified WHERE status = 'inserted')
+           GROUP BY season""",
+        UPLOAD_SQL,
+        UPLOAD_CLEAN,
+    )
     q["insert_farmers"] = W(
         """SELECT season, association_id, line, rsbsa, last_name, first_name, middle_name, suffix, variety,
                   area, sacks, kg, CASE WHEN valid THEN 'inserted' ELSE 'invalid' END AS status,
