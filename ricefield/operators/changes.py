@@ -205,21 +205,18 @@ def _rename(table: DataFrame, renames: DataFrame, order: list[str], scope: list[
     status = F.when(F.col("new_name") == "", "blank").when(F.col("old_name").isNull(), "not found")
     if unique:
         ord_struct = F.struct(*[F.col(c) for c in order])
-        ord_type = r.select(ord_struct.alias("o")).schema["o"].dataType
         cand = r.where((F.col("new_name") != "") & F.col("old_name").isNotNull())
-        # holders of each key: existing rows (with their id) and candidate renames
-        ex = table.select(*scope, sql_key("name").alias("_key"), F.col("id").alias("_hid"), F.lit(None).cast(ord_type).alias("_ord"))
-        up = cand.select(*scope, "_key", F.col("id").alias("_hid"), ord_struct.alias("_ord"))
-        holders = ex.unionByName(up)
-        # another existing row holds the key -> duplicate (a row keeping its own key is fine)
-        other = cand.alias("c").join(
-            holders.where(F.col("_ord").isNull()).alias("h"),
-            [F.col(f"c.{s}") == F.col(f"h.{s}") for s in scope] + [F.col("c._key") == F.col("h._key"), F.col("c.id") != F.col("h._hid")],
+        holders = table.select(*scope, sql_key("name").alias("_key"), F.col("id").alias("_hid"))
+        # another row of the scope holds the key -> duplicate (keeping one's own key is fine)
+        taken = cand.alias("c").join(
+            holders.alias("h"),
+            [F.col(f"c.{s}") == F.col(f"h.{s}") for s in scope]
+            + [F.col("c._key") == F.col("h._key"), F.col("c.id") != F.col("h._hid")],
             "left_semi",
         ).select("season", "id", *order).withColumn("_taken", F.lit(True))
-        # the first rename to a key that no other row holds wins it
-        r = r.join(other, ["season", "id", *order], "left")
-        free = r.where((F.col("new_name") != "") & F.col("old_name").isNotNull() & F.col("_taken").isNull())
+        r = r.join(taken, ["season", "id", *order], "left").withColumn("_taken", F.coalesce("_taken", F.lit(False)))
+        # of the renames to a key no other row holds, the first in order wins it
+        free = r.where((F.col("new_name") != "") & F.col("old_name").isNotNull() & ~F.col("_taken"))
         first = free.groupBy(*scope, "_key").agg(F.min(ord_struct).alias("_first"))
         r = r.join(first, [*scope, "_key"], "left")
         status = status.when(F.col("_taken") | (ord_struct != F.col("_first")), "duplicate")
