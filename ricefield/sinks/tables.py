@@ -93,9 +93,22 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def write_staged(spark: SparkSession, tables: Tables | dict[str, DataFrame], dest_root: str, verify: bool = True) -> DataFrame:
+def marker_exists(spark: SparkSession, tables_root: str, table: str, marker: str) -> bool:
+    """Whether the committed ``table`` carries ``marker`` (see ``write_staged``)."""
+    return path_exists(spark, f"{table_path(tables_root, table)}/_markers/{marker}")
+
+
+def write_staged(
+    spark: SparkSession,
+    tables: Tables | dict[str, DataFrame],
+    dest_root: str,
+    verify: bool = True,
+    markers: dict[str, str] | None = None,
+) -> DataFrame:
     """Write every table to a staging folder under ``dest_root`` (parents first), check
     row counts of what was written against the source plans, then swap all tables in.
+    ``markers`` (table -> name) puts an empty ``_markers/<name>`` file inside the staged
+    table folder, so it is committed atomically with the table (readers skip '_' files).
     Returns rows per (table_name, season) as written."""
     items = dict(tables.items()) if isinstance(tables, Tables) else dict(tables)
     stage_root = f"{dest_root.rstrip('/')}/_staging_{uuid.uuid4().hex[:8]}"
@@ -104,6 +117,9 @@ def write_staged(spark: SparkSession, tables: Tables | dict[str, DataFrame], des
         for name in [n for n in TABLE_ORDER if n in items]:
             write_table(items[name], stage_root, name)
             staged[name] = table_path(stage_root, name)
+            if markers and name in markers:
+                fs, p = _fs(spark, f"{staged[name]}/_markers/{markers[name]}")
+                fs.create(p, True).close()
         written = {n: read_table(spark, stage_root, n) for n in staged}
         got = counts(written)
         if verify:

@@ -2,9 +2,10 @@
 committed micro-batch by micro-batch with the same operators as the batch upload.
 
 Each micro-batch runs ``classify_upload`` against the farmer table as committed by the
-previous batches and swaps in the new table (``foreachBatch``); the stream's own
-checkpoint records which files were processed, so a restarted query neither skips nor
-repeats a file.  Files must carry the upload template's columns in template order
+previous batches and swaps in the new table (``foreachBatch``).  The stream's checkpoint
+records which files each batch holds; the table commit carries a marker with the query
+id and batch id, so a batch that Spark replays after a failure between the table swap
+and its own commit is recognised and not applied twice.  Files must carry the upload template's columns in template order
 (a streaming source needs its schema up front); the season and target association come
 from the folder layout ``<landing>/season=<s>/association_id=<id>/*.csv``.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ricefield.operators.ingest import REQUIRED_COLUMNS, apply_upload, classify_upload, clean_upload, upload_summary
-from ricefield.sinks.tables import write_staged
+from ricefield.sinks.tables import marker_exists, write_staged
 from ricefield.sources.model import read_table
 
 UPLOAD_SCHEMA = StructType(
@@ -42,13 +43,18 @@ def upload_stream(spark: SparkSession, landing: str) -> DataFrame:
 def _commit_batch(tables_root: str, scope, summaries_path: str | None):
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        marker = f"batch-{batch_id}"
+        if marker_exists(spark, tables_root, "farmer", marker):
+            return  # replay of a batch whose table commit already happened
         # row position inside each file split (streaming plans cannot number rows)
         batch = batch.withColumn("_row", F.monotonically_increasing_id())
         cleaned = clean_upload(batch, template="full", keep=["season", "association_id", "_file", "_block", "_row"])
         farmer = read_table(spark, tables_root, "farmer")
         classified = classify_upload(cleaned, farmer, ["_file", "_block", "_row"], scope=scope, durable=True)
         classified = classified.checkpoint(eager=True)
-        write_staged(spark, {"farmer": apply_upload(farmer, classified)}, tables_root, verify=False)
+        write_staged(
+            spark, {"farmer": apply_upload(farmer, classified)}, tables_root, verify=False, markers={"farmer": marker}
+        )
         if summaries_path:
             upload_summary(classified).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(summaries_path)
 

@@ -31,3 +31,19 @@ def test_upload_stream_available_now(spark, tmp_path):
     assert farmers.count() == 6
     s = spark.read.parquet(f"{root}/_summaries").first()
     assert (s["inserted"], s["duplicates"], s["skipped"]) == (4, 3, 1)
+
+
+def test_replayed_batch_is_not_applied_twice(spark, tmp_path):
+    from ricefield.streaming.uploads import _commit_batch, UPLOAD_SCHEMA
+
+    root = work_dir(spark)
+    t = tables(spark, [("wet", 1, "M")], [("wet", 1, 1, "A")], [farmer_row("wet", 1, 1, "A-1", "X", "Y")])
+    write_tables(t, root)
+    rows = [tuple(sheet_row(r)) + ("wet", 1, f"file:{tmp_path}/a.csv", 0) for r in F3]
+    schema = UPLOAD_SCHEMA.add("_file", "string").add("_block", "long")
+    batch = spark.createDataFrame(rows, schema)
+    commit = _commit_batch(root, "season", None)
+    commit(batch, 7)
+    n = read_table(spark, root, "farmer").count()
+    commit(batch, 7)  # replay of the same batch id
+    assert read_table(spark, root, "farmer").count() == n == 6  # 1 existing + 5 inserted once
