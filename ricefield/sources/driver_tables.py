@@ -35,7 +35,7 @@ _READS: dict = {}
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The driver table as a lazy DataFrame, resolved once per session (file listing and
     footer schema); every action still scans the file."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key not in _READS:
         _READS[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return _READS[key]
@@ -98,7 +98,7 @@ _SOURCES: dict = {}
 
 def farmer_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Farmer rows plus the order date (used only to split existing/uploaded rows)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _SOURCES:
         _SOURCES[key] = _farmer_source(spark, sf_dir)
     return _SOURCES[key]
