@@ -186,3 +186,31 @@ def test_run_upload_commits(spark, tmp_path):
     farmers = read_table(spark, root, "farmer")
     assert farmers.count() == 6
     assert sorted(r["id"] for r in farmers.collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_short_template_upload(spark):
+    df = spark.createDataFrame(
+        [("R-1", "Cruz", "Ana", "2", "SL 8", "10", "50"), ("", "", "", "1", "", "1", "1")],
+        "RSBSA string, LastName string, ` First Name ` string, Area string, Variety string, Sacks string, KG string",
+    )
+    cleaned = ingest.clean_upload(df, template="short")
+    rows = cleaned.collect()
+    assert (rows[0]["last_name"], rows[0]["first_name"], rows[0]["area"], rows[0]["variety"], rows[0]["kg"]) == ("Cruz", "Ana", 2.0, "SL 8", 50.0)
+    assert rows[1]["skipped"] and rows[0]["middle_name"] == ""
+    with pytest.raises(ingest.UploadTemplateError) as e:
+        ingest.clean_upload(df.drop("LastName"), template="short")
+    assert e.value.missing == ["last name | lastname"]
+
+
+def test_parquet_upload_prefers_named_sheet(spark, tmp_path):
+    base = tmp_path / "book"
+    good = upload_df(spark).drop("season", "association_id", "line")
+    good.write.parquet(str(base / "NRP DISTRIBUTION"))
+    raw = ingest.read_upload(spark, str(base), fmt="parquet")
+    assert raw.count() == len(F3) and {"_file", "_block", "_row"} <= set(raw.columns)
+    cleaned = ingest.clean_upload(raw)
+    assert sorted(r["rsbsa"] for r in cleaned.collect()) == sorted(r[0].strip() for r in F3)
+    # without the preferred sub-folder the path itself is read
+    other = tmp_path / "plain"
+    good.write.parquet(str(other))
+    assert ingest.read_upload(spark, str(other), fmt="parquet").count() == len(F3)
