@@ -232,8 +232,15 @@ def snapshot(spark: SparkSession, tables_root: str, snap_root: str, ts: str | No
     return ts
 
 
+def _bytes(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+
+
 def list_snapshots(spark: SparkSession, snap_root: str) -> DataFrame:
-    """Snapshots newest first with row counts per table: ts, table_name, rows."""
+    """Snapshots newest first with row counts and stored size per table:
+    ts, table_name, rows, bytes (the size is file-system metadata, one call per
+    snapshot folder)."""
     parts = []
     for name in TABLE_ORDER:
         path = table_path(snap_root, name)
@@ -243,8 +250,19 @@ def list_snapshots(spark: SparkSession, snap_root: str) -> DataFrame:
             per_ts = df.groupBy("ts").agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
             parts.append(per_ts)
     if not parts:
-        return spark.createDataFrame([], "ts string, table_name string, rows long")
-    return reduce(DataFrame.unionByName, parts).select("ts", "table_name", "rows").orderBy(F.desc("ts"), "table_name")
+        return spark.createDataFrame([], "ts string, table_name string, rows long, bytes long")
+    listing = reduce(DataFrame.unionByName, parts).select("ts", "table_name", "rows")
+    sizes = []
+    for name in TABLE_ORDER:
+        path = table_path(snap_root, name)
+        if path_exists(spark, path):
+            fs, p = _fs(spark, path)
+            for st in fs.listStatus(p):
+                folder = st.getPath().getName()
+                if st.isDirectory() and folder.startswith("ts="):
+                    sizes.append((folder[3:], name, _bytes(spark, st.getPath().toString())))
+    size_df = spark.createDataFrame(sizes, "ts string, table_name string, bytes long")
+    return listing.join(size_df, ["ts", "table_name"], "left").orderBy(F.desc("ts"), "table_name")
 
 
 def restore(spark: SparkSession, snap_root: str, ts: str, dest_root: str) -> DataFrame:

@@ -23,6 +23,7 @@ def test_snapshot_restore_identity(spark):
     assert _rows(read_tables(spark, live)) == before
     listing = tj.list_snapshots(spark, f"{root}/snaps").collect()
     assert {r["table_name"]: r["rows"] for r in listing}["farmer"] == 5
+    assert all(r["bytes"] > 0 for r in listing if r["rows"]) and listing[0]["ts"] == "20260101_000000"
 
 
 def test_import_rejects_missing_table(spark):
