@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from ricefield.session import checkpoint_dir
 
+# Largest offsets frame (rows of a few ids each) that is broadcast.
+BROADCAST_ROWS = 1_000_000
+
 
 def sequence_number(
     df: DataFrame,
@@ -64,6 +67,14 @@ def sequence_number(
     if not part:
         # One row per range partition: the size bound is the partition count.
         offsets = F.broadcast(offsets)
+    else:
+        # At most one row per (range partition, group): count it and broadcast it when
+        # small, so the tagged rows are never shuffled; beyond the bound the join
+        # shuffles both sides.  It is cached, not checkpointed: it is recomputed
+        # deterministically from the tagged checkpoint if an executor is lost.
+        offsets = offsets.persist()
+        if offsets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            offsets = F.broadcast(offsets)
     cond = [tagged["_rf_pid"] == offsets["_rf_opid"]] + [
         tagged[p].eqNullSafe(offsets[f"_rf_g_{i}"]) for i, p in enumerate(part)
     ]
