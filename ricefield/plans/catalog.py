@@ -245,6 +245,18 @@ def rename_associations_unique(spark, sf_dir):
     return outcome
 
 
+def rename_associations(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    _, outcome = changes.rename_associations(t.association, dt.association_renames(spark, sf_dir), ["line"], unique=False)
+    return outcome
+
+
+def add_municipalities(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    _, outcome = changes.add_municipalities(t.municipality, dt.municipality_proposals(spark, sf_dir), ["src", "line"], unique=False)
+    return outcome
+
+
 def add_municipalities_unique(spark, sf_dir):
     t = _t(spark, sf_dir)
     _, outcome = changes.add_municipalities(t.municipality, dt.municipality_proposals(spark, sf_dir), ["src", "line"], unique=True)
@@ -354,7 +366,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "delete_municipality_cascade",
         "add_associations",
         "add_associations_unique",
+        "rename_associations",
         "rename_associations_unique",
+        "add_municipalities",
         "add_municipalities_unique",
         "rename_municipalities",
         "seed_varieties",

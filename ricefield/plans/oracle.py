@@ -621,6 +621,7 @@ def oracle_sql() -> dict[str, str]:
     q["add_associations_unique"] = _add_sql(ASSOC_PROPOSALS, "assoc", ["season", "municipality_id"], True, acols)
     q["add_associations"] = _add_sql(ASSOC_PROPOSALS, "assoc", ["season", "municipality_id"], False, acols)
     q["add_municipalities_unique"] = _add_sql(MUNI_PROPOSALS, "muni", ["season"], True, "q.season, q.name, q.src, q.line")
+    q["add_municipalities"] = _add_sql(MUNI_PROPOSALS, "muni", ["season"], False, "q.season, q.name, q.src, q.line")
     q["rename_associations_unique"] = W(
         """SELECT season, id, line, old_name, new_name,
                   CASE WHEN new_name = '' THEN 'blank' WHEN old_name IS NULL THEN 'not found'
@@ -646,6 +647,28 @@ def oracle_sql() -> dict[str, str]:
                                 AND lower(trim(x.name)) = lower(trim(r0.new_name)) AND x.id <> r0.id) AS taken
                  FROM r0)""",
     )
+    q["rename_associations"] = W(
+        """SELECT season, id, line, old_name, new_name,
+                  CASE WHEN new_name = '' THEN 'blank' WHEN old_name IS NULL THEN 'not found'
+                       ELSE 'renamed' END AS status
+           FROM cand r""",
+        """ren AS (
+            SELECT 'dry' AS season, CAST(c_custkey AS BIGINT) AS id,
+                   CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Assoc ' || CAST(c_nationkey AS VARCHAR)
+                        WHEN c_mktsegment = 'AUTOMOBILE' THEN lower(c_name) ELSE ' ' END AS name,
+                   CAST(c_custkey AS BIGINT) AS line
+            FROM customer
+            WHERE c_mktsegment IN ('MACHINERY', 'AUTOMOBILE') OR (c_mktsegment = 'HOUSEHOLD' AND c_acctbal < 0)
+        ),
+        r0 AS (SELECT r.season, r.id, r.line, coalesce("""
+        + STRIP("r.name")
+        + """, '') AS new_name, a.name AS old_name, a.municipality_id
+               FROM ren r LEFT JOIN assoc a ON a.season = r.season AND a.id = r.id),
+        cand AS (SELECT r0.*, lower(trim(new_name)) AS key,
+                        EXISTS (SELECT 1 FROM assoc x WHERE x.season = r0.season AND x.municipality_id = r0.municipality_id
+                                AND lower(trim(x.name)) = lower(trim(r0.new_name)) AND x.id <> r0.id) AS taken
+                 FROM r0)""",
+    )
     q["rename_municipalities"] = W(
         """SELECT r.season, r.id, r.line, m.name AS old_name, r.new_name,
                   CASE WHEN r.new_name = '' THEN 'blank' WHEN m.name IS NULL THEN 'not found' ELSE 'renamed' END AS status
