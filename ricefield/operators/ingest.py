@@ -10,9 +10,10 @@ Rules (per uploaded row, in file order):
    (``'season'``: the whole season; ``'association'``: the target association), or if
    an earlier non-skipped row of the upload has it in the same scope.
 
-Plan: one aggregate over the existing keys and the upload's keys gives, per (scope,
-key), "exists" and the first file position; map-side partial aggregation means a hot
-key never gathers its rows in one task.  Upload rows with a key are then joined to
+Plan: the table's keys are first cut to those in the upload (semi join against the
+broadcast distinct upload keys, size-checked); one aggregate over those and the
+upload's keys gives, per (scope, key), "exists" and the first file position; map-side
+partial aggregation means a hot key never gathers its rows in one task.  Upload rows with a key are then joined to
 that aggregate (AQE splits a skewed join partition); blank-key rows bypass the join.
 New ids continue each season's maximum in file order (``sequence_number``).
 """
@@ -83,6 +84,9 @@ SHORT_FIELDS = {
 }
 SHORT_REQUIRED = [["last name", "lastname"], ["first name", "firstname"]]
 
+# Largest number of distinct upload keys broadcast to filter the table's keys.
+BROADCAST_KEYS = 2_000_000
+
 STATUS_INSERTED = "inserted"
 STATUS_DUPLICATE = "duplicate"
 STATUS_SKIPPED = "skipped"
@@ -238,7 +242,15 @@ def classify_upload(
     ex_keys = (
         existing.select("season", _scope_col(scope).alias("_scope"), sql_key("rsbsa").alias("key"))
         .where(F.col("key").isNotNull() & (F.col("key") != ""))
-        .select("season", "_scope", "key", F.lit(1).alias("exists"), F.lit(None).cast(ord_type).alias("_ord"))
+    )
+    # Only existing keys that occur in the upload matter.  The upload is small next to
+    # the table, so its distinct keys are broadcast (behind a count check) and filter
+    # the table's keys map-side; the aggregate below then shuffles the matches only.
+    upload_keys = keyed.select("season", "key").distinct()
+    if upload_keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        upload_keys = F.broadcast(upload_keys)
+    ex_keys = ex_keys.join(upload_keys, ["season", "key"], "left_semi").select(
+        "season", "_scope", "key", F.lit(1).alias("exists"), F.lit(None).cast(ord_type).alias("_ord")
     )
     up_keys = keyed.select("season", "_scope", "key", F.lit(0).alias("exists"), ord_struct.alias("_ord"))
     per_key = (
