@@ -229,7 +229,8 @@ def classify_upload(
     with ``status`` and, for inserted rows, the new ``id``.  ``order`` columns give file
     order and must be unique per season.  ``durable`` checkpoints the cleaned rows first
     (reliable checkpoint in ``spark.checkpoint.dir``): needed when the order columns are
-    generated row numbers (file reads), so they survive executor loss.
+    generated row numbers (file reads), so they survive executor loss, and cheaper in
+    general since the upload is read by several steps.
     """
     if durable:
         checkpoint_dir(rows.sparkSession)

@@ -167,8 +167,9 @@ def _classified(spark, sf_dir):
     cleaned = ingest.clean_upload(raw, template="full", keep=["season", "association_id", "line"])
     existing = dt.existing_farmers(spark, sf_dir)
     # wet dedupes RSBSA over the whole season, dry within the target association
-    # file order is the stored ``line`` column, so the input needs no checkpoint
-    return ingest.classify_upload(cleaned, existing, ["line"], scope=UPLOAD_SCOPES, durable=False)
+    # the cleaned upload is checkpointed once (durable=True): it is read by the key
+    # count, the key aggregate and the join, and is small next to the table
+    return ingest.classify_upload(cleaned, existing, ["line"], scope=UPLOAD_SCOPES, durable=True)
 
 
 def upload_classified(spark, sf_dir):
