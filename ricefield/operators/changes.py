@@ -147,6 +147,19 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 # ------------------------------------------------------------- named parents
 
+# Largest number of distinct batch keys broadcast to filter a table's keys.
+BROADCAST_KEYS = 2_000_000
+
+
+def _matching_keys(table_keys: DataFrame, batch: DataFrame, scope: list[str]) -> DataFrame:
+    """The table's (scope, _key) rows whose key occurs in the batch: a semi join against
+    the batch's distinct keys, broadcast when their count is under ``BROADCAST_KEYS``,
+    so only matching table rows reach the following shuffle."""
+    keys = batch.select(*scope, "_key").distinct()
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return table_keys.join(keys, [*scope, "_key"], "left_semi")
+
 
 def _add_named(table: DataFrame, proposals: DataFrame, order: list[str], scope: list[str], unique: bool, target: str):
     """Shared add logic for municipalities (scope: season) and associations
@@ -160,7 +173,8 @@ def _add_named(table: DataFrame, proposals: DataFrame, order: list[str], scope:
     if unique:
         ord_struct = F.struct(*[F.col(c) for c in order])
         ord_type = named.select(ord_struct.alias("o")).schema["o"].dataType
-        ex = table.select(*scope, sql_key("name").alias("_key"), F.lit(1).alias("_exists"), F.lit(None).cast(ord_type).alias("_ord"))
+        ex = _matching_keys(table.select(*scope, sql_key("name").alias("_key")), named, scope)
+        ex = ex.select(*scope, "_key", F.lit(1).alias("_exists"), F.lit(None).cast(ord_type).alias("_ord"))
         up = named.select(*scope, "_key", F.lit(0).alias("_exists"), ord_struct.alias("_ord"))
         per_key = ex.unionByName(up).groupBy(*scope, "_key").agg(F.max("_exists").alias("_ex"), F.min("_ord").alias("_first"))
         judged = named.join(per_key, [*scope, "_key"], "left")
@@ -206,7 +220,7 @@ def _rename(table: DataFrame, renames: DataFrame, order: list[str], scope: list[
     if unique:
         ord_struct = F.struct(*[F.col(c) for c in order])
         cand = r.where((F.col("new_name") != "") & F.col("old_name").isNotNull())
-        holders = table.select(*scope, sql_key("name").alias("_key"), F.col("id").alias("_hid"))
+        holders = _matching_keys(table.select(*scope, sql_key("name").alias("_key"), F.col("id").alias("_hid")), cand, scope)
         # another row of the scope holds the key -> duplicate (keeping one's own key is fine)
         taken = cand.alias("c").join(
             holders.alias("h"),
