@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ricefield.functions.exprs import form_number, py_strip, sql_key
+from ricefield.operators.joins import small_side
 from ricefield.operators.ranking import sequence_number
 from ricefield.sources.model import FARMER, Tables, conform
 
@@ -80,6 +81,7 @@ def update_farmers(farmer: DataFrame, edits: DataFrame, order: list[str]):
         F.max_by(F.struct(*fields, *order), F.struct(*order)).alias("_e")
     )
     last = last.select("season", "id", *[F.col(f"_e.{c}").alias(f"_new_{c}") for c in fields], *[F.col(f"_e.{c}").alias(f"_win_{c}") for c in order])
+    last = small_side(last)  # a batch of edits next to the whole table
     f = farmer.select(*FARMER_COLS)
     j = f.join(last, ["season", "id"], "left")
     hit = F.col("_new_rsbsa").isNotNull()
@@ -106,7 +108,7 @@ def update_farmers(farmer: DataFrame, edits: DataFrame, order: list[str]):
 
 def delete_farmers(farmer: DataFrame, ids: DataFrame):
     """Remove farmers by (season, id).  Outcomes: requested ids with 'deleted' / 'not found'."""
-    keys = ids.select("season", "id").distinct()
+    keys = small_side(ids.select("season", "id").distinct())
     table = farmer.join(keys, ["season", "id"], "left_anti")
     found = farmer.select("season", "id").join(keys, ["season", "id"], "left_semi").withColumn("_hit", F.lit(True))
     outcome = keys.join(found, ["season", "id"], "left").select(
@@ -120,7 +122,7 @@ def delete_farmers(farmer: DataFrame, ids: DataFrame):
 
 def delete_associations(tables: Tables, ids: DataFrame):
     """Remove associations by (season, id) together with their farmers."""
-    keys = ids.select("season", "id").distinct()
+    keys = small_side(ids.select("season", "id").distinct())
     assoc = tables.association.join(keys, ["season", "id"], "left_anti")
     fk = keys.select("season", F.col("id").alias("association_id"))
     farmer = tables.farmer.join(fk, ["season", "association_id"], "left_anti")
@@ -130,7 +132,7 @@ def delete_associations(tables: Tables, ids: DataFrame):
 def delete_municipalities(tables: Tables, ids: DataFrame):
     """Remove municipalities by (season, id), their associations and those associations'
     farmers (semi join to find the victims, anti joins to keep the rest)."""
-    keys = ids.select("season", "id").distinct()
+    keys = small_side(ids.select("season", "id").distinct())
     muni = tables.municipality.join(keys, ["season", "id"], "left_anti")
     victims = tables.association.join(
         keys.select("season", F.col("id").alias("municipality_id")), ["season", "municipality_id"], "left_semi"
@@ -147,17 +149,11 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 # ------------------------------------------------------------- named parents
 
-# Largest number of distinct batch keys broadcast to filter a table's keys.
-BROADCAST_KEYS = 2_000_000
-
-
 def _matching_keys(table_keys: DataFrame, batch: DataFrame, scope: list[str]) -> DataFrame:
     """The table's (scope, _key) rows whose key occurs in the batch: a semi join against
-    the batch's distinct keys, broadcast when their count is under ``BROADCAST_KEYS``,
-    so only matching table rows reach the following shuffle."""
-    keys = batch.select(*scope, "_key").distinct()
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
+    the batch's distinct keys (broadcast behind a size check), so only matching table
+    rows reach the following shuffle."""
+    keys = small_side(batch.select(*scope, "_key").distinct())
     return table_keys.join(keys, [*scope, "_key"], "left_semi")
 
 

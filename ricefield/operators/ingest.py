@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ricefield.functions.exprs import number_or_zero, py_key, sql_key, text_or_blank
+from ricefield.operators.joins import small_side
 from ricefield.operators.ranking import sequence_number
 from ricefield.session import checkpoint_dir
 from ricefield.sources.model import FARMER, conform
@@ -84,9 +85,6 @@ SHORT_FIELDS = {
 }
 SHORT_REQUIRED = [["last name", "lastname"], ["first name", "firstname"]]
 
-# Largest number of distinct upload keys broadcast to filter the table's keys.
-BROADCAST_KEYS = 2_000_000
-
 STATUS_INSERTED = "inserted"
 STATUS_DUPLICATE = "duplicate"
 STATUS_SKIPPED = "skipped"
@@ -247,9 +245,7 @@ def classify_upload(
     # Only existing keys that occur in the upload matter.  The upload is small next to
     # the table, so its distinct keys are broadcast (behind a count check) and filter
     # the table's keys map-side; the aggregate below then shuffles the matches only.
-    upload_keys = keyed.select("season", "key").distinct()
-    if upload_keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        upload_keys = F.broadcast(upload_keys)
+    upload_keys = small_side(keyed.select("season", "key").distinct())
     ex_keys = ex_keys.join(upload_keys, ["season", "key"], "left_semi").select(
         "season", "_scope", "key", F.lit(1).alias("exists"), F.lit(None).cast(ord_type).alias("_ord")
     )

@@ -1,0 +1,21 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest frame (rows of a few keys each) broadcast by ``small_side``.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when a count shows at most ``max_rows`` rows, else ``df``.
+
+    For change batches and upload keys joined to a whole table: the count (capped at
+    ``max_rows + 1``) is a small job over the batch, and a broadcast side keeps the
+    table's rows where they are.  Beyond the bound the join shuffles both sides.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df

@@ -24,11 +24,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ricefield.operators.joins import small_side
 from ricefield.session import checkpoint_dir
 
-# Largest offsets frame (rows of a few ids each) that is broadcast.
-BROADCAST_ROWS = 1_000_000
-
 
 def sequence_number(
     df: DataFrame,
@@ -72,9 +70,7 @@ def sequence_number(
         # small, so the tagged rows are never shuffled; beyond the bound the join
         # shuffles both sides.  It is cached, not checkpointed: it is recomputed
         # deterministically from the tagged checkpoint if an executor is lost.
-        offsets = offsets.persist()
-        if offsets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            offsets = F.broadcast(offsets)
+        offsets = small_side(offsets.persist())
     cond = [tagged["_rf_pid"] == offsets["_rf_opid"]] + [
         tagged[p].eqNullSafe(offsets[f"_rf_g_{i}"]) for i, p in enumerate(part)
     ]
