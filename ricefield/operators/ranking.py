@@ -39,11 +39,13 @@ def sequence_number(
     """Add ``name`` = 1-based (or ``start``-based) position of each row in
     (partition_by, order) order."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = list(partition_by)
     keys = [F.col(p) for p in part] + [F.col(o) if isinstance(o, str) else o for o in order]
+    # Without an explicit count AQE sizes the range partitions to the data (coalescing
+    # merges neighbouring ranges, so partition order still follows the sort order).
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
     tagged = (
-        df.repartitionByRange(n, *keys)
+        ranged
         .sortWithinPartitions(*keys)
         .select("*", F.spark_partition_id().alias("_rf_pid"), F.monotonically_increasing_id().alias("_rf_mid"))
     )

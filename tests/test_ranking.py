@@ -25,6 +25,15 @@ def test_sequence_number_matches_row_number(spark):
     assert j.where(F.col("pos") != F.col("want")).count() == 0
 
 
+def test_sequence_number_default_partitions(spark):
+    df = _data(spark)
+    order = [F.asc_nulls_first("s"), F.desc("v"), "id"]
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    got = sequence_number(df, order, partition_by=["g"])
+    j = got.join(want.select("id", "want"), "id")
+    assert j.count() == 3000 and j.where(F.col("pos") != F.col("want")).count() == 0
+
+
 def test_sequence_number_global_and_start(spark):
     df = _data(spark)
     want = df.withColumn("want", F.row_number().over(Window.orderBy("v", "id")) + 99)
