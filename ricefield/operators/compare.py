@@ -19,7 +19,6 @@ from ricefield.operators.rollups import association_rollup, municipality_rollup
 from ricefield.sources.model import Tables
 
 
-
 # List order of the comparison: current MT descending, then the merge's insertion
 # order (base-season keys first by lowest id, then current-only keys).
 def _list_order():

@@ -18,7 +18,6 @@ from ricefield.operators.ranking import first_by, sequence_number
 from ricefield.sources.model import Tables
 
 
-
 def association_totals(farmer: DataFrame) -> DataFrame:
     """farmers, area, sacks and production kg (sacks * kg-per-bag) per association."""
     return farmer.groupBy("season", "association_id").agg(
