@@ -28,10 +28,15 @@ def duck(sf_dir):
     return con
 
 
+STRICT = os.environ.get("STRICT") == "1"
+
+
 def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
+        if STRICT:  # exact binary value and sign
+            return repr(v)
         return round(v, 9) + 0.0
     if hasattr(v, "item"):
         return v.item()
