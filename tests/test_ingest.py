@@ -214,3 +214,30 @@ def test_parquet_upload_prefers_named_sheet(spark, tmp_path):
     other = tmp_path / "plain"
     good.write.parquet(str(other))
     assert ingest.read_upload(spark, str(other), fmt="parquet").count() == len(F3)
+
+
+def test_run_upload_with_target_columns_and_association_scope(spark, tmp_path):
+    from ricefield.sinks.tables import work_dir
+    from ricefield.sources.model import read_table
+
+    root = work_dir(spark)
+    t = tables(
+        spark,
+        [("dry", 1, "M")],
+        [("dry", 1, 1, "A"), ("dry", 2, 1, "B")],
+        [farmer_row("dry", 10, 1, "A-1", "X", "Y"), farmer_row("dry", 11, 2, "B-2", "X", "Y")],
+    )
+    write_tables(t, root)
+    sheet = tmp_path / "multi"
+    sheet.mkdir()
+    with open(sheet / "a.csv", "w", newline="") as fh:
+        w = csv.writer(fh)
+        w.writerow(TEMPLATE + ["Season", "Association_ID"])
+        for r, assoc in zip(F3, [1, 1, 1, 2, 1, 2, 1, 2]):
+            w.writerow(sheet_row(r) + ["dry", str(assoc)])
+    s = ingest.run_upload(spark, str(sheet), root, scope={"dry": "association"}).first()
+    # line 1 ' a-1 ' -> assoc 1 holds A-1: duplicate; line 2 'b-2' -> assoc 1 has no B-2: inserted;
+    # line 4 'c-3' in assoc 2 while line 3 'C-3' went to assoc 1: inserted
+    assert (s["season"], s["inserted"], s["duplicates"], s["skipped"]) == ("dry", 6, 1, 1)
+    ids = sorted(r["id"] for r in read_table(spark, root, "farmer").collect())
+    assert ids == [10, 11, 12, 13, 14, 15, 16, 17]

@@ -45,3 +45,12 @@ def test_import_and_copy(spark):
     out = tj.copy_tables(spark, f"{root}/live", f"{root}/copy").collect()
     assert sum(r["rows"] for r in out) == 14
     assert _rows(read_tables(spark, f"{root}/copy")) == _rows(t)
+
+
+def test_import_rejects_missing_column(spark):
+    root = tj.work_dir(spark)
+    t = f1_tables(spark)
+    tj.export_tables(t.with_(farmer=t.farmer.drop("kg")), f"{root}/export")
+    with pytest.raises(tj.ImportError_) as e:
+        tj.import_replace(spark, f"{root}/export", f"{root}/live")
+    assert "farmer: missing columns ['kg']" in str(e.value)
