@@ -50,7 +50,8 @@ def test_import_and_copy(spark):
 def test_import_rejects_missing_column(spark):
     root = tj.work_dir(spark)
     t = f1_tables(spark)
-    tj.export_tables(t.with_(farmer=t.farmer.drop("kg")), f"{root}/export")
+    tj.export_tables(t.with_(farmer=None), f"{root}/export")
+    t.farmer.drop("kg").write.partitionBy("season").parquet(f"{root}/export/farmer")  # an export missing a column
     with pytest.raises(tj.ImportError_) as e:
         tj.import_replace(spark, f"{root}/export", f"{root}/live")
     assert "farmer: missing columns ['kg']" in str(e.value)
