@@ -8,6 +8,7 @@ wildcards), case-insensitive by default like the reference's default SQL backend
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,3 +206,36 @@ def municipality_names(tables: Tables) -> DataFrame:
 
 def total_pages(n: int, per_page: int = PER_PAGE) -> int:
     return math.ceil(n / per_page) if n > 0 else 1
+
+
+@dataclass
+class ReportView:
+    stats: DataFrame
+    page: DataFrame
+    page_info: DataFrame
+    municipalities: DataFrame
+    rows: DataFrame
+
+
+def report(
+    tables: Tables,
+    season: str = "all",
+    municipality: str = "",
+    search: str = "",
+    page=1,
+    labels: dict[str, str] | None = None,
+    case_sensitive: bool = False,
+) -> ReportView:
+    """Everything the report page shows, from one filtered record set: statistics, the
+    page, paging metadata and the municipality list.  The filtered set is cached
+    (it is recomputed deterministically if lost), so statistics and page do not each
+    redo the joins and filters."""
+    rows = report_rows(tables, season, municipality, search, labels, case_sensitive).persist()
+    stats = report_stats(rows)
+    return ReportView(
+        stats=stats,
+        page=report_page(rows, page),
+        page_info=report_page_info(stats, page),
+        municipalities=municipality_names(tables),
+        rows=rows,
+    )

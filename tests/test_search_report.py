@@ -116,3 +116,14 @@ def test_association_listing_newest_first(spark):
     t = tables(spark, [("wet", 1, "M")], [("wet", 1, 1, "B"), ("wet", 2, 1, "A"), ("wet", 3, 9, "C")], [])
     rows = sorted(rollups.association_listing(t, newest_first=True).collect(), key=lambda r: r["pos"])
     assert [r["id"] for r in rows] == [3, 2, 1] and rows[0]["municipality_name"] is None
+
+
+def test_report_view_bundle(spark):
+    t = _people(spark, 31)
+    v = search.report(t, season="wet", municipality="alp", page=2)
+    assert v.stats.first()["total_records"] == 16
+    assert [r["pos"] for r in v.page.collect()] == [16]
+    info = v.page_info.first()
+    assert (info["total_pages"], info["has_next"], info["has_prev"]) == (2, False, True)
+    assert [r["name"] for r in v.municipalities.orderBy("pos").collect()] == ["Alpha", "Bravo"]
+    v.rows.unpersist()
