@@ -55,3 +55,20 @@ def test_import_rejects_missing_column(spark):
     with pytest.raises(tj.ImportError_) as e:
         tj.import_replace(spark, f"{root}/export", f"{root}/live")
     assert "farmer: missing columns ['kg']" in str(e.value)
+
+
+def test_failed_staged_write_leaves_tables_unchanged(spark):
+    from pyspark.sql import functions as F
+
+    root = tj.work_dir(spark)
+    live = f"{root}/live"
+    t = f1_tables(spark)
+    tj.write_staged(spark, t, live)
+    before = _rows(read_tables(spark, live))
+    t2 = read_tables(spark, live)
+    broken = t2.farmer.withColumn("kg", F.when(F.col("id") == 2, F.raise_error(F.lit("boom"))).otherwise(F.col("kg")))
+    with pytest.raises(Exception):
+        tj.write_staged(spark, t2.with_(association=t2.association.limit(1), farmer=broken), live)
+    assert _rows(read_tables(spark, live)) == before  # association not swapped either
+    fs, p = tj._fs(spark, live)
+    assert not [s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("_staging")]
