@@ -6,7 +6,8 @@ previous batches and swaps in the new table (``foreachBatch``).  The stream's ch
 records which files each batch holds; the table commit carries a marker with the query
 id and batch id, so a batch that Spark replays after a failure between the table swap
 and its own commit is recognised and not applied twice.  Files must carry the upload template's columns in template order
-(a streaming source needs its schema up front); the season and target association come
+(a streaming source needs its schema up front; headers are checked against it,
+case-insensitively); the season and target association come
 from the folder layout ``<landing>/season=<s>/association_id=<id>/*.csv``.
 """
 
@@ -30,6 +31,9 @@ def upload_stream(spark: SparkSession, landing: str) -> DataFrame:
     raw = (
         spark.readStream.schema(UPLOAD_SCHEMA)
         .option("header", True)
+        # check each file's header against the template (case-insensitively) instead of
+        # silently mapping columns by position
+        .option("enforceSchema", False)
         .option("maxFilesPerTrigger", 1000)
         .csv(landing)
     )

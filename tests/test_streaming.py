@@ -47,3 +47,20 @@ def test_replayed_batch_is_not_applied_twice(spark, tmp_path):
     n = read_table(spark, root, "farmer").count()
     commit(batch, 7)  # replay of the same batch id
     assert read_table(spark, root, "farmer").count() == n == 6  # 1 existing + 5 inserted once
+
+
+def test_stream_rejects_reordered_columns(spark, tmp_path):
+    root = work_dir(spark)
+    write_tables(tables(spark, [("wet", 1, "M")], [("wet", 1, 1, "A")], []), root)
+    landing = tmp_path / "landing" / "season=wet" / "association_id=1"
+    landing.mkdir(parents=True)
+    with open(landing / "a.csv", "w", newline="") as fh:
+        w = csv.writer(fh)
+        w.writerow(list(reversed(TEMPLATE)))
+        w.writerow(list(reversed(sheet_row(F3[0]))))
+    q = start_upload_stream(spark, str(tmp_path / "landing"), root, f"{root}/_ckpt")
+    import pytest
+
+    with pytest.raises(Exception):
+        q.awaitTermination(300)
+    assert read_table(spark, root, "farmer").count() == 0
