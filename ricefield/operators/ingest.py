@@ -164,12 +164,20 @@ def clean_upload(df: DataFrame, template: str = "full", keep: list[str] = ()) ->
     )
 
 
-def read_upload(spark: SparkSession, path: str, fmt: str = "csv", preferred: str | None = "NRP DISTRIBUTION") -> DataFrame:
+def read_upload(
+    spark: SparkSession,
+    path: str,
+    fmt: str = "csv",
+    preferred: str | None = "NRP DISTRIBUTION",
+    multiline: bool = False,
+) -> DataFrame:
     """Read upload files (a file or a folder of files) as all-string cells, adding the
     file-order columns ``_file``, ``_block``, ``_row``.
 
     ``preferred`` names a sub-folder to use when present (the workbook's preferred sheet),
-    else the path itself is read.
+    else the path itself is read.  CSV follows the usual spreadsheet dialect (quoted
+    cells, a doubled quote inside quotes); ``multiline=True`` allows line breaks inside
+    quoted cells, at the price of reading each file in one task.
     """
     target = path
     if preferred:
@@ -179,7 +187,14 @@ def read_upload(spark: SparkSession, path: str, fmt: str = "csv", preferred: str
         if fs.exists(hpath):
             target = hpath.toString()
     if fmt == "csv":
-        raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(target)
+        raw = (
+            spark.read.option("header", True)
+            .option("inferSchema", False)
+            .option("mode", "PERMISSIVE")
+            .option("escape", '"')
+            .option("multiLine", multiline)
+            .csv(target)
+        )
     elif fmt == "parquet":
         raw = spark.read.parquet(target)
         raw = raw.select([F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns] + [F.col("_metadata")])

@@ -131,6 +131,7 @@ def write_template_export(rows: DataFrame, path: str, mode: str = "overwrite") -
         .write.mode(mode)
         .partitionBy("season", "association_id")
         .option("header", True)
+        .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
@@ -149,6 +150,7 @@ def write_short_export(rows: DataFrame, path: str, mode: str = "overwrite") -> N
         .write.mode(mode)
         .partitionBy("file_stem")
         .option("header", True)
+        .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)

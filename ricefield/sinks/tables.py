@@ -145,6 +145,7 @@ def csv_writer(writer):
     """CSV with header that keeps cell text exactly (no trimming) and marks NULLs."""
     return (
         writer.option("header", True)
+        .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .option("nullValue", CSV_NULL)
@@ -152,7 +153,7 @@ def csv_writer(writer):
 
 
 def csv_reader(reader):
-    return reader.option("header", True).option("nullValue", CSV_NULL)
+    return reader.option("header", True).option("escape", '"').option("nullValue", CSV_NULL)
 
 
 def export_tables(tables: Tables, out_root: str, fmt: str = "parquet") -> None:

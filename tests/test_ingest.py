@@ -138,7 +138,7 @@ def test_template_export_round_trip(spark, tmp_path):
         [("wet", 7, 1, "Rice One")],
         [
             farmer_row("wet", 1, 7, "R-1", "Cruz", "Ana", "B", "", 1.5, "SL 8", 10.0, 50.0),
-            farmer_row("wet", 2, 7, "007", "Ng", "Li", "", "Jr.", 2.0, "TH 82", 3.0, 40.0),
+            farmer_row("wet", 2, 7, "007", "Ng", 'Li "Lee", Sr', "", "Jr.", 2.0, "TH 82", 3.0, 40.0),
         ],
     )
     rows = exports.template_rows(t.farmer, with_pos=False)
@@ -241,3 +241,17 @@ def test_run_upload_with_target_columns_and_association_scope(spark, tmp_path):
     assert (s["season"], s["inserted"], s["duplicates"], s["skipped"]) == ("dry", 6, 1, 1)
     ids = sorted(r["id"] for r in read_table(spark, root, "farmer").collect())
     assert ids == [10, 11, 12, 13, 14, 15, 16, 17]
+
+
+def test_csv_quoting(spark, tmp_path):
+    d = tmp_path / "q"
+    d.mkdir()
+    rows = [('R-"1"', "Dela Cruz, Jr.", "Ana"), ("R-2", "Ng", 'Li "Lee"')]
+    with open(d / "a.csv", "w", newline="") as fh:
+        w = csv.writer(fh)  # doubles quotes inside quoted cells
+        w.writerow(TEMPLATE)
+        for rsbsa, last, first in rows:
+            w.writerow(sheet_row((rsbsa, last, first, "", "", "1", "1", "1")))
+    cleaned = ingest.clean_upload(ingest.read_upload(spark, str(d)))
+    got = sorted((r["rsbsa"], r["last_name"], r["first_name"]) for r in cleaned.collect())
+    assert got == sorted(rows)
