@@ -255,3 +255,15 @@ def test_csv_quoting(spark, tmp_path):
     cleaned = ingest.clean_upload(ingest.read_upload(spark, str(d)))
     got = sorted((r["rsbsa"], r["last_name"], r["first_name"]) for r in cleaned.collect())
     assert got == sorted(rows)
+
+
+def test_classification_independent_of_shuffle_partitions(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        results = []
+        for n in ("1", "3", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted((r["line"], r["status"], r["id"]) for r in classify(spark, {"wet": "association"}).collect()))
+        assert results[0] == results[1] == results[2]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
