@@ -57,17 +57,24 @@ def _next_ids(rows: DataFrame, table: DataFrame, order: list[str], group: list[s
 # ------------------------------------------------------------------ farmers
 
 
-def insert_farmers(farmer: DataFrame, proposals: DataFrame, order: list[str]):
+def insert_farmers(farmer: DataFrame, proposals: DataFrame, order: list[str], association: DataFrame | None = None):
     """Append ``form_rows`` proposals (season, association_id, fields); no dedupe.
-    Outcomes: proposal columns + status ('inserted' | 'invalid') + new id."""
-    ok = proposals.where("valid")
-    numbered = _next_ids(ok, farmer, order)
+    With ``association`` given, a proposal whose association does not exist in its
+    season is rejected (the foreign key).  Outcomes: proposal columns + status
+    ('inserted' | 'invalid' | 'no association') + new id."""
+    out_cols = [c for c in proposals.columns if c != "valid"]
+    none = F.lit(None).cast("long")
+    valid = proposals.where("valid")
+    rejected = proposals.where(~F.col("valid")).select(*out_cols, F.lit("invalid").alias("status"), none.alias("id"))
+    if association is not None:
+        parents = association.select("season", F.col("id").alias("association_id"))
+        orphans = valid.join(parents, ["season", "association_id"], "left_anti")
+        valid = valid.join(parents, ["season", "association_id"], "left_semi")
+        rejected = rejected.unionByName(orphans.select(*out_cols, F.lit("no association").alias("status"), none.alias("id")))
+    numbered = _next_ids(valid, farmer, order)
     new_rows = conform(numbered, "farmer")
     table = farmer.select(*FARMER_COLS).unionByName(new_rows)
-    out_cols = [c for c in proposals.columns if c != "valid"]
-    outcome = numbered.select(*out_cols, F.lit("inserted").alias("status"), "id").unionByName(
-        proposals.where(~F.col("valid")).select(*out_cols, F.lit("invalid").alias("status"), F.lit(None).cast("long").alias("id"))
-    )
+    outcome = numbered.select(*out_cols, F.lit("inserted").alias("status"), "id").unionByName(rejected)
     return table, outcome
 
 

@@ -192,7 +192,7 @@ def upload_apply(spark, sf_dir):
 def insert_farmers(spark, sf_dir):
     existing = dt.existing_farmers(spark, sf_dir)
     proposals = changes.form_rows(dt.form_inserts(spark, sf_dir))
-    _, outcome = changes.insert_farmers(existing, proposals, order=["line"])
+    _, outcome = changes.insert_farmers(existing, proposals, order=["line"], association=_t(spark, sf_dir).association)
     return outcome
 
 

@@ -566,10 +566,16 @@ def oracle_sql() -> dict[str, str]:
     )
     q["insert_farmers"] = W(
         """SELECT season, association_id, line, rsbsa, last_name, first_name, middle_name, suffix, variety,
-                  area, sacks, kg, CASE WHEN valid THEN 'inserted' ELSE 'invalid' END AS status,
-                  CASE WHEN valid THEN coalesce(mx.m, 0) + row_number() OVER (PARTITION BY t.season, valid ORDER BY line)
+                  area, sacks, kg, status,
+                  CASE WHEN status = 'inserted'
+                       THEN coalesce(mx.m, 0) + row_number() OVER (PARTITION BY t.season, status = 'inserted' ORDER BY line)
                   END AS id
-           FROM typed t LEFT JOIN (SELECT season AS s, max(id) AS m FROM existing GROUP BY season) mx ON mx.s = t.season""",
+           FROM (SELECT *, CASE WHEN NOT valid THEN 'invalid'
+                                WHEN NOT EXISTS (SELECT 1 FROM assoc a WHERE a.season = typed.season
+                                                 AND a.id = typed.association_id) THEN 'no association'
+                                ELSE 'inserted' END AS status
+                 FROM typed) t
+           LEFT JOIN (SELECT season AS s, max(id) AS m FROM existing GROUP BY season) mx ON mx.s = t.season""",
         FORM_INSERTS,
         f"typed AS ({_typed('fi', 'season, association_id, line')})",
     )

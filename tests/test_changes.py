@@ -24,11 +24,17 @@ def test_insert_and_update_farmers(spark):
         [("wet", 1, 1, " R-9 ", "Cruz", "Ana", None, "", "1.5", "SL 8", "", "50"), ("wet", 1, 2, "", "Ng", "", "", "", "x", "", "1", "1")],
         "season string, association_id long, line long, rsbsa string, last_name string, first_name string, middle_name string, suffix string, area string, variety string, sacks string, kg string",
     )
-    table, out = changes.insert_farmers(t.farmer, changes.form_rows(props), ["line"])
+    table, out = changes.insert_farmers(t.farmer, changes.form_rows(props), ["line"], association=t.association)
     o = {r["line"]: r for r in out.collect()}
     assert (o[1]["status"], o[1]["id"], o[1]["rsbsa"], o[1]["sacks"], o[1]["middle_name"]) == ("inserted", 5, "R-9", 0.0, "")
     assert o[2]["status"] == "invalid" and o[2]["id"] is None
     assert table.count() == 6
+    orphan = spark.createDataFrame(
+        [("wet", 99, 1, "R-9", "Cruz", "Ana", "", "", "1", "", "1", "1")],
+        "season string, association_id long, line long, rsbsa string, last_name string, first_name string, middle_name string, suffix string, area string, variety string, sacks string, kg string",
+    )
+    _, out = changes.insert_farmers(t.farmer, changes.form_rows(orphan), ["line"], association=t.association)
+    assert [(r["status"], r["id"]) for r in out.collect()] == [("no association", None)]
     edits = spark.createDataFrame(
         [("wet", 1, 1, "Z", "New", "N", "", "", "2", "SL 8", "3", "4"), ("wet", 1, 2, "Z2", "Newer", "N", "", "", "2", "", "3", "4"), ("wet", 99, 3, "Q", "", "", "", "", "", "", "", "")],
         "season string, id long, line long, rsbsa string, last_name string, first_name string, middle_name string, suffix string, area string, variety string, sacks string, kg string",
