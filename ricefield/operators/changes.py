@@ -164,7 +164,15 @@ def _matching_keys(table_keys: DataFrame, batch: DataFrame, scope: list[str]) ->
     return table_keys.join(keys, [*scope, "_key"], "left_semi")
 
 
-def _add_named(table: DataFrame, proposals: DataFrame, order: list[str], scope: list[str], unique: bool, target: str):
+def _add_named(
+    table: DataFrame,
+    proposals: DataFrame,
+    order: list[str],
+    scope: list[str],
+    unique: bool,
+    target: str,
+    parents: DataFrame | None = None,
+):
     """Shared add logic for municipalities (scope: season) and associations
     (scope: season, municipality_id).  Blank names are rejected; with ``unique`` a name
     whose key LOWER(TRIM(name)) exists in the scope, or belongs to an earlier accepted
@@ -173,6 +181,12 @@ def _add_named(table: DataFrame, proposals: DataFrame, order: list[str], scope:
     p = p.withColumn("_key", sql_key("name"))
     blank = p.where(F.col("name") == "")
     named = p.where(F.col("name") != "")
+    orphans = named.where(F.lit(False))
+    if parents is not None:  # the foreign key to the parent table (same season)
+        fk = [c for c in scope if c != "season"]
+        keys = parents.select("season", *[F.col("id").alias(c) for c in fk])
+        orphans = named.join(keys, ["season", *fk], "left_anti")
+        named = named.join(keys, ["season", *fk], "left_semi")
     if unique:
         ord_struct = F.struct(*[F.col(c) for c in order])
         ord_type = named.select(ord_struct.alias("o")).schema["o"].dataType
@@ -195,6 +209,7 @@ def _add_named(table: DataFrame, proposals: DataFrame, order: list[str], scope:
         numbered.select(*cols, F.lit("inserted").alias("status"), F.col("id").alias("new_id"))
         .unionByName(dup.select(*cols, F.lit("duplicate").alias("status"), none.alias("new_id")))
         .unionByName(blank.select(*cols, F.lit("blank").alias("status"), none.alias("new_id")))
+        .unionByName(orphans.select(*cols, F.lit("no municipality").alias("status"), none.alias("new_id")))
     )
     return new_table, outcome
 
@@ -204,9 +219,18 @@ def add_municipalities(municipality: DataFrame, proposals: DataFrame, order: lis
     return _add_named(municipality, proposals, order, ["season"], unique, "municipality")
 
 
-def add_associations(association: DataFrame, proposals: DataFrame, order: list[str], unique: bool = False):
-    """proposals: season, municipality_id, name, order columns."""
-    return _add_named(association, proposals, order, ["season", "municipality_id"], unique, "association")
+def add_associations(
+    association: DataFrame,
+    proposals: DataFrame,
+    order: list[str],
+    unique: bool = False,
+    municipality: DataFrame | None = None,
+):
+    """proposals: season, municipality_id, name, order columns.  With ``municipality``
+    given, a proposal for a municipality missing in its season gets 'no municipality'."""
+    return _add_named(
+        association, proposals, order, ["season", "municipality_id"], unique, "association", parents=municipality
+    )
 
 
 def _rename(table: DataFrame, renames: DataFrame, order: list[str], scope: list[str], unique: bool, target: str):

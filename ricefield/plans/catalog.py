@@ -230,13 +230,17 @@ def delete_municipality_cascade(spark, sf_dir):
 
 def add_associations_unique(spark, sf_dir):
     t = _t(spark, sf_dir)
-    _, outcome = changes.add_associations(t.association, dt.association_proposals(spark, sf_dir), ["src", "line"], unique=True)
+    _, outcome = changes.add_associations(
+        t.association, dt.association_proposals(spark, sf_dir), ["src", "line"], unique=True, municipality=t.municipality
+    )
     return outcome
 
 
 def add_associations(spark, sf_dir):
     t = _t(spark, sf_dir)
-    _, outcome = changes.add_associations(t.association, dt.association_proposals(spark, sf_dir), ["src", "line"], unique=False)
+    _, outcome = changes.add_associations(
+        t.association, dt.association_proposals(spark, sf_dir), ["src", "line"], unique=False, municipality=t.municipality
+    )
     return outcome
 
 

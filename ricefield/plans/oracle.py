@@ -288,6 +288,10 @@ def _add_sql(props: str, table: str, scope: list[str], unique: bool, cols: str)
                           AND (x.src < p.src OR (x.src = p.src AND x.line < p.line)))"""
     else:
         dup = "false"
+    fk = ""
+    if "municipality_id" in scope:
+        fk = ("WHEN NOT EXISTS (SELECT 1 FROM muni m WHERE m.season = p.season AND m.id = p.municipality_id) "
+              "THEN 'no municipality'")
     return W(
         f"""
 SELECT {cols}, status,
@@ -295,7 +299,7 @@ SELECT {cols}, status,
             THEN coalesce(mx.m, 0) + row_number() OVER (PARTITION BY q.season, status = 'inserted' ORDER BY src, line)
        END AS new_id
 FROM (
-    SELECT p.*, CASE WHEN p.name = '' THEN 'blank' WHEN {dup} THEN 'duplicate' ELSE 'inserted' END AS status
+    SELECT p.*, CASE WHEN p.name = '' THEN 'blank' {fk} WHEN {dup} THEN 'duplicate' ELSE 'inserted' END AS status
     FROM p2 p
 ) q LEFT JOIN (SELECT season, max(id) AS m FROM {table} GROUP BY season) mx ON mx.season = q.season""",
         props,

@@ -75,12 +75,15 @@ def test_add_associations_unique(spark):
         ],
         "season string, municipality_id long, name string, line long",
     )
-    _, out = changes.add_associations(t.association, props, ["line"], unique=True)
+    _, out = changes.add_associations(t.association, props, ["line"], unique=True, municipality=t.municipality)
     st = {r["line"]: (r["status"], r["new_id"]) for r in out.collect()}
     assert st == {1: ("duplicate", None), 2: ("inserted", 4), 3: ("duplicate", None), 4: ("blank", None), 5: ("inserted", 5)}
     table, out = changes.add_associations(t.association, props, ["line"], unique=False)
     assert sorted(r["status"] for r in out.collect()) == ["blank", "inserted", "inserted", "inserted", "inserted"]
     assert table.where("season = 'wet'").count() == 7
+    orphan = spark.createDataFrame([("dry", 2, "Corn", 1)], "season string, municipality_id long, name string, line long")
+    _, out = changes.add_associations(t.association, orphan, ["line"], unique=True, municipality=t.municipality)
+    assert [r["status"] for r in out.collect()] == ["no municipality"]
 
 
 def test_rename_associations(spark):
