@@ -328,6 +328,19 @@ def apply_upload(farmer: DataFrame, classified: DataFrame) -> DataFrame:
     return farmer.select(*cols).unionByName(inserted_farmers(classified).select(*cols))
 
 
+def check_targets(spark: SparkSession, cleaned: DataFrame, tables_root: str) -> None:
+    """The association foreign key: an upload naming a (season, association_id) that
+    does not exist is refused whole, before anything is written (at most 20 offending
+    targets are listed)."""
+    from ricefield.sources.model import read_table
+
+    targets = cleaned.select("season", "association_id").distinct()
+    parents = read_table(spark, tables_root, "association").select("season", F.col("id").alias("association_id"))
+    unknown = [tuple(r) for r in targets.join(parents, ["season", "association_id"], "left_anti").limit(20).collect()]
+    if unknown:
+        raise ValueError(f"upload refused, nothing written: unknown (season, association_id) {unknown}")
+
+
 def run_upload(
     spark: SparkSession,
     path: str,
@@ -359,6 +372,7 @@ def run_upload(
         cleaned = cleaned.withColumn("association_id", F.lit(association_id).cast("long"))
     else:
         cleaned = cleaned.withColumn("association_id", F.col("association_id").cast("long"))
+    check_targets(spark, cleaned, tables_root)
     existing = read_table(spark, tables_root, "farmer")
     seasons = [r["season"] for r in cleaned.select("season").distinct().collect()]  # a handful of labels
     existing = existing.where(F.col("season").isin(seasons))

@@ -17,7 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ricefield.operators.ingest import REQUIRED_COLUMNS, apply_upload, classify_upload, clean_upload, upload_summary
+from ricefield.operators.ingest import (
+    REQUIRED_COLUMNS,
+    apply_upload,
+    check_targets,
+    classify_upload,
+    clean_upload,
+    upload_summary,
+)
 from ricefield.sinks.tables import marker_exists, write_staged
 from ricefield.sources.model import read_table
 
@@ -53,6 +60,7 @@ def _commit_batch(tables_root: str, scope, summaries_path: str | None):
         # row position inside each file split (streaming plans cannot number rows)
         batch = batch.withColumn("_row", F.monotonically_increasing_id())
         cleaned = clean_upload(batch, template="full", keep=["season", "association_id", "_file", "_block", "_row"])
+        check_targets(spark, cleaned, tables_root)  # a batch for a missing association fails whole
         farmer = read_table(spark, tables_root, "farmer")
         classified = classify_upload(cleaned, farmer, ["_file", "_block", "_row"], scope=scope, durable=True)
         classified = classified.checkpoint(eager=True)

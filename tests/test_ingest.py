@@ -186,6 +186,9 @@ def test_run_upload_commits(spark, tmp_path):
     farmers = read_table(spark, root, "farmer")
     assert farmers.count() == 6
     assert sorted(r["id"] for r in farmers.collect()) == [1, 2, 3, 4, 5, 6]
+    with pytest.raises(ValueError, match="unknown"):
+        ingest.run_upload(spark, str(sheet), root, association_id=99, season="wet")
+    assert read_table(spark, root, "farmer").count() == 6
 
 
 def test_short_template_upload(spark):
