@@ -6,13 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ricefield.llm.chat import op2_role_repair
+from ricefield.llm.decontaminate import op5_spaced_seeds
+from ricefield.llm.html_text import op3_tree_scoring
+from ricefield.llm.line_dedup import op8_fuzzy_lines
+from ricefield.llm.lsh_forest import op7_lsh_forest
 from ricefield.llm.packing import op6_best_fit_packing
+from ricefield.llm.quality import op4_quality_cascade
 from ricefield.llm.records import op9_binary_records
+from ricefield.llm.repeated_spans import op10_bwt_merge
 from ricefield.llm.sharding import op1_virtual_slots
 
 
+QUERIES = (
+    op1_virtual_slots,
+    op2_role_repair,
+    op3_tree_scoring,
+    op4_quality_cascade,
+    op5_spaced_seeds,
+    op6_best_fit_packing,
+    op7_lsh_forest,
+    op8_fuzzy_lines,
+    op9_binary_records,
+    op10_bwt_merge,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_virtual_slots, op6_best_fit_packing, op9_binary_records)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
