@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,11 @@ from ricefield.session import checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # workers started by this session find this package, whatever folder they start in
+    root = str(Path(__file__).resolve().parents[2])
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, path]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,7 +48,8 @@ def sized(batches: Iterator[pa.RecordBatch], column: str, most: int = 24_000_000
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
             upto = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
-            yield batch.slice(at, upto - at)
+            # a copy, not a slice: some of Arrow's string functions misread slices
+            yield batch if upto - at == batch.num_rows else batch.take(pa.array(np.arange(at, upto)))
             at = upto
 
 
@@ -49,6 +57,8 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray
     """The words ``[^\\x20\\x09-\\x0D]+`` of each text (null: none), flat, and the
     offsets of each text's words (one more than texts)."""
     texts = pc.fill_null(texts, "")
+    if texts.offset:  # see ``sized``
+        texts = texts.take(pa.array(np.arange(len(texts))))
     texts = texts.cast(pa.large_string())
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = lists.flatten()
