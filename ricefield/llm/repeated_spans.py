@@ -37,13 +37,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ricefield.llm.common import sized, table, written
+from ricefield.llm.common import ragged_take, sized, table, written
 from ricefield.llm.decontaminate import BITS, _has, _probes, bit_set
 from ricefield.llm.quality import mixed
 
 LENGTH, GRAM = 50, 16
 SEPARATOR = 0xFF  # never part of UTF-8
-SHARD_BYTES, UNIT_BYTES, CROWD = 32_000, 400_000, 5_000
+SHARD_BYTES, UNIT_BYTES, CROWD = 16_000, 50_000, 5_000
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -146,13 +146,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(keys, docs, open_, True)
 
 
+def _binary(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Parts of ``data`` as a binary array, null where not valid."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    bits = np.packbits(valid, bitorder="little").tobytes()
+    buffers = [pa.py_buffer(bits), pa.py_buffer(offsets.tobytes()), pa.py_buffer(ragged_take(data, starts, lengths).tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(lengths), buffers)
+
+
 FRAGMENT = "doc_id long, row_key long, at int, n int, minimizer long, frag_hash long, more boolean, frag binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The fragments with shared minimizers.  Within a batch equal fragments carry their
     bytes once, at the smallest doc_id."""
-    import pandas as pd
     import xxhash
 
     for batch in sized(batches, "text", 4_000_000):
@@ -168,13 +175,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, start, n, value = owner[keep], start[keep], n[keep], value[keep]
         if not len(owner):
             continue
-        whole = data.tobytes()
-        frags = [whole[s : s + k + LENGTH - 1] for s, k in zip(start.tolist(), n.tolist())]
+        whole = memoryview(data)
+        places = zip(start.tolist(), (start + n + LENGTH - 1).tolist())
+        code = np.array([xxhash.xxh3_64_intdigest(whole[x:y]) for x, y in places], np.uint64).view(np.int64)
         ids = batch.column("doc_id").to_numpy()[owner]
-        frame = pd.DataFrame({"h": np.array([xxhash.xxh3_64_intdigest(f) for f in frags], np.uint64).view(np.int64), "d": ids})
-        order = np.lexsort((ids, frame["h"]))
+        order = np.lexsort((ids, code))
         first = np.zeros(len(order), bool)
-        sorted_h, sorted_d = frame["h"].to_numpy()[order], ids[order]
+        sorted_h, sorted_d = code[order], ids[order]
         begins = np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])
         first[order] = begins
         at = np.flatnonzero(begins)
@@ -184,8 +191,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             [
                 pa.array(ids), batch.column("row_key").take(pa.array(owner)), pa.array((start - ends[owner]).astype(np.int32)),
-                pa.array(n.astype(np.int32)), pa.array(value.view(np.int64)), pa.array(frame["h"].to_numpy()), pa.array(more),
-                pa.array([f if x else None for f, x in zip(frags, first.tolist())], pa.binary()),
+                pa.array(n.astype(np.int32)), pa.array(value.view(np.int64)), pa.array(code), pa.array(more),
+                _binary(data, start, np.where(first, n + LENGTH - 1, 0), first),
             ],
             ["doc_id", "row_key", "at", "n", "minimizer", "frag_hash", "more", "frag"],
         )
@@ -199,132 +206,213 @@ def shard_transform(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) ->
     after[begins + sizes - 1] = begins
     before = np.arange(-1, n - 1)
     before[begins] = begins + sizes - 1
-    rank, reach, jump = text.astype(np.int64), 1, after
-    longest = int(sizes.max())
+    key, jump = np.zeros(n, np.uint64), np.arange(n)
+    for _ in range(8):  # the first eight symbols, then twice as many each round
+        key = key << np.uint64(8) | text[jump].astype(np.uint64)
+        jump = after[jump]
+    reach, longest = 8, int(sizes.max())
     while True:
-        key = rank * (int(rank.max()) + 1) + rank[jump]
         order = np.argsort(key)
         sorted_key = key[order]
-        new = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        reach *= 2
-        if new[-1] == n - 1 or reach > 2 * longest:
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+        if rank[order[-1]] == n - 1 or reach > longest:
             break
-        jump = jump[jump]
+        key = rank << np.uint64(32) | rank[jump]
+        jump, reach = jump[jump], 2 * reach
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     return order, text[before[order]], place[before[order]]
 
 
-def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merged_intervals(
+    shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int, left: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge shard transforms: (rotations in merged order, as numbers over all shards one
-    after another; the interval of equal ``depth``-symbol prefixes that each lies in; the
-    common prefix of each with the one before, ``depth`` where it is that long)."""
+    after another; the interval of equal ``depth``-symbol prefixes that each lies in, by its
+    first place; the common prefix of each with the one before, ``depth`` where it is that
+    long).  ``left``: symbols up to the separator in each rotation, beyond which its order
+    does not matter.
+
+    While many places have not parted, a pass goes over all symbols.  Later passes visit only
+    blocks whose next symbols' blocks changed in the pass before; no other block can part."""
     firsts = np.cumsum([0, *(len(s[0]) for s in shards)])
     rotation = np.concatenate([s[0] + f for s, f in zip(shards, firsts)])
     symbol = np.concatenate([s[1] for s in shards])
     earlier = np.concatenate([s[2] + f for s, f in zip(shards, firsts)])
     n = len(rotation)
-    merged, group, common = np.arange(n), np.zeros(n, np.int64), np.full(n, depth, np.int16)
-    parted = np.zeros(n, bool)
-    for k in range(depth):
+    merged, block, common = np.arange(n), np.zeros(n, np.int64), np.full(n, depth, np.int16)
+    parted, k = np.zeros(n, bool), 0
+    while k < depth and 2 * np.count_nonzero(parted) < n:
         c = symbol[merged]
         order = np.argsort(c, kind="stable")
-        merged, c, group = earlier[merged[order]], c[order], group[order]
-        now = np.concatenate([[True], (c[1:] != c[:-1]) | (group[1:] != group[:-1])])
+        merged, c, block = earlier[merged[order]], c[order], block[order]
+        now = np.concatenate([[True], (c[1:] != c[:-1]) | (block[1:] != block[:-1])])
         common[now & ~parted] = k
-        parted, group = now, np.cumsum(now) - 1
-        if group[-1] == n - 1:
+        parted, k = now, k + 1
+        block = np.maximum.accumulate(np.where(now, np.arange(n), 0))
+    of = np.empty(n, np.int64)  # the block of each rotation, in the shards' numbering
+    of[merged] = block
+    later = np.empty(n, np.int64)
+    later[earlier] = np.arange(n)
+    reach = np.full(n, depth) if left is None else left[rotation]
+    starts, size = np.flatnonzero(parted), np.zeros(n, np.int64)
+    size[starts] = np.diff(np.concatenate([starts, [n]]))
+    todo = starts[size[starts] > 1]
+    for k in range(k, depth):
+        if not len(todo):
             break
-    return rotation[merged], group, common
-
-
-def repeated(frags: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each fragment, which of its strings also start in a fragment of a smaller
-    document.  ``docs``: the smallest document of each fragment."""
-    sizes = np.array([len(f) + 1 for f in frags])
-    text = np.frombuffer(b"".join(f + bytes([SEPARATOR]) for f in frags), np.uint8)
+        places = np.repeat(todo - (np.cumsum(size[todo]) - size[todo]), size[todo]) + np.arange(size[todo].sum())
+        own = merged[places]
+        inside = reach[own] > k  # alike for all of a block
+        places, own = places[inside], own[inside]
+        within, following = of[own], of[later[own]]
+        parting = np.zeros(n, bool)
+        parting[within[1:][(within[1:] == within[:-1]) & (following[1:] != following[:-1])]] = True
+        pick = parting[within]
+        places, own, within, following = places[pick], own[pick], within[pick], following[pick]
+        if not len(places):
+            break  # what has not parted now will not part
+        order = np.lexsort((following, within))
+        own, within, following = own[order], within[order], following[order]
+        fresh = np.concatenate([[True], (within[1:] != within[:-1]) | (following[1:] != following[:-1])])
+        inner = fresh & np.concatenate([[False], within[1:] == within[:-1]])
+        common[places[inner]] = k
+        first = np.flatnonzero(fresh)
+        size[places[first]] = np.diff(np.concatenate([first, [len(places)]]))
+        merged[places], of[own] = own, np.repeat(places[first], size[places[first]])
+        moved = own[of[own] != within]
+        todo = np.unique(of[earlier[moved]])  # blocks before a changed one may part next
+        todo = todo[size[todo] > 1]
+    return rotation[merged], of[merged], common
+
+
+def repeated(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which strings of the fragments also start in a fragment of a smaller document.
+
+    ``text``: the fragments one after another, a separator after each; ``sizes``: their
+    lengths with it; ``docs``: the smallest document of each.  Marks by place in ``text``."""
     ends = np.cumsum(sizes)
     cuts = np.flatnonzero(np.diff(ends // SHARD_BYTES)) + 1
     shards, begin_at = [], 0
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(frags)]):
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
         own = sizes[a:b]
         part = text[begin_at : begin_at + own.sum()]
         shards.append(shard_transform(part, np.cumsum(own) - own, own))
         begin_at += own.sum()
-    rotation, group, _ = merged_intervals(shards, LENGTH)
-    owner = np.repeat(np.arange(len(frags)), sizes)
-    whole = np.arange(len(text)) <= np.repeat(ends - 1 - LENGTH, sizes)  # a full string starts here
-    doc = np.where(whole, docs[owner], np.iinfo(np.int64).max)[rotation]
-    least = np.minimum.reduceat(doc, np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])))[group]
+    left = np.repeat(ends, sizes) - np.arange(len(text))  # symbols up to the separator, with it
+    rotation, block, _ = merged_intervals(shards, LENGTH, left)
+    whole = left > LENGTH  # a full string starts here
+    doc = np.where(whole, np.repeat(docs, sizes), np.iinfo(np.int64).max)[rotation]
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.concatenate([first, [len(text)]])))
     hit = np.zeros(len(text), bool)
     hit[rotation] = least < doc
-    hit &= whole
-    return [hit[e - s : e - LENGTH] for e, s in zip(ends.tolist(), sizes.tolist())]
-
-
-def _runs(hit: np.ndarray) -> list[int]:
-    """Begin and end of each run of marked strings, one after another."""
-    return np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).tolist()
+    return hit & whole
 
 
 RESULT = "frag_hash long, base int, width int, first_doc long, runs array<int>"
+KEYS = ("key", "frag_hash", "base", "doc_id", "more")
+
+
+def _bytes(frags: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(fragments one after another with separators, their lengths with these)."""
+    frags = pa.concat_arrays([frags.cast(pa.large_binary()), pa.array([], pa.large_binary())])
+    ends = np.frombuffer(frags.buffers()[1], np.int64)[frags.offset : frags.offset + len(frags) + 1]
+    data = np.frombuffer(frags.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    sizes = np.diff(ends)
+    out = np.full(len(data) + len(frags), SEPARATOR, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(len(frags)), sizes)] = data
+    return out, sizes + 1
+
+
+def _merged_keys(table: pa.Table) -> pa.RecordBatch:
+    """The rows of whole keys, sorted by (key, frag_hash, base, doc_id): equal fragments
+    become one; the fragments of a key that differ go through the merge."""
+    key, code, base, doc, more = (table.column(c).to_numpy() for c in KEYS)
+    other = (key[1:] != key[:-1]) | (code[1:] != code[:-1]) | (base[1:] != base[:-1])
+    first = np.flatnonzero(np.concatenate([[True], other]))
+    last = np.concatenate([first[1:], [len(key)]]) - 1
+    held = np.logical_or.reduceat(more, first) | (doc[first] != doc[last])  # others have it too
+    key, doc = key[first], doc[first]
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(np.concatenate([begins, [len(key)]]))
+    several = np.flatnonzero(np.repeat(count > 1, count))
+    frags = table.column("frag").cast(pa.large_binary()).combine_chunks()
+    sizes = pc.binary_length(frags).to_numpy(zero_copy_only=False)[first]
+    total = np.cumsum(sizes[several])
+    runs: dict[int, list[int]] = {}
+    at = 0
+    while at < len(several):  # units of about UNIT_BYTES, cut between keys
+        stop = int(np.searchsorted(total, (total[at - 1] if at else 0) + UNIT_BYTES)) + 1
+        while stop < len(several) and key[several[stop]] == key[several[stop - 1]]:
+            stop += 1
+        own = several[at:stop]
+        text, lengths = _bytes(frags.take(pa.array(first[own])))
+        places = np.flatnonzero(np.diff(np.concatenate([[False], repeated(text, lengths, doc[own]), [False]]).astype(np.int8)))
+        ends = np.cumsum(lengths)
+        which = np.searchsorted(ends, places, side="right")  # a run ends before its separator
+        for w, p in zip(which.tolist(), (places - (ends - lengths)[which]).tolist()):
+            runs.setdefault(int(own[w]), []).append(p)
+        at = stop
+    keep = held.copy()
+    keep[list(runs)] = True
+    kept = np.flatnonzero(keep)
+    return pa.record_batch(
+        [
+            pa.array(code[first][kept]), pa.array(base[first][kept]), pa.array((sizes[kept] - LENGTH + 1).astype(np.int32)),
+            pa.array(doc[kept]), pa.array([runs.get(i, []) for i in kept.tolist()], pa.list_(pa.int32())),
+        ],
+        ["frag_hash", "base", "width", "first_doc", "runs"],
+    )
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, frag_hash, base, doc_id): equal fragments become one, then the
-    fragments of whole keys go through the merge, about UNIT_BYTES at a time."""
-    rows: list[list] = []  # key, frag_hash, base, smallest doc, whether others have it, bytes
+    """Sorted rows, some millions of bytes at a time; the rows of the last key wait for more."""
+    waiting: list[pa.RecordBatch] = []
     held = 0
-
-    def out() -> pa.RecordBatch:
-        per_key: dict[int, int] = {}
-        for r in rows:
-            per_key[r[0]] = per_key.get(r[0], 0) + 1
-        several = [r for r in rows if per_key[r[0]] > 1]
-        marks = dict(zip(map(id, several), repeated([r[5] for r in several], np.array([r[3] for r in several])))) if several else {}
-        found = [(r, _runs(marks[id(r)]) if id(r) in marks else []) for r in rows]
-        found = [(r, runs) for r, runs in found if runs or r[4]]
-        return pa.record_batch(
-            [
-                pa.array([r[1] for r, _ in found], pa.int64()), pa.array([r[2] for r, _ in found], pa.int32()),
-                pa.array([len(r[5]) - LENGTH + 1 for r, _ in found], pa.int32()),
-                pa.array([r[3] for r, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int32())),
-            ],
-            ["frag_hash", "base", "width", "first_doc", "runs"],
-        )
-
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("key", "frag_hash", "base", "doc_id", "more", "frag")]
-        for key, code, base, doc, more, frag in zip(*columns):
-            if rows and rows[-1][0] == key and rows[-1][1] == code and rows[-1][2] == base:
-                rows[-1][4] |= more or doc != rows[-1][3]
-                continue
-            if rows and held >= UNIT_BYTES and rows[-1][0] != key:
-                yield out()
-                rows, held = [], 0
-            rows.append([key, code, base, doc, more, frag])
-            held += len(frag)
-    if rows:
-        yield out()
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        held += batch.nbytes
+        key = batch.column("key").to_numpy()
+        if held < 4_000_000 or waiting[0].column("key")[0].as_py() == key[-1]:
+            continue
+        table = pa.Table.from_batches(waiting)
+        key = table.column("key").to_numpy()
+        cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
+        yield _merged_keys(table.slice(0, cut))
+        waiting = table.slice(cut).to_batches()
+        held = sum(b.nbytes for b in waiting)
+    if waiting:
+        yield _merged_keys(pa.Table.from_batches(waiting))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sized(batches, "text", 8_000_000):
-        rows = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            data = np.frombuffer(text.encode(), np.uint8)
-            edge = np.zeros(len(data) + 1, np.int64)
-            for span in spans:
-                runs = np.array(span["runs"], np.int64) + span["at"]
-                np.add.at(edge, runs[::2], 1)
-                np.add.at(edge, runs[1::2] + LENGTH - 1, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            n_spans = int((np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1).sum())
-            rows.append((len(data), int(gone.sum()), n_spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-        yield pa.record_batch([batch.column("row_key"), *columns], ["row_key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        data, ends = _texts(batch)
+        spans = batch.column("spans").flatten()
+        per_text = pc.list_value_length(batch.column("spans")).to_numpy(zero_copy_only=False)
+        runs = spans.field("runs")
+        per_span = pc.list_value_length(runs).to_numpy(zero_copy_only=False)
+        base = np.repeat(ends[:-1], per_text) + spans.field("at").to_numpy()
+        places = runs.flatten().to_numpy() + np.repeat(base, per_span)
+        edge = np.bincount(places[::2], minlength=len(data) + 1) - np.bincount(places[1::2] + LENGTH - 1, minlength=len(data) + 1)
+        gone = np.cumsum(edge[: len(data)]) > 0
+        total = np.concatenate([[0], np.cumsum(gone)])
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        inner = ends[:-1][ends[:-1] < len(data)]
+        begins[inner] = gone[inner]  # a run ends with its text
+        n_spans = np.diff(np.concatenate([[0], np.cumsum(begins)])[ends])
+        left = data[~gone].tobytes()
+        at = ends - total[ends]
+        shas = [hashlib.sha256(left[x:y]).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+        yield pa.record_batch(
+            [batch.column("row_key"), pa.array(np.diff(total[ends])), pa.array(n_spans), pa.array(shas, pa.string())],
+            ["row_key", "n_removed", "n_spans", "kept_sha256"],
+        )
 
 
 def marked_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -376,8 +464,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield _only(bits, "row_key", batch)
 
     few = texts.select("row_key", "text").mapInArrow(only, "row_key long, text string").dropDuplicates(["row_key"])
-    cut = few.join(spans, "row_key").mapInArrow(_remove, "row_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    cut = cut.select("row_key", "n_removed", "n_spans", "kept_sha256")
+    cut = few.join(spans, "row_key").mapInArrow(_remove, "row_key long, n_removed long, n_spans long, kept_sha256 string")
     empty = hashlib.sha256(b"").hexdigest()
     rows = digest.join(reps, "sha", "left").join(cut, "row_key", "left")
     copy = F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)
