@@ -6,6 +6,15 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = "a long, b long, id long, hash long, key string, root long, slot int, size int, part int, n int, words string"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small tables: two shuffle partitions keep the many small jobs short."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 @pytest.fixture(scope="session")
 def documents(spark):
     """(id, text) rows to a documents table; ``clashing`` adds columns with common names."""
