@@ -28,6 +28,10 @@ HEADLINE = [
     "upload_classified",
     "farmer_search",
     "delete_municipality_cascade",
+    "update_farmers",
+    "template_export",
+    "upload_commit",
+    "association_farmer_search",
 ]
 
 

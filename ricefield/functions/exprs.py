@@ -73,8 +73,9 @@ def change_marker(change) -> Column:
 
 
 def py_strip(x) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace and the four
+    separator controls U+001C..U+001F, which Python counts as whitespace."""
+    return F.regexp_replace(_c(x), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def sql_key(x) -> Column:
@@ -155,7 +156,7 @@ def text_or_blank(x) -> Column:
         c = f"CAST(`{x}` AS STRING)"
         return F.expr(
             f"CASE WHEN {c} IS NULL OR {c} IN ({_TOKENS_SQL}) THEN '' "
-            f"ELSE regexp_replace({c}, '(?U)^\\\\s+|\\\\s+$', '') END"
+            f"ELSE regexp_replace({c}, '(?U)^[\\\\s\\\\x1c-\\\\x1f]+|[\\\\s\\\\x1c-\\\\x1f]+$', '') END"
         )
     raw = _c(x).cast("string")
     return F.when(raw.isNull() | raw.isin(MISSING_TOKENS), F.lit("")).otherwise(py_strip(raw))
@@ -174,10 +175,25 @@ def number_or_zero(x) -> Column:
     return F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))
 
 
+# What Python's ``float`` reads: digits may be grouped by single underscores; signed
+# infinities and nan by name.
+_DIGITS = r"\d+(_\d+)*"
+FLOAT_PATTERN = rf"^[+-]?(({_DIGITS})\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
+
+
 def form_number(x) -> Column:
-    """``float(x or 0)`` for an already-typed or text form value (blank -> 0)."""
+    """``float(x or 0)`` of a form value: NULL and '' are 0, NULL when ``float`` would fail
+    (blanks only, '12d', '1,200', 'x')."""
     s = _c(x).cast("string")
-    return F.when(s.isNull() | (F.trim(s) == ""), F.lit(0.0)).otherwise(F.trim(s).try_cast("double"))
+    t = py_strip(s)
+    word = F.lower(F.regexp_replace(t, r"^[+-]", ""))
+    sign = F.when(t.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    return (
+        F.when(s.isNull() | (s == ""), F.lit(0.0))
+        .when(t.rlike(FLOAT_PATTERN), F.regexp_replace(t, "_", "").try_cast("double"))
+        .when(word.isin("inf", "infinity"), sign * F.lit(float("inf")))
+        .when(word == "nan", F.lit(float("nan")))
+    )
 
 
 def display_or(x, default: str = "-") -> Column:

@@ -7,8 +7,10 @@ and ``outcomes`` has one row per requested change with its status.
 
 Within a batch, changes apply in ``order`` (file order): a later insert whose name
 duplicates an earlier accepted one is rejected, and a later update of the same farmer
-wins.  Rename checks compare with the table before the batch plus earlier accepted
-renames of the batch.
+wins.  A batch of renames is one change: its names are tested against the table as it was before
+the batch and against earlier accepted renames of the batch, so a name that the batch
+itself frees can be taken by the next batch (a deliberate batch rule; one by one, the
+reference's requests would see it freed at once).
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ricefield.functions.exprs import form_number, py_strip, sql_key
-from ricefield.operators.joins import small_side
 from ricefield.operators.ranking import sequence_number
 from ricefield.sources.model import FARMER, Tables, conform
 
@@ -80,15 +81,15 @@ def insert_farmers(farmer: DataFrame, proposals: DataFrame, order: list[str], as
 
 def update_farmers(farmer: DataFrame, edits: DataFrame, order: list[str]):
     """Replace the nine editable fields of farmers by (season, id); the association is
-    unchanged.  Unknown ids -> 'not found', unparseable numbers -> 'invalid'; of several
-    valid edits of one farmer the last in ``order`` wins ('superseded' for the others)."""
+    unchanged.  Unknown ids -> 'not found' (looked up first), numbers that do not parse ->
+    'invalid'; of several valid edits of one farmer the last in ``order`` wins
+    ('superseded' for the others)."""
     ok = edits.where("valid")
     fields = TEXT_FIELDS + NUMBER_FIELDS
     last = ok.groupBy("season", "id").agg(
         F.max_by(F.struct(*fields, *order), F.struct(*order)).alias("_e")
     )
     last = last.select("season", "id", *[F.col(f"_e.{c}").alias(f"_new_{c}") for c in fields], *[F.col(f"_e.{c}").alias(f"_win_{c}") for c in order])
-    last = small_side(last)  # a batch of edits next to the whole table
     f = farmer.select(*FARMER_COLS)
     j = f.join(last, ["season", "id"], "left")
     hit = F.col("_new_rsbsa").isNotNull()
@@ -98,14 +99,16 @@ def update_farmers(farmer: DataFrame, edits: DataFrame, order: list[str]):
             for c in FARMER_COLS
         ]
     )
-    known = f.select("season", "id").withColumn("_known", F.lit(True))
+    # only the batch's ids of the table take part in the outcomes
+    ids = edits.select("season", "id").distinct()
+    known = f.select("season", "id").join(ids, ["season", "id"], "left_semi").withColumn("_known", F.lit(True))
     e = edits.join(known, ["season", "id"], "left").join(
         last.select("season", "id", *[f"_win_{c}" for c in order]), ["season", "id"], "left"
     )
     is_winner = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_win_{c}")) for c in order])
     status = (
-        F.when(~F.col("valid"), "invalid")
-        .when(F.col("_known").isNull(), "not found")
+        F.when(F.col("_known").isNull(), "not found")
+        .when(~F.col("valid"), "invalid")
         .when(is_winner, "updated")
         .otherwise("superseded")
     )
@@ -115,7 +118,7 @@ def update_farmers(farmer: DataFrame, edits: DataFrame, order: list[str]):
 
 def delete_farmers(farmer: DataFrame, ids: DataFrame):
     """Remove farmers by (season, id).  Outcomes: requested ids with 'deleted' / 'not found'."""
-    keys = small_side(ids.select("season", "id").distinct())
+    keys = ids.select("season", "id").distinct()
     table = farmer.join(keys, ["season", "id"], "left_anti")
     found = farmer.select("season", "id").join(keys, ["season", "id"], "left_semi").withColumn("_hit", F.lit(True))
     outcome = keys.join(found, ["season", "id"], "left").select(
@@ -129,7 +132,7 @@ def delete_farmers(farmer: DataFrame, ids: DataFrame):
 
 def delete_associations(tables: Tables, ids: DataFrame):
     """Remove associations by (season, id) together with their farmers."""
-    keys = small_side(ids.select("season", "id").distinct())
+    keys = ids.select("season", "id").distinct()
     assoc = tables.association.join(keys, ["season", "id"], "left_anti")
     fk = keys.select("season", F.col("id").alias("association_id"))
     farmer = tables.farmer.join(fk, ["season", "association_id"], "left_anti")
@@ -139,7 +142,7 @@ def delete_associations(tables: Tables, ids: DataFrame):
 def delete_municipalities(tables: Tables, ids: DataFrame):
     """Remove municipalities by (season, id), their associations and those associations'
     farmers (semi join to find the victims, anti joins to keep the rest)."""
-    keys = small_side(ids.select("season", "id").distinct())
+    keys = ids.select("season", "id").distinct()
     muni = tables.municipality.join(keys, ["season", "id"], "left_anti")
     victims = tables.association.join(
         keys.select("season", F.col("id").alias("municipality_id")), ["season", "municipality_id"], "left_semi"
@@ -148,6 +151,23 @@ def delete_municipalities(tables: Tables, ids: DataFrame):
     return out, keys
 
 
+def table_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """All rows of model tables in one shape: table_name, season, id, parent_id, name (a
+    farmer's RSBSA, last and first name), area, sacks, kg."""
+    parts = []
+    for name, df in tables.items():
+        parent = {"association": "municipality_id", "farmer": "association_id"}.get(name)
+        label = F.concat_ws("|", "rsbsa", "last_name", "first_name", "middle_name", "suffix", "variety") if name == "farmer" else F.col("name")
+        numbers = [F.col(c) if name == "farmer" else F.lit(None).cast("double").alias(c) for c in NUMBER_FIELDS]
+        parts.append(
+            df.select(
+                F.lit(name).alias("table_name"), "season", "id",
+                (F.col(parent) if parent else F.lit(None)).cast("long").alias("parent_id"), label.alias("name"), *numbers,
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Row count per (table, season)."""
     parts = [df.groupBy("season").agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name)) for name, df in tables.items()]
@@ -157,10 +177,10 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 # ------------------------------------------------------------- named parents
 
 def _matching_keys(table_keys: DataFrame, batch: DataFrame, scope: list[str]) -> DataFrame:
-    """The table's (scope, _key) rows whose key occurs in the batch: a semi join against
-    the batch's distinct keys (broadcast behind a size check), so only matching table
-    rows reach the following shuffle."""
-    keys = small_side(batch.select(*scope, "_key").distinct())
+    """The table's (scope, _key) rows whose key occurs in the batch: a semi join, so only
+    matching table rows reach what follows.  Spark broadcasts the batch's keys when their
+    size in bytes allows it."""
+    keys = batch.select(*scope, "_key").distinct()
     return table_keys.join(keys, [*scope, "_key"], "left_semi")
 
 
@@ -234,7 +254,7 @@ def add_associations(
 
 
 def _rename(table: DataFrame, renames: DataFrame, order: list[str], scope: list[str], unique: bool, target: str):
-    """Rename rows by (season, id): blank -> 'blank', unknown id -> 'not found'; with
+    """Rename rows by (season, id): unknown id -> 'not found', blank -> 'blank'; with
     ``unique`` a new key held by another row of the scope (before the batch) or by an
     earlier accepted rename is 'duplicate'.  Of several accepted renames of one row
     the last wins."""
@@ -243,7 +263,7 @@ def _rename(table: DataFrame, renames: DataFrame, order: list[str], scope: list[
     cur = table.select("season", "id", *[c for c in scope if c not in ("season", "id")], F.col("name").alias("old_name"))
     r = r.drop(*[c for c in scope if c not in ("season", "id")]).join(cur, ["season", "id"], "left")
     r = r.withColumn("_key", sql_key("new_name"))
-    status = F.when(F.col("new_name") == "", "blank").when(F.col("old_name").isNull(), "not found")
+    status = F.when(F.col("old_name").isNull(), "not found").when(F.col("new_name") == "", "blank")
     if unique:
         ord_struct = F.struct(*[F.col(c) for c in order])
         cand = r.where((F.col("new_name") != "") & F.col("old_name").isNotNull())

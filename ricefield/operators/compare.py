@@ -10,6 +10,8 @@ keeps many-to-many matches.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +181,11 @@ def association_comparison(tables: Tables, base: str, current: str) -> DataFrame
     keyed = _keyed_associations(tables, [base, current])
     b = keyed.where(F.col("season") == base).alias("b")
     c = keyed.where(F.col("season") == current).alias("c")
-    j = b.join(c, (F.col("b.mkey") == F.col("c.mkey")) & (F.col("b.akey") == F.col("c.akey")), "full_outer")
+    on = (F.col("b.mkey") == F.col("c.mkey")) & (F.col("b.akey") == F.col("c.akey"))
+    # a left join and an anti join: AQE can split a hot key in both, not in a full outer join
+    matched = b.join(c, on, "left").select(F.struct("b.*").alias("b"), F.when(F.col("c.id").isNotNull(), F.struct("c.*")).alias("c"))
+    only_c = c.join(b, on, "left_anti").select(F.struct("c.*").alias("c"))
+    j = matched.unionByName(only_c, allowMissingColumns=True)
     out = j.select(
         F.coalesce(F.col("b.municipality"), F.col("c.municipality")).alias("municipality"),
         F.col("b.association").alias("base_association"),
@@ -201,3 +207,39 @@ def association_comparison(tables: Tables, base: str, current: str) -> DataFrame
         F.asc_nulls_first("current_id"),
     ]
     return sequence_number(out, order)
+
+
+@dataclass
+class Dashboard:
+    summary: DataFrame
+    averages: DataFrame
+    change: DataFrame
+    overall: DataFrame
+    municipalities: DataFrame
+    associations: DataFrame
+    highlights: DataFrame
+    totals: DataFrame
+
+    def close(self) -> None:
+        """Give the cached totals back."""
+        self.totals.unpersist()
+
+
+def dashboard(tables: Tables, base: str, current: str) -> Dashboard:
+    """Everything the dashboard shows, from one scan of the farmers: their totals per
+    association are cached (and recomputed if lost), and all results read these."""
+    from ricefield.operators import rollups
+
+    totals = rollups.association_totals(tables.season(base, current).farmer).persist()
+    t = tables.season(base, current).with_(totals=totals)
+    merged = municipality_merge(t, base, current)
+    return Dashboard(
+        summary=rollups.season_summary(t, [base, current]),
+        averages=rollups.season_averages(t, [base, current]),
+        change=rollups.season_change(t, base, current),
+        overall=rollups.overall_totals(t, base, current),
+        municipalities=municipality_comparison(t, base, current),
+        associations=association_comparison(t, base, current),
+        highlights=top_performers(merged, base, current),
+        totals=totals,
+    )

@@ -11,7 +11,7 @@ Rules (per uploaded row, in file order):
    an earlier non-skipped row of the upload has it in the same scope.
 
 Plan: the table's keys are first cut to those in the upload (semi join against the
-broadcast distinct upload keys, size-checked); one aggregate over those and the
+distinct upload keys); one aggregate over those and the
 upload's keys gives, per (scope, key), "exists" and the first file position; map-side
 partial aggregation means a hot key never gathers its rows in one task.  Upload rows with a key are then joined to
 that aggregate (AQE splits a skewed join partition); blank-key rows bypass the join.
@@ -20,11 +20,13 @@ New ids continue each season's maximum in file order (``sequence_number``).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ricefield.functions.exprs import number_or_zero, py_key, sql_key, text_or_blank
-from ricefield.operators.joins import small_side
 from ricefield.operators.ranking import sequence_number
 from ricefield.session import checkpoint_dir
 from ricefield.sources.model import FARMER, conform
@@ -91,9 +93,18 @@ STATUS_SKIPPED = "skipped"
 
 
 class UploadTemplateError(ValueError):
-    def __init__(self, missing: list[str]):
-        self.missing = missing
-        super().__init__("Invalid upload template. Missing columns: " + ", ".join(missing))
+    def __init__(self, missing: list[str], file: str | None = None):
+        self.missing, self.file = missing, file
+        super().__init__((f"{file}: " if file else "") + "Invalid upload template. Missing columns: " + ", ".join(missing))
+
+
+class UploadRefused(ValueError):
+    """An upload that names associations which do not exist.  ``targets``: all unknown
+    (season, association_id), as a DataFrame."""
+
+    def __init__(self, targets: DataFrame):
+        self.targets = targets
+        super().__init__("upload refused, nothing written: unknown (season, association_id), see targets")
 
 
 def normalize_headers(df: DataFrame) -> DataFrame:
@@ -105,6 +116,15 @@ def missing_columns(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> li
     return [c for c in required if c not in have]
 
 
+def template_gaps(columns: list[str], template: str) -> list[str]:
+    """Headers (stripped, lower case) that a template demands and ``columns`` lacks."""
+    if template == "full":
+        return [c for c in REQUIRED_COLUMNS if c not in columns]
+    if template == "short":
+        return [" | ".join(alts) for alts in SHORT_REQUIRED if not any(a in columns for a in alts)]
+    raise ValueError(f"unknown template {template!r}")
+
+
 def require_columns(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> DataFrame:
     """Raise ``UploadTemplateError`` naming every missing header (before any job runs)."""
     missing = missing_columns(df, required)
@@ -128,16 +148,10 @@ def clean_upload(df: DataFrame, template: str = "full", keep: list[str] = ()) ->
     """
     df = normalize_headers(df)
     keep = [k.strip().lower() for k in keep]
-    if template == "full":
-        require_columns(df)
-        fields = {k: [v] for k, v in TEMPLATE_FIELDS.items()}
-    elif template == "short":
-        missing = [" | ".join(alts) for alts in SHORT_REQUIRED if not any(a in df.columns for a in alts)]
-        if missing:
-            raise UploadTemplateError(missing)
-        fields = SHORT_FIELDS
-    else:
-        raise ValueError(f"unknown template {template!r}")
+    missing = template_gaps(df.columns, template)
+    if missing:
+        raise UploadTemplateError(missing)
+    fields = {k: [v] for k, v in TEMPLATE_FIELDS.items()} if template == "full" else SHORT_FIELDS
     # the read cells under fixed names, then one typed projection over them
     cells = df.select(
         *[F.col(f"`{k}`").alias(k) for k in keep], *[_cell(df, v).alias(f"_cell_{k}") for k, v in fields.items()]
@@ -164,50 +178,101 @@ def clean_upload(df: DataFrame, template: str = "full", keep: list[str] = ()) ->
     )
 
 
+def _csv_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files at ``path`` (a file, or all files below a folder; names that begin
+    with '.' or '_' are not data)."""
+    from ricefield.sinks.store import fs_path
+
+    fs, p = fs_path(spark, path)
+    found = fs.listFiles(p, True)
+    root, out = fs.makeQualified(p).toString(), []
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        if not any(part.startswith((".", "_")) for part in name[len(root) :].split("/")):
+            out.append(name)
+    return sorted(out)
+
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """The headers of one CSV file, stripped and lower-cased (its first record only)."""
+    import csv
+    import io
+
+    from ricefield.sinks.store import fs_path
+
+    fs, p = fs_path(spark, file)
+    codecs = spark.sparkContext._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(fs.getConf())
+    codec, raw = codecs.getCodec(p), fs.open(p)
+    stream = spark.sparkContext._jvm.java.io.BufferedReader(
+        spark.sparkContext._jvm.java.io.InputStreamReader(codec.createInputStream(raw) if codec else raw, "UTF-8")
+    )
+    try:
+        line = stream.readLine() or ""
+        while line.count('"') % 2:  # a line break inside a quoted header
+            more = stream.readLine()
+            if more is None:
+                break
+            line += "\n" + more
+    finally:
+        stream.close()
+    return tuple(c.strip().lower() for c in next(csv.reader(io.StringIO(line.removeprefix("\ufeff"))), []))
+
+
 def read_upload(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     fmt: str = "csv",
     preferred: str | None = "NRP DISTRIBUTION",
     multiline: bool = False,
+    template: str | None = None,
 ) -> DataFrame:
-    """Read upload files (a file or a folder of files) as all-string cells, adding the
-    file-order columns ``_file``, ``_block``, ``_row``.
+    """Read upload files (a file, a folder of files or a list of files) as all-string cells,
+    adding the file-order columns ``_file``, ``_block``, ``_row``.
 
     ``preferred`` names a sub-folder to use when present (the workbook's preferred sheet),
-    else the path itself is read.  CSV follows the usual spreadsheet dialect (quoted
-    cells, a doubled quote inside quotes); ``multiline=True`` allows line breaks inside
-    quoted cells, at the price of reading each file in one task.
+    else the path itself is read.  Each CSV file is read by its own header: files may have
+    their columns in any order, and with ``template`` every file's header is checked (the
+    first file that lacks a column is named).  CSV follows the usual spreadsheet dialect
+    (quoted cells, a doubled quote inside quotes); ``multiline=True`` allows line breaks
+    inside quoted cells, at the price of reading each file in one task.
     """
     target = path
-    if preferred:
-        jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{preferred}")
-        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if preferred and isinstance(path, str):
+        from ricefield.sinks.store import fs_path
+
+        fs, hpath = fs_path(spark, f"{path.rstrip('/')}/{preferred}")
         if fs.exists(hpath):
             target = hpath.toString()
-    if fmt == "csv":
-        raw = (
-            spark.read.option("header", True)
-            .option("inferSchema", False)
-            .option("mode", "PERMISSIVE")
-            .option("escape", '"')
-            .option("multiLine", multiline)
-            .csv(target)
-        )
-    elif fmt == "parquet":
-        raw = spark.read.parquet(target)
-        raw = raw.select([F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns] + [F.col("_metadata")])
-    else:
+    order = [
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    ]
+    if fmt == "parquet":
+        raw = spark.read.parquet(*([target] if isinstance(target, str) else target))
+        columns = [c.strip().lower() for c in raw.columns]
+        if template and template_gaps(columns, template):
+            raise UploadTemplateError(template_gaps(columns, template))
+        return raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns], *order)
+    if fmt != "csv":
         raise ValueError(f"unknown upload format {fmt!r}")
-    return raw.select(
-        [F.col(f"`{c}`") for c in raw.columns if c != "_metadata"]
-        + [
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_row"),
-        ]
-    )
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in _csv_files(spark, target) if isinstance(target, str) else target:
+        header = _header(spark, file)
+        if template and template_gaps(list(header), template):
+            raise UploadTemplateError(template_gaps(list(header), template), file)
+        by_header.setdefault(header, []).append(file)
+    if not by_header:
+        raise FileNotFoundError(f"no upload files at {target}")
+    parts = []
+    for header, files in by_header.items():  # one plan for each distinct header
+        # a repeated or empty header gets a name of its own; the first of equal names counts
+        names = [c if c and c not in header[:i] else f"_column_{i}" for i, c in enumerate(header)]
+        schema = StructType([StructField(c, StringType()) for c in names])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
+        raw = reader.option("escape", '"').option("multiLine", multiline).csv(files)
+        parts.append(raw.select(*[F.col(f"`{c}`") for c in names if not c.startswith("_column_")], *order))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def _scope_col(scope: str | dict[str, str], season_col: str = "season", assoc_col: str = "association_id"):
@@ -234,6 +299,7 @@ def classify_upload(
     order: list[str],
     scope: str | dict[str, str] = "season",
     durable: bool = True,
+    ids: bool = True,
 ) -> DataFrame:
     """Classify cleaned upload rows (``clean_upload`` output plus ``season`` and
     ``association_id``) against the ``existing`` farmer table.
@@ -243,7 +309,8 @@ def classify_upload(
     order and must be unique per season.  ``durable`` checkpoints the cleaned rows first
     (reliable checkpoint in ``spark.checkpoint.dir``): needed when the order columns are
     generated row numbers (file reads), so they survive executor loss, and cheaper in
-    general since the upload is read by several steps.
+    general since the upload is read by several steps.  ``ids=False`` leaves out the new
+    ids (their numbering sorts the inserted rows), for callers that only count.
     """
     if durable:
         checkpoint_dir(rows.sparkSession)
@@ -257,10 +324,10 @@ def classify_upload(
         existing.select("season", _scope_col(scope).alias("_scope"), sql_key("rsbsa").alias("key"))
         .where(F.col("key").isNotNull() & (F.col("key") != ""))
     )
-    # Only existing keys that occur in the upload matter.  The upload is small next to
-    # the table, so its distinct keys are broadcast (behind a count check) and filter
-    # the table's keys map-side; the aggregate below then shuffles the matches only.
-    upload_keys = small_side(keyed.select("season", "key").distinct())
+    # Only existing keys that occur in the upload matter: a semi join cuts the table's keys
+    # to them (Spark broadcasts the upload's keys when their size in bytes allows it), and
+    # the aggregate below shuffles the matches only.
+    upload_keys = keyed.select("season", "key").distinct()
     ex_keys = ex_keys.join(upload_keys, ["season", "key"], "left_semi").select(
         "season", "_scope", "key", F.lit(1).alias("exists"), F.lit(None).cast(ord_type).alias("_ord")
     )
@@ -290,11 +357,7 @@ def classify_upload(
         F.when(F.col("skipped"), F.lit(STATUS_SKIPPED)).otherwise(F.lit(STATUS_INSERTED)).alias("status"),
     )
     classified = judged.unionByName(unkeyed)
-    # One reliable checkpoint of the classified rows: ids and the returned frame are
-    # read from it, so classification runs once and survives executor loss.
-    checkpoint_dir(rows.sparkSession)
-    classified = classified.checkpoint(eager=True)
-    return assign_ids(classified, existing, order)
+    return assign_ids(classified, existing, order) if ids else classified
 
 
 def assign_ids(classified: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
@@ -328,17 +391,34 @@ def apply_upload(farmer: DataFrame, classified: DataFrame) -> DataFrame:
     return farmer.select(*cols).unionByName(inserted_farmers(classified).select(*cols))
 
 
-def check_targets(spark: SparkSession, cleaned: DataFrame, tables_root: str) -> None:
-    """The association foreign key: an upload naming a (season, association_id) that
-    does not exist is refused whole, before anything is written (at most 20 offending
-    targets are listed)."""
+def split_targets(spark: SparkSession, cleaned: DataFrame, tables_root: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose (season, association_id) exists, rows whose target does not)."""
     from ricefield.sources.model import read_table
 
-    targets = cleaned.select("season", "association_id").distinct()
     parents = read_table(spark, tables_root, "association").select("season", F.col("id").alias("association_id"))
-    unknown = [tuple(r) for r in targets.join(parents, ["season", "association_id"], "left_anti").limit(20).collect()]
-    if unknown:
-        raise ValueError(f"upload refused, nothing written: unknown (season, association_id) {unknown}")
+    keys = ["season", "association_id"]
+    return cleaned.join(parents, keys, "left_semi"), cleaned.join(parents, keys, "left_anti")
+
+
+def check_targets(spark: SparkSession, cleaned: DataFrame, tables_root: str) -> None:
+    """The association foreign key: an upload naming a (season, association_id) that
+    does not exist is refused whole, before anything is written."""
+    unknown = split_targets(spark, cleaned, tables_root)[1].select("season", "association_id").distinct()
+    if not unknown.isEmpty():
+        raise UploadRefused(unknown)
+
+
+def target_columns(cleaned: DataFrame, extra: list[str], season: str | None, association_id: int | None) -> DataFrame:
+    """Give the rows their target where the files carry no such columns."""
+    if "season" not in extra:
+        if season is None:
+            raise ValueError("season is required when the upload has no season column")
+        cleaned = cleaned.withColumn("season", F.lit(season))
+    if "association_id" in extra:
+        return cleaned.withColumn("association_id", F.col("association_id").cast("long"))
+    if association_id is None:
+        raise ValueError("association_id is required when the upload has no association_id column")
+    return cleaned.withColumn("association_id", F.lit(association_id).cast("long"))
 
 
 def run_upload(
@@ -350,34 +430,28 @@ def run_upload(
     scope: str | dict[str, str] = "season",
     template: str = "full",
     fmt: str = "csv",
+    multiline: bool = False,
 ) -> DataFrame:
     """End-to-end upload job: read the files at ``path``, clean and classify the rows
-    against the farmer table under ``tables_root`` and commit the inserted rows (staged
-    write + swap, all rows or none).  ``season`` / ``association_id`` give the target when
-    the files carry no such columns.  Returns the per-season summary.
+    against the farmer table under ``tables_root`` and append the inserted rows in one
+    commit, all or none; only new files are written.  ``season`` / ``association_id`` give
+    the target when the files carry no such columns.  Returns the per-season summary.
     """
-    from ricefield.sinks.tables import write_staged
-    from ricefield.sources.model import read_table
+    from ricefield.sinks import store
+    from ricefield.sinks.tables import append_rows
 
-    raw = read_upload(spark, path, fmt=fmt)
+    raw = read_upload(spark, path, fmt=fmt, multiline=multiline, template=template)
     extra = [c for c in ("season", "association_id") if c in [x.strip().lower() for x in raw.columns]]
     cleaned = clean_upload(raw, template=template, keep=extra + ["_file", "_block", "_row"])
-    if "season" not in extra:
-        if season is None:
-            raise ValueError("season is required when the upload has no season column")
-        cleaned = cleaned.withColumn("season", F.lit(season))
-    if "association_id" not in extra:
-        if association_id is None:
-            raise ValueError("association_id is required when the upload has no association_id column")
-        cleaned = cleaned.withColumn("association_id", F.lit(association_id).cast("long"))
-    else:
-        cleaned = cleaned.withColumn("association_id", F.col("association_id").cast("long"))
+    checkpoint_dir(spark)
+    # the one checkpoint of the upload: row numbers and all later steps come from it
+    cleaned = target_columns(cleaned, extra, season, association_id).checkpoint(eager=True)
     check_targets(spark, cleaned, tables_root)
-    existing = read_table(spark, tables_root, "farmer")
+    before = store.state(spark, tables_root)
+    existing = store.read(spark, tables_root, "farmer", before)
     seasons = [r["season"] for r in cleaned.select("season").distinct().collect()]  # a handful of labels
     existing = existing.where(F.col("season").isin(seasons))
-    classified = classify_upload(cleaned, existing, ["_file", "_block", "_row"], scope=scope, durable=True)
-    classified = classified.checkpoint(eager=True)
-    new_farmer = apply_upload(read_table(spark, tables_root, "farmer"), classified)
-    write_staged(spark, {"farmer": new_farmer}, tables_root, verify=False)
+    classified = classify_upload(cleaned, existing, ["_file", "_block", "_row"], scope=scope, durable=False)
+    classified = classified.checkpoint(eager=True)  # written once, read by the append and the summary
+    append_rows(spark, "farmer", inserted_farmers(classified), tables_root, before)
     return upload_summary(classified)

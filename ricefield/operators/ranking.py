@@ -24,7 +24,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ricefield.operators.joins import small_side
 from ricefield.session import checkpoint_dir
 
 
@@ -67,12 +66,8 @@ def sequence_number(
     if not part:
         # One row per range partition: the size bound is the partition count.
         offsets = F.broadcast(offsets)
-    else:
-        # At most one row per (range partition, group): count it and broadcast it when
-        # small, so the tagged rows are never shuffled; beyond the bound the join
-        # shuffles both sides.  It is cached, not checkpointed: it is recomputed
-        # deterministically from the tagged checkpoint if an executor is lost.
-        offsets = small_side(offsets.persist())
+    # With groups: at most #partitions + #groups rows; Spark broadcasts them when their size
+    # in bytes allows it and shuffles both sides otherwise.
     cond = [tagged["_rf_pid"] == offsets["_rf_opid"]] + [
         tagged[p].eqNullSafe(offsets[f"_rf_g_{i}"]) for i, p in enumerate(part)
     ]

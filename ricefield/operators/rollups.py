@@ -33,7 +33,7 @@ def association_rollup(tables: Tables) -> DataFrame:
 
     Columns: season, id, municipality_id, name, farmers, area, sacks, kg.
     """
-    t = association_totals(tables.farmer)
+    t = association_totals(tables.farmer) if tables.totals is None else tables.totals
     a = tables.association
     j = a.join(t, (a.season == t.season) & (a.id == t.association_id), "left")
     return j.select(
@@ -88,12 +88,15 @@ def season_totals(tables: Tables, seasons: list[str]) -> DataFrame:
     cond = F.col("season").isin(seasons)
     m = tables.municipality.where(cond).groupBy("season").agg(F.count(F.lit(1)).alias("municipalities"))
     a = tables.association.where(cond).groupBy("season").agg(F.count(F.lit(1)).alias("associations"))
-    f = tables.farmer.where(cond).groupBy("season").agg(
-        F.count(F.lit(1)).alias("farmers"),
-        F.sum("area").alias("area"),
-        F.sum("sacks").alias("sacks"),
-        F.sum(production_kg()).alias("kg"),
-    )
+    if tables.totals is not None:
+        f = tables.totals.where(cond).groupBy("season").agg(*[F.sum(c).alias(c) for c in ("farmers", "area", "sacks", "kg")])
+    else:
+        f = tables.farmer.where(cond).groupBy("season").agg(
+            F.count(F.lit(1)).alias("farmers"),
+            F.sum("area").alias("area"),
+            F.sum("sacks").alias("sacks"),
+            F.sum(production_kg()).alias("kg"),
+        )
     s = _seasons(spark, seasons)
     out = s.join(m, "season", "left").join(a, "season", "left").join(f, "season", "left")
     return out.select(
@@ -233,9 +236,19 @@ def association_listing(tables: Tables, newest_first: bool = False) -> DataFrame
     return sequence_number(r, order, partition_by=["season"])
 
 
-def municipality_associations(tables: Tables) -> DataFrame:
-    """Associations of each municipality by name with farmer count, area, sacks and kg
-    (raw sums); ``pos`` restarts per (season, municipality)."""
+def municipality_associations(
+    tables: Tables, season: str | None = None, municipality_id: int | None = None, with_pos: bool = True
+) -> DataFrame:
+    """Associations of each municipality (or of one, by ``season`` and ``municipality_id``) by
+    name with farmer count, area, sacks and kg (raw sums); ``pos`` restarts per (season,
+    municipality).  The ids become filters of the association scan, and only farmers of
+    the associations found are aggregated."""
+    if season is not None:
+        tables = tables.season(season)
+    if municipality_id is not None:
+        own = tables.association.where(F.col("municipality_id") == municipality_id)
+        keys = own.select("season", F.col("id").alias("association_id"))
+        tables = tables.with_(association=own, farmer=tables.farmer.join(keys, ["season", "association_id"], "left_semi"))
     ar = association_rollup(tables).select(
         "season",
         "municipality_id",
@@ -246,7 +259,12 @@ def municipality_associations(tables: Tables) -> DataFrame:
         F.col("sacks").alias("total_sacks"),
         F.col("kg").alias("total_kg"),
     )
-    return sequence_number(ar, ["name", "id"], partition_by=["season", "municipality_id"])
+    return sequence_number(ar, ["name", "id"], partition_by=["season", "municipality_id"]) if with_pos else ar
+
+
+def first_rows(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows in a total order: a look at a table."""
+    return df.orderBy(*order).limit(n)
 
 
 def municipality_totals(tables: Tables) -> DataFrame:

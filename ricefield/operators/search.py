@@ -20,6 +20,7 @@ from ricefield.sources.model import FARMER, Tables
 FARMER_COLS = [f.name for f in FARMER.fields]
 PER_PAGE = 15  # fixed value: report page size
 LIST_CAP = 100  # fixed value: farmer list size on the season pages
+LIST_PARTS = 64  # parts of a season that are cut to the list size side by side
 
 
 def _parents(tables: Tables):
@@ -60,17 +61,35 @@ def farmer_search(
     return j.select(*FARMER_COLS, "association", "municipality", _label(labels).alias("season_label"))
 
 
-def association_farmers(tables: Tables, term: str = "", case_sensitive: bool = False) -> DataFrame:
-    """Farmer list of every existing association, optionally filtered by ``term`` on
+def farmer_by_id(tables: Tables, season: str, farmer_id: int) -> DataFrame:
+    """The farmer row with this id in this season (none when there is none)."""
+    return tables.farmer.where((F.col("season") == season) & (F.col("id") == farmer_id)).select(*FARMER_COLS)
+
+
+def association_farmers(
+    tables: Tables,
+    term: str = "",
+    case_sensitive: bool = False,
+    season: str | None = None,
+    association_id: int | None = None,
+    with_pos: bool = True,
+) -> DataFrame:
+    """Farmer list of every existing association (or of one, by ``season`` and
+    ``association_id``, which become filters of the scan), optionally filtered by ``term`` on
     RSBSA / last / first name, ordered by last name, first name (NULLs first), id;
     ``pos`` restarts per (season, association).  Adds per-row production
     (``total_kg`` = bags x kg per bag, missing factors as 0; ``total_mt``) and display
-    columns with '-' for a blank RSBSA or middle name."""
+    columns with '-' for a blank RSBSA or middle name.  ``with_pos=False`` leaves out the
+    position (and the sort and checkpoint that it needs)."""
     term = term.strip()
-    f = tables.farmer
+    f, a = tables.farmer, tables.association
+    if season is not None:
+        f, a = f.where(F.col("season") == season), a.where(F.col("season") == season)
+    if association_id is not None:
+        f, a = f.where(F.col("association_id") == association_id), a.where(F.col("id") == association_id)
     if term:
         f = f.where(contains_any(["rsbsa", "last_name", "first_name"], term, case_sensitive))
-    a = tables.association.select(F.col("season").alias("a_season"), F.col("id").alias("a_id"))
+    a = a.select(F.col("season").alias("a_season"), F.col("id").alias("a_id"))
     f = f.join(a, (f.season == a.a_season) & (f.association_id == a.a_id), "left_semi")
     order = [F.asc_nulls_first("last_name"), F.asc_nulls_first("first_name"), "id"]
     per_row_kg = F.coalesce(F.col("sacks"), F.lit(0.0)) * F.coalesce(F.col("kg"), F.lit(0.0))
@@ -81,15 +100,20 @@ def association_farmers(tables: Tables, term: str = "", case_sensitive: bool = F
         display_or("rsbsa").alias("rsbsa_display"),
         display_or("middle_name").alias("middle_name_display"),
     )
-    return sequence_number(rows, order, partition_by=["season", "association_id"])
+    return sequence_number(rows, order, partition_by=["season", "association_id"]) if with_pos else rows
 
 
 def farmer_list(tables: Tables, limit: int = LIST_CAP) -> DataFrame:
     """First ``limit`` farmers per season by last name, first name, id, with association
-    and municipality names (left joins keep orphans).  The limit runs before the joins
-    as a per-partition top-k (WindowGroupLimit), so only ``limit`` rows per season move."""
-    w = Window.partitionBy("season").orderBy(F.asc_nulls_first("last_name"), F.asc_nulls_first("first_name"), "id")
-    top = tables.farmer.withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= limit)
+    and municipality names (left joins keep orphans).  The limit runs before the joins in
+    two steps, whatever its size: the first ``limit`` of each of ``LIST_PARTS`` parts of a
+    season, then the first ``limit`` of these."""
+    order = [F.asc_nulls_first("last_name"), F.asc_nulls_first("first_name"), "id"]
+    part = F.pmod(F.xxhash64("id"), F.lit(LIST_PARTS))
+    some = tables.farmer.withColumn("_part", part)
+    some = some.withColumn("_rank", F.row_number().over(Window.partitionBy("season", "_part").orderBy(*order)))
+    some = some.where(F.col("_rank") <= limit).drop("_part", "_rank")
+    top = some.withColumn("pos", F.row_number().over(Window.partitionBy("season").orderBy(*order)).cast("long")).where(F.col("pos") <= limit)
     a, m = _parents(tables)
     j = top.join(a, (top.season == a.a_season) & (top.association_id == a.a_id), "left")
     j = j.join(m, (j.a_season == m.m_season) & (j.a_municipality_id == m.m_id), "left")
@@ -216,6 +240,10 @@ class ReportView:
     municipalities: DataFrame
     rows: DataFrame
 
+    def close(self) -> None:
+        """Give the cached rows back."""
+        self.rows.unpersist()
+
 
 def report(
     tables: Tables,
@@ -229,7 +257,7 @@ def report(
     """Everything the report page shows, from one filtered record set: statistics, the
     page, paging metadata and the municipality list.  The filtered set is cached
     (it is recomputed deterministically if lost), so statistics and page do not each
-    redo the joins and filters."""
+    redo the joins and filters; ``close`` on the result drops the cache."""
     rows = report_rows(tables, season, municipality, search, labels, case_sensitive).persist()
     stats = report_stats(rows)
     return ReportView(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ricefield.operators import changes, compare, ingest, rollups, search
 from ricefield.sinks import exports
@@ -31,16 +32,9 @@ REPORT_PAGE = 3
 UPLOAD_SCOPES = {"wet": "season", "dry": "association"}
 
 
-_MODELS: dict = {}
-
-
 def _t(spark: SparkSession, sf_dir: str, with_variety: bool = False):
-    """The stand-in model tables as lazy DataFrames, built once per session and folder
-    (plan construction only; every action still reads the parquet files)."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, with_variety)
-    if key not in _MODELS:
-        _MODELS[key] = dt.model_tables(spark, sf_dir, with_variety=with_variety)
-    return _MODELS[key]
+    """The stand-in model tables as lazy DataFrames."""
+    return dt.model_tables(spark, sf_dir, with_variety=with_variety)
 
 
 # ----------------------------------------------------------------- rollups
@@ -133,6 +127,29 @@ def association_farmer_search(spark, sf_dir):
     return search.association_farmers(_t(spark, sf_dir), ASSOCIATION_SEARCH_TERM)
 
 
+# One association, one municipality and one farmer, by id.
+ONE_ASSOCIATION, ONE_MUNICIPALITY, ONE_FARMER = ("wet", 7), ("dry", 3), ("wet", 3)
+
+
+def association_farmers_one(spark, sf_dir):
+    season, i = ONE_ASSOCIATION
+    return search.association_farmers(_t(spark, sf_dir), season=season, association_id=i)
+
+
+def municipality_associations_one(spark, sf_dir):
+    season, i = ONE_MUNICIPALITY
+    return rollups.municipality_associations(_t(spark, sf_dir), season, i)
+
+
+def farmer_by_id(spark, sf_dir):
+    return search.farmer_by_id(_t(spark, sf_dir), *ONE_FARMER)
+
+
+def association_sample(spark, sf_dir):
+    """The first five associations by season and id."""
+    return rollups.first_rows(_t(spark, sf_dir).association, ["season", "id"])
+
+
 def farmer_top100(spark, sf_dir):
     return search.farmer_list(_t(spark, sf_dir))
 
@@ -151,6 +168,11 @@ def report_page(spark, sf_dir):
     return search.report_page(_report_rows(spark, sf_dir), REPORT_PAGE)
 
 
+def report_stats_wet(spark, sf_dir):
+    """The report of one season."""
+    return search.report_stats(search.report_rows(_t(spark, sf_dir), season="wet", search=REPORT_SEARCH))
+
+
 def report_page_info(spark, sf_dir):
     return search.report_page_info(search.report_stats(_report_rows(spark, sf_dir)), REPORT_PAGE)
 
@@ -162,14 +184,14 @@ def municipality_names(spark, sf_dir):
 # ------------------------------------------------------------------ upload
 
 
-def _classified(spark, sf_dir):
+def _classified(spark, sf_dir, ids=True):
     raw = dt.upload_rows(spark, sf_dir)
     cleaned = ingest.clean_upload(raw, template="full", keep=["season", "association_id", "line"])
     existing = dt.existing_farmers(spark, sf_dir)
     # wet dedupes RSBSA over the whole season, dry within the target association
     # the cleaned upload is checkpointed once (durable=True): it is read by the key
     # count, the key aggregate and the join, and is small next to the table
-    return ingest.classify_upload(cleaned, existing, ["line"], scope=UPLOAD_SCOPES, durable=True)
+    return ingest.classify_upload(cleaned, existing, ["line"], scope=UPLOAD_SCOPES, durable=True, ids=ids)
 
 
 def upload_classified(spark, sf_dir):
@@ -177,13 +199,74 @@ def upload_classified(spark, sf_dir):
 
 
 def upload_summary(spark, sf_dir):
-    return ingest.upload_summary(_classified(spark, sf_dir))
+    return ingest.upload_summary(_classified(spark, sf_dir, ids=False))
 
 
 def upload_apply(spark, sf_dir):
-    """Farmer table after the upload: rows per season (existing + inserted)."""
+    """Farmer table after the upload (existing and inserted rows)."""
     table = ingest.apply_upload(dt.existing_farmers(spark, sf_dir), _classified(spark, sf_dir))
-    return changes.table_counts({"farmer": table})
+    return changes.table_rows({"farmer": table})
+
+
+def _sheets(spark, sf_dir, root, names):
+    """The upload rows as CSV files below a preferred sub-folder: one folder for every value
+    of line % 3, each with its columns in another order."""
+    raw = dt.upload_rows(spark, sf_dir)
+    if names:
+        raw = raw.select("season", "association_id", "line", *[F.col(f"`{old}`").alias(new) for old, new in names.items()])
+    columns = raw.columns
+    for k in range(3):
+        out = raw.where(F.col("line") % 3 == k).select(*[F.col(f"`{c}`") for c in columns[k * 5 :] + columns[: k * 5]])
+        writer = out.write.option("header", True).option("escape", '"').option("emptyValue", "")
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/sheets/NRP DISTRIBUTION/{k}")
+    return f"{root}/sheets"
+
+
+def _read_sheets(spark, sf_dir, template, names=None):
+    from ricefield.sinks.tables import work_dir
+
+    raw = ingest.read_upload(spark, _sheets(spark, sf_dir, work_dir(spark), names), template=template)
+    cleaned = ingest.clean_upload(raw, template=template, keep=["season", "association_id", "line"])
+    return cleaned.withColumn("association_id", F.col("association_id").cast("long")).withColumn("line", F.col("line").cast("long"))
+
+
+def upload_csv(spark, sf_dir):
+    """The upload read from CSV files with different column orders, classified."""
+    cleaned = _read_sheets(spark, sf_dir, "full")
+    classified = ingest.classify_upload(cleaned, dt.existing_farmers(spark, sf_dir), ["line"], scope=UPLOAD_SCOPES)
+    return classified.drop("key", "skipped")
+
+
+# Headers of the short template and the sheet columns that stand under them here.
+SHORT_SHEET = {
+    " FFRS RSBSA Number": "RSBSA",
+    "Farmer Last Name ": "LastName",
+    "FARMER FIRST NAME": " First Name",
+    "Farmer Middle Name": "Middle Name",
+    "Farmer Ext Name": "Suffix",
+    "Seed Variety Claimed": "Variety",
+    "Claimed Area (ha)": "Area",
+    "Average Weight per Bag (kg) - for all variety(ies)": "KG",
+    "Total Production (no. of bags) - for all variety(ies)": "Sacks",
+}
+
+
+def upload_short(spark, sf_dir):
+    """The short template, read from CSV files and cleaned."""
+    return _read_sheets(spark, sf_dir, "short", SHORT_SHEET).drop("key")
+
+
+def upload_commit(spark, sf_dir):
+    """Run the upload job on written CSV files against a store: the farmer table afterwards."""
+    from ricefield.sinks import tables as tj
+    from ricefield.sources.model import read_table
+
+    root = tj.work_dir(spark)
+    tj.write_staged(spark, _t(spark, sf_dir).with_(farmer=dt.existing_farmers(spark, sf_dir)), f"{root}/live")
+    ingest.run_upload(spark, _sheets(spark, sf_dir, root, None), f"{root}/live", scope=UPLOAD_SCOPES)
+    # ids follow the order of the files, which writers may name as they like
+    farmer = read_table(spark, f"{root}/live", "farmer")
+    return farmer.groupBy("season").agg(F.count(F.lit(1)).alias("rows"), F.sum("id").alias("ids"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
 # ------------------------------------------------------------- change-sets
@@ -196,36 +279,42 @@ def insert_farmers(spark, sf_dir):
     return outcome
 
 
-def update_farmers(spark, sf_dir):
+def insert_farmers_table(spark, sf_dir):
+    """The farmer table after the insertions."""
     existing = dt.existing_farmers(spark, sf_dir)
+    proposals = changes.form_rows(dt.form_inserts(spark, sf_dir))
+    table, _ = changes.insert_farmers(existing, proposals, order=["line"], association=_t(spark, sf_dir).association)
+    return table
+
+
+def update_farmers(spark, sf_dir):
     edits = changes.form_rows(dt.edit_rows(spark, sf_dir))
-    table, _ = changes.update_farmers(existing, edits, order=["line"])
+    table, _ = changes.update_farmers(dt.farmer(spark, sf_dir), edits, order=["line"])
     return table
 
 
 def update_farmer_outcomes(spark, sf_dir):
-    existing = dt.existing_farmers(spark, sf_dir)
     edits = changes.form_rows(dt.edit_rows(spark, sf_dir))
-    _, outcome = changes.update_farmers(existing, edits, order=["line"])
+    _, outcome = changes.update_farmers(dt.farmer(spark, sf_dir), edits, order=["line"])
     return outcome
 
 
 def delete_farmers(spark, sf_dir):
     t = _t(spark, sf_dir)
     table, _ = changes.delete_farmers(t.farmer, dt.farmer_deletions(spark, sf_dir))
-    return changes.table_counts({"farmer": table})
+    return changes.table_rows({"farmer": table})
 
 
 def delete_association_cascade(spark, sf_dir):
     t = _t(spark, sf_dir)
     out, _ = changes.delete_associations(t, dt.association_deletions(spark, sf_dir))
-    return changes.table_counts(dict(out.items()))
+    return changes.table_rows(dict(out.items()))
 
 
 def delete_municipality_cascade(spark, sf_dir):
     t = _t(spark, sf_dir)
     out, _ = changes.delete_municipalities(t, dt.municipality_deletions(spark, sf_dir))
-    return changes.table_counts(dict(out.items()))
+    return changes.table_rows(dict(out.items()))
 
 
 def add_associations_unique(spark, sf_dir):
@@ -256,6 +345,22 @@ def rename_associations(spark, sf_dir):
     return outcome
 
 
+def add_associations_table(spark, sf_dir):
+    """The association table after the unique additions."""
+    t = _t(spark, sf_dir)
+    table, _ = changes.add_associations(
+        t.association, dt.association_proposals(spark, sf_dir), ["src", "line"], unique=True, municipality=t.municipality
+    )
+    return table
+
+
+def rename_associations_table(spark, sf_dir):
+    """The association table after the unique renames."""
+    t = _t(spark, sf_dir)
+    table, _ = changes.rename_associations(t.association, dt.association_renames(spark, sf_dir), ["line"], unique=True)
+    return table
+
+
 def add_municipalities(spark, sf_dir):
     t = _t(spark, sf_dir)
     _, outcome = changes.add_municipalities(t.municipality, dt.municipality_proposals(spark, sf_dir), ["src", "line"], unique=False)
@@ -292,6 +397,26 @@ def short_export(spark, sf_dir):
     return exports.short_rows(t.farmer, t.association)
 
 
+def template_export_files(spark, sf_dir):
+    """The template export as written to files, read back."""
+    from ricefield.sinks.tables import work_dir
+
+    path = f"{work_dir(spark)}/template"
+    exports.write_template_export(exports.template_rows(_t(spark, sf_dir).farmer, with_pos=False), path)
+    return exports.read_written(spark, path, exports.TEMPLATE_EXPORT, "season string, association_id long")
+
+
+def short_export_files(spark, sf_dir):
+    """The short export as written to files, read back; some associations of different
+    municipalities share a name."""
+    from ricefield.sinks.tables import work_dir
+
+    t, path = _t(spark, sf_dir), f"{work_dir(spark)}/short"
+    renamed = t.association.withColumn("name", F.when(F.col("id") % 4 == 0, F.lit("Rice One")).otherwise(F.col("name")))
+    exports.write_short_export(exports.short_rows(t.farmer, renamed, with_pos=False), path)
+    return exports.read_written(spark, path, exports.SHORT_EXPORT, "season string, association_id long, file_stem string")
+
+
 # ------------------------------------------------------------ table jobs
 
 
@@ -307,7 +432,7 @@ def _live(spark, sf_dir):
 
 def snapshot_restore(spark, sf_dir):
     """Snapshot the tables, delete region-2 municipalities (cascade), restore the
-    snapshot: row counts per table and season after the restore."""
+    snapshot: all rows after the restore."""
     from ricefield.sources.model import read_tables
 
     tj, root, live = _live(spark, sf_dir)
@@ -315,22 +440,35 @@ def snapshot_restore(spark, sf_dir):
     t = read_tables(spark, live)
     changed, _ = changes.delete_municipalities(t, dt.municipality_deletions(spark, sf_dir))
     tj.write_staged(spark, changed, live, verify=False)
-    return tj.restore(spark, f"{root}/snapshots", ts, live)
+    tj.restore(spark, f"{root}/snapshots", ts, live)
+    return changes.table_rows(dict(read_tables(spark, live).items()))
 
 
-def import_replace(spark, sf_dir):
-    """Export the tables as CSV, then replace-import them into the live folder."""
+def snapshot_list(spark, sf_dir):
+    """Two snapshots with fixed names: what the listing says of them (without sizes)."""
     tj, root, live = _live(spark, sf_dir)
+    for ts in ("20260101_080000", "20260201_080000"):
+        tj.snapshot(spark, live, f"{root}/snapshots", ts=ts)
+    return tj.list_snapshots(spark, f"{root}/snapshots").select("ts", "table_name", "rows")
+
+
+def import_replace(spark, sf_dir):
+    """Export the tables as CSV, replace-import them into the live folder: all rows."""
     from ricefield.sources.model import read_tables
 
+    tj, root, live = _live(spark, sf_dir)
     tj.export_tables(read_tables(spark, live), f"{root}/export", fmt="csv")
-    return tj.import_replace(spark, f"{root}/export", live, fmt="csv")
+    tj.import_replace(spark, f"{root}/export", live, fmt="csv")
+    return changes.table_rows(dict(read_tables(spark, live).items()))
 
 
 def table_copy(spark, sf_dir):
-    """Copy all tables to a second store with a per-table row-count check."""
+    """Copy all tables to a second store: all rows there."""
+    from ricefield.sources.model import read_tables
+
     tj, root, live = _live(spark, sf_dir)
-    return tj.copy_tables(spark, live, f"{root}/copy")
+    tj.copy_tables(spark, live, f"{root}/copy")
+    return changes.table_rows(dict(read_tables(spark, f"{root}/copy").items()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -356,14 +494,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "farmer_search",
         "association_farmer_search",
         "farmer_top100",
+        "association_farmers_one",
+        "municipality_associations_one",
+        "farmer_by_id",
+        "association_sample",
         "report_stats",
+        "report_stats_wet",
         "report_page",
         "report_page_info",
         "municipality_names",
         "upload_classified",
         "upload_summary",
         "upload_apply",
+        "upload_csv",
+        "upload_short",
+        "upload_commit",
         "insert_farmers",
+        "insert_farmers_table",
         "update_farmers",
         "update_farmer_outcomes",
         "delete_farmers",
@@ -371,15 +518,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "delete_municipality_cascade",
         "add_associations",
         "add_associations_unique",
+        "add_associations_table",
         "rename_associations",
         "rename_associations_unique",
+        "rename_associations_table",
         "add_municipalities",
         "add_municipalities_unique",
         "rename_municipalities",
         "seed_varieties",
         "template_export",
         "short_export",
+        "template_export_files",
+        "short_export_files",
         "snapshot_restore",
+        "snapshot_list",
         "import_replace",
         "table_copy",
     ]

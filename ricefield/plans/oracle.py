@@ -1,19 +1,33 @@
 """DuckDB SQL for every registered query (the correctness oracle).
 
 Each statement rebuilds the model tables from the driver's views with the same
-mapping as ``sources.driver_tables`` (``MODEL_SQL``) and computes the result the
-plain-SQL way the reference does it (COUNT(DISTINCT) over joined rows, UNION ALL of
-LEFT JOIN and anti join, correlated EXISTS probes, window row numbers).
+mapping as ``sources.driver_tables`` (``MODEL_SQL``) and states the rules of SURVEY once
+more in SQL; patterns, marks and column maps are written out here and not taken from the
+library's code.
 """
 
 from __future__ import annotations
 
-from ricefield.functions.exprs import NUMBER_PATTERN as NUMBER_PATTERN_SQL
 from ricefield.plans import catalog as C
-from ricefield.sinks.exports import SHORT_EXPORT, TEMPLATE_EXPORT, column_name
-from ricefield.functions.exprs import MISSING_TOKENS
 from ricefield.sources.driver_tables import MODEL_SQL, UPLOAD_CUTOFF, UPLOAD_SQL
-from ricefield.sources.model import SEED_VARIETIES
+
+# Seed varieties in order; cell texts of the stand-in sheet that mean
+# "missing"; export columns and the farmer field under each.
+SEED_VARIETIES = ["Bigante", "Lp2096", "Nk 5017", "S6003", "SL 20", "SL 19", "JACKPOT", "SL 8", "TH 82"]
+MISSING = ["", "nan", "n/a"]
+TEMPLATE_COLUMNS = {
+    "ffrs_rsbsa_number": "rsbsa", "farmer_last_name": "last_name", "farmer_first_name": "first_name",
+    "farmer_middle_name": "middle_name", "farmer_ext_name": "suffix", "farm_address_province": "",
+    "farm_address_municipality": "", "seed_variety_claimed": "variety", "claimed_area_ha": "area", "claimed_seeds_kg": "",
+    "lot_series": "", "sex": "", "birthdate": "", "contact_number": "", "crop_establishment": "", "eco_system": "",
+    "eco_system_source": "", "date_of_sowing": "", "average_weight_per_bag_kg_for_all_variety_ies": "kg",
+    "total_production_no_of_bags_for_all_variety_ies": "sacks", "average_area_harvested_ha": "area",
+    "seed_variety_planted": "variety", "seed_class_hybrid_inbred_etc": "",
+}
+SHORT_COLUMNS = {
+    "id": "id", "rsbsa": "rsbsa", "last_name": "last_name", "first_name": "first_name", "middle_name": "middle_name",
+    "suffix": "suffix", "area_ha": "area", "variety": "variety", "sacks": "sacks", "kilograms": "kg",
+}
 
 Z = "CAST(0 AS DOUBLE)"
 
@@ -49,22 +63,26 @@ def LIKE(col: str, term: str) -> str:
     return f"coalesce({col} ILIKE '%{term}%', false)"
 
 
-_TOKENS = ", ".join("'" + t + "'" for t in MISSING_TOKENS)
+_MISSING = ", ".join(f"'{t}'" for t in MISSING)
+DECIMAL = "[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[-+]?[0-9]+)?"
+GROUPED = "[-+]?[0-9][0-9_]*([.][0-9_]*)?(e[-+]?[0-9]+)?"
 
 
 def TEXT(x: str) -> str:
-    return f"(CASE WHEN {x} IS NULL OR {x} IN ({_TOKENS}) THEN '' ELSE {STRIP(x)} END)"
+    return f"coalesce({STRIP(f'CASE WHEN {x} NOT IN ({_MISSING}) THEN {x} END')}, '')"
 
 
 def NUM(x: str) -> str:
-    return (
-        f"coalesce(CASE WHEN regexp_full_match({x}, '{NUMBER_PATTERN_SQL}') "
-        f"THEN TRY_CAST(trim({x}) AS DOUBLE) END, {Z})"
-    )
+    """A cell's number, 0 for anything else."""
+    return f"(CASE WHEN regexp_full_match(lower(trim({x})), '{DECIMAL}') THEN CAST(trim({x}) AS DOUBLE) ELSE {Z} END)"
 
 
 def FORMNUM(x: str) -> str:
-    return f"(CASE WHEN {x} IS NULL OR trim({x}) = '' THEN {Z} ELSE TRY_CAST(trim({x}) AS DOUBLE) END)"
+    """A typed number, 0 when nothing was typed, NULL when it can't be read."""
+    return (
+        f"(CASE coalesce({x}, '') WHEN '' THEN {Z} ELSE "
+        f"CASE WHEN regexp_full_match(lower(trim({x})), '{GROUPED}') THEN TRY_CAST(replace(trim({x}), '_', '') AS DOUBLE) END END)"
+    )
 
 
 def W(body: str, *ctes: str) -> str:
@@ -132,32 +150,27 @@ cmp AS (
 )"""
 
 
-def _assoc_side(season: str, name: str) -> str:
-    return f"""
-{name} AS (
-    SELECT wa.id AS association_id, wm.name AS municipality, lower(trim(wm.name)) AS mkey,
-           wa.name AS association, lower(trim(wa.name)) AS akey, count(wf.id) AS farmers,
-           coalesce(sum(wf.area), 0) AS area, coalesce(sum(wf.sacks * wf.kg), 0) / 1000.0::DOUBLE AS mt
-    FROM assoc wa
-    JOIN muni wm ON wm.season = wa.season AND wm.id = wa.municipality_id
-    LEFT JOIN farmer wf ON wf.season = wa.season AND wf.association_id = wa.id
-    WHERE wa.season = '{season}'
-    GROUP BY wa.id, wm.name, wa.name
+# Every association with its municipality's name and what its farmers made.
+PLACES = """
+made AS (
+    SELECT season, association_id, count(*) AS n, sum(area) AS area, sum(sacks * kg) AS kg FROM farmer GROUP BY ALL
+),
+place AS (
+    SELECT assoc.season, assoc.id AS association_id, muni.name AS town, assoc.name AS coop,
+           row(lower(trim(muni.name)), lower(trim(assoc.name))) AS pair,
+           coalesce(made.n, 0) AS n, coalesce(made.area, 0) AS area, coalesce(made.kg, 0) / 1000.0::DOUBLE AS mt
+    FROM assoc
+    JOIN muni ON row(muni.season, muni.id) = row(assoc.season, assoc.municipality_id)
+    LEFT JOIN made ON row(made.season, made.association_id) = row(assoc.season, assoc.id)
 )"""
 
-
-REPORT_ROWS = f"""
+REPORT_ROWS = PLACES + f""",
 rows_ AS (
-    SELECT CASE f.season WHEN 'wet' THEN 'Wet' WHEN 'dry' THEN 'Dry' END AS season, f.id,
-           trim(coalesce(f.last_name, '') || ', ' || coalesce(f.first_name, '') || ' ' || coalesce(f.middle_name, ''))
-               AS farmer_name,
-           m.name AS municipality, a.name AS association,
-           coalesce(f.area, 0) AS area_hectares,
-           coalesce(f.sacks * f.kg, 0) / 1000.0::DOUBLE AS estimated_yield_tons,
-           'Active' AS status
-    FROM farmer f
-    JOIN assoc a ON a.season = f.season AND a.id = f.association_id
-    JOIN muni m ON m.season = a.season AND m.id = a.municipality_id
+    SELECT upper(left(season, 1)) || substr(season, 2) AS season, id,
+           trim(concat(last_name, ', ', first_name, ' ', middle_name)) AS farmer_name,
+           town AS municipality, coop AS association, coalesce(farmer.area, 0) AS area_hectares,
+           coalesce(sacks * kg, 0) / 1000.0::DOUBLE AS estimated_yield_tons, 'Active' AS status
+    FROM farmer JOIN place USING (season, association_id)
 ),
 filtered AS (
     SELECT * FROM rows_
@@ -209,12 +222,13 @@ classified AS (
 )"""
 
 
+TYPED_SACKS = """CASE o_orderkey % 13 WHEN 0 THEN 'x' WHEN 1 THEN '12d' WHEN 2 THEN '   ' WHEN 3 THEN '1_0' WHEN 4 THEN ''
+                WHEN 5 THEN ' 1.5e1 ' ELSE CAST(o_orderkey % 50 AS VARCHAR) END"""
+
 FORM_INSERTS = f"""
 fi AS (
     SELECT season, association_id, id AS line, rsbsa, ' ' || last_name AS last_name, first_name, middle_name, suffix,
-           CAST(o_orderkey % 7 AS VARCHAR) AS area, variety,
-           CASE WHEN o_orderkey % 13 = 0 THEN 'x' WHEN o_orderkey % 13 = 4 THEN ''
-                ELSE CAST(o_orderkey % 97 AS VARCHAR) END AS sacks,
+           CAST(o_orderkey % 7 AS VARCHAR) AS area, variety, {TYPED_SACKS} AS sacks,
            CASE WHEN kg IS NULL THEN NULL ELSE CAST(CAST(kg AS BIGINT) AS VARCHAR) END AS kg
     FROM farmer_src WHERE o_orderdate >= TIMESTAMP '{UPLOAD_CUTOFF}'
 ),
@@ -233,24 +247,32 @@ def _typed(src: str, keep: str) -> str:
 
 
 EDITS = f"""
-ed AS (
-    SELECT season, id, id AS line, upper(trim(rsbsa)) AS rsbsa, ' ' || lower(last_name) || ' ' AS last_name,
-           first_name, '' AS middle_name, 'Jr.' AS suffix, CAST(o_orderkey % 9 AS VARCHAR) AS area,
-           'SL 19' AS variety,
-           CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE CAST(o_orderkey % 50 AS VARCHAR) END AS sacks, '' AS kg
+e1 AS (
+    SELECT season, id + CASE WHEN o_orderkey % 5 = 0 THEN 1000000000 ELSE 0 END AS id, id * 2 AS line,
+           upper(trim(rsbsa)) AS rsbsa, ' ' || lower(last_name) || ' ' AS last_name, first_name, '' AS middle_name,
+           'Jr.' AS suffix, CAST(o_orderkey % 9 AS VARCHAR) AS area, 'SL 19' AS variety, {TYPED_SACKS} AS sacks, '' AS kg,
+           o_orderkey % 7 = 0 AS twice
     FROM farmer_src WHERE o_orderpriority = '1-URGENT'
 ),
+ed AS (
+    SELECT * EXCLUDE (twice) FROM e1
+    UNION ALL
+    SELECT * EXCLUDE (twice) REPLACE (line + 1 AS line, 'Sr.' AS suffix, '7' AS sacks) FROM e1 WHERE twice
+),
 typed AS ({_typed('ed', 'season, id, line')}),
-existing AS (
-    SELECT {FARMER_COLS} FROM farmer_src WHERE o_orderdate < TIMESTAMP '{UPLOAD_CUTOFF}'
-)"""
-
-
-def _counts(tables: dict[str, str]) -> str:
-    parts = [
-        f"SELECT '{name}' AS table_name, season, count(*) AS rows FROM {rel} GROUP BY season"
-        for name, rel in tables.items()
-    ]
+winner AS (SELECT * FROM typed WHERE valid QUALIFY row_number() OVER (PARTITION BY season, id ORDER BY line DESC) = 1)"""
+
+
+def _rows(tables: dict[str, str]) -> str:
+    """All rows of model tables in one shape."""
+    parts = []
+    for name, rel in tables.items():
+        parent = {"association": "municipality_id", "farmer": "association_id"}.get(name, "CAST(NULL AS BIGINT)")
+        if name == "farmer":
+            rest = "concat_ws('|', rsbsa, last_name, first_name, middle_name, suffix, variety) AS name, area, sacks, kg"
+        else:
+            rest = "name, CAST(NULL AS DOUBLE) AS area, CAST(NULL AS DOUBLE) AS sacks, CAST(NULL AS DOUBLE) AS kg"
+        parts.append(f"SELECT '{name}' AS table_name, season, id, CAST({parent} AS BIGINT) AS parent_id, {rest} FROM {rel}")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -307,10 +329,20 @@ FROM (
     )
 
 
+def STEM(name: str) -> str:
+    """A file name from a text: lower case, accents dropped, blanks as _, nothing else odd."""
+    plain = f"regexp_replace(strip_accents(lower({name})), '\\s', '_', 'g')"
+    return f"trim(regexp_replace({plain}, '[^a-z0-9_.-]', '', 'g'), '._')"
+
+
+def CELL(x: str, number: bool) -> str:
+    """A value as the CSV files hold it and as it is read back."""
+    text = f"CASE WHEN {x} = floor({x}) THEN format('{{:.1f}}', {x}) ELSE CAST({x} AS VARCHAR) END" if number else f"CAST({x} AS VARCHAR)"
+    return f"nullif({text}, '')"
+
+
 def _template_sql() -> str:
-    cols = ", ".join(
-        (f"f.{field}" if field else "''") + f" AS {column_name(header)}" for header, field in TEMPLATE_EXPORT
-    )
+    cols = ", ".join((f"f.{field}" if field else "''") + f" AS {name}" for name, field in TEMPLATE_COLUMNS.items())
     return W(
         f"""
 SELECT f.season, f.association_id,
@@ -323,11 +355,8 @@ FROM farmer f"""
 
 
 def _short_sql() -> str:
-    cols = ", ".join(f"f.{field} AS {column_name(header)}" for header, field in SHORT_EXPORT)
-    slug = (
-        "regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(a.name)), ' ', '_', 'g'), "
-        "'\\s+', '_', 'g'), '[^A-Za-z0-9_.-]', '', 'g'), '^[._]+|[._]+$', '', 'g')"
-    )
+    cols = ", ".join(f"f.{field} AS {name}" for name, field in SHORT_COLUMNS.items())
+    slug = STEM("a.name")
     return W(
         f"""
 SELECT f.season, f.association_id,
@@ -482,25 +511,16 @@ def oracle_sql() -> dict[str, str]:
         MUNI_CMP,
     )
     q["association_comparison"] = W(
-        f"""SELECT municipality, base_association, current_association, base_farmers, current_farmers,
-               {R2('b_area')} AS base_area, {R2('c_area')} AS current_area,
-               {RATIO0('b_mt', 'b_area')} AS base_yield, {RATIO0('c_mt', 'c_area')} AS current_yield,
-               base_id, current_id,
-               row_number() OVER (ORDER BY municipality NULLS FIRST, base_association NULLS FIRST,
-                                  current_association NULLS FIRST, base_id NULLS FIRST, current_id NULLS FIRST) AS pos
-        FROM (
-            SELECT w.municipality, w.association AS base_association, d.association AS current_association,
-                   w.farmers AS base_farmers, coalesce(d.farmers, 0) AS current_farmers,
-                   w.area AS b_area, coalesce(d.area, 0) AS c_area, w.mt AS b_mt, coalesce(d.mt, 0) AS c_mt,
-                   w.association_id AS base_id, d.association_id AS current_id
-            FROM wd w LEFT JOIN dd d ON d.mkey = w.mkey AND d.akey = w.akey
-            UNION ALL
-            SELECT d.municipality, NULL, d.association, 0, d.farmers, 0, d.area, 0, d.mt, NULL, d.association_id
-            FROM dd d LEFT JOIN wd w ON w.mkey = d.mkey AND w.akey = d.akey
-            WHERE w.association_id IS NULL
-        )""",
-        _assoc_side("wet", "wd"),
-        _assoc_side("dry", "dd"),
+        f"""SELECT coalesce(x.town, y.town) AS municipality, x.coop AS base_association, y.coop AS current_association,
+               coalesce(x.n, 0) AS base_farmers, coalesce(y.n, 0) AS current_farmers,
+               {R2('coalesce(x.area, 0)')} AS base_area, {R2('coalesce(y.area, 0)')} AS current_area,
+               {RATIO0('coalesce(x.mt, 0)', 'coalesce(x.area, 0)')} AS base_yield,
+               {RATIO0('coalesce(y.mt, 0)', 'coalesce(y.area, 0)')} AS current_yield,
+               x.association_id AS base_id, y.association_id AS current_id,
+               row_number() OVER (ORDER BY coalesce(x.town, y.town), x.coop NULLS FIRST, y.coop NULLS FIRST,
+                                  x.association_id NULLS FIRST, y.association_id NULLS FIRST) AS pos
+        FROM (FROM place WHERE season = 'wet') x FULL OUTER JOIN (FROM place WHERE season = 'dry') y ON x.pair = y.pair""",
+        PLACES,
     )
     t = C.FARMER_SEARCH_TERM
     q["farmer_search"] = W(
@@ -561,10 +581,21 @@ def oracle_sql() -> dict[str, str]:
         UPLOAD_SQL,
         UPLOAD_CLEAN,
     )
-    q["upload_apply"] = W(
-        """SELECT 'farmer' AS table_name, season, count(*) AS rows FROM (
-               SELECT season FROM existing UNION ALL SELECT season FROM classified WHERE status = 'inserted')
-           GROUP BY season""",
+    after = f"after_ AS (SELECT {FARMER_COLS} FROM existing UNION ALL SELECT {FARMER_COLS} FROM classified WHERE status = 'inserted')"
+    q["upload_apply"] = W(_rows({"farmer": "after_"}), UPLOAD_SQL, UPLOAD_CLEAN, after)
+    q["upload_csv"] = q["upload_classified"]
+    # which of two equal keys comes first depends on the files, but one of them is inserted,
+    # and the new ids run on without a gap
+    q["upload_commit"] = W(
+        "SELECT season, count(*) AS rows, CAST(sum(id) AS BIGINT) AS ids, min(id) AS first, max(id) AS last FROM after_ GROUP BY season",
+        UPLOAD_SQL,
+        UPLOAD_CLEAN,
+        after,
+    )
+    q["upload_short"] = W(
+        """SELECT season, association_id, line, rsbsa, last_name, first_name, middle_name, suffix, area,
+                  CASE WHEN claimed_text IN ('', 'nan', 'n/a') THEN '' ELSE claimed_text END AS variety, sacks, kg, skipped
+           FROM k JOIN (SELECT season, line, claimed_text FROM upload_src) u USING (season, line)""",
         UPLOAD_SQL,
         UPLOAD_CLEAN,
     )
@@ -583,41 +614,48 @@ def oracle_sql() -> dict[str, str]:
         FORM_INSERTS,
         f"typed AS ({_typed('fi', 'season, association_id, line')})",
     )
-    upd_cols = ", ".join(
-        f"CASE WHEN t.id IS NOT NULL THEN t.{c} ELSE e.{c} END AS {c}"
-        for c in ["rsbsa", "last_name", "first_name", "middle_name", "suffix", "area", "variety", "sacks", "kg"]
+    q["insert_farmers_table"] = W(
+        f"""SELECT {FARMER_COLS} FROM existing
+           UNION ALL
+           SELECT season, coalesce(m, 0) + row_number() OVER (PARTITION BY season ORDER BY line), association_id, rsbsa, last_name,
+                  first_name, middle_name, suffix, area, variety, sacks, kg
+           FROM typed SEMI JOIN assoc a ON a.season = typed.season AND a.id = typed.association_id
+           LEFT JOIN (SELECT season AS s, max(id) AS m FROM existing GROUP BY season) mx ON mx.s = typed.season
+           WHERE valid""",
+        FORM_INSERTS,
+        f"typed AS ({_typed('fi', 'season, association_id, line')})",
     )
+    edited = ["rsbsa", "last_name", "first_name", "middle_name", "suffix", "area", "variety", "sacks", "kg"]
     q["update_farmers"] = W(
-        f"""SELECT e.season, e.id, e.association_id, {upd_cols}
-        FROM existing e LEFT JOIN (SELECT * FROM typed WHERE valid) t ON t.season = e.season AND t.id = e.id""",
+        f"""SELECT season, id, association_id, {', '.join('w.' + c for c in edited)} FROM farmer f JOIN winner w USING (season, id)
+        UNION ALL
+        SELECT season, id, association_id, {', '.join(edited)} FROM farmer f ANTI JOIN winner w USING (season, id)""",
         EDITS,
     )
     q["update_farmer_outcomes"] = W(
         """SELECT t.season, t.id, t.line, t.rsbsa, t.last_name, t.first_name, t.middle_name, t.suffix, t.variety,
                   t.area, t.sacks, t.kg,
-                  CASE WHEN NOT t.valid THEN 'invalid'
-                       WHEN NOT EXISTS (SELECT 1 FROM existing e WHERE e.season = t.season AND e.id = t.id) THEN 'not found'
-                       WHEN EXISTS (SELECT 1 FROM typed t2 WHERE t2.valid AND t2.season = t.season AND t2.id = t.id
-                                    AND t2.line > t.line) THEN 'superseded'
-                       ELSE 'updated' END AS status
-           FROM typed t""",
+                  CASE WHEN f.id IS NULL THEN 'not found' WHEN NOT t.valid THEN 'invalid'
+                       WHEN w.line = t.line THEN 'updated' ELSE 'superseded' END AS status
+           FROM typed t LEFT JOIN farmer f ON f.season = t.season AND f.id = t.id
+           LEFT JOIN winner w ON w.season = t.season AND w.id = t.id""",
         EDITS,
     )
     q["delete_farmers"] = W(
-        _counts({"farmer": "kept"}),
+        _rows({"farmer": "kept"}),
         """kept AS (SELECT * FROM farmer_src f WHERE NOT EXISTS (
                SELECT 1 FROM farmer_src d WHERE d.o_orderstatus = 'F' AND d.o_orderpriority = '2-HIGH'
                AND d.season = f.season AND d.id = f.id))""",
     )
     q["delete_association_cascade"] = W(
-        _counts({"municipality": "muni", "association": "a_kept", "farmer": "f_kept"}),
+        _rows({"municipality": "muni", "association": "a_kept", "farmer": "f_kept"}),
         """dels AS (SELECT 'wet' AS season, CAST(c_custkey AS BIGINT) AS id FROM customer WHERE c_mktsegment = 'AUTOMOBILE'),
         a_kept AS (SELECT * FROM assoc a WHERE NOT EXISTS (SELECT 1 FROM dels d WHERE d.season = a.season AND d.id = a.id)),
         f_kept AS (SELECT * FROM farmer f WHERE NOT EXISTS (
             SELECT 1 FROM dels d WHERE d.season = f.season AND d.id = f.association_id))""",
     )
     q["delete_municipality_cascade"] = W(
-        _counts({"municipality": "m_kept", "association": "a_kept", "farmer": "f_kept"}),
+        _rows({"municipality": "m_kept", "association": "a_kept", "farmer": "f_kept"}),
         """dels AS (SELECT s.season, CAST(n_nationkey AS BIGINT) AS id FROM nation, (VALUES ('wet'), ('dry')) s(season)
                     WHERE n_regionkey = 2),
         m_kept AS (SELECT * FROM muni m WHERE NOT EXISTS (SELECT 1 FROM dels d WHERE d.season = m.season AND d.id = m.id)),
@@ -629,19 +667,22 @@ def oracle_sql() -> dict[str, str]:
     )
     acols = "q.season, q.municipality_id, q.name, q.src, q.line"
     q["add_associations_unique"] = _add_sql(ASSOC_PROPOSALS, "assoc", ["season", "municipality_id"], True, acols)
+    q["add_associations_table"] = f"""WITH outcome AS ({q['add_associations_unique']}), {MODEL_SQL}
+        SELECT season, id, municipality_id, name FROM assoc
+        UNION ALL SELECT season, new_id, municipality_id, name FROM outcome WHERE status = 'inserted'"""
     q["add_associations"] = _add_sql(ASSOC_PROPOSALS, "assoc", ["season", "municipality_id"], False, acols)
     q["add_municipalities_unique"] = _add_sql(MUNI_PROPOSALS, "muni", ["season"], True, "q.season, q.name, q.src, q.line")
     q["add_municipalities"] = _add_sql(MUNI_PROPOSALS, "muni", ["season"], False, "q.season, q.name, q.src, q.line")
     q["rename_associations_unique"] = W(
         """SELECT season, id, line, old_name, new_name,
-                  CASE WHEN new_name = '' THEN 'blank' WHEN old_name IS NULL THEN 'not found'
+                  CASE WHEN old_name IS NULL THEN 'not found' WHEN new_name = '' THEN 'blank'
                        WHEN taken THEN 'duplicate'
                        WHEN EXISTS (SELECT 1 FROM cand c2 WHERE c2.season = r.season AND c2.municipality_id = r.municipality_id
                                     AND c2.key = r.key AND NOT c2.taken AND c2.line < r.line) THEN 'duplicate'
                        ELSE 'renamed' END AS status
            FROM cand r""",
         """ren AS (
-            SELECT 'dry' AS season, CAST(c_custkey AS BIGINT) AS id,
+            SELECT 'dry' AS season, CAST(c_custkey + CASE WHEN c_custkey % 11 = 0 THEN 1000000000 ELSE 0 END AS BIGINT) AS id,
                    CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Assoc ' || CAST(c_nationkey AS VARCHAR)
                         WHEN c_mktsegment = 'AUTOMOBILE' THEN lower(c_name) ELSE ' ' END AS name,
                    CAST(c_custkey AS BIGINT) AS line
@@ -657,13 +698,19 @@ def oracle_sql() -> dict[str, str]:
                                 AND lower(trim(x.name)) = lower(trim(r0.new_name)) AND x.id <> r0.id) AS taken
                  FROM r0)""",
     )
+    unique_renames = q["rename_associations_unique"]
+    q["rename_associations_table"] = f"""WITH outcome AS ({unique_renames}),
+        renamed AS (SELECT season, id, arg_max(new_name, line) AS name FROM outcome WHERE status = 'renamed' GROUP BY season, id),
+        {MODEL_SQL}
+        SELECT a.season, a.id, a.municipality_id, coalesce(r.name, a.name) AS name
+        FROM assoc a LEFT JOIN renamed r ON r.season = a.season AND r.id = a.id"""
     q["rename_associations"] = W(
         """SELECT season, id, line, old_name, new_name,
-                  CASE WHEN new_name = '' THEN 'blank' WHEN old_name IS NULL THEN 'not found'
+                  CASE WHEN old_name IS NULL THEN 'not found' WHEN new_name = '' THEN 'blank'
                        ELSE 'renamed' END AS status
            FROM cand r""",
         """ren AS (
-            SELECT 'dry' AS season, CAST(c_custkey AS BIGINT) AS id,
+            SELECT 'dry' AS season, CAST(c_custkey + CASE WHEN c_custkey % 11 = 0 THEN 1000000000 ELSE 0 END AS BIGINT) AS id,
                    CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Assoc ' || CAST(c_nationkey AS VARCHAR)
                         WHEN c_mktsegment = 'AUTOMOBILE' THEN lower(c_name) ELSE ' ' END AS name,
                    CAST(c_custkey AS BIGINT) AS line
@@ -681,7 +728,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["rename_municipalities"] = W(
         """SELECT r.season, r.id, r.line, m.name AS old_name, r.new_name,
-                  CASE WHEN r.new_name = '' THEN 'blank' WHEN m.name IS NULL THEN 'not found' ELSE 'renamed' END AS status
+                  CASE WHEN m.name IS NULL THEN 'not found' WHEN r.new_name = '' THEN 'blank' ELSE 'renamed' END AS status
            FROM (SELECT season, id, line, coalesce("""
         + STRIP("name")
         + """, '') AS new_name FROM ren) r
@@ -703,13 +750,53 @@ def oracle_sql() -> dict[str, str]:
                        FROM (SELECT DISTINCT season, variety AS name FROM farmer WHERE variety <> ''))""",
         f"seeds(seed_order, name) AS (VALUES {seeds})",
     )
-    all_counts = W(
-        _counts({"municipality": "muni", "association": "assoc", "variety": "variety", "farmer": "farmer"}),
-        """variety AS (SELECT DISTINCT season, variety AS name FROM farmer WHERE variety <> '')""",
+    varieties = """variety AS (SELECT season, row_number() OVER (PARTITION BY season ORDER BY name) AS id, name
+                       FROM (SELECT DISTINCT season, variety AS name FROM farmer WHERE variety <> ''))"""
+    every = {"municipality": "muni", "association": "assoc", "variety": "variety", "farmer": "farmer"}
+    for name in ("snapshot_restore", "import_replace", "table_copy"):
+        q[name] = W(_rows(every), varieties)
+    q["snapshot_list"] = W(
+        "\nUNION ALL\n".join(
+            f"SELECT '{ts}' AS ts, '{name}' AS table_name, count(*) AS rows FROM {rel}"
+            for ts in ("20260101_080000", "20260201_080000") for name, rel in every.items()
+        ),
+        varieties,
+    )
+    numbers = ("area", "sacks", "kg")
+    cells = ", ".join(f"{CELL('f.' + f, f in numbers) if f else 'CAST(NULL AS VARCHAR)'} AS {n}" for n, f in TEMPLATE_COLUMNS.items())
+    q["template_export_files"] = W(f"SELECT season, association_id, {cells} FROM farmer f")
+    cells = ", ".join(f"{CELL('f.' + f, f in numbers)} AS {n}" for n, f in SHORT_COLUMNS.items())
+    q["short_export_files"] = W(
+        f"""SELECT f.season, association_id, coalesce({STEM("CASE WHEN a.id % 4 = 0 THEN 'Rice One' ELSE a.name END")}, 'association')
+                  || '_' || f.season || '_farmers' AS file_stem, {cells}
+        FROM farmer f LEFT JOIN assoc a ON a.season = f.season AND a.id = f.association_id"""
+    )
+    season, i = C.ONE_ASSOCIATION
+    q["association_farmers_one"] = W(
+        f"""SELECT {FARMER_COLS_F}, coalesce(f.sacks, 0) * coalesce(f.kg, 0) AS total_kg,
+               coalesce(f.sacks, 0) * coalesce(f.kg, 0) / 1000.0::DOUBLE AS total_mt,
+               coalesce(nullif(f.rsbsa, ''), '-') AS rsbsa_display, coalesce(nullif(f.middle_name, ''), '-') AS middle_name_display,
+               row_number() OVER (ORDER BY f.last_name NULLS FIRST, f.first_name NULLS FIRST, f.id) AS pos
+        FROM farmer f WHERE f.season = '{season}' AND f.association_id = {i}"""
+    )
+    season, i = C.ONE_MUNICIPALITY
+    q["municipality_associations_one"] = W(
+        f"""SELECT a.season, a.municipality_id, a.id, a.name, coalesce(n, 0) AS farmer_count, coalesce(m.area, 0) AS total_area,
+               coalesce(m.sacks, 0) AS total_sacks, coalesce(m.kg, 0) AS total_kg, row_number() OVER (ORDER BY a.name, a.id) AS pos
+        FROM assoc a LEFT JOIN (SELECT season, association_id, count(*) AS n, sum(area) AS area, sum(sacks) AS sacks,
+                                       sum(sacks * kg) AS kg FROM farmer GROUP BY ALL) m
+          ON m.season = a.season AND m.association_id = a.id
+        WHERE a.season = '{season}' AND a.municipality_id = {i}"""
+    )
+    season, i = C.ONE_FARMER
+    q["farmer_by_id"] = W(f"SELECT {FARMER_COLS} FROM farmer WHERE season = '{season}' AND id = {i}")
+    q["association_sample"] = W("SELECT season, id, municipality_id, name FROM assoc ORDER BY season, id LIMIT 5")
+    q["report_stats_wet"] = W(
+        f"""SELECT count(*) AS total_records, {R2('coalesce(sum(area_hectares), 0)')} AS total_area,
+               {R2('coalesce(sum(estimated_yield_tons), 0)')} AS total_yield
+        FROM rows_ WHERE season = 'Wet' AND ({LIKE('farmer_name', C.REPORT_SEARCH)} OR {LIKE('association', C.REPORT_SEARCH)})""",
+        REPORT_ROWS,
     )
-    q["snapshot_restore"] = all_counts
-    q["import_replace"] = all_counts
-    q["table_copy"] = all_counts
     q["template_export"] = _template_sql()
     q["short_export"] = _short_sql()
     return q

@@ -139,19 +139,29 @@ def write_template_export(rows: DataFrame, path: str, mode: str = "overwrite") -
 
 
 def write_short_export(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with header, one folder per file stem, rows in list order (see above)."""
+    """CSV with header, one folder per association, rows in list order (see above):
+    ``season=<s>/association_id=<id>/file_stem=<name>``.  Associations that share a name
+    have folders of their own."""
     out = _display(rows, SHORT_EXPORT)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col("file_stem"), *_sort_keys()]
+    keys = [F.col("season"), F.col("association_id"), F.col("file_stem"), *_sort_keys()]
     (
         out.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
-        .drop("pos", "season", "association_id", *LIST_ORDER)
+        .drop("pos", *LIST_ORDER)
         .write.mode(mode)
-        .partitionBy("file_stem")
+        .partitionBy("season", "association_id", "file_stem")
         .option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
+
+
+def read_written(spark, path: str, spec, folders: str) -> DataFrame:
+    """The rows of a written export, under query-friendly names (all cells as text);
+    ``folders``: the schema of its folder levels."""
+    schema = ", ".join(f"`{h}` string" for h, _ in spec) + ", " + folders
+    out = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    return out.select(*[c.split()[0] for c in folders.split(", ")], *[F.col(f"`{h}`").alias(column_name(h)) for h, _ in spec])

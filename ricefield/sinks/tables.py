@@ -1,87 +1,39 @@
 """Whole-table jobs: export, replace-import, snapshots, copy between stores.
 
-All writes go to a staging folder next to the target and are swapped in only after
-every table of the job has been written and checked, so a failed job leaves the
-previous tables in place (the reference ran these inside one database transaction).
-Paths are Hadoop paths (HDFS, S3A, ABFS, file:); nothing is written to machine-local
-temporary folders.
+Every job that changes a store writes new data folders, checks what was written and then
+publishes all tables of the job in one commit (``sinks.store``), so a failed job changes
+nothing and a reader never sees half of one.  Paths are Hadoop paths (HDFS, S3A, ABFS,
+file:).
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ricefield.session import checkpoint_dir
+from ricefield.sinks import store
+from ricefield.sinks.store import exists as path_exists
+from ricefield.sinks.store import fs_path as _fs
 from ricefield.sources.model import SCHEMAS, TABLE_ORDER, Tables, conform, read_table, table_path, write_table
 
 # Fixed value: time zone of snapshot names.
 SNAPSHOT_TZ = "Asia/Manila"
 
 
-# ------------------------------------------------------------------ file system
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    if fs.exists(p):
-        fs.delete(p, True)
-
-
-def _rename(spark: SparkSession, src: str, dst: str) -> None:
-    fs, s = _fs(spark, src)
-    _, d = _fs(spark, dst)
-    parent = d.getParent()
-    if parent is not None and not fs.exists(parent):
-        fs.mkdirs(parent)
-    if not fs.rename(s, d):
-        raise OSError(f"rename failed: {src} -> {dst}")
-
-
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder inside the shared checkpoint location (for jobs and tests that need
     scratch tables)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/ricefield-work-{uuid.uuid4().hex[:12]}"
 
 
-# ------------------------------------------------------------------ staging + swap
-
-
-def _commit(spark: SparkSession, dest_root: str, staged: dict[str, str]) -> None:
-    """Swap staged table folders into ``dest_root``: old folders move aside first and
-    are removed only after every new folder is in place."""
-    token = uuid.uuid4().hex[:8]
-    moved = []
-    try:
-        for name, src in staged.items():
-            dst = table_path(dest_root, name)
-            if path_exists(spark, dst):
-                aside = f"{dest_root.rstrip('/')}/_old_{token}/{name}"
-                _rename(spark, dst, aside)
-                moved.append((aside, dst))
-            _rename(spark, src, dst)
-    except Exception:
-        for aside, dst in moved:  # roll back what was moved aside
-            _delete(spark, dst)
-            _rename(spark, aside, dst)
-        raise
-    _delete(spark, f"{dest_root.rstrip('/')}/_old_{token}")
+# ------------------------------------------------------------------ commits
 
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -93,47 +45,52 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def marker_exists(spark: SparkSession, tables_root: str, table: str, marker: str) -> bool:
-    """Whether the committed ``table`` carries ``marker`` (see ``write_staged``)."""
-    return path_exists(spark, f"{table_path(tables_root, table)}/_markers/{marker}")
-
-
 def write_staged(
     spark: SparkSession,
     tables: Tables | dict[str, DataFrame],
     dest_root: str,
     verify: bool = True,
-    markers: dict[str, str] | None = None,
+    stream: tuple[str, int] | None = None,
 ) -> DataFrame:
-    """Write every table to a staging folder under ``dest_root`` (parents first), check
-    row counts of what was written against the source plans, then swap all tables in.
-    ``markers`` (table -> name) puts an empty ``_markers/<name>`` file inside the staged
-    table folder, so it is committed atomically with the table (readers skip '_' files).
-    Returns rows per (table_name, season) as written."""
+    """Write every table to a new data folder of the store (parents first), check the rows
+    read back against the rows that the write saw, then publish all tables in one commit.
+    ``stream`` (id, batch) is recorded with the commit.  Returns rows per
+    (table_name, season) as written."""
     items = dict(tables.items()) if isinstance(tables, Tables) else dict(tables)
-    stage_root = f"{dest_root.rstrip('/')}/_staging_{uuid.uuid4().hex[:8]}"
-    staged = {}
+    before, folders, seen = store.state(spark, dest_root), {}, {}
     try:
         for name in [n for n in TABLE_ORDER if n in items]:
-            write_table(items[name], stage_root, name)
-            staged[name] = table_path(stage_root, name)
-            if markers and name in markers:
-                fs, p = _fs(spark, f"{staged[name]}/_markers/{markers[name]}")
-                fs.create(p, True).close()
-        written = {n: read_table(spark, stage_root, n) for n in staged}
-        got = counts(written)
+            seen[name] = Observation(f"rows-{uuid.uuid4().hex[:8]}")
+            observed = conform(items[name], name).observe(seen[name], F.count(F.lit(1)).alias("rows"))
+            folders[name] = store.add_folder(observed, dest_root, name)
+        written = {n: store.read(spark, dest_root, n, {"tables": {n: [e]}}) for n, e in folders.items()}
+        result = [tuple(r) for r in counts(written).collect()]  # one row per (table, season)
         if verify:
-            want = counts({n: conform(items[n], n) for n in staged})
-            diff = want.exceptAll(got).unionByName(got.exceptAll(want))
-            if diff.limit(1).count():
-                raise RuntimeError("staged row counts differ from the source; nothing was replaced")
-        result = [tuple(r) for r in got.collect()]  # one row per (table, season)
-        _commit(spark, dest_root, staged)
-    finally:
-        _delete(spark, stage_root)
+            for name in folders:
+                got, want = sum(r[2] for r in result if r[0] == name), seen[name].get["rows"]
+                if got != want:
+                    raise RuntimeError(f"{name}: {want} rows written, {got} read back; nothing was replaced")
+        store.commit(spark, dest_root, before, replace=folders, stream=stream)
+    except Exception:
+        for name, entry in folders.items():
+            store.delete(spark, f"{table_path(dest_root, name)}/{entry}")
+        raise
+    store.vacuum(spark, dest_root)
     return spark.createDataFrame(result, "table_name string, season string, rows long")
 
 
+def append_rows(
+    spark: SparkSession, table: str, rows: DataFrame, dest_root: str, before: dict, stream: tuple[str, int] | None = None
+) -> None:
+    """Add rows to a table in one commit on top of ``before``; only new files are written."""
+    entry = store.add_folder(rows, dest_root, table)
+    try:
+        store.commit(spark, dest_root, before, append={table: entry}, stream=stream)
+    except Exception:
+        store.delete(spark, f"{table_path(dest_root, table)}/{entry}")
+        raise
+
+
 # ------------------------------------------------------------------ export / import
 
 
@@ -141,6 +98,21 @@ def write_staged(
 CSV_NULL = "\\N"
 
 
+def _escape(df: DataFrame, undo: bool = False) -> DataFrame:
+    """Line breaks in CSV cells as ``\\n`` and ``\\r`` (and ``\\`` doubled), so that a record
+    is one line and files can be split; ``undo`` reads them back."""
+    def cell(name: str):
+        c = F.col(name)
+        if not undo:
+            c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+            return F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+        c = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
+        c = F.replace(F.replace(c, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+        return F.replace(c, F.lit("\x00"), F.lit("\\"))
+
+    return df.select(*[cell(f.name).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name) for f in df.schema.fields])
+
+
 def csv_writer(writer):
     """CSV with header that keeps cell text exactly (no trimming) and marks NULLs."""
     return (
@@ -167,7 +139,7 @@ def export_tables(tables: Tables, out_root: str, fmt: str = "parquet") -> None:
         if fmt == "parquet":
             write_table(df, out_root, name)
         elif fmt == "csv":
-            csv_writer(df.write.mode("overwrite")).csv(table_path(out_root, name))
+            csv_writer(_escape(df).write.mode("overwrite")).csv(table_path(out_root, name))
         else:
             raise ValueError(f"unknown export format {fmt!r}")
 
@@ -191,7 +163,7 @@ def read_export(spark: SparkSession, root: str, fmt: str = "parquet", tables: li
             except AnalysisException:  # a folder without data files: an empty table
                 df = spark.read.schema(SCHEMAS[name]).parquet(path)
         elif fmt == "csv":
-            df = csv_reader(spark.read).csv(path)
+            df = _escape(csv_reader(spark.read).csv(path), undo=True)
         else:
             raise ValueError(f"unknown import format {fmt!r}")
         missing = [f.name for f in SCHEMAS[name].fields if f.name not in df.columns]
@@ -204,10 +176,13 @@ def read_export(spark: SparkSession, root: str, fmt: str = "parquet", tables: li
     return out
 
 
-def import_replace(spark: SparkSession, src_root: str, dest_root: str, fmt: str = "parquet") -> DataFrame:
-    """Replace every table at ``dest_root`` with the export at ``src_root`` (all tables
-    validated first, declared schema kept)."""
-    return write_staged(spark, read_export(spark, src_root, fmt), dest_root)
+def import_replace(
+    spark: SparkSession, src_root: str, dest_root: str, fmt: str = "parquet", tables: list[str] = TABLE_ORDER
+) -> DataFrame:
+    """Replace the named tables at ``dest_root`` with the export at ``src_root`` (all of them
+    validated first, declared schema kept).  An export without varieties is imported by
+    naming the other three tables."""
+    return write_staged(spark, read_export(spark, src_root, fmt, tables), dest_root)
 
 
 # ------------------------------------------------------------------ snapshots
@@ -221,15 +196,31 @@ def snapshot_id(spark: SparkSession) -> str:
     return row["ts"]
 
 
+def _manifest(snap_root: str, ts: str) -> str:
+    return f"{snap_root.rstrip('/')}/_snapshots/{ts}.json"
+
+
+def _complete(spark: SparkSession, snap_root: str) -> list[str]:
+    """Ids of the snapshots that were finished."""
+    folder = f"{snap_root.rstrip('/')}/_snapshots"
+    if not path_exists(spark, folder):
+        return []
+    fs, p = _fs(spark, folder)
+    return sorted(s.getPath().getName()[:-5] for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
+
+
 def snapshot(spark: SparkSession, tables_root: str, snap_root: str, ts: str | None = None) -> str:
-    """Copy every table under ``snap_root/<table>/ts=<ts>/``; returns the snapshot id."""
+    """Copy every table, as of one commit, under ``snap_root/<table>/ts=<ts>/``; a manifest
+    written last makes the snapshot complete.  Returns the snapshot id."""
     ts = ts or snapshot_id(spark)
+    at, names = store.state(spark, tables_root), []
     for name in TABLE_ORDER:
-        src = table_path(tables_root, name)
-        if path_exists(spark, src):
-            read_table(spark, tables_root, name).write.mode("overwrite").partitionBy("season").parquet(
+        if store.has_table(spark, tables_root, name):
+            store.read(spark, tables_root, name, at).write.mode("overwrite").partitionBy("season").parquet(
                 f"{table_path(snap_root, name)}/ts={ts}"
             )
+            names.append(name)
+    store.create_text(spark, _manifest(snap_root, ts), json.dumps({"tables": names}))
     return ts
 
 
@@ -239,16 +230,17 @@ def _bytes(spark: SparkSession, path: str) -> int:
 
 
 def list_snapshots(spark: SparkSession, snap_root: str) -> DataFrame:
-    """Snapshots newest first with row counts and stored size per table:
+    """Complete snapshots newest first with row counts and stored size per table:
     ts, table_name, rows, bytes (the size is file-system metadata, one call per
     snapshot folder)."""
+    done = _complete(spark, snap_root)
     parts = []
     for name in TABLE_ORDER:
         path = table_path(snap_root, name)
         if path_exists(spark, path):
             schema = StructType(SCHEMAS[name].fields + [StructField("ts", StringType())])
             df = spark.read.schema(schema).option("basePath", path).parquet(path)
-            per_ts = df.groupBy("ts").agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
+            per_ts = df.where(F.col("ts").isin(done)).groupBy("ts").agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
             parts.append(per_ts)
     if not parts:
         return spark.createDataFrame([], "ts string, table_name string, rows long, bytes long")
@@ -267,21 +259,29 @@ def list_snapshots(spark: SparkSession, snap_root: str) -> DataFrame:
 
 
 def restore(spark: SparkSession, snap_root: str, ts: str, dest_root: str) -> DataFrame:
-    """Replace the tables at ``dest_root`` with snapshot ``ts``."""
-    tables = {}
-    for name in TABLE_ORDER:
-        path = f"{table_path(snap_root, name)}/ts={ts}"
-        if path_exists(spark, path):
-            tables[name] = conform(spark.read.schema(SCHEMAS[name]).parquet(path), name)
-    if not tables:
-        raise FileNotFoundError(f"no snapshot {ts!r} under {snap_root}")
+    """Replace the tables at ``dest_root`` with snapshot ``ts``; a snapshot that is not
+    complete, or lacks a table that its manifest names, is refused whole."""
+    if ts not in _complete(spark, snap_root):
+        raise FileNotFoundError(f"no complete snapshot {ts!r} under {snap_root}")
+    names = json.loads(store.read_text(spark, _manifest(snap_root, ts)))["tables"]
+    paths = {name: f"{table_path(snap_root, name)}/ts={ts}" for name in names}
+    lost = [name for name, path in paths.items() if not path_exists(spark, path)]
+    if lost:
+        raise FileNotFoundError(f"snapshot {ts!r} lacks {lost}; nothing was restored")
+    tables = {name: conform(spark.read.schema(SCHEMAS[name]).parquet(path), name) for name, path in paths.items()}
     return write_staged(spark, tables, dest_root)
 
 
 # ------------------------------------------------------------------ copy between stores
 
 
-def copy_tables(spark: SparkSession, src_root: str, dest_root: str, src_fmt: str = "parquet") -> DataFrame:
-    """Copy all tables from one store to another, ids kept; all-or-nothing with a row
-    count check per table.  Returns (table_name, season, rows)."""
-    return write_staged(spark, read_export(spark, src_root, src_fmt), dest_root)
+def copy_tables(spark: SparkSession, src_root: str, dest_root: str, src_fmt: str = "store") -> DataFrame:
+    """Copy all tables from one store (or export, by its format) to another, ids kept; all
+    or nothing, with a row count check per table.  Returns (table_name, season, rows)."""
+    if src_fmt != "store":
+        return write_staged(spark, read_export(spark, src_root, src_fmt), dest_root)
+    at = store.state(spark, src_root)
+    lost = [n for n in TABLE_ORDER if not store.has_table(spark, src_root, n)]
+    if lost:
+        raise ImportError_("copy rejected, nothing replaced: missing " + ", ".join(lost))
+    return write_staged(spark, {n: store.read(spark, src_root, n, at) for n in TABLE_ORDER}, dest_root)

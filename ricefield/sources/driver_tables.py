@@ -29,16 +29,8 @@ FARMER_VARIETIES = ["Bigante", "Lp2096", "NK 5017", "S6003", "SL 20", "RC 222",
 UPLOAD_CUTOFF = "1999-01-01"
 
 
-_READS: dict = {}
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The driver table as a lazy DataFrame, resolved once per session (file listing and
-    footer schema); every action still scans the file."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    if key not in _READS:
-        _READS[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return _READS[key]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def municipality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,18 +85,8 @@ def _variety() -> F.Column:
     return F.element_at(F.array([F.lit(v) for v in FARMER_VARIETIES]), (F.col("o_orderkey") % 9 + 1).cast("int"))
 
 
-_SOURCES: dict = {}
-
-
 def farmer_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Farmer rows plus the order date (used only to split existing/uploaded rows)."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _SOURCES:
-        _SOURCES[key] = _farmer_source(spark, sf_dir)
-    return _SOURCES[key]
-
-
-def _farmer_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Farmer rows plus the order's columns (used to split existing and uploaded rows)."""
     o = _read(spark, sf_dir, "orders")
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
@@ -304,7 +286,6 @@ def form_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Farmer form submissions: one per order on/after ``UPLOAD_CUTOFF`` (text fields,
     numbers as typed text; some bag counts are not numbers)."""
     s = farmer_source(spark, sf_dir).where(F.col("o_orderdate") >= F.lit(UPLOAD_CUTOFF).cast("timestamp_ntz"))
-    k13 = F.col("o_orderkey") % 13
     return s.select(
         "season",
         "association_id",
@@ -316,20 +297,34 @@ def form_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("suffix"),
         _num_text(F.col("o_orderkey") % 7).alias("area"),
         F.col("variety"),
-        F.when(k13 == 0, F.lit("x")).when(k13 == 4, F.lit("")).otherwise(_num_text(F.col("o_orderkey") % 97)).alias("sacks"),
+        _form_text().alias("sacks"),
         F.when(F.col("kg").isNull(), F.lit(None).cast("string")).otherwise(_num_text(F.col("kg"))).alias("kg"),
     )
 
 
+def _form_text() -> F.Column:
+    """Bag counts as people type them: some are no numbers."""
+    k = F.col("o_orderkey") % 13
+    return (
+        F.when(k == 0, F.lit("x"))
+        .when(k == 1, F.lit("12d"))
+        .when(k == 2, F.lit("   "))
+        .when(k == 3, F.lit("1_0"))
+        .when(k == 4, F.lit(""))
+        .when(k == 5, F.lit(" 1.5e1 "))
+        .otherwise(_num_text(F.col("o_orderkey") % 50))
+    )
+
+
 def edit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Farmer edit submissions for every '1-URGENT' order (any date), keyed (season, id);
-    orders on/after the cutoff are unknown to the pre-cutoff table."""
+    """Farmer edit submissions for every '1-URGENT' order, keyed (season, id), and a second
+    one for every seventh of them; the ids of every fifth are beyond the table's."""
     s = farmer_source(spark, sf_dir).where(F.col("o_orderpriority") == "1-URGENT")
-    k13 = F.col("o_orderkey") % 13
-    return s.select(
+    unknown = F.col("o_orderkey") % 5 == 0
+    first = s.select(
         "season",
-        "id",
-        F.col("id").alias("line"),
+        (F.col("id") + F.when(unknown, F.lit(1_000_000_000)).otherwise(F.lit(0))).alias("id"),
+        (F.col("id") * 2).alias("line"),
         F.upper(F.trim("rsbsa")).alias("rsbsa"),
         F.concat(F.lit(" "), F.lower("last_name"), F.lit(" ")).alias("last_name"),
         F.col("first_name"),
@@ -337,9 +332,12 @@ def edit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Jr.").alias("suffix"),
         _num_text(F.col("o_orderkey") % 9).alias("area"),
         F.lit("SL 19").alias("variety"),
-        F.when(k13 == 0, F.lit("x")).otherwise(_num_text(F.col("o_orderkey") % 50)).alias("sacks"),
+        _form_text().alias("sacks"),
         F.lit("").alias("kg"),
+        (F.col("o_orderkey") % 7 == 0).alias("_twice"),
     )
+    again = first.where("_twice").withColumn("line", F.col("line") + 1).withColumn("sacks", F.lit("7")).withColumn("suffix", F.lit("Sr."))
+    return first.unionByName(again).drop("_twice")
 
 
 def farmer_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,7 +410,8 @@ def association_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = (seg == "MACHINERY") | (seg == "AUTOMOBILE") | ((seg == "HOUSEHOLD") & (F.col("c_acctbal") < 0))
     return c.where(keep).select(
         F.lit("dry").alias("season"),
-        F.col("c_custkey").cast("long").alias("id"),
+        # every eleventh id is beyond the table's, with whatever name
+        (F.col("c_custkey") + F.when(F.col("c_custkey") % 11 == 0, F.lit(1_000_000_000)).otherwise(F.lit(0))).cast("long").alias("id"),
         new_name.alias("name"),
         F.col("c_custkey").cast("long").alias("line"),
     )

@@ -77,11 +77,13 @@ class Tables:
     association: DataFrame
     farmer: DataFrame
     variety: DataFrame | None = None
+    # farmer totals per (season, association_id), where they are already at hand
+    totals: DataFrame | None = None
 
     def items(self):
         for f in fields(self):
             df = getattr(self, f.name)
-            if df is not None:
+            if df is not None and f.name != "totals":
                 yield f.name, df
 
     def with_(self, **kw) -> "Tables":
@@ -90,7 +92,8 @@ class Tables:
     def season(self, *seasons: str) -> "Tables":
         """Restrict every table to the given seasons (partition pruning on read)."""
         cond = F.col("season").isin(list(seasons))
-        return Tables(**{name: df.where(cond) for name, df in self.items()})
+        kept = {name: df.where(cond) for name, df in self.items()}
+        return Tables(**kept, totals=None if self.totals is None else self.totals.where(cond))
 
 
 def table_path(root: str, table: str) -> str:
@@ -98,16 +101,19 @@ def table_path(root: str, table: str) -> str:
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return conform(spark.read.schema(SCHEMAS[table]).parquet(table_path(root, table)), table)
+    """The table as of the store's last commit (a plain folder before the first one)."""
+    from ricefield.sinks import store
+
+    return store.read(spark, root, table)
 
 
 def read_tables(spark: SparkSession, root: str, with_variety: bool = True) -> Tables:
-    return Tables(
-        municipality=read_table(spark, root, "municipality"),
-        association=read_table(spark, root, "association"),
-        farmer=read_table(spark, root, "farmer"),
-        variety=read_table(spark, root, "variety") if with_variety else None,
-    )
+    """All tables as of one commit."""
+    from ricefield.sinks import store
+
+    at = store.state(spark, root)
+    names = [n for n in TABLE_ORDER if with_variety or n != "variety"]
+    return Tables(**{n: store.read(spark, root, n, at) for n in names})
 
 
 def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite") -> None:

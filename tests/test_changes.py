@@ -127,3 +127,29 @@ def test_seed_varieties(spark):
     assert got[("wet", "Bigante")] == 3 and got[("dry", "Bigante")] == 1 and got[("dry", "TH 82")] == 9
     again, added2 = changes.seed_varieties(table, SEED_VARIETIES, ["wet", "dry"])
     assert added2.count() == 0
+
+
+def test_form_numbers_as_python_reads_them(spark):
+    from ricefield.functions.exprs import form_number
+
+    cells = ["12d", "3f", "   ", "1_0", "", None, " 1.5e1 ", ".5", "5.", "1,200", "_1", "1__0", "-inf", "+2", "\x1c7\x1f", "0x1"]
+
+    def python(x):
+        try:
+            return float(x or 0)
+        except ValueError:
+            return None
+
+    got = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").select("i", form_number("c").alias("v")).collect()
+    assert [r["v"] for r in sorted(got)] == [python(c) for c in cells]
+
+
+def test_unknown_ids_come_before_other_faults(spark):
+    t = _t(spark)
+    columns = "season string, id long, line long, rsbsa string, last_name string, first_name string, middle_name string, suffix string, area string, variety string, sacks string, kg string"
+    edits = spark.createDataFrame([("wet", 99, 1, "", "", "", "", "", "x", "", "", ""), ("wet", 1, 2, "", "", "", "", "", "x", "", "", "")], columns)
+    _, out = changes.update_farmers(t.farmer, changes.form_rows(edits), ["line"])
+    assert {r["line"]: r["status"] for r in out.collect()} == {1: "not found", 2: "invalid"}
+    ren = spark.createDataFrame([("wet", 9, " ", 1)], "season string, id long, name string, line long")
+    _, out = changes.rename_associations(t.association, ren, ["line"], unique=True)
+    assert out.first()["status"] == "not found"

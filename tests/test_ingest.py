@@ -166,7 +166,7 @@ def test_short_export_files(spark, tmp_path):
     assert stems == {"rice_one_wet_farmers"}
     out = str(tmp_path / "short")
     exports.write_short_export(rows, out)
-    back = spark.read.option("header", True).csv(f"{out}/file_stem=rice_one_wet_farmers").collect()
+    back = spark.read.option("header", True).csv(f"{out}/season=wet/association_id=7/file_stem=rice_one_wet_farmers").collect()
     assert [r["Last Name"] for r in back] == ["Cruz", "Ng"]
     assert list(back[0].asDict()) == [h for h, _ in exports.SHORT_EXPORT]
 
@@ -270,3 +270,61 @@ def test_classification_independent_of_shuffle_partitions(spark):
         assert results[0] == results[1] == results[2]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_files_are_read_by_their_own_headers(spark, tmp_path):
+    base = tmp_path / "book" / "NRP DISTRIBUTION"
+    base.mkdir(parents=True)
+    orders = [list(range(23)), list(reversed(range(23))), [*range(5, 23), *range(5)]]
+    for k, order in enumerate(orders):
+        with open(base / f"{k}.csv", "w", newline="") as fh:
+            w = csv.writer(fh)
+            w.writerow([TEMPLATE[i].upper() + " " for i in order])
+            for r in F3[k::3]:
+                w.writerow([sheet_row(r)[i] for i in order])
+    cleaned = ingest.clean_upload(ingest.read_upload(spark, str(tmp_path / "book"), template="full"))
+    got = sorted((r["rsbsa"], r["last_name"], r["first_name"]) for r in cleaned.collect())
+    assert got == sorted((r[0].strip(), r[1], r[2]) for r in F3)
+
+
+def test_a_bad_file_among_good_ones_is_named(spark, tmp_path):
+    d = tmp_path / "up"
+    d.mkdir()
+    _write_csv(d / "a.csv", F3)
+    with open(d / "b.csv", "w", newline="") as fh:
+        csv.writer(fh).writerow(TEMPLATE[3:])
+    with pytest.raises(ingest.UploadTemplateError) as e:
+        ingest.read_upload(spark, str(d), template="full")
+    assert e.value.file.endswith("b.csv") and e.value.missing == ingest.REQUIRED_COLUMNS[:3]
+
+
+def test_upload_writes_only_new_files(spark, tmp_path):
+    from ricefield.sinks import store, tables as tj
+    from ricefield.sources.model import read_table
+
+    root = tj.work_dir(spark)
+    t = tables(spark, [("wet", 1, "M")], [("wet", 1, 1, "A"), ("wet", 2, 1, "B")], [tuple(r) for r in existing(spark).collect()])
+    tj.write_staged(spark, t, root)
+    before = store.state(spark, root)
+    d = tmp_path / "up"
+    d.mkdir()
+    _write_csv(d / "a.csv", F3)
+    ingest.run_upload(spark, str(d), root, association_id=1, season="wet")
+    after = store.state(spark, root)
+    assert after["tables"]["farmer"][:1] == before["tables"]["farmer"] and len(after["tables"]["farmer"]) == 2
+    assert after["tables"]["association"] == before["tables"]["association"]
+    assert read_table(spark, root, "farmer").count() == 6
+    with pytest.raises(ingest.UploadRefused) as e:
+        ingest.run_upload(spark, str(d), root, association_id=99, season="wet")
+    assert [tuple(r) for r in e.value.targets.collect()] == [("wet", 99)]
+
+
+def test_short_export_of_equal_names(spark, tmp_path):
+    t = tables(
+        spark, [("wet", 1, "M"), ("wet", 2, "N")], [("wet", 7, 1, "Rice One"), ("wet", 8, 2, "Rice One")],
+        [farmer_row("wet", 1, 7, "R-1", "Ng", "Li"), farmer_row("wet", 2, 8, "R-2", "Cruz", "Ana")],
+    )
+    out = str(tmp_path / "short")
+    exports.write_short_export(exports.short_rows(t.farmer, t.association, with_pos=False), out)
+    rows = exports.read_written(spark, out, exports.SHORT_EXPORT, "season string, association_id long, file_stem string").collect()
+    assert sorted((r["association_id"], r["last_name"]) for r in rows) == [(7, "Ng"), (8, "Cruz")]

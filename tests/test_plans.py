@@ -3,9 +3,9 @@ season, and no Expand (COUNT DISTINCT) in the municipality rollup."""
 
 import pytest
 
-import __spark_entry__ as E
 from fixtures import f1_tables
 from ricefield.operators import rollups, search
+from ricefield.plans import catalog as E
 from ricefield.sinks.tables import work_dir
 from ricefield.sources.model import read_tables, write_tables
 
@@ -38,3 +38,33 @@ def test_season_partition_pruning(spark):
     text = rows._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(season" in text and "(season#" in text
     assert rows.count() == 2
+
+
+def test_dashboard_scans_farmers_once(spark):
+    from ricefield.operators import compare
+    from ricefield.plans.catalog import _t
+
+    t = _t(spark, SF)
+    d = compare.dashboard(t, "wet", "dry")
+    try:
+        for name, alone in (
+            ("summary", rollups.season_summary(t, ["wet", "dry"])),
+            ("overall", rollups.overall_totals(t, "wet", "dry")),
+            ("associations", compare.association_comparison(t, "wet", "dry")),
+            ("highlights", compare.top_performers(compare.municipality_merge(t, "wet", "dry"), "wet", "dry")),
+        ):
+            assert sorted(map(tuple, getattr(d, name).collect()), key=str) == sorted(map(tuple, alone.collect()), key=str)
+        text = plan(d.summary)
+        assert "InMemoryTableScan" in text and "o_orderkey" not in text.split("InMemoryRelation")[0]
+    finally:
+        d.close()
+
+
+def test_ids_reach_the_scan(spark):
+    root = work_dir(spark)
+    write_tables(f1_tables(spark), root)
+    t = read_tables(spark, root)
+    text = plan(search.farmer_by_id(t, "wet", 1))
+    assert "EqualTo(id,1)" in text and "PartitionFilters: [isnotnull(season" in text
+    text = plan(search.association_farmers(t, season="wet", association_id=1, with_pos=False))
+    assert "EqualTo(association_id,1)" in text and "ExistingRDD" not in text

@@ -33,34 +33,50 @@ def test_upload_stream_available_now(spark, tmp_path):
     assert (s["inserted"], s["duplicates"], s["skipped"]) == (4, 3, 1)
 
 
-def test_replayed_batch_is_not_applied_twice(spark, tmp_path):
-    from ricefield.streaming.uploads import _commit_batch, UPLOAD_SCHEMA
+def _landing(tmp_path, name, association=1, header=TEMPLATE, rows=F3):
+    d = tmp_path / name / "season=wet" / f"association_id={association}"
+    d.mkdir(parents=True, exist_ok=True)
+    with open(d / "a.csv", "w", newline="") as fh:
+        w = csv.writer(fh)
+        w.writerow(header)
+        for r in rows:
+            w.writerow([sheet_row(r)[TEMPLATE.index(h)] for h in header])
+    return str(d / "a.csv")
+
 
+def _store(spark):
     root = work_dir(spark)
-    t = tables(spark, [("wet", 1, "M")], [("wet", 1, 1, "A")], [farmer_row("wet", 1, 1, "A-1", "X", "Y")])
-    write_tables(t, root)
-    rows = [tuple(sheet_row(r)) + ("wet", 1, f"file:{tmp_path}/a.csv", 0) for r in F3]
-    schema = UPLOAD_SCHEMA.add("_file", "string").add("_block", "long")
-    batch = spark.createDataFrame(rows, schema)
-    commit = _commit_batch(root, "season", None)
-    commit(batch, 7)
-    n = read_table(spark, root, "farmer").count()
-    commit(batch, 7)  # replay of the same batch id
-    assert read_table(spark, root, "farmer").count() == n == 6  # 1 existing + 5 inserted once
+    write_tables(tables(spark, [("wet", 1, "M")], [("wet", 1, 1, "A")], [farmer_row("wet", 1, 1, "A-1", "X", "Y")]), root)
+    return root
 
 
-def test_stream_rejects_reordered_columns(spark, tmp_path):
-    root = work_dir(spark)
-    write_tables(tables(spark, [("wet", 1, "M")], [("wet", 1, 1, "A")], []), root)
-    landing = tmp_path / "landing" / "season=wet" / "association_id=1"
-    landing.mkdir(parents=True)
-    with open(landing / "a.csv", "w", newline="") as fh:
-        w = csv.writer(fh)
-        w.writerow(list(reversed(TEMPLATE)))
-        w.writerow(list(reversed(sheet_row(F3[0]))))
-    q = start_upload_stream(spark, str(tmp_path / "landing"), root, f"{root}/_ckpt")
-    import pytest
+def test_replay_after_another_commit_is_not_applied_twice(spark, tmp_path):
+    from ricefield.sinks.tables import write_staged
+    from ricefield.streaming.uploads import commit_files
+
+    root, file = _store(spark), _landing(tmp_path, "in")
+    commit_files(spark, [file], root, "season", "q1", 7)
+    assert read_table(spark, root, "farmer").count() == 6  # 1 existing + 5 inserted once
+    write_staged(spark, {"farmer": read_table(spark, root, "farmer")}, root)
+    commit_files(spark, [file], root, "season", "q1", 7)  # replay of the same batch
+    assert read_table(spark, root, "farmer").count() == 6
+
+
+def test_two_streams_on_one_table_do_not_mix(spark, tmp_path):
+    root = _store(spark)
+    for k in (1, 2):
+        _landing(tmp_path, f"in{k}", rows=[(f"N-{k}", "Last", "First", "", "", "1", "1", "1")])
+        start_upload_stream(spark, str(tmp_path / f"in{k}"), root, f"{root}/_ckpt{k}").awaitTermination(300)
+    assert sorted(r["rsbsa"] for r in read_table(spark, root, "farmer").collect()) == ["A-1", "N-1", "N-2"]
+
 
-    with pytest.raises(Exception):
-        q.awaitTermination(300)
-    assert read_table(spark, root, "farmer").count() == 0
+def test_stream_reads_any_column_order_and_rejects_what_it_cannot_use(spark, tmp_path):
+    root = _store(spark)
+    _landing(tmp_path, "in", 1, header=list(reversed(TEMPLATE)), rows=F3[:1] + F3[7:])
+    _landing(tmp_path, "in", 99, rows=F3[1:2])  # no such association
+    bad = tmp_path / "in" / "season=wet" / "association_id=1" / "bad.csv"
+    bad.write_text("one,two\n1,2\n")
+    start_upload_stream(spark, str(tmp_path / "in"), root, f"{root}/_ckpt", rejects_path=f"{root}/_rejects").awaitTermination(300)
+    assert sorted(r["rsbsa"] for r in read_table(spark, root, "farmer").collect()) == ["007", "A-1"]
+    assert [r["rsbsa"] for r in spark.read.parquet(f"{root}/_rejects/rows").collect()] == ["b-2"]
+    assert spark.read.parquet(f"{root}/_rejects/files").first()["file"].endswith("bad.csv")

@@ -70,5 +70,68 @@ def test_failed_staged_write_leaves_tables_unchanged(spark):
     with pytest.raises(Exception):
         tj.write_staged(spark, t2.with_(association=t2.association.limit(1), farmer=broken), live)
     assert _rows(read_tables(spark, live)) == before  # association not swapped either
-    fs, p = tj._fs(spark, live)
-    assert not [s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("_staging")]
+    fs, p = tj._fs(spark, f"{live}/association")
+    assert len(list(fs.listStatus(p))) == 1  # the folder of the failed write is gone
+
+
+def test_incomplete_snapshot_is_refused(spark):
+    root = tj.work_dir(spark)
+    tj.write_staged(spark, f1_tables(spark), f"{root}/live")
+    tj.snapshot(spark, f"{root}/live", f"{root}/snaps", ts="20260101_000000")
+    before = _rows(read_tables(spark, f"{root}/live"))
+    tj.store.delete(spark, f"{root}/snaps/farmer/ts=20260101_000000")
+    with pytest.raises(FileNotFoundError, match="farmer"):
+        tj.restore(spark, f"{root}/snaps", "20260101_000000", f"{root}/live")
+    read_tables(spark, f"{root}/live").farmer.write.parquet(f"{root}/snaps/farmer/ts=20260102_000000")
+    with pytest.raises(FileNotFoundError):  # no manifest: the snapshot was never finished
+        tj.restore(spark, f"{root}/snaps", "20260102_000000", f"{root}/live")
+    assert _rows(read_tables(spark, f"{root}/live")) == before
+
+
+def test_failed_first_copy_leaves_nothing(spark):
+    from pyspark.sql import functions as F
+
+    root = tj.work_dir(spark)
+    t = f1_tables(spark)
+    broken = t.with_(farmer=t.farmer.withColumn("kg", F.when(F.col("id") > 0, F.raise_error(F.lit("boom"))).otherwise(F.col("kg"))))
+    with pytest.raises(Exception):
+        tj.write_staged(spark, broken, f"{root}/new")
+    assert tj.store.state(spark, f"{root}/new")["tables"] == {}
+
+
+def test_the_second_of_two_writers_is_refused(spark):
+    root = tj.work_dir(spark)
+    t = f1_tables(spark)
+    tj.write_staged(spark, t, root)
+    seen = tj.store.state(spark, root)
+    tj.append_rows(spark, "farmer", t.farmer, root, seen)
+    with pytest.raises(tj.store.ConcurrentCommit):
+        tj.append_rows(spark, "farmer", t.farmer, root, seen)
+    assert read_tables(spark, root).farmer.count() == 2 * t.farmer.count()
+
+
+def test_csv_export_keeps_line_breaks(spark):
+    root = tj.work_dir(spark)
+    t = f1_tables(spark)
+    odd = spark.createDataFrame([("wet", 1, "a\nb\r\\n c"), ("wet", 2, "\\N"), ("dry", 1, "plain")], t.municipality.schema)
+    tj.export_tables(t.with_(municipality=odd), f"{root}/export", fmt="csv")
+    tj.import_replace(spark, f"{root}/export", f"{root}/live", fmt="csv")
+    assert _rows(read_tables(spark, f"{root}/live"))["municipality"] == sorted(tuple(r) for r in odd.collect())
+
+
+def test_import_without_varieties(spark):
+    root = tj.work_dir(spark)
+    t = f1_tables(spark)
+    tj.export_tables(t.with_(variety=None), f"{root}/export")
+    tj.import_replace(spark, f"{root}/export", f"{root}/live", tables=["municipality", "association", "farmer"])
+    assert read_tables(spark, f"{root}/live", with_variety=False).farmer.count() == t.farmer.count()
+
+
+def test_vacuum_keeps_the_last_versions(spark):
+    root = tj.work_dir(spark)
+    t = f1_tables(spark)
+    for _ in range(4):
+        tj.write_staged(spark, {"farmer": t.farmer}, root)
+    fs, p = tj._fs(spark, f"{root}/farmer")
+    assert len([s for s in fs.listStatus(p) if s.getPath().getName().startswith("part=")]) == 2
+    assert tj.store.read(spark, root, "farmer").count() == t.farmer.count()

@@ -63,11 +63,10 @@ def main():
     # the upload's key reduction, shown before the classification is checkpointed
     keyed = cleaned.where("NOT skipped AND key <> ''")
     from ricefield.functions.exprs import sql_key
-    from ricefield.operators.joins import small_side
 
     ex = dt.existing_farmers(spark, SF).select("season", sql_key("rsbsa").alias("key"))
-    cut = ex.join(small_side(keyed.select("season", "key").distinct()), ["season", "key"], "left_semi")
-    print("## Upload: table keys cut to the upload's keys (broadcast semi join)\n")
+    cut = ex.join(keyed.select("season", "key").distinct(), ["season", "key"], "left_semi")
+    print("## Upload: table keys cut to the upload's keys (semi join)\n")
     print(f"```\n{tree(cut)}\n```\n")
 
 
