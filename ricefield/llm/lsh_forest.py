@@ -17,7 +17,7 @@ Candidates are confirmed on the full sets in rounds.  The first takes for each d
 best candidates (by agreement of signatures); the links confirmed join documents into
 components.  The later round confirms the candidates that still lie between components.
 Candidates whose signatures agree in fewer than ``AGREE`` of all values are not confirmed
-(of true links, fewer than one in ten million).
+(of true links, fewer than one in a million).
 
 Two documents with a similarity of 0.8 miss each other in a tree with probability
 1 - 0.8 ** LEAST, and in all trees with (1 - 0.8 ** 4) ** 24, three in a million; in
@@ -43,8 +43,9 @@ from pyspark.sql import functions as F
 from ricefield.llm.common import sized, table, words_of, written
 from ricefield.llm.components import components
 from ricefield.llm.quality import mixed
+from ricefield.llm.repeated_spans import maybe_among
 
-TREES, LEAST, CROWD, STEPS, AGREE = 24, 4, 16, 2, 0.55
+TREES, LEAST, CROWD, STEPS, AGREE = 24, 4, 16, 2, 0.6
 K = TREES * LEAST
 PREFIX = 24  # values of a tree's order that are compared; a prefix of equal ones goes by id
 
@@ -267,11 +268,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similar: int = 80) -> DataF
     )
     pairs = written(candidates(classes), "forest-pairs")
     both = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(texts.join(both, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_column(width), "doc_id long, shingles binary"), "forest-sets")
+    sets = written(maybe_among(texts.where("doc_id is not null"), both, "doc_id").join(both, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_column(width), "doc_id long, shingles binary"), "forest-sets")
     # first round: each document's best candidates
     ends = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "agree")
     best = ends.groupBy(F.col("p.a").alias("a")).agg(F.slice(F.sort_array(F.collect_list(F.struct("agree", "p.b")), False), 1, BEST).alias("top"))
     best = best.select("a", F.explode("top").alias("t")).select(F.least("a", "t.b").alias("a"), F.greatest("a", "t.b").alias("b")).distinct()
+    best = written(best, "forest-best")
     links = written(confirmed(best, sets, similar), "forest-links")
     root = components(links)
     # later round: what still lies between components

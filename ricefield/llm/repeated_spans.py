@@ -102,6 +102,18 @@ def _bits(keys: DataFrame, column: str):
     return keys.sparkSession.sparkContext.broadcast(bit_set(keys.select(column).mapInArrow(spread, "hash long")))
 
 
+def maybe_among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` (a long, never null) may be among ``keys``: a filter
+    of fixed size in front of a join, so that the join need not shuffle all rows."""
+    bits = _bits(keys, column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _only(bits, column, batch)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _scan(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized(batches, "text", 4_000_000):
@@ -457,13 +469,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     reps = digest.where(f"doc_id is not null and n_bytes >= {LENGTH}").groupBy("sha").agg(F.min("doc_id").alias("first_doc"))
     # one document's runs: at most as many as it has bytes
     spans = written(spans.groupBy("row_key").agg(F.collect_list(F.struct("at", "runs")).alias("spans")), "spans")
-    bits = _bits(spans, "row_key")
-
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _only(bits, "row_key", batch)
-
-    few = texts.select("row_key", "text").mapInArrow(only, "row_key long, text string").dropDuplicates(["row_key"])
+    few = maybe_among(texts.select("row_key", "text"), spans, "row_key").dropDuplicates(["row_key"])
     cut = few.join(spans, "row_key").mapInArrow(_remove, "row_key long, n_removed long, n_spans long, kept_sha256 string")
     empty = hashlib.sha256(b"").hexdigest()
     rows = digest.join(reps, "sha", "left").join(cut, "row_key", "left")
