@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+LETTERS = str.maketrans("0123456789", "abcdefghij")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = "a long, b long, id long, hash long, key string, root long, slot int, size int, part int, n int, words string"
 
@@ -32,7 +33,7 @@ def documents(spark):
 
 def prose(seed: int, n: int, vocabulary: int = 4000) -> str:
     r = random.Random(seed)
-    return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
+    return " ".join("w" + str(r.randrange(vocabulary)).translate(LETTERS) for _ in range(n))
 
 
 def edited(text: str, seed: int, share: float) -> str:

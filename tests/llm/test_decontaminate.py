@@ -55,5 +55,5 @@ def test_odd_rows(spark, documents):
 def test_best_segment():
     import numpy as np
 
-    assert decontaminate.best_segment(np.array([0, 1, 1, 1, 0, 1, 1, 0, 0, 1], bool)) == (1, 7)
+    assert decontaminate.best_segment(np.array([0, 1, 1, 1, 0, 1, 1, 1, 0, 0, 1], bool)) == (1, 8)
     assert decontaminate.best_segment(np.zeros(4, bool))[1] == 0

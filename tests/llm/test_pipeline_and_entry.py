@@ -20,7 +20,7 @@ def planted(spark, documents):
     clean = [(k, "\n".join(prose(100 * k + j, 40) for j in range(4))) for k in range(30)]
     junk = [(100, "BUY NOW!! " * 50), (101, "one two three"), (102, None), (103, "")]
     copies = [(200 + k, clean[k][1]) for k in range(10)]
-    near = [(300 + k, clean[k][1].replace("w1", "w2", 2)) for k in range(10)]
+    near = [(300 + k, clean[k][1].replace(" wb", " wc", 2)) for k in range(10)]
     leaks = [(400 + k, prose(5000 + k, 30) + "\n" + item + " " + prose(6000 + k, 30)) for k in range(5)]
     folder = shared_folder(spark, "planted").replace("file:", "")
     docs = documents(clean + junk + copies + near + leaks)
