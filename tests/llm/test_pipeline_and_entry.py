@@ -70,3 +70,12 @@ def test_entry_registers_all():
 
     names = list(entry.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+
+
+def test_line_stage_keeps_one_of_each_line(spark, documents):
+    """A document of repeated lines does not take the lines down that it alone keeps."""
+    a, b, c, d, e = (prose(7000 + k, 40) for k in range(5))
+    rows = [(1, f"{a}\n{b}\n{c}"), (2, f"{a}\n{b}\n{c}\n{d}"), (3, f"{d}\n{e}"), (4, f"{a}\n--\n{b}"), (5, None), (6, "")]
+    got = corpus_pipeline.line_dedup(spark, documents(rows), None).collect()
+    assert {r.doc_id: r.text for r in got} == {1: f"{a}\n{b}\n{c}", 2: d, 3: e, 5: None, 6: ""}
+    assert next(r.n_chars for r in got if r.doc_id == 2) == len(d)
