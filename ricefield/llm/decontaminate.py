@@ -9,7 +9,8 @@ item's reach of each other form one region, which carries its tokens.  The hits'
 are joined to the benchmark's hashes; that gives pairs of region and item and the diagonals
 (document position less item position) on which they match.  Around the hits the tokens are
 compared along each diagonal, mismatches allowed: the best segment counts a match as 1 and
-a mismatch as -2.  A document is contaminated by an item when such segments cover at least
+a mismatch as -2 (-4 where that is not alike enough), and the parts beside it are searched
+for further segments.  A document is contaminated by an item when such segments cover at least
 ``COVER`` of the item's tokens or ``LONG`` tokens.
 
 A bit set in which many bits are set lets more windows through to the join, and changes no
@@ -158,14 +159,32 @@ def _regions(bits, reach: int):
     return run
 
 
-def best_segment(equal: np.ndarray) -> tuple[int, int]:
-    """The run of positions with most points: 1 for an equal token, -2 for another."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
+def best_segment(equal: np.ndarray, off: int = 2) -> tuple[int, int]:
+    """The run of positions with most points: 1 for an equal token, -``off`` for another."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -off))])
     low = np.minimum.accumulate(total)
     end = int((total - low).argmax())
     return int(np.flatnonzero(total[: end + 1] == low[end])[-1]), end
 
 
+def segments(equal: np.ndarray) -> list[tuple[int, int]]:
+    """All segments that are long and alike enough, the best one first, then in what is left
+    on both sides of it."""
+    out, parts = [], [(0, len(equal))]
+    while parts:
+        low, high = parts.pop()
+        part = equal[low:high]
+        if part.sum() < 6:
+            continue
+        begin, end = best_segment(part)
+        if part[begin:end].sum() < SIMILAR * (end - begin):
+            begin, end = best_segment(part, 4)  # a positive sum has four equal tokens of five
+        if part[begin:end].sum() >= 6:
+            out.append((low + begin, low + end))
+        parts += [(low, low + begin), (low + end, high)]
+    return out
+
+
 def covered(tokens: np.ndarray, start: int, item: np.ndarray, diagonals: list[int]) -> tuple[int, int, int, int]:
     """(item tokens covered, first document token, tokens, equal tokens) over the segments
     on these diagonals that are long and alike enough."""
@@ -176,9 +195,7 @@ def covered(tokens: np.ndarray, start: int, item: np.ndarray, diagonals: list[in
         if high <= low:
             continue
         equal = item[low:high] == tokens[low + diagonal - start : high + diagonal - start]
-        begin, end = best_segment(equal)
-        n = int(equal[begin:end].sum())
-        if n >= 6 and n >= SIMILAR * (end - begin):
+        for begin, end in segments(equal):
             hit[low + begin : low + end] |= equal[begin:end]
             first, last = min(first, low + begin + diagonal), max(last, low + end + diagonal)
     n = int(hit.sum())

@@ -57,3 +57,21 @@ def test_best_segment():
 
     assert decontaminate.best_segment(np.array([0, 1, 1, 1, 0, 1, 1, 1, 0, 0, 1], bool)) == (1, 8)
     assert decontaminate.best_segment(np.zeros(4, bool))[1] == 0
+
+
+def test_a_rewritten_stretch_leaves_both_sides(spark, documents):
+    docs, items = [], []
+    for k, (n, gap) in enumerate([(30, 20), (40, 20), (20, 19)]):
+        t = prose(800 + k, 2 * n + gap).split()
+        items.append((k, " ".join(t)))
+        docs.append((k, " ".join(t[:n] + prose(900 + k, gap, 3000).upper().replace("W", "q").split() + t[n + gap :])))
+    got = decontaminate.overlaps(documents(docs), item_frame(spark, items)).collect()
+    assert sorted((x.doc_id, x.item_id, x.n_equal) for x in got) == [(0, 0, 60), (1, 1, 80), (2, 2, 40)]
+
+
+def test_segments():
+    import numpy as np
+
+    runs = np.array(([True] * 6 + [False] * 2) * 8)  # alike enough only one by one
+    assert sum(runs[a:b].sum() for a, b in decontaminate.segments(runs)) == 48
+    assert decontaminate.segments(np.array([True] * 5 + [False] * 9 + [True] * 5)) == []
