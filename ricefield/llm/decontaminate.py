@@ -13,11 +13,15 @@ a mismatch as -2 (-4 where that is not alike enough), and the parts beside it ar
 for further segments.  A document is contaminated by an item when such segments cover at least
 ``COVER`` of the item's tokens or ``LONG`` tokens.
 
+Items shorter than the longest mask are also searched for whole: under the mask of all their
+tokens and, where one substitution leaves a share of ``SIMILAR``, those with each position
+left out.  Such an item is held when ``SIMILAR`` of its tokens are equal in place.
+
 A bit set in which many bits are set lets more windows through to the join, and changes no
 result.  Tokens are words in lower case without characters other than letters and digits.
 
-Cases: a null or empty text has no tokens and no hits; items of fewer tokens than the
-shortest mask are not searched for; rows that share a doc_id, or have none, are told apart
+Cases: a null or empty text has no tokens and no hits; an item of one token is held by every
+text with that token, an item of none by no text; rows that share a doc_id, or have none, are told apart
 by their text; repeated rows give one result; an empty table on either side gives an empty
 result; other columns are ignored by ``overlaps`` and kept by ``remove_contaminated``.
 """
@@ -39,6 +43,7 @@ from ricefield.llm.quality import mixed
 
 # Masks: windows of 8 to 12 tokens, 7 or 8 of them compared.
 MASKS = ("11110111", "1110100111", "1101011011", "111010010111")
+LONGEST = max(map(len, MASKS))
 BITS = 26  # the bit set has 2 ** BITS bits, 8 MB
 COVER, LONG, SIMILAR = 0.6, 50, 0.8
 
@@ -74,6 +79,12 @@ def window_hashes(tokens: np.ndarray, owner: np.ndarray, mask: str) -> tuple[np.
     return inside, mixed(out[inside])
 
 
+def whole_masks(n: int) -> list[str]:
+    """The masks under which an item of ``n`` tokens is searched for whole."""
+    left_out = range(n) if n - 1 >= SIMILAR * n else ()
+    return ["1" * n, *("1" * k + "0" + "1" * (n - k - 1) for k in left_out)]
+
+
 def _owners(ends: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(ends) - 1), np.diff(ends))
 
@@ -88,6 +99,16 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(hashes.view(np.int64)), pa.array(items[owner[at]], pa.int64()), pa.array(at - ends[owner[at]], pa.int64())],
                 ["hash", "item_id", "item_at"],
             )
+        sizes = np.diff(ends)
+        for n in np.unique(sizes[(sizes > 0) & (sizes < LONGEST)]).tolist():
+            for mask in whole_masks(n):
+                at, hashes = window_hashes(tokens, owner, mask)
+                whole = sizes[owner[at]] == n
+                at, hashes = at[whole], hashes[whole]
+                yield pa.record_batch(
+                    [pa.array(hashes.view(np.int64)), pa.array(items[owner[at]], pa.int64()), pa.array(np.zeros(len(at), np.int64))],
+                    ["hash", "item_id", "item_at"],
+                )
 
 
 def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +142,7 @@ def _has(bits: np.ndarray, probe: np.ndarray) -> np.ndarray:
 REGION = "region long, doc_id long, text_hash long, start long, tokens array<long>, hits array<struct<hash:long,at:long>>"
 
 
-def _regions(bits, reach: int):
+def _regions(bits, reach: int, masks: list[str]):
     """Hits of each document, gathered into regions that carry their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +151,7 @@ def _regions(bits, reach: int):
             tokens, ends = token_hashes(batch.column("text"))
             owner = _owners(ends)
             found = []
-            for mask in MASKS:
+            for mask in masks:
                 at, hashes = window_hashes(tokens, owner, mask)
                 first, second = _probes(hashes)
                 hit = np.flatnonzero(_has(own, first))
@@ -195,7 +216,8 @@ def covered(tokens: np.ndarray, start: int, item: np.ndarray, diagonals: list[in
         if high <= low:
             continue
         equal = item[low:high] == tokens[low + diagonal - start : high + diagonal - start]
-        for begin, end in segments(equal):
+        whole = len(equal) == len(item) < LONGEST and equal.sum() >= SIMILAR * len(item)
+        for begin, end in [(0, len(item))] if whole else segments(equal):
             hit[low + begin : low + end] |= equal[begin:end]
             first, last = min(first, low + begin + diagonal), max(last, low + end + diagonal)
     n = int(hit.sum())
@@ -226,10 +248,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items.distinct()
     seeds = written(items.mapInArrow(_item_seeds, "hash long, item_id long, item_at long"), "item-seeds")
     tokens = written(items.mapInArrow(_item_tokens, "item_id long, item_tokens array<long>"), "item-tokens")
-    reach = (tokens.agg(F.max(F.size("item_tokens"))).first()[0] or 0) + max(map(len, MASKS))
+    reach = (tokens.agg(F.max(F.size("item_tokens"))).first()[0] or 0) + LONGEST
+    # at most one row for each length below that of the longest mask
+    short = tokens.select(F.size("item_tokens").alias("n")).where((F.col("n") > 0) & (F.col("n") < LONGEST)).distinct()
+    masks = [*MASKS, *(mask for r in sorted(short.collect()) for mask in whole_masks(r.n))]
     bits = spark.sparkContext.broadcast(bit_set(seeds))
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_hash", F.xxhash64("text"))
-    regions = written(read.mapInArrow(_regions(bits, reach), REGION), "regions")
+    regions = written(read.mapInArrow(_regions(bits, reach, masks), REGION), "regions")
     hits = regions.select("region", F.explode("hits").alias("hit")).select("region", "hit.hash", "hit.at")
     pairs = hits.join(seeds, "hash").select("region", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     pairs = pairs.groupBy("region", "item_id").agg(F.collect_list("diagonal").alias("diagonals"))

@@ -75,3 +75,24 @@ def test_segments():
     runs = np.array(([True] * 6 + [False] * 2) * 8)  # alike enough only one by one
     assert sum(runs[a:b].sum() for a, b in decontaminate.segments(runs)) == 48
     assert decontaminate.segments(np.array([True] * 5 + [False] * 9 + [True] * 5)) == []
+
+
+def test_short_items(spark, documents):
+    """Items shorter than the masks are found whole, and with one token of five or more changed."""
+    items = [(n, prose(1200 + n, n)) for n in range(1, 13)]
+    held, clean = [], []
+    for n, t in items:
+        held.append((100 * n, f"{prose(n, 30)} {t} {prose(n + 50, 30)}"))
+        held.append((100 * n + 1, t.upper()))
+        for k in range(n):
+            words = t.split()
+            words[k] = "other"
+            (held if 5 <= n < 12 else clean if n < 5 else []).append((100 * n + 10 + k, f"{prose(n, 9)} {' '.join(words)} {prose(n, 9)}"))
+        if 1 < n < 6:
+            clean.append((100 * n + 2, " ".join(t.split()[1:])))
+    got = decontaminate.overlaps(documents(held + clean), item_frame(spark, items)).collect()
+    found = {(x.doc_id, x.item_id) for x in got}
+    assert {(d, d // 100) for d, _ in held} <= found
+    assert not {(d, d // 100) for d, _ in clean} & found
+    one = next(x for x in got if (x.doc_id, x.item_id) == (700, 7))
+    assert (one.doc_start, one.n_tokens, one.n_equal, one.item_tokens) == (30, 7, 7, 7)
