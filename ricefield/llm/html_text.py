@@ -1,7 +1,10 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree.  Elements that are never article text (scripts, menus, forms,
-...; by element, role or words of class and id) are taken out.  Every paragraph then passes
+...; by element, role or names in class and id) are taken out.  A name counts when all its
+words are of such a kind or say where it stands, so ``no-sidebar`` and ``entry-header`` don't
+count; and an element that only its name is against stays when it holds all articles and main
+elements or most of the page's text, unless it is a thread of comments.  Every paragraph then passes
 points, one and more for commas and length, to its ancestors, in full to its parent and
 less to each one above; an element's points are discounted by its link density.  The
 element with most points is the container; the siblings that hold enough points, or are
@@ -54,6 +57,12 @@ UNLIKELY = frozenset(
     "sharing social subscribe subscription newsletter signup login search pagination pager widget widgets toolbar skip hidden "
     "copyright".split()
 )
+THREADS = frozenset("comment comments reply replies disqus respond discussion".split())
+# Words that may stand beside an unlikely one in a name.
+PLACES = frozenset(
+    "site global main primary secondary top bottom left right upper lower inner outer container wrapper wrap box block bar area "
+    "list item items link links button buttons btn icon icons form posts articles stories row col column".split()
+)
 UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 CONTENT = frozenset("article main content post entry story body".split())
 
@@ -66,19 +75,23 @@ INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "names", "gone", "points", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "children", "names", "gone", "unlikely", "points", "chars", "link_chars")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         self.points, self.chars, self.link_chars = 0.0, 0, 0
-        self.names, self.gone = frozenset(), tag in NEVER
+        self.names, self.gone, self.unlikely = frozenset(), tag in NEVER, frozenset()
         if attributes.strip():
             found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-            self.names = frozenset(WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+            own = f"{found.get('class', '')} {found.get('id', '')}".lower()
+            self.names = frozenset(WORD.findall(own))
+            if self.names & UNLIKELY and tag not in ("html", "body", "article", "main"):
+                for name in own.split():
+                    words = frozenset(WORD.findall(name))
+                    if words <= UNLIKELY | PLACES:
+                        self.unlikely |= words & UNLIKELY
             self.gone = (
                 self.gone
-                or bool(self.names & UNLIKELY)
-                and tag not in ("html", "body", "article", "main")
                 or found.get("role", "").lower() in UNLIKELY_ROLES
                 or "hidden" in found
                 or found.get("aria-hidden", "").lower() == "true"
@@ -136,6 +149,31 @@ def parsed(page: str) -> Element:
     return root
 
 
+def _spare(root: Element) -> None:
+    """Mark as gone what only its name is against, unless it holds all articles and main
+    elements or most of the page's text."""
+    nodes, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        stack += [c for c in node.children if not isinstance(c, str) and not c.gone]
+    if not any(n.unlikely for n in nodes):
+        return
+    held = {}  # articles and points of each element, without those in threads
+    for node in reversed(nodes):  # children before parents
+        below = [held[id(c)] for c in node.children if id(c) in held]
+        articles = sum(x for x, _ in below) + (node.tag in ("article", "main"))
+        points = sum(x for _, x in below)
+        if node.tag != "a":
+            points += sum(c.count(",") + len(" ".join(c.split())) / 100 for c in node.children if isinstance(c, str))
+        held[id(node)] = (0, 0.0) if node.unlikely & THREADS else (articles, points)
+    articles, points = held[id(root)]
+    for node in nodes:
+        own = held[id(node)]
+        whole = own[0] == articles if articles else own[1] > points / 2
+        node.gone = bool(node.unlikely) and (not whole or bool(node.unlikely & THREADS))
+
+
 def _prune(root: Element) -> list[Element]:
     """Take out what is never article text; the elements that are left, parents first."""
     left, stack = [], [(root, False)]
@@ -211,6 +249,7 @@ def density(node: Element) -> float:
 
 def main_text(page: str | None) -> str:
     root = parsed(page or "")
+    _spare(root)
     nodes = _prune(root)
     _score(nodes)
     best = max(nodes, key=lambda n: n.points * (1 - density(n)), default=None)

@@ -60,3 +60,21 @@ def test_long_and_deep_pages():
     assert html_text.main_text(page(f"<article><p>{long}</p></article>")) == long.strip()
     deep = page("<div>" * 5000 + f"<p>{P1}</p>" + "</div>" * 5000)
     assert html_text.main_text(deep) == P1
+
+
+ARTICLE = f"<h2 class='section-header'>Part</h2><p>{P1}</p><p>{P2}</p>"
+NAMED = {
+    "no-": (f"<div class='content no-sidebar'>{ARTICLE}</div>", f"Part\n{P1}\n{P2}"),
+    "has-": (f"<div id='page' class='has-sidebar'>{ARTICLE}</div>", f"Part\n{P1}\n{P2}"),
+    "layout": (f"<div class='layout-header-fixed'><article><div class='entry-header'>Title</div>{ARTICLE}</article></div>", f"Title\nPart\n{P1}\n{P2}"),
+    "holds the article": (f"<div class='sidebar-left'><article>{ARTICLE}</article></div><div class='site-footer'>{P1}</div>", f"Part\n{P1}\n{P2}"),
+    "holds most": (f"<div class='widget'>{ARTICLE}</div><div class='cookie-bar'>{P1}</div>", f"Part\n{P1}\n{P2}"),
+    "thread": (f"<div class='c'>{ARTICLE}</div><div id='comments'><article class='comment'><p>{P1 * 9}</p></article></div>", f"Part\n{P1}\n{P2}"),
+    "taken out": (f"<div class='c'>{ARTICLE}<div class='left-sidebar'><p>{P1}</p></div><div class='related-posts'><p>{P2}</p></div></div>", f"Part\n{P1}\n{P2}"),
+}
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_names_of_elements(name):
+    source, text = NAMED[name]
+    assert html_text.main_text(page(source)) == text
