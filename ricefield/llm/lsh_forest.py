@@ -17,7 +17,7 @@ Candidates are confirmed on the full sets in rounds.  The first takes for each d
 best candidates (by agreement of signatures); the links confirmed join documents into
 components.  The later round confirms the candidates that still lie between components.
 Candidates whose signatures agree in fewer than ``AGREE`` of all values are not confirmed
-(of true links, fewer than one in a million).
+(of pairs with a similarity of 0.8, one in a hundred million: binomial, 1.0e-8).
 
 Two documents with a similarity of 0.8 miss each other in a tree with probability
 1 - 0.8 ** LEAST, and in all trees with (1 - 0.8 ** 4) ** 24, three in a million; in
@@ -45,7 +45,7 @@ from ricefield.llm.components import components
 from ricefield.llm.quality import mixed
 from ricefield.llm.repeated_spans import maybe_among
 
-TREES, LEAST, CROWD, STEPS, AGREE = 24, 4, 16, 2, 0.6
+TREES, LEAST, CROWD, STEPS, AGREE = 24, 4, 16, 2, 0.55
 K = TREES * LEAST
 PREFIX = 24  # values of a tree's order that are compared; a prefix of equal ones goes by id
 

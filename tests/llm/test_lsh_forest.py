@@ -117,3 +117,13 @@ def test_components(spark):
     got = {x.id: x.root for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_agreement_of_rare_true_links_is_enough():
+    """Signatures of a pair of similarity 0.8 agree in 54 of 96 values now and then."""
+    r = np.random.default_rng(3)
+    a = r.integers(0, 2**32, lsh_forest.K, dtype=np.uint32)
+    b = np.where(np.arange(lsh_forest.K) < 54, a, a ^ np.uint32(1))
+    batch = pa.record_batch([pa.array([1]), pa.array([2]), pa.array([a.tobytes()]), pa.array([b.tobytes()])], ["a", "b", "sa", "sb"])
+    (got,) = lsh_forest._agreement(iter([batch]))
+    assert got.to_pylist() == [{"a": 1, "b": 2, "agree": 54}]
