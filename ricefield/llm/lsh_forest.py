@@ -21,8 +21,8 @@ Candidates whose signatures agree in fewer than ``AGREE`` of all values are not
 
 Two documents with a similarity of 0.8 miss each other in a tree with probability
 1 - 0.8 ** LEAST, and in all trees with (1 - 0.8 ** 4) ** 24, three in a million; in
-crowded regions, where more values have to agree, a link can be missed, but there are many
-others that hold the group together.
+crowded regions, where more values have to agree, a link can be missed, and with it a
+document that has no other link.
 
 Cases: a null or empty text has an empty set and no links; a text with fewer words than a
 shingle is one shingle of all its words; of equal sets and of repeated rows the smallest
