@@ -11,6 +11,8 @@ from ricefield.llm.decontaminate import op5_spaced_seeds
 from ricefield.llm.html_text import op3_tree_scoring
 from ricefield.llm.line_dedup import op8_fuzzy_lines
 from ricefield.llm.lsh_forest import op7_lsh_forest
+from ricefield.llm.merkle import ORACLE as MERKLE_SQL
+from ricefield.llm.merkle import op13_merkle_midstates
 from ricefield.llm.packing import op6_best_fit_packing
 from ricefield.llm.quality import op4_quality_cascade
 from ricefield.llm.records import op9_binary_records
@@ -29,6 +31,7 @@ QUERIES = (
     op8_fuzzy_lines,
     op9_binary_records,
     op10_bwt_merge,
+    op13_merkle_midstates,
 )
 
 
@@ -37,4 +40,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_merkle_midstates": MERKLE_SQL}
