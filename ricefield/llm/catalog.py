@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ricefield.llm.chat import op2_role_repair
 from ricefield.llm.decontaminate import op5_spaced_seeds
+from ricefield.llm.hard_negatives import ORACLE as NEGATIVES_SQL
+from ricefield.llm.hard_negatives import op12_inverted_multi_index
 from ricefield.llm.html_text import op3_tree_scoring
 from ricefield.llm.line_dedup import op8_fuzzy_lines
 from ricefield.llm.lsh_forest import op7_lsh_forest
@@ -31,6 +33,7 @@ QUERIES = (
     op8_fuzzy_lines,
     op9_binary_records,
     op10_bwt_merge,
+    op12_inverted_multi_index,
     op13_merkle_midstates,
 )
 
@@ -40,4 +43,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_merkle_midstates": MERKLE_SQL}
+    return {"op12_inverted_multi_index": NEGATIVES_SQL, "op13_merkle_midstates": MERKLE_SQL}
