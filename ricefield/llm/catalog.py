@@ -20,6 +20,7 @@ from ricefield.llm.quality import op4_quality_cascade
 from ricefield.llm.records import op9_binary_records
 from ricefield.llm.repeated_spans import op10_bwt_merge
 from ricefield.llm.sharding import op1_virtual_slots
+from ricefield.llm.toxicity import op11_toxic_segments
 
 
 QUERIES = (
@@ -33,6 +34,7 @@ QUERIES = (
     op8_fuzzy_lines,
     op9_binary_records,
     op10_bwt_merge,
+    op11_toxic_segments,
     op12_inverted_multi_index,
     op13_merkle_midstates,
 )
