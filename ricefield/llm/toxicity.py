@@ -98,22 +98,26 @@ def evidence_of(normal: list[float]) -> float:
 
 @dataclass
 class Scores:
-    """Score of each word slot, and the extreme-value parameters."""
+    """Score of each word slot (in two bytes: every task gets the table), and the
+    extreme-value parameters."""
 
     weights: np.ndarray
     lam: float = 1.0
     k: float = 1.0
 
+    def of(self, words: np.ndarray) -> np.ndarray:
+        return self.weights[words].astype(np.float32)
+
 
 def word_scores(clean: np.ndarray, toxic: np.ndarray) -> Scores:
     """From documents counts of each slot."""
     seen = np.count_nonzero(clean + toxic)
     if not seen:
-        return Scores(np.full(BUCKETS, -COST, dtype=np.float32))
-    a, b = toxic + PRIOR, clean + PRIOR
-    odds = np.log(a / (toxic.sum() + PRIOR * seen)) - np.log(b / (clean.sum() + PRIOR * seen))
-    weights = (odds - Z * np.sqrt(1 / a + 1 / b) - COST).astype(np.float32)
-    return Scores(weights)
+        return Scores(np.full(BUCKETS, -COST, dtype=np.float16))
+    a, b = toxic.astype(np.float32) + np.float32(PRIOR), clean.astype(np.float32) + np.float32(PRIOR)
+    odds = np.log(a) - np.log(b) + np.float32(log((clean.sum() + PRIOR * seen) / (toxic.sum() + PRIOR * seen)))
+    odds -= np.float32(Z) * np.sqrt(1 / a + 1 / b) + np.float32(COST)
+    return Scores(odds.astype(np.float16))
 
 
 def fit_extremes(counts: dict[tuple[int, int], int]) -> tuple[float, float]:
@@ -153,8 +157,8 @@ def _best(by_fold: list[Scores]):
             fold = batch.column("fold").to_numpy()
             best = np.zeros(batch.num_rows)
             for k in range(batch.num_rows):
-                weights = by_fold[fold[k]].weights
-                best[k] = max((v for _, _, v in segments(weights[ids[ends[k] : ends[k + 1]]])), default=0.0)
+                scores = by_fold[fold[k]].of(ids[ends[k] : ends[k + 1]])
+                best[k] = max((v for _, _, v in segments(scores)), default=0.0)
             yield pa.RecordBatch.from_arrays([batch.column("fold"), pa.array(best), pa.array(np.diff(ends))], names=["fold", "best", "n"])
 
     return run
@@ -170,7 +174,7 @@ def _passages(by_fold: list[Scores]):
             rows = []
             for k in range(batch.num_rows):
                 scores, n = by_fold[fold[k]], int(ends[k + 1] - ends[k])
-                found = segments(scores.weights[ids[ends[k] : ends[k + 1]]])
+                found = segments(scores.of(ids[ends[k] : ends[k + 1]]))
                 cut = log(scores.k * max(n, 1))
                 normal = sorted((scores.lam * v - cut for _, _, v in found), reverse=True)
                 p = [-np.expm1(-exp(min(cut - scores.lam * v, 700.0))) for _, _, v in found]
@@ -222,14 +226,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     train = docs.select("doc_id", "text").join(given, "doc_id").select(fold.alias("fold"), "toxic", slots(words("text")).alias("words"))
     train = written(train, "toxic-train")
     told = train.select("fold", "toxic", F.explode(F.array_distinct("words")).alias("slot")).groupBy("slot").agg(
-        *[F.count_if((F.col("fold") == f) & (F.col("toxic") == t)).alias(f"n{f}_{t}") for f in range(FOLDS) for t in (0, 1)]
+        *[F.count_if((F.col("fold") == f) & (F.col("toxic") == t)).cast("int").alias(f"n{f}_{t}") for f in range(FOLDS) for t in (0, 1)]
     )
-    told = told.toPandas()  # one row per slot at most: their number is a parameter
-    counts = np.zeros((FOLDS, 2, BUCKETS))
+    told = told.toArrow()  # one row per slot at most: their number is a parameter
+    counts = np.zeros((FOLDS, 2, BUCKETS), dtype=np.int32)
     for f in range(FOLDS):
         for t in (0, 1):
-            counts[f, t, told["slot"].to_numpy(dtype=np.int64)] = told[f"n{f}_{t}"].to_numpy()
-    clean, toxic = counts.sum(axis=0)
+            counts[f, t, told["slot"].to_numpy()] = told[f"n{f}_{t}"].to_numpy()
+    del told
+    clean, toxic = counts.sum(axis=0, dtype=np.int32)
     crossed = [word_scores(clean - counts[f, 0], toxic - counts[f, 1]) for f in range(FOLDS)]
     best = train.where("toxic = 0 AND size(words) > 0").mapInArrow(_best(crossed), "fold int, best double, n long")
     # a fixed number of bins, whatever the scores: the last one holds the rest
@@ -238,6 +243,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     told = best.groupBy("fold", b.cast("int").alias("b"), c.cast("int").alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()
     for f in range(FOLDS):
         crossed[f].lam, crossed[f].k = fit_extremes({(r["b"], r["c"]): r["k"] for r in told if r["fold"] == f})
+    del counts
     judged = train.withColumn("row", F.col("toxic").cast("long")).select("row", "fold", "words").mapInArrow(_passages(crossed), PASSAGES)
     place = F.least(F.lit(BINS - 1), F.floor(F.log1p("evidence") / BIN)).cast("int")
     fitted = {(r["b"], r["t"]): r["n"] for r in judged.groupBy(place.alias("b"), F.col("row").cast("int").alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
