@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ricefield.operators import changes, compare, ingest, rollups, search
+from ricefield.operators import changes, compare, ingest, replay, rollups, search
 from ricefield.sinks import exports
 from ricefield.sources import driver_tables as dt
 from ricefield.sources.model import SEED_VARIETIES
@@ -361,6 +361,22 @@ def rename_associations_table(spark, sf_dir):
     return table
 
 
+def _association_changes(spark, sf_dir):
+    return replay.change_associations(_t(spark, sf_dir), dt.association_requests(spark, sf_dir), ["line"])
+
+
+def rename_associations_ordered(spark, sf_dir):
+    """Outcomes of an ordered batch of additions, renames and deletions: names that a
+    request frees or takes count for the next one."""
+    return _association_changes(spark, sf_dir)[1]
+
+
+def rename_associations_ordered_table(spark, sf_dir):
+    """Associations and farmers after that batch."""
+    out, _ = _association_changes(spark, sf_dir)
+    return changes.table_rows({"association": out.association, "farmer": out.farmer})
+
+
 def add_municipalities(spark, sf_dir):
     t = _t(spark, sf_dir)
     _, outcome = changes.add_municipalities(t.municipality, dt.municipality_proposals(spark, sf_dir), ["src", "line"], unique=False)
@@ -522,6 +538,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rename_associations",
         "rename_associations_unique",
         "rename_associations_table",
+        "rename_associations_ordered",
+        "rename_associations_ordered_table",
         "add_municipalities",
         "add_municipalities_unique",
         "rename_municipalities",

@@ -9,7 +9,7 @@ library's code.
 from __future__ import annotations
 
 from ricefield.plans import catalog as C
-from ricefield.sources.driver_tables import MODEL_SQL, UPLOAD_CUTOFF, UPLOAD_SQL
+from ricefield.sources.driver_tables import ASSOCIATION_REQUESTS_SQL, MODEL_SQL, UPLOAD_CUTOFF, UPLOAD_SQL
 
 # Seed varieties in order; cell texts of the stand-in sheet that mean
 # "missing"; export columns and the farmer field under each.
@@ -369,6 +369,47 @@ FROM farmer f LEFT JOIN assoc a ON a.season = f.season AND a.id = f.association_
     )
 
 
+# One request after the other: each step of the recursion applies the next request of every
+# municipality to the list of its associations.
+ORDERED = (
+    ASSOCIATION_REQUESTS_SQL
+    + """,
+numbered AS (
+    SELECT CASE kind WHEN 'add' THEN -line ELSE k END AS who, kind, nation AS mun, trim(name) AS new_name, lower(trim(name)) AS key, line,
+           row_number() OVER (PARTITION BY nation ORDER BY line) AS n
+    FROM asked WHERE CASE kind WHEN 'add' THEN k % 50 <> 3 ELSE k % 11 <> 0 END
+),
+played AS (
+    SELECT municipality_id AS mun, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS line, '' AS status, CAST(NULL AS VARCHAR) AS had,
+           list({'who': id, 'key': lower(trim(name)), 'name': name}) AS held
+    FROM assoc WHERE season = 'dry' GROUP BY municipality_id
+    UNION ALL
+    SELECT mun, n, line, status, had,
+           CASE status
+               WHEN 'deleted' THEN list_filter(held, lambda e: e.who <> w)
+               WHEN 'inserted' THEN list_append(held, {'who': w, 'key': key, 'name': new_name})
+               WHEN 'renamed' THEN list_transform(held, lambda e: CASE e.who WHEN w THEN {'who': w, 'key': key, 'name': new_name} ELSE e END)
+               ELSE held END
+    FROM (
+        SELECT p.mun, o.n, o.line, o.who AS w, o.key, o.new_name, p.held, list_filter(p.held, lambda e: e.who = o.who)[1].name AS had,
+               CASE WHEN o.kind <> 'add' AND len(list_filter(p.held, lambda e: e.who = o.who)) = 0 THEN 'not found'
+                    WHEN o.kind = 'delete' THEN 'deleted'
+                    WHEN len(list_filter(p.held, lambda e: e.key = o.key AND e.who <> o.who)) > 0 THEN 'duplicate'
+                    WHEN o.kind = 'add' THEN 'inserted' ELSE 'renamed' END AS status
+        FROM played p JOIN numbered o ON o.mun = p.mun AND o.n = p.n + 1
+    )
+),
+ids AS (
+    SELECT line, (SELECT max(id) FROM assoc WHERE season = 'dry') + row_number() OVER (ORDER BY line) AS new_id
+    FROM played WHERE status = 'inserted'
+),
+after AS (
+    SELECT coalesce(new_id, e.who) AS id, mun AS municipality_id, e.name AS name
+    FROM (SELECT mun, unnest(arg_max(held, n)) AS e FROM played GROUP BY mun) LEFT JOIN ids ON line = -e.who
+)"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["season_summary"] = W("SELECT season, municipalities, associations, farmers, area, mt FROM summ", SEASON_TOT)
@@ -726,6 +767,20 @@ def oracle_sql() -> dict[str, str]:
                                 AND lower(trim(x.name)) = lower(trim(r0.new_name)) AND x.id <> r0.id) AS taken
                  FROM r0)""",
     )
+    q["rename_associations_ordered"] = f"""WITH RECURSIVE {MODEL_SQL}, {ORDERED}
+        SELECT o.kind, 'dry' AS season,
+               CASE WHEN o.kind <> 'add' THEN o.k + CASE WHEN o.k % 11 = 0 THEN 1000000000 ELSE 0 END END AS id, o.line,
+               coalesce(p.had, CASE WHEN o.kind <> 'add' AND o.k % 11 <> 0 THEN c.dry END) AS old_name, trim(o.name) AS new_name,
+               coalesce(p.status, CASE o.kind WHEN 'add' THEN 'no municipality' ELSE 'not found' END) AS status, i.new_id
+        FROM asked o JOIN cust c ON c.k = o.k LEFT JOIN played p ON p.line = o.line LEFT JOIN ids i ON i.line = o.line"""
+    q["rename_associations_ordered_table"] = f"""WITH RECURSIVE {MODEL_SQL}, {ORDERED}
+        SELECT 'association' AS table_name, season, id, municipality_id AS parent_id, name,
+               CAST(NULL AS DOUBLE) AS area, CAST(NULL AS DOUBLE) AS sacks, CAST(NULL AS DOUBLE) AS kg
+        FROM (SELECT 'dry' AS season, id, municipality_id, name FROM after
+              UNION ALL SELECT season, id, municipality_id, name FROM assoc WHERE season = 'wet')
+        UNION ALL
+        SELECT 'farmer', season, id, association_id, concat_ws('|', rsbsa, last_name, first_name, middle_name, suffix, variety), area, sacks, kg
+        FROM farmer f WHERE season = 'wet' OR EXISTS (SELECT 1 FROM after a WHERE a.id = f.association_id)"""
     q["rename_municipalities"] = W(
         """SELECT r.season, r.id, r.line, m.name AS old_name, r.new_name,
                   CASE WHEN m.name IS NULL THEN 'not found' WHEN r.new_name = '' THEN 'blank' ELSE 'renamed' END AS status

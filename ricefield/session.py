@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at any scale: AQE re-plans joins from runtime sizes, splits
 # skewed shuffle partitions and coalesces tiny ones.  ANSI stays on (expressions use
@@ -51,3 +52,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ricefield-ckpt-"))
         return sc.getCheckpointDir()
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/ABFS)")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet below the checkpoint folder and read again: later uses
+    see the same rows, can prune columns, and do not repeat the work before."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ricefield-{name}-{uuid.uuid4().hex[:16]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

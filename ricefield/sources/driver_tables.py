@@ -464,3 +464,50 @@ def municipality_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("n_regionkey") == 1, F.concat("n_name", F.lit(" (renamed)"))).otherwise(F.lit(" ")).alias("name"),
         F.col("n_nationkey").cast("long").alias("line"),
     )
+
+
+def association_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ordered batch on the dry season's associations, two requests for most customers:
+    every row but FURNITURE asks for one of 20 group names; then a row asks for another
+    group, for its old name, or to be deleted, and FURNITURE rows add a group.  Lines mix
+    the customers' order, so names are taken, kept and freed throughout the batch."""
+    c = _read(spark, sf_dir, "customer")
+    k = F.col("c_custkey").cast("long")
+    dry = F.when(F.col("c_mktsegment") == "BUILDING", F.concat("c_name", F.lit(" Coop"))).otherwise(F.upper("c_name"))
+    segment = F.col("c_mktsegment")
+
+    def group(n):
+        return F.concat(F.lit("Group "), (n % 20).cast("string"))
+
+    def request(kind, name, line):
+        i = F.when(kind != "add", k + F.when(k % 11 == 0, 1000000000).otherwise(0))
+        m = F.when(kind == "add", F.col("c_nationkey") + F.when(k % 50 == 3, 1000).otherwise(0))
+        return [kind.alias("kind"), F.lit("dry").alias("season"), i.alias("id"), m.cast("long").alias("municipality_id"), name.alias("name"), line.alias("line")]
+
+    first = c.where(segment != "FURNITURE").select(*request(F.lit("rename"), group(k), k % 7 * 10**10 + k * 2))
+    gone = (segment == "HOUSEHOLD") & (F.col("c_acctbal") < 0)
+    kind = F.when(segment == "FURNITURE", "add").when(gone, "delete").otherwise("rename")
+    name = (
+        F.when(segment == "FURNITURE", group(k)).when(gone, F.lit(None).cast("string")).when(segment == "HOUSEHOLD", group(k * 3))
+        .when(segment == "MACHINERY", group(k + 7)).when(segment == "BUILDING", dry).otherwise(F.concat(F.lit(" "), F.lower(dry)))
+    )
+    second = c.select(*request(kind, name, k * 5 % 7 * 10**10 + k * 2 + 1))
+    return first.unionByName(second)
+
+
+ASSOCIATION_REQUESTS_SQL = """
+cust AS (
+    SELECT CAST(c_custkey AS BIGINT) AS k, c_mktsegment AS segment, c_acctbal AS balance, CAST(c_nationkey AS BIGINT) AS nation,
+           CASE c_mktsegment WHEN 'BUILDING' THEN c_name || ' Coop' ELSE upper(c_name) END AS dry
+    FROM customer
+),
+asked AS (
+    SELECT k, 'rename' AS kind, nation, 'Group ' || k % 20 AS name, k % 7 * 10000000000 + k * 2 AS line FROM cust WHERE segment <> 'FURNITURE'
+    UNION ALL
+    SELECT k, CASE WHEN segment = 'FURNITURE' THEN 'add' WHEN segment = 'HOUSEHOLD' AND balance < 0 THEN 'delete' ELSE 'rename' END, nation,
+           CASE WHEN segment = 'FURNITURE' THEN 'Group ' || k % 20
+                WHEN segment = 'HOUSEHOLD' THEN CASE WHEN balance >= 0 THEN 'Group ' || k * 3 % 20 END
+                WHEN segment = 'MACHINERY' THEN 'Group ' || (k + 7) % 20 WHEN segment = 'BUILDING' THEN dry ELSE ' ' || lower(dry) END,
+           k * 5 % 7 * 10000000000 + k * 2 + 1
+    FROM cust
+)"""

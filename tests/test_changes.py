@@ -132,7 +132,7 @@ def test_seed_varieties(spark):
 def test_form_numbers_as_python_reads_them(spark):
     from ricefield.functions.exprs import form_number
 
-    cells = ["12d", "3f", "   ", "1_0", "", None, " 1.5e1 ", ".5", "5.", "1,200", "_1", "1__0", "-inf", "+2", "\x1c7\x1f", "0x1"]
+    cells = ["12d", "3f", "   ", "1_0", "", None, " 1.5e1 ", ".5", "5.", "1,200", "_1", "1__0", "-inf", "+2", "\x1c7\x1f", "0x1", "\t\x0b8\r\n ", "\xa09\u2003", "\xa0\x1c6"]
 
     def python(x):
         try:

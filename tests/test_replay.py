@@ -1,0 +1,154 @@
+"""Ordered batches of named rows against one request at a time."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from ricefield.operators import replay
+from ricefield.operators.running import running
+from ricefield.sources.model import Tables
+
+REQUEST = "kind string, season string, id long, municipality_id long, name string, line long"
+
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Several ranges, yet short jobs."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def key(name):
+    return name.strip(" ").lower()
+
+
+def one_by_one(table, parents, requests):
+    """rows (season, id, municipality_id, name) and outcomes by line."""
+    rows = {(s, i): (m, n) for s, i, m, n in table}
+    top = {s: max((i for t, i in rows if t == s), default=0) for s in ("wet", "dry")}
+    start, out = dict(rows), {}
+    for kind, s, i, m, name, line in sorted(requests, key=lambda r: r[5]):
+        new = None if kind == "delete" else (name or "").strip()
+        have = rows.get((s, i)) if kind != "add" else None
+        before = start.get((s, i), (None, None))[1] if kind != "add" else None
+        if kind != "add" and have is None:
+            out[line] = (before, new, "not found", None)
+        elif new == "":
+            out[line] = (before, new, "blank", None)
+        elif kind == "add" and (s, m) not in parents:
+            out[line] = (None, new, "no municipality", None)
+        elif kind == "delete":
+            out[line] = (have[1], None, "deleted", None)
+            del rows[s, i]
+        else:
+            scope = m if kind == "add" else have[0]
+            taken = any(t == s and mm == scope and key(n) == key(new) and (kind == "add" or j != i) for (t, j), (mm, n) in rows.items())
+            if taken:
+                out[line] = (have and have[1], new, "duplicate", None)
+            elif kind == "add":
+                top[s] += 1
+                rows[s, top[s]] = (m, new)
+                out[line] = (None, new, "inserted", top[s])
+            else:
+                rows[s, i] = (scope, new)
+                out[line] = (have[1], new, "renamed", None)
+    return {(s, i, m, n) for (s, i), (m, n) in rows.items()}, out
+
+
+def played(spark, table, parents, requests):
+    assoc = spark.createDataFrame(table, "season string, id long, municipality_id long, name string")
+    muni = spark.createDataFrame([(s, i, f"m{i}") for s, i in parents], "season string, id long, name string")
+    farmer = assoc.select(
+        "season", "id", F.col("id").alias("association_id"), *[F.lit("x").alias(c) for c in ("rsbsa", "last_name", "first_name", "middle_name", "suffix")],
+        F.lit(1.0).alias("area"), F.lit("v").alias("variety"), F.lit(1.0).alias("sacks"), F.lit(1.0).alias("kg"),
+    )
+    tables, out = replay.change_associations(Tables(muni, assoc, farmer), spark.createDataFrame(requests, REQUEST), ["line"])
+    got = {r["line"]: (r["old_name"], r["new_name"], r["status"], r["new_id"]) for r in out.collect()}
+    rows = {tuple(r) for r in tables.association.collect()}
+    assert {(r["season"], r["association_id"]) for r in tables.farmer.collect()} == {(s, i) for s, i, _, _ in table} & {r[:2] for r in rows}
+    return rows, got
+
+
+def same(spark, table, parents, requests):
+    rows, out = played(spark, table, parents, requests)
+    want_rows, want = one_by_one(table, parents, requests)
+    assert out == want
+    assert rows == want_rows
+    return {line: o[2] for line, o in out.items()}
+
+
+PARENTS = {("dry", 1), ("dry", 2), ("wet", 1)}
+TABLE = [("dry", 1, 1, "X"), ("dry", 2, 1, "Y"), ("dry", 3, 1, "Z"), ("dry", 4, 2, "X"), ("wet", 1, 1, "X")]
+
+
+def test_chain_swap_and_freed_name(spark):
+    # five municipalities with rows X, Y, Z, each a case of its own; line = 100 * case + place
+    cases = [
+        ([(1, "W"), (2, "x "), (3, " y")], ["renamed"] * 3),  # 1 leaves X, so 2 may take it, and 3 what 2 had
+        ([(3, "y"), (2, "X"), (1, "W")], ["duplicate", "duplicate", "renamed"]),  # each name is still borne
+        ([(1, "Y"), (2, "X")], ["duplicate"] * 2),  # a swap needs a third name
+        ([(1, "T"), (2, "X"), (1, "Y")], ["renamed"] * 3),
+        ([(1, "Z"), (2, "X"), (3, "Y")], ["duplicate"] * 3),  # a first refusal runs down a chain
+    ]
+    table = [("dry", 10 * m + i, m, n) for m in range(5) for i, n in enumerate("XYZ", 1)]
+    asked = [("rename", "dry", 10 * m + i, None, n, 100 * m + k) for m, (rows, _) in enumerate(cases) for k, (i, n) in enumerate(rows)]
+    got = same(spark, table, {("dry", m) for m in range(5)}, asked)
+    assert got == {100 * m + k: s for m, (_, want) in enumerate(cases) for k, s in enumerate(want)}
+
+
+def test_additions_and_deletions_free_and_take(spark):
+    asked = [
+        ("add", "dry", None, 1, "X", 1), ("delete", "dry", 1, None, None, 2), ("add", "dry", None, 1, "x", 3), ("add", "dry", None, 1, "X", 4),
+        ("rename", "dry", 1, None, "Q", 5), ("delete", "dry", 1, None, None, 6), ("add", "dry", None, 9, "N", 7), ("add", "dry", None, 2, None, 8),
+        ("rename", "dry", 4, None, "X", 9), ("rename", "dry", 99, None, "Q", 10),
+    ]
+    got = same(spark, TABLE, PARENTS, asked)
+    assert got == {
+        1: "duplicate", 2: "deleted", 3: "inserted", 4: "duplicate", 5: "not found", 6: "not found",
+        7: "no municipality", 8: "blank", 9: "renamed", 10: "not found",
+    }
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_batches(spark, seed):
+    r = random.Random(seed)
+    names = ["A", "b", " C", "d ", "E", "F", "", None]
+    table = [(s, i, r.choice([1, 2]) if s == "dry" else 1, r.choice("ABCDEFGH")) for s in ("wet", "dry") for i in range(1, 9)]
+    asked = []
+    for line in range(70):
+        kind = r.choices(["rename", "add", "delete"], [8, 3, 1])[0]
+        asked.append((kind, r.choice(["wet", "dry"]), None if kind == "add" else r.choice([*range(1, 9), 99]), r.choice([1, 2, 3]) if kind == "add" else None, None if kind == "delete" else r.choice(names), line))
+    r.shuffle(asked)
+    same(spark, table, PARENTS, asked)
+
+
+def test_a_long_chain_and_one_hot_name(spark):
+    table = [("dry", i, 1, f"n{i}") for i in range(300)]
+    chain = [("rename", "dry", i, None, f"n{i + 1}", 1000 - i) for i in range(300)]  # from the end: all hold
+    hot = [("rename", "dry", i, None, "hot", 2000 + i) for i in range(300)]
+    got = same(spark, table, {("dry", 1)}, chain + hot)
+    assert sum(s == "renamed" for s in got.values()) == 301
+
+
+def test_empty_batch(spark):
+    rows, out = played(spark, TABLE, PARENTS, [])
+    assert out == {} and rows == set(TABLE)
+
+
+def test_running_values_over_ranges(spark):
+    r = random.Random(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(r.choice(["a", "a", "a", "b", None]), k, r.randrange(-3, 4), r.choice([None, f"v{k}"])) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, k long, x long, v string").repartition(7)
+    try:
+        got = {row["k"]: (row["total"], row["seen"]) for row in running(df, ["g"], ["k"], {"total": F.col("x")}, {"seen": F.col("v")}).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    total, seen = {}, {}
+    for g, k, x, v in rows:
+        assert got[k] == (total.get(g, 0), seen.get(g))
+        total[g] = total.get(g, 0) + x
+        seen[g] = v or seen.get(g)
