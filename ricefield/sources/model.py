@@ -79,11 +79,13 @@ class Tables:
     variety: DataFrame | None = None
     # farmer totals per (season, association_id), where they are already at hand
     totals: DataFrame | None = None
+    # the store and state that the tables were read from
+    read_at: dict | None = None
 
     def items(self):
         for f in fields(self):
             df = getattr(self, f.name)
-            if df is not None and f.name != "totals":
+            if df is not None and f.name not in ("totals", "read_at"):
                 yield f.name, df
 
     def with_(self, **kw) -> "Tables":
@@ -113,7 +115,7 @@ def read_tables(spark: SparkSession, root: str, with_variety: bool = True) -> Ta
 
     at = store.state(spark, root)
     names = [n for n in TABLE_ORDER if with_variety or n != "variety"]
-    return Tables(**{n: store.read(spark, root, n, at) for n in names})
+    return Tables(**{n: store.read(spark, root, n, at) for n in names}, read_at={**at, "store": root.rstrip("/")})
 
 
 def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite") -> None:
