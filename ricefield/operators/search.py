@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ricefield.functions.exprs import contains_any, display_or, full_name
 from ricefield.operators.ranking import sequence_number
+from ricefield.session import stored
 from ricefield.sources.model import FARMER, Tables
 
 FARMER_COLS = [f.name for f in FARMER.fields]
@@ -204,6 +205,58 @@ def report_page(rows: DataFrame, page, per_page: int = PER_PAGE) -> DataFrame:
     return top.withColumn("pos", (F.row_number().over(w) + F.lit(offset)).cast("long"))
 
 
+# ------------------------------------------------------- pages of a ranked report
+
+
+@dataclass
+class RankedReport:
+    """Report rows written once in order, in ranges; ``ranges`` is the histogram of the order:
+    (range, rows in it, rows before it), one entry per range partition."""
+
+    rows: DataFrame
+    ranges: list[tuple[int, int, int]]
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, n, _ in self.ranges)
+
+    def page(self, page, per_page: int = PER_PAGE) -> DataFrame:
+        """The same rows as ``report_page``, at a cost that does not grow with the page's
+        number: the histogram says which ranges hold the page and at which places in them,
+        so only those folders are opened and only the row groups with these places read."""
+        first = max(parse_page(page) - 1, 0) * per_page
+        here, pos = F.lit(False), F.lit(None).cast("long")
+        for r, n, before in self.ranges:
+            low, high = max(first - before, 0), min(first + per_page - before, n) - 1
+            if low <= high:
+                mine = F.col("order_range") == r
+                here = here | (mine & F.col("place").between(low, high))
+                pos = F.when(mine, F.col("place") + F.lit(before + 1)).otherwise(pos)
+        return self.rows.where(here).withColumn("pos", pos.cast("long")).drop("order_range", "place").orderBy("pos")
+
+    def page_info(self, page, per_page: int = PER_PAGE) -> DataFrame:
+        """Paging metadata from the histogram alone."""
+        stats = self.rows.sparkSession.createDataFrame([(self.total,)], "total_records long")
+        return report_page_info(stats, page, per_page)
+
+
+def rank_report(rows: DataFrame, ranges: int | None = None) -> RankedReport:
+    """Deal report rows out by ranges of their order, sort each range and write it, with its
+    number and each row's place in it, below the checkpoint folder."""
+    order = [F.asc_nulls_first("farmer_name"), F.col("season"), F.col("id")]
+    dealt = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
+    placed = dealt.sortWithinPartitions(*order).select(
+        "*", F.spark_partition_id().alias("order_range"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("place")
+    )
+    written = stored(placed, "report", partition_by=["order_range"])
+    counted = written.groupBy("order_range").agg(F.count(F.lit(1)).alias("n")).orderBy("order_range").collect()
+    histogram, before = [], 0
+    for r in counted:
+        histogram.append((r["order_range"], r["n"], before))
+        before += r["n"]
+    return RankedReport(written, histogram)
+
+
 def report_page_info(stats: DataFrame, page, per_page: int = PER_PAGE) -> DataFrame:
     page = parse_page(page)
     n = F.col("total_records")

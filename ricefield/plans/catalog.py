@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ricefield.operators import changes, compare, ingest, replay, rollups, search
+from ricefield.operators import changes, compare, ingest, replay, rollups, search, totals
 from ricefield.sinks import exports
 from ricefield.sources import driver_tables as dt
 from ricefield.sources.model import SEED_VARIETIES
@@ -168,6 +168,17 @@ def report_page(spark, sf_dir):
     return search.report_page(_report_rows(spark, sf_dir), REPORT_PAGE)
 
 
+def report_pages_ranked(spark, sf_dir):
+    """Pages 1 and 3, the last one and the one after it, of a report ranked once."""
+    ranked = search.rank_report(_report_rows(spark, sf_dir))
+    last = search.total_pages(ranked.total)
+    out = None
+    for page in sorted({1, 3, last, last + 1}):
+        rows = ranked.page(page).withColumn("page", F.lit(page).cast("long"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def report_stats_wet(spark, sf_dir):
     """The report of one season."""
     return search.report_stats(search.report_rows(_t(spark, sf_dir), season="wet", search=REPORT_SEARCH))
@@ -460,6 +471,51 @@ def snapshot_restore(spark, sf_dir):
     return changes.table_rows(dict(read_tables(spark, live).items()))
 
 
+def snapshot_pinned(spark, sf_dir):
+    """The same with a snapshot that writes no rows: all rows after the restore."""
+    from ricefield.sources.model import read_tables
+
+    tj, root, live = _live(spark, sf_dir)
+    ts = tj.snapshot(spark, live, f"{root}/snapshots", copy=False)
+    totals.commit_with_totals(spark, live, totals.deleting_municipalities(dt.municipality_deletions(spark, sf_dir)))
+    tj.restore(spark, f"{root}/snapshots", ts, live)
+    return changes.table_rows(dict(read_tables(spark, live).items()))
+
+
+def snapshot_names(spark, sf_dir):
+    """The snapshot name of every order's moment (its date and time taken as UTC)."""
+    from ricefield.sinks.tables import snapshot_name
+
+    orders = dt.orders(spark, sf_dir)
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', o_orderdate)")
+    return orders.select("o_orderkey", snapshot_name(F.timestamp_micros(micros)).alias("snapshot"))
+
+
+def update_farmers_committed(spark, sf_dir):
+    """Edits of one season committed to a store, which keeps the other season's files: the
+    farmer table afterwards."""
+    from ricefield.sources.model import read_table
+
+    tj, _, live = _live(spark, sf_dir)
+    edits = changes.form_rows(dt.edit_rows(spark, sf_dir).where(F.col("season") == CURRENT))
+    totals.commit_with_totals(spark, live, totals.updating(edits, ["line"]))
+    return read_table(spark, live, "farmer")
+
+
+def totals_after_changes(spark, sf_dir):
+    """Association KPIs from totals that followed three committed changes: edits, deletions
+    of farmers, and deletions of associations with their farmers."""
+    _, _, live = _live(spark, sf_dir)
+    totals.rebuild(spark, live)
+    for change in (
+        totals.updating(changes.form_rows(dt.edit_rows(spark, sf_dir)), ["line"]),
+        totals.deleting(dt.farmer_deletions(spark, sf_dir)),
+        totals.deleting_associations(dt.association_deletions(spark, sf_dir)),
+    ):
+        totals.commit_with_totals(spark, live, change)
+    return rollups.association_kpi(totals.tables_with_totals(spark, live))
+
+
 def snapshot_list(spark, sf_dir):
     """Two snapshots with fixed names: what the listing says of them (without sizes)."""
     tj, root, live = _live(spark, sf_dir)
@@ -518,6 +574,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_stats_wet",
         "report_page",
         "report_page_info",
+        "report_pages_ranked",
         "municipality_names",
         "upload_classified",
         "upload_summary",
@@ -529,6 +586,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "insert_farmers_table",
         "update_farmers",
         "update_farmer_outcomes",
+        "update_farmers_committed",
+        "totals_after_changes",
         "delete_farmers",
         "delete_association_cascade",
         "delete_municipality_cascade",
@@ -549,7 +608,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "template_export_files",
         "short_export_files",
         "snapshot_restore",
+        "snapshot_pinned",
         "snapshot_list",
+        "snapshot_names",
         "import_replace",
         "table_copy",
     ]

@@ -601,6 +601,12 @@ def oracle_sql() -> dict[str, str]:
                           FROM filtered) WHERE pos > {lo} AND pos <= {lo + 15}""",
         REPORT_ROWS,
     )
+    q["report_pages_ranked"] = W(
+        """SELECT *, (pos - 1) // 15 + 1 AS page
+           FROM (SELECT *, row_number() OVER (ORDER BY farmer_name NULLS FIRST, season, id) AS pos FROM filtered)
+           WHERE (pos - 1) // 15 IN (0, 2, (SELECT (count(*) - 1) // 15 FROM filtered))""",
+        REPORT_ROWS,
+    )
     q["report_page_info"] = W(
         f"""SELECT CAST({C.REPORT_PAGE} AS BIGINT) AS page, CAST(15 AS BIGINT) AS per_page, total_pages,
                total_records, {C.REPORT_PAGE} < total_pages AS has_next, {C.REPORT_PAGE} > 1 AS has_prev
@@ -673,6 +679,32 @@ def oracle_sql() -> dict[str, str]:
         SELECT season, id, association_id, {', '.join(edited)} FROM farmer f ANTI JOIN winner w USING (season, id)""",
         EDITS,
     )
+    q["update_farmers_committed"] = W(
+        f"""SELECT season, id, association_id, {', '.join('w.' + c for c in edited)} FROM farmer f JOIN winner w USING (season, id)
+        WHERE season = 'dry'
+        UNION ALL
+        SELECT season, id, association_id, {', '.join(edited)} FROM farmer f
+        WHERE season = 'wet' OR id NOT IN (SELECT id FROM winner WHERE season = 'dry')""",
+        EDITS,
+    )
+    q["totals_after_changes"] = W(
+        f"""SELECT season, id, name, total_farmers, total_area, total_sacks, total_kg, total_mt,
+               CASE WHEN total_area > 0 THEN {R2('total_mt / total_area')} ELSE {Z} END AS average_yield
+        FROM (SELECT *, {R2('total_kg / 1000.0::DOUBLE')} AS total_mt FROM (
+              SELECT a.season, a.id, a.name, count(f.id) AS total_farmers,
+                     {R2('coalesce(sum(f.area), 0)')} AS total_area, {R2('coalesce(sum(f.sacks), 0)')} AS total_sacks,
+                     {R2('coalesce(sum(f.sacks * f.kg), 0)')} AS total_kg
+              FROM assoc a LEFT JOIN now_ f ON f.season = a.season AND f.association_id = a.id
+              WHERE NOT (a.season = 'wet' AND a.id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE'))
+              GROUP BY a.season, a.id, a.name))""",
+        EDITS,
+        f"""now_ AS (
+            SELECT season, id, association_id, area, sacks, kg FROM (
+                SELECT season, id, association_id, {', '.join('w.' + c for c in edited)} FROM farmer f JOIN winner w USING (season, id)
+                UNION ALL
+                SELECT season, id, association_id, {', '.join(edited)} FROM farmer f ANTI JOIN winner w USING (season, id))
+            WHERE id NOT IN (SELECT d.id FROM farmer_src d WHERE d.o_orderstatus = 'F' AND d.o_orderpriority = '2-HIGH'))""",
+    )
     q["update_farmer_outcomes"] = W(
         """SELECT t.season, t.id, t.line, t.rsbsa, t.last_name, t.first_name, t.middle_name, t.suffix, t.variety,
                   t.area, t.sacks, t.kg,
@@ -794,6 +826,7 @@ def oracle_sql() -> dict[str, str]:
             FROM nation WHERE n_regionkey IN (0, 1))""",
     )
     seeds = ", ".join(f"({i}, '{n}')" for i, n in enumerate(SEED_VARIETIES))
+    q["snapshot_names"] = "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 8 HOUR, '%Y%m%d_%H%M%S') AS snapshot FROM orders"
     q["seed_varieties"] = W(
         """SELECT season, id, name FROM variety
            UNION ALL
@@ -808,7 +841,7 @@ def oracle_sql() -> dict[str, str]:
     varieties = """variety AS (SELECT season, row_number() OVER (PARTITION BY season ORDER BY name) AS id, name
                        FROM (SELECT DISTINCT season, variety AS name FROM farmer WHERE variety <> ''))"""
     every = {"municipality": "muni", "association": "assoc", "variety": "variety", "farmer": "farmer"}
-    for name in ("snapshot_restore", "import_replace", "table_copy"):
+    for name in ("snapshot_restore", "snapshot_pinned", "import_replace", "table_copy"):
         q[name] = W(_rows(every), varieties)
     q["snapshot_list"] = W(
         "\nUNION ALL\n".join(

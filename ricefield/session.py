@@ -54,9 +54,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/ABFS)")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: list[str] = ()) -> DataFrame:
     """``df`` written once as Parquet below the checkpoint folder and read again: later uses
     see the same rows, can prune columns, and do not repeat the work before."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ricefield-{name}-{uuid.uuid4().hex[:16]}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -29,8 +29,17 @@ FARMER_VARIETIES = ["Bigante", "Lp2096", "NK 5017", "S6003", "SL 20", "RC 222",
 UPLOAD_CUTOFF = "1999-01-01"
 
 
+# The columns used here; reading with a schema opens no file while a plan is built.
+COLUMNS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read.schema(COLUMNS[name]) if name in COLUMNS else spark.read
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def municipality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +94,10 @@ def _variety() -> F.Column:
     return F.element_at(F.array([F.lit(v) for v in FARMER_VARIETIES]), (F.col("o_orderkey") % 9 + 1).cast("int"))
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders")
+
+
 def farmer_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Farmer rows plus the order's columns (used to split existing and uploaded rows)."""
     o = _read(spark, sf_dir, "orders")

@@ -114,7 +114,8 @@ def read_tables(spark: SparkSession, root: str, with_variety: bool = True) -> Ta
     from ricefield.sinks import store
 
     at = store.state(spark, root)
-    names = [n for n in TABLE_ORDER if with_variety or n != "variety"]
+    # a store without varieties is whole
+    names = [n for n in TABLE_ORDER if n != "variety" or (with_variety and store.has_table(spark, root, n))]
     return Tables(**{n: store.read(spark, root, n, at) for n in names}, read_at={**at, "store": root.rstrip("/")})
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import farmer_row, tables
 from ricefield.operators import search
@@ -127,3 +128,34 @@ def test_report_view_bundle(spark):
     assert (info["total_pages"], info["has_next"], info["has_prev"]) == (2, False, True)
     assert [r["name"] for r in v.municipalities.orderBy("pos").collect()] == ["Alpha", "Bravo"]
     v.rows.unpersist()
+
+
+def _report_rows(spark, n):
+    names = [None, "b", "a", "a", "C"]
+    return spark.createDataFrame([(names[i * 7 % 5] and f"{names[i * 7 % 5]}{i % 11}", ["Wet", "Dry"][i % 2], i) for i in range(n)], "farmer_name string, season string, id long")
+
+
+def test_ranked_pages_are_the_report_pages(spark):
+    from ricefield.operators import search
+
+    rows = _report_rows(spark, 203)
+    ranked = search.rank_report(rows, ranges=5)
+    assert ranked.total == 203 and len(ranked.ranges) > 1
+    for page in (1, 2, 3, 13, 14, 15, 99, 0, -4, "x"):
+        assert ranked.page(page).collect() == search.report_page(rows, page).collect()
+    info = search.report_page_info(rows.agg(F.count(F.lit(1)).alias("total_records")), 14)
+    assert ranked.page_info(14).collect() == info.collect()
+    empty = search.rank_report(_report_rows(spark, 5).where("id < 0"))
+    assert empty.page(1).collect() == [] and empty.page_info(1).first()["total_pages"] == 1
+
+
+def test_a_ranked_page_opens_its_range_only(spark):
+    from ricefield.operators import search
+
+    ranked = search.rank_report(_report_rows(spark, 400), ranges=4)
+    r, n, before = ranked.ranges[2]
+    page = (before + n // 2) // search.PER_PAGE + 1  # well inside the third range
+    plan = ranked.page(page)._jdf.queryExecution().toString()
+    scan = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert f"order_range#" in scan and f"= {r})" in scan and "place" in scan.split("PushedFilters")[1]
+    assert len({f for f in ranked.page(page)._jdf.queryExecution().executedPlan().toString().splitlines() if "TakeOrdered" in f}) == 0
