@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ricefield.functions.exprs import contains_any, display_or, full_name
 from ricefield.operators.ranking import sequence_number
+from ricefield.operators.trigram import FarmerIndex
 from ricefield.session import stored
 from ricefield.sources.model import FARMER, Tables
 
@@ -45,13 +46,15 @@ def _label(labels: dict[str, str]):
 
 
 def farmer_search(
-    tables: Tables, term: str, labels: dict[str, str], case_sensitive: bool = False
+    tables: Tables, term: str, labels: dict[str, str], case_sensitive: bool = False, index: FarmerIndex | None = None
 ) -> DataFrame:
     """Farmers of the labelled seasons whose RSBSA, last or first name contains ``term``,
     with association and municipality names (inner joins) and the season label.
-    A blank term searches nothing (empty result)."""
+    A blank term searches nothing (empty result).  With a trigram ``index`` of the farmers
+    only its candidates are read and confirmed."""
     term = term.strip()
-    f = tables.farmer.where(F.col("season").isin(list(labels)))
+    f = tables.farmer if index is None or not term else index.candidates(term)
+    f = f.where(F.col("season").isin(list(labels)))
     if not term:
         f = f.where(F.lit(False))
     else:

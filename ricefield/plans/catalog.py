@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ricefield.operators import changes, compare, ingest, replay, rollups, search, totals
+from ricefield.operators import changes, compare, ingest, replay, rollups, search, totals, trigram
 from ricefield.sinks import exports
 from ricefield.sources import driver_tables as dt
 from ricefield.sources.model import SEED_VARIETIES
@@ -24,6 +24,7 @@ SEARCH_LABELS = {"wet": "Wet 2026", "dry": "Dry 2027"}
 
 # Parameters of the parameterised queries (also used by the oracle SQL).
 FARMER_SEARCH_TERM = "r-4_-"
+INDEXED_SEARCH_TERM = "customer#0000001%7"
 ASSOCIATION_SEARCH_TERM = "urgent"
 REPORT_SEASON = "all"
 REPORT_MUNICIPALITY = "nation_1"
@@ -123,6 +124,17 @@ def farmer_search(spark, sf_dir):
     return search.farmer_search(_t(spark, sf_dir), FARMER_SEARCH_TERM, SEARCH_LABELS)
 
 
+def farmer_search_indexed(spark, sf_dir):
+    """The same search, and one for a longer term, through a trigram index."""
+    t = _t(spark, sf_dir)
+    index = trigram.build_index(t.farmer)
+    found = [
+        search.farmer_search(t, term, SEARCH_LABELS, index=index).withColumn("term", F.lit(term))
+        for term in (FARMER_SEARCH_TERM, INDEXED_SEARCH_TERM)
+    ]
+    return found[0].unionByName(found[1])
+
+
 def association_farmer_search(spark, sf_dir):
     return search.association_farmers(_t(spark, sf_dir), ASSOCIATION_SEARCH_TERM)
 
@@ -564,6 +576,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_performers",
         "association_comparison",
         "farmer_search",
+        "farmer_search_indexed",
         "association_farmer_search",
         "farmer_top100",
         "association_farmers_one",

@@ -572,6 +572,14 @@ def oracle_sql() -> dict[str, str]:
         JOIN muni m ON m.season = a.season AND m.id = a.municipality_id
         WHERE {LIKE('f.rsbsa', t)} OR {LIKE('f.last_name', t)} OR {LIKE('f.first_name', t)}"""
     )
+    terms = " UNION ALL ".join(f"SELECT *, '{x}' AS term FROM found WHERE {LIKE('rsbsa', x)} OR {LIKE('last_name', x)} OR {LIKE('first_name', x)}" for x in (C.FARMER_SEARCH_TERM, C.INDEXED_SEARCH_TERM))
+    q["farmer_search_indexed"] = W(
+        terms,
+        f"""found AS (SELECT {FARMER_COLS_F}, a.name AS association, m.name AS municipality,
+               CASE f.season WHEN 'wet' THEN '{C.SEARCH_LABELS['wet']}' ELSE '{C.SEARCH_LABELS['dry']}' END AS season_label
+            FROM farmer f JOIN assoc a ON a.season = f.season AND a.id = f.association_id
+            JOIN muni m ON m.season = a.season AND m.id = a.municipality_id)""",
+    )
     t = C.ASSOCIATION_SEARCH_TERM
     q["association_farmer_search"] = W(
         f"""SELECT {FARMER_COLS_F},
