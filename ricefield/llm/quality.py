@@ -1,6 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
 A rule says of each text whether it fails.  Before the run, every rule is timed alone on a
+BATCH = 4_000_000  # bytes of text worked on at once; a rule's arrays are several times as large
 bounded sample (``SAMPLE_ROWS``, a documented parameter), together with the share of texts
 that it rejects; the rules then run in order of rejections per second.  A text that fails a
 rule is not shown to later ones.  The order decides only the cost: a text is kept when no
@@ -173,7 +174,7 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     sample = docs.select("text").sample(min(1.0, sample_rows / max(1, n)), seed=7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, "text"):
+        for batch in sized(batches, "text", BATCH):
             rows = []
             for rule in rules:
                 texts, began = Texts(batch.column("text")), time.perf_counter_ns()
@@ -212,7 +213,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     order = ordered(rules, measured(docs, rules, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, "text"):
+        for batch in sized(batches, "text", BATCH):
             yield batch.filter(pa.array(cascade(Texts(batch.column("text")), order) < 0))
 
     return docs.mapInArrow(run, docs.schema)
@@ -227,7 +228,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     order = ordered(rules, measured(docs, rules, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, "text"):
+        for batch in sized(batches, "text", BATCH):
             texts = Texts(batch.column("text"))
             counts = [pa.array(getattr(texts, c).astype(np.int64)) for c in COUNTS]
             kept = ~texts.base_failed
