@@ -183,11 +183,10 @@ FLOAT_PATTERN = rf"^[+-]?(({_DIGITS})\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIG
 
 def form_number(x) -> Column:
     """``float(x or 0)`` of a form value: NULL and '' are 0, NULL when ``float`` would fail
-    (blanks only, '12d', '1,200', 'x').  Around a number ``float`` skips what ``str.strip``
-    does only where the text has a character beyond ASCII; in ASCII text the separator
-    controls are refused."""
+    (blanks only, '12d', '1,200', 'x').  Around a number ``float`` skips Unicode white space,
+    but not the four separator controls that ``str.strip`` also takes off."""
     s = _c(x).cast("string")
-    t = F.when(s.rlike(r"[^\x00-\x7f]"), py_strip(s)).otherwise(F.regexp_replace(s, r"^[ \t-\r]+|[ \t-\r]+$", ""))
+    t = F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
     word = F.lower(F.regexp_replace(t, r"^[+-]", ""))
     sign = F.when(t.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
     return (
