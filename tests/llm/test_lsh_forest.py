@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from llm.conftest import edited, odd_rows, prose
 
 from ricefield.llm import lsh_forest
@@ -77,6 +78,59 @@ def test_odd_rows(documents):
     assert lsh_forest.near_duplicates(documents([])).collect() == []
 
 
+def test_texts_of_one_id_are_kept_apart(documents):
+    a, b, c = prose(71, 80), prose(72, 80), prose(73, 80)
+    docs = documents([(1, a), (2, b), (2, a), (3, c), (4, b), (4, b + " end"), (5, b)])
+    got = {(r.doc_id, r.component_id) for r in lsh_forest.near_duplicates(docs).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (4, 1), (5, 1)}
+    assert sorted((r.doc_id, r.text) for r in lsh_forest.keep_one(docs).collect()) == sorted([(1, a), (2, b), (3, c)])
+
+
+def crowd_with_twins(n, twins, words, own, lone):
+    """``n`` texts of ``words`` words that share all but ``own`` of them; the first ``2 * twins``
+    go in pairs that share all but ``lone``."""
+    base = prose(500, words - own)
+    tail = [prose(10_000 + k, own, 10**9) for k in range(n)]
+    for k in range(twins):
+        tail[2 * k + 1] = " ".join([*tail[2 * k].split()[: own - lone], *tail[2 * k + 1].split()[own - lone :]])
+    return [(k, f"{base} {t}") for k, t in enumerate(tail)]
+
+
+@pytest.mark.parametrize("n", [300, 2000])
+def test_isolated_links_in_a_crowd_are_found(documents, n):
+    rows = crowd_with_twins(n, 100, 204, 25, 20)  # sets of 200: crowd 175 / 225, pairs 180 / 220
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(documents(rows)).collect()}
+    assert got == {k: k - k % 2 if k < 200 else k for k in range(n)}
+
+
+def test_crowd_pairs_lose_no_link(spark):
+    r = np.random.default_rng(8)
+    sets = []
+    for k in range(120):
+        base = np.arange(40 * (k % 3), 40 * (k % 3) + r.integers(30, 90))
+        sets.append(np.unique(np.concatenate([base[r.random(len(base)) > 0.06], r.integers(1000, 1200, r.integers(0, 9))])).astype(np.int64))
+    crowd = spark.createDataFrame([(k, k // 4, s.tobytes()) for k, s in enumerate(sets)], "node long, comp long, shingles binary")
+    for similar in (80, 65, 100):
+        got = {(x.a, x.b) for x in lsh_forest.crowd_pairs(crowd, similar).collect()}
+        want = {
+            (a, b)
+            for a, x in enumerate(map(set, sets)) for b, y in enumerate(map(set, sets))
+            if a < b and a // 4 != b // 4 and 100 * len(x & y) >= similar * len(x | y)
+        }
+        assert want <= got and (want or similar == 100)
+        assert all(a // 4 != b // 4 for a, b in got)
+
+
+def test_border_and_crowded_rows_are_marked():
+    lead = np.zeros((60, lsh_forest.PREFIX), ">u4")
+    lead[:, 0] = [0] * 3 + [1] * 5 + [2] * 40 + [3] * 6 + [4] * 6
+    batch = pa.record_batch(
+        [pa.array(np.zeros(60, np.int32)), pa.array([x.tobytes() for x in lead], pa.binary()), pa.array(np.arange(60))], ["tree", "lead", "node"]
+    )
+    out = pa.Table.from_batches(list(lsh_forest._neighbours(iter([batch.slice(0, 20), batch.slice(20)])))).to_pylist()
+    assert {x["a"] for x in out if x["a"] == x["b"]} == {*range(3), *range(8, 48), *range(54, 60)}
+
+
 def test_sets_are_exact():
     texts = ["A b c d e A b c d", "a B c", "", None, "x", " a\tb\x0bc d "]
     flat, ends = lsh_forest.shingle_sets(pa.array(texts), 4)
