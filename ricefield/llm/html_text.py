@@ -3,9 +3,9 @@
 A page is read into a tree.  Elements that are never article text (scripts, menus, forms,
 ...; by element, role or names in class and id) are taken out.  A name counts when all its
 words are of such a kind or say where it stands, so ``no-sidebar`` and ``entry-header`` don't
-count; and an element that only its name is against stays when it holds all articles and main
-elements or most of the page's text, unless it is a thread of comments.  Every paragraph then passes
-points, one and more for commas and length, to its ancestors, in full to its parent and
+count; and an element that only its name is against, a form or a dialog stays when it holds all
+articles and main elements or most of the page's text, unless it is a thread of comments (its
+controls and their labels go).  Every paragraph then passes points, one and more for commas and length, to its ancestors, in full to its parent and
 less to each one above; an element's points are discounted by its link density.  The
 element with most points is the container; the siblings that hold enough points, or are
 paragraphs with few links, are kept with it.  The container grows to the article, main
@@ -14,6 +14,8 @@ element or content element around it.
 Text: character references are decoded; white space within a block becomes one blank; the
 blocks that hold text are joined by a line break, in page order.
 
+Tags are read as a browser does: a quote counts only where an attribute's value begins.
+
 Cases: a null, empty or text-free page gives the empty string; unclosed and stray tags are
 read as a browser would, roughly: an open paragraph ends where a block begins; a page is
 one row of any length; repeated rows are read each for itself; other columns are ignored.
@@ -40,7 +42,10 @@ BLOCKS = frozenset(
     "tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-NEVER = frozenset("head nav footer aside form button select option input dialog menu fieldset label".split())
+NEVER = frozenset("head nav footer aside button select option input menu".split())
+# Kinds of which a page may be made as a whole; a fieldset or label goes only with controls in it.
+WRAPPERS = frozenset("form dialog fieldset".split())
+CONTROLS = frozenset("button select input".split())
 # An open element that ends when one of these begins, and the elements it does not reach over.
 ENDS = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
@@ -63,24 +68,25 @@ PLACES = frozenset(
     "site global main primary secondary top bottom left right upper lower inner outer container wrapper wrap box block bar area "
     "list item items link links button buttons btn icon icons form posts articles stories row col column".split()
 )
-UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog menu menubar".split())
 CONTENT = frozenset("article main content post entry story body".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?)*)(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S
 )
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?", re.S)
 WORD = re.compile(r"[a-z]+")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "names", "gone", "unlikely", "points", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "children", "names", "gone", "unlikely", "labels", "points", "chars", "link_chars")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         self.points, self.chars, self.link_chars = 0.0, 0, 0
-        self.names, self.gone, self.unlikely = frozenset(), tag in NEVER, frozenset()
+        self.names, self.gone, self.labels = frozenset(), tag in NEVER, False
+        self.unlikely = frozenset([tag]) if tag in WRAPPERS else frozenset()
         if attributes.strip():
             found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
             own = f"{found.get('class', '')} {found.get('id', '')}".lower()
@@ -90,6 +96,9 @@ class Element:
                     words = frozenset(WORD.findall(name))
                     if words <= UNLIKELY | PLACES:
                         self.unlikely |= words & UNLIKELY
+            if found.get("role", "").lower() in WRAPPERS:
+                self.unlikely |= {found["role"].lower()}
+            self.labels = tag == "label" and "for" in found
             self.gone = (
                 self.gone
                 or found.get("role", "").lower() in UNLIKELY_ROLES
@@ -150,13 +159,22 @@ def parsed(page: str) -> Element:
 
 
 def _spare(root: Element) -> None:
-    """Mark as gone what only its name is against, unless it holds all articles and main
-    elements or most of the page's text."""
+    """Mark as gone what only its name is against, and forms and dialogs, unless they hold all
+    articles and main elements or most of the page's text; and the labels of controls."""
     nodes, stack = [], [root]
     while stack:
         node = stack.pop()
         nodes.append(node)
         stack += [c for c in node.children if not isinstance(c, str) and not c.gone]
+    controls = set()  # elements with a control in them
+    for node in reversed(nodes):
+        if any(not isinstance(c, str) and (c.tag in CONTROLS or id(c) in controls) for c in node.children):
+            controls.add(id(node))
+    for node in nodes:
+        if node.tag == "label":
+            node.gone = node.labels or id(node) in controls
+        elif node.tag == "fieldset" and id(node) not in controls:
+            node.unlikely -= {"fieldset"}
     if not any(n.unlikely for n in nodes):
         return
     held = {}  # articles and points of each element, without those in threads
@@ -166,12 +184,14 @@ def _spare(root: Element) -> None:
         points = sum(x for _, x in below)
         if node.tag != "a":
             points += sum(c.count(",") + len(" ".join(c.split())) / 100 for c in node.children if isinstance(c, str))
-        held[id(node)] = (0, 0.0) if node.unlikely & THREADS else (articles, points)
+        held[id(node)] = (0, 0.0) if node.unlikely & THREADS or node.gone else (articles, points)
     articles, points = held[id(root)]
     for node in nodes:
+        if not node.unlikely or node.gone:
+            continue
         own = held[id(node)]
         whole = own[0] == articles if articles else own[1] > points / 2
-        node.gone = bool(node.unlikely) and (not whole or bool(node.unlikely & THREADS))
+        node.gone = not whole or bool(node.unlikely & THREADS)
 
 
 def _prune(root: Element) -> list[Element]:

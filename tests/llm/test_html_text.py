@@ -78,3 +78,22 @@ NAMED = {
 def test_names_of_elements(name):
     source, text = NAMED[name]
     assert html_text.main_text(page(source)) == text
+
+
+WRAPPED = {
+    "form around the page": (f"<form id='f' method='post'><input type='hidden' name='v'>{NAV}<div class='c'>{ARTICLE}</div><label for='q'>Find</label><input id='q'></form>", f"Part\n{P1}\n{P2}"),
+    "form around the article": (f"<form><article>{ARTICLE}</article><fieldset><legend>Log in</legend><label>Name <input></label></fieldset></form>", f"Part\n{P1}\n{P2}"),
+    "role": (f"<div role='form'><div class='c'>{ARTICLE}</div></div>", f"Part\n{P1}\n{P2}"),
+    "dialog": (f"<div class='c'>{ARTICLE}</div><dialog><p>Please, accept, all</p></dialog><form><p>Write, to, us</p></form>", f"Part\n{P1}\n{P2}"),
+    "fieldset and label": (f"<article><p>{P1}</p><fieldset><legend>Note</legend><p>{P2}</p></fieldset><p><label>Kept</label></p></article>", f"{P1}\nNote\n{P2}\nKept"),
+    "stray quote": (f"<article><p title=it's>{P1}</p><p>{P2}</p><p>It's over</p></article>", f"{P1}\n{P2}\nIt's over"),
+    "quote in a name": (f"<article><p \"x>{P1}</p><p a'b>{P2}</p></article>", f"{P1}\n{P2}"),
+    "quoted bracket": (f"<article><p title = 'a > b' lang=\"x>y\">{P1}</p><p>{P2}</p></article>", f"{P1}\n{P2}"),
+    "bare value": (f"<article><p><a href=x?a=\"b>{P1}</a> c</p><p>{P2}, {P2}</p></article>", f"{P1} c\n{P2}, {P2}"),
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_wrappers_and_quotes(name):
+    source, text = WRAPPED[name]
+    assert html_text.main_text(page(source)) == text
