@@ -53,6 +53,13 @@ def sized(batches: Iterator[pa.RecordBatch], column: str, most: int = 24_000_000
             at = upto
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow's pool holds of earlier ones goes back to the system."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of each text (null: none), flat, and the
     offsets of each text's words (one more than texts)."""

@@ -29,10 +29,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ricefield.llm.common import sized, table, words_of
+from ricefield.llm.common import released, sized, table, words_of
 
 WINDOW, SAMPLE_ROWS = 5, 2000
-BATCH = 4_000_000  # bytes of text worked on at once; a rule's arrays are several times as large
+BATCH = 1_000_000  # bytes of text worked on at once; a rule's arrays are several times as large
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
 
 
@@ -174,7 +174,7 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     sample = docs.select("text").sample(min(1.0, sample_rows / max(1, n)), seed=7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, "text", BATCH):
+        for batch in released(sized(batches, "text", BATCH)):
             rows = []
             for rule in rules:
                 texts, began = Texts(batch.column("text")), time.perf_counter_ns()
@@ -213,7 +213,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     order = ordered(rules, measured(docs, rules, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, "text", BATCH):
+        for batch in released(sized(batches, "text", BATCH)):
             yield batch.filter(pa.array(cascade(Texts(batch.column("text")), order) < 0))
 
     return docs.mapInArrow(run, docs.schema)
@@ -228,7 +228,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     order = ordered(rules, measured(docs, rules, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, "text", BATCH):
+        for batch in released(sized(batches, "text", BATCH)):
             texts = Texts(batch.column("text"))
             counts = [pa.array(getattr(texts, c).astype(np.int64)) for c in COUNTS]
             kept = ~texts.base_failed
