@@ -20,6 +20,7 @@ New ids continue each season's maximum in file order (``sequence_number``).
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -193,11 +194,44 @@ def _csv_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
-def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
-    """The headers of one CSV file, stripped and lower-cased (its first record only)."""
+def _split_header(record: str) -> tuple[str, ...]:
     import csv
     import io
 
+    return tuple(c.strip().lower() for c in next(csv.reader(io.StringIO(record.removeprefix("\ufeff"))), []))
+
+
+DRIVER_OPENS = 32  # the first records of more files than this are read by tasks
+
+
+def headers(spark: SparkSession, files: list[str]) -> dict[str, tuple[str, ...]]:
+    """The headers of CSV files, in the order of ``files``.
+
+    Many files are read as lines in a job, which takes the first line of each (a partial
+    aggregate, so one row a file is shuffled) and groups the files by it: the driver opens
+    only files without a line or with a line break inside a quoted header.
+    """
+    from urllib.parse import unquote
+
+    def name(path: str) -> str:
+        return re.sub("^(file:)?/+", "/", path)
+
+    found = {}
+    if len(files) > DRIVER_OPENS:
+        lines = spark.read.text(files).select(
+            F.col("_metadata.file_path").alias("file"),
+            F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"),
+            "value",
+        )
+        first = lines.groupBy("file").agg(F.min_by("value", "place").alias("record"))
+        for record, own in first.groupBy("record").agg(F.collect_list("file")).collect():  # one row a header
+            if record.count('"') % 2 == 0:
+                found |= dict.fromkeys((name(unquote(f)) for f in own), _split_header(record))
+    return {f: found[name(f)] if name(f) in found else _header(spark, f) for f in files}
+
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """The headers of one CSV file, stripped and lower-cased (its first record only)."""
     from ricefield.sinks.store import fs_path
 
     fs, p = fs_path(spark, file)
@@ -215,7 +249,7 @@ def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
             line += "\n" + more
     finally:
         stream.close()
-    return tuple(c.strip().lower() for c in next(csv.reader(io.StringIO(line.removeprefix("\ufeff"))), []))
+    return _split_header(line)
 
 
 def read_upload(
@@ -257,8 +291,8 @@ def read_upload(
     if fmt != "csv":
         raise ValueError(f"unknown upload format {fmt!r}")
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for file in _csv_files(spark, target) if isinstance(target, str) else target:
-        header = _header(spark, file)
+    found = headers(spark, _csv_files(spark, target) if isinstance(target, str) else target)
+    for file, header in found.items():
         if template and template_gaps(list(header), template):
             raise UploadTemplateError(template_gaps(list(header), template), file)
         by_header.setdefault(header, []).append(file)

@@ -29,7 +29,7 @@ from ricefield.operators.ingest import (
     template_gaps,
     upload_summary,
 )
-from ricefield.operators.ingest import _header as file_header
+from ricefield.operators.ingest import headers as file_headers
 from ricefield.session import checkpoint_dir
 from ricefield.sinks import store
 from ricefield.sinks.tables import append_rows
@@ -70,11 +70,11 @@ def commit_files(
     if store.applied(spark, tables_root, stream, batch_id):
         return  # replay of a batch whose commit already happened
     rejects_path = rejects_path or f"{tables_root.rstrip('/')}/_rejects"
-    headers = {f: template_gaps(list(file_header(spark, f)), "full") for f in sorted(files)}
-    bad = [(f, "; ".join(gaps)) for f, gaps in headers.items() if gaps]
+    gaps_of = {f: template_gaps(list(h), "full") for f, h in file_headers(spark, sorted(files)).items()}
+    bad = [(f, "; ".join(gaps)) for f, gaps in gaps_of.items() if gaps]
     if bad:
         _reject(spark.createDataFrame(bad, "file string, missing string"), rejects_path, stream, batch_id, "files")
-    good = [f for f, gaps in headers.items() if not gaps]
+    good = [f for f, gaps in gaps_of.items() if not gaps]
     if not good:
         return
     raw = read_upload(spark, good, template="full")

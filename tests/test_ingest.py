@@ -328,3 +328,27 @@ def test_short_export_of_equal_names(spark, tmp_path):
     exports.write_short_export(exports.short_rows(t.farmer, t.association, with_pos=False), out)
     rows = exports.read_written(spark, out, exports.SHORT_EXPORT, "season string, association_id long, file_stem string").collect()
     assert sorted((r["association_id"], r["last_name"]) for r in rows) == [(7, "Ng"), (8, "Cruz")]
+
+
+def test_headers_of_many_files_come_from_one_job(spark, tmp_path, monkeypatch):
+    d = tmp_path / "many files"
+    d.mkdir()
+    columns = list(ingest.REQUIRED_COLUMNS)
+    want = {}
+    for k in range(300):
+        own = columns[k % 3 :] + columns[: k % 3]
+        own = [c.upper() + " " if k % 2 else c for c in own]
+        with open(d / f"part {k:03}%41.csv", "w", newline="", encoding="utf-8-sig" if k % 7 == 0 else "utf-8") as fh:
+            csv.writer(fh).writerows([own, ["1"] * len(own)])
+        want[k] = tuple(c.strip().lower() for c in own)
+    (d / "part 300.csv").write_text("")
+    (d / "part 301.csv").write_text('"a\nb",c\n1,2\n')
+    opened, one = [], ingest._header
+    monkeypatch.setattr(ingest, "_header", lambda s, f: opened.append(f) or one(s, f))
+    files = ingest._csv_files(spark, str(d))
+    got = ingest.headers(spark, files)
+    assert list(got) == files and list(got.values()) == [*want.values(), (), ("a\nb", "c")]
+    assert len(opened) == 2  # the file without a line and the header of two lines
+    assert ingest.headers(spark, files[:5]) == {f: got[f] for f in files[:5]} and len(opened) == 7
+    with pytest.raises(ingest.UploadTemplateError, match="part 300"):  # the first bad file
+        ingest.read_upload(spark, str(d), template="full")
