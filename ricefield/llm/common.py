@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -54,10 +55,15 @@ def sized(batches: Iterator[pa.RecordBatch], column: str, most: int = 24_000_000
 
 
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; what Arrow's pool holds of earlier ones goes back to the system."""
+    """The batches; what Arrow's pool and the C heap hold of earlier ones goes back to the
+    system, as a task's worker lives on beside those of later stages."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     for batch in batches:
         yield batch
+        del batch
         pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
 
 
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
