@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,9 +56,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/ABFS)")
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside give their shuffle files back as they end, not when the driver
+    happens to collect garbage.  For writes whose result is read from the files after."""
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] = ()) -> DataFrame:
     """``df`` written once as Parquet below the checkpoint folder and read again: later uses
     see the same rows, can prune columns, and do not repeat the work before."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ricefield-{name}-{uuid.uuid4().hex[:16]}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
