@@ -10,8 +10,11 @@ a smaller doc_id.  Copies and strings are found so:
     is cut out as one fragment.  Fragments whose minimizer no other text has are dropped;
     that loses no repeat.
 3.  Fragments with the same minimizer meet.  Equal fragments are one, held by the smallest
-    doc_id.  The fragments of a minimizer that differ are dealt to shards; each shard gets
-    the Burrows-Wheeler transform of its fragments' rotations.
+    doc_id.  Of the fragments of a minimizer that differ, those that have none of the
+    ``PIECE``-byte pieces around the minimizer's place in common with another are dropped:
+    a string of ``LENGTH`` bytes holds one of these pieces whole, so that loses no repeat
+    either.  The rest is dealt to shards; each shard gets the Burrows-Wheeler transform of
+    its fragments' rotations.
 4.  The shards' transforms are merged by refining their interleave: an order that is right
     for the first k symbols becomes right for k + 1 by one stable pass over the transforms'
     symbols, without sorting suffixes again.  A place where neighbours part in pass k + 1 has
@@ -42,22 +45,29 @@ from ricefield.llm.decontaminate import BITS, _has, _probes, bit_set
 from ricefield.llm.quality import mixed
 
 LENGTH, GRAM = 50, 16
+STEP = 9  # pieces begin at the minimizer's place and every STEP bytes before it
+PIECE = LENGTH - STEP + 1
 SEPARATOR = 0xFF  # never part of UTF-8
 SHARD_BYTES, UNIT_BYTES, CROWD = 16_000, 50_000, 5_000
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def minimizers(data: np.ndarray) -> np.ndarray:
-    """For each start of a string of LENGTH bytes, the least hash of its GRAM-byte pieces."""
-    if len(data) < LENGTH:
-        return np.zeros(0, np.uint64)
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """The hash of each GRAM-byte piece."""
     with np.errstate(over="ignore"):
         h = _BYTE[data]
         step = 1
         while step < GRAM:  # hashes of 2, 4, 8, 16 bytes
             h = h[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * step) + h[step:]
             step *= 2
-        h = mixed(h)
+        return mixed(h)
+
+
+def minimizers(data: np.ndarray) -> np.ndarray:
+    """For each start of a string of LENGTH bytes, the least hash of its GRAM-byte pieces."""
+    if len(data) < LENGTH:
+        return np.zeros(0, np.uint64)
+    h = gram_hashes(data)
     width, have = LENGTH - GRAM + 1, 1
     while 2 * have <= width:
         h = np.minimum(h[:-have], h[have:])
@@ -323,6 +333,50 @@ def repeated(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarra
     return hit & whole
 
 
+def may_share(text: np.ndarray, sizes: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which fragments may have a string in common with another one of their key.
+
+    ``text``, ``sizes``: as for ``repeated``; ``key``: the minimizer of each.  A fragment
+    without its minimizer (a string dealt out alone) may always."""
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    places = np.flatnonzero(gram_hashes(text) == key.view(np.uint64)[owner[: len(text) - GRAM + 1]])
+    out = np.ones(len(sizes), bool)
+    out[owner[places]] = False
+    weights = mixed(np.arange(1, PIECE + 1, dtype=np.uint64)) | np.uint64(1)
+    codes, owners = [], []
+    with np.errstate(over="ignore"):
+        for k in range((LENGTH - GRAM) // STEP + 1):
+            at = places - k * STEP
+            of = owner[places]
+            inside = (at >= (ends - sizes)[of]) & (at + PIECE < ends[of])
+            at, of = at[inside], of[inside]
+            code = key.view(np.uint64)[of] + np.uint64(k)
+            for j in range(PIECE):
+                code += _BYTE[text[at + j]] * weights[j]
+            codes.append(mixed(code))
+            owners.append(of)
+    code, of = np.concatenate(codes), np.concatenate(owners)
+    if len(code):
+        order = np.argsort(code)
+        code, of = code[order], of[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        several = np.minimum.reduceat(of, first) < np.maximum.reduceat(of, first)
+        out[of[np.repeat(several, np.diff(np.concatenate([first, [len(code)]])))]] = True
+    return out
+
+
+def _units(key: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Parts of about ``most`` bytes, cut between keys."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(key):
+        stop = int(np.searchsorted(total, (total[at - 1] if at else 0) + most)) + 1
+        while stop < len(key) and key[stop] == key[stop - 1]:
+            stop += 1
+        yield slice(at, stop)
+        at = stop
+
+
 RESULT = "frag_hash long, base int, width int, first_doc long, runs array<int>"
 KEYS = ("key", "frag_hash", "base", "doc_id", "more")
 
@@ -352,21 +406,19 @@ def _merged_keys(table: pa.Table) -> pa.RecordBatch:
     several = np.flatnonzero(np.repeat(count > 1, count))
     frags = table.column("frag").cast(pa.large_binary()).combine_chunks()
     sizes = pc.binary_length(frags).to_numpy(zero_copy_only=False)[first]
-    total = np.cumsum(sizes[several])
+    near = np.zeros(len(several), bool)
+    for part in _units(key[several], sizes[several], 10 * UNIT_BYTES):
+        near[part] = may_share(*_bytes(frags.take(pa.array(first[several[part]]))), key[several[part]])
+    several = several[near]
     runs: dict[int, list[int]] = {}
-    at = 0
-    while at < len(several):  # units of about UNIT_BYTES, cut between keys
-        stop = int(np.searchsorted(total, (total[at - 1] if at else 0) + UNIT_BYTES)) + 1
-        while stop < len(several) and key[several[stop]] == key[several[stop - 1]]:
-            stop += 1
-        own = several[at:stop]
+    for part in _units(key[several], sizes[several], UNIT_BYTES):
+        own = several[part]
         text, lengths = _bytes(frags.take(pa.array(first[own])))
         places = np.flatnonzero(np.diff(np.concatenate([[False], repeated(text, lengths, doc[own]), [False]]).astype(np.int8)))
         ends = np.cumsum(lengths)
         which = np.searchsorted(ends, places, side="right")  # a run ends before its separator
         for w, p in zip(which.tolist(), (places - (ends - lengths)[which]).tolist()):
             runs.setdefault(int(own[w]), []).append(p)
-        at = stop
     keep = held.copy()
     keep[list(runs)] = True
     kept = np.flatnonzero(keep)

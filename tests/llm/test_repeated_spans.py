@@ -97,3 +97,28 @@ def test_blocks_beyond_the_separator_stay_together():
     order, group, _ = rs.merged_intervals(shards, 10, left)
     block = dict(zip(order.tolist(), group.tolist()))
     assert block[1] == block[13] != block[25] and block[2] == block[14] != block[26]
+
+
+def test_the_piece_filter_drops_no_repeat():
+    """All ways in which two fragments of a minimizer can share a string, and near misses."""
+    r = random.Random(5)
+
+    def noise(n):
+        return bytes(r.randrange(97, 123) for _ in range(n))
+
+    gram = b"abcdefghijklmnop"
+    key = rs.gram_hashes(np.frombuffer(gram, np.uint8))[0]
+    apart = 0
+    for before in range(N - rs.GRAM + 1):
+        for short in (0, 1):  # a whole string in common, or a byte less
+            core = noise(before) + gram + noise(N - rs.GRAM - before - short)
+            # what stands around the core differs for certain
+            frags = [b"A" * r.randrange(1, 40) + core + b"B" * r.randrange(1, 40), b"C" * r.randrange(1, 40) + core + b"D" * r.randrange(1, 40), noise(30) + gram + noise(30)]
+            text = np.frombuffer(b"".join(f + b"\xff" for f in frags), np.uint8)
+            got = rs.may_share(text, np.array([len(f) + 1 for f in frags]), np.full(3, key).view(np.int64))
+            if not short:
+                assert got.tolist() == [True, True, False]
+            apart += not got[0]
+    assert apart  # a byte less is often seen already
+    alone = np.frombuffer(noise(N) + b"\xff" + noise(N) + b"\xff", np.uint8)
+    assert rs.may_share(alone, np.array([N + 1, N + 1]), np.full(2, key).view(np.int64)).all()
