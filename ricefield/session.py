@@ -60,15 +60,20 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Queries run inside give their shuffle files back as they end, not when the driver
-    happens to collect garbage.  For writes whose result is read from the files after."""
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+def conf_set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for what runs inside."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        spark.conf.set(key, before)
+
+
+def shuffles_freed(spark: SparkSession):
+    """Queries run inside give their shuffle files back as they end, not when the driver
+    happens to collect garbage.  For writes whose result is read from the files after."""
+    return conf_set(spark, SHUFFLE_CLEANUP, "true")
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] = ()) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ricefield.functions.exprs import slug
 from ricefield.operators.ranking import sequence_number
+from ricefield.session import conf_set
 
 # Template export headers in order, with the farmer field written under
 # each ('' = always blank).  area and variety appear twice, as in the reference.
@@ -110,6 +111,18 @@ def _display(df: DataFrame, spec) -> DataFrame:
     return df.select(*keep, *[F.col(column_name(h)).alias(h) for h, _ in spec])
 
 
+# An export has a file for each association.  The tasks put their files in place, not the
+# driver one after the other (``_SUCCESS`` tells a complete export); on a local disk no
+# checksum file, and no process to set its mode, is made for each of them.
+MANY_FILES = {
+    "mapreduce.fileoutputcommitter.algorithm.version": "2",
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+# Folders are listed by so many tasks, not by one task each.
+LISTING_TASKS = 64
+
+
 def _sort_keys():
     return [F.asc_nulls_first("_last"), F.asc_nulls_first("_first"), F.asc("_id")]
 
@@ -130,6 +143,7 @@ def write_template_export(rows: DataFrame, path: str, mode: str = "overwrite") -
         .drop("pos", *LIST_ORDER)
         .write.mode(mode)
         .partitionBy("season", "association_id")
+        .options(**MANY_FILES)
         .option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
@@ -151,6 +165,7 @@ def write_short_export(rows: DataFrame, path: str, mode: str = "overwrite") -> N
         .drop("pos", *LIST_ORDER)
         .write.mode(mode)
         .partitionBy("season", "association_id", "file_stem")
+        .options(**MANY_FILES)
         .option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
@@ -163,5 +178,6 @@ def read_written(spark, path: str, spec, folders: str) -> DataFrame:
     """The rows of a written export, under query-friendly names (all cells as text);
     ``folders``: the schema of its folder levels."""
     schema = ", ".join(f"`{h}` string" for h, _ in spec) + ", " + folders
-    out = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    with conf_set(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", str(LISTING_TASKS)):
+        out = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
     return out.select(*[c.split()[0] for c in folders.split(", ")], *[F.col(f"`{h}`").alias(column_name(h)) for h, _ in spec])

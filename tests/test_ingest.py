@@ -352,3 +352,17 @@ def test_headers_of_many_files_come_from_one_job(spark, tmp_path, monkeypatch):
     assert ingest.headers(spark, files[:5]) == {f: got[f] for f in files[:5]} and len(opened) == 7
     with pytest.raises(ingest.UploadTemplateError, match="part 300"):  # the first bad file
         ingest.read_upload(spark, str(d), template="full")
+
+
+def test_an_export_makes_one_file_for_each_association(spark, tmp_path):
+    t = tables(
+        spark, [("wet", 1, "M")], [("wet", k, 1, f"A {k}") for k in range(40)],
+        [farmer_row("wet", k, k % 40, f"R-{k}", "Ng", "Li") for k in range(80)],
+    )
+    out, key = tmp_path / "template", "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    exports.write_template_export(exports.template_rows(t.farmer, with_pos=False), str(out))
+    files = [p.name for p in out.rglob("*") if p.is_file()]
+    assert "_SUCCESS" in files and len(files) < 2 * 40  # no second file beside each one
+    rows = exports.read_written(spark, str(out), exports.TEMPLATE_EXPORT, "season string, association_id long")
+    assert rows.count() == 80 and spark.conf.get(key) == before
