@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ricefield.llm.common import sized, table, words_of, written
+from ricefield.llm.common import only_last_kept, sized, table, words_of, written
 from ricefield.llm.components import components
 from ricefield.llm.quality import mixed
 from ricefield.llm.repeated_spans import maybe_among
@@ -376,15 +376,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, similar: int = 80) -> DataF
 def keep_one(docs: DataFrame, width: int = 5, similar: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their group of like texts (smallest doc_id; of
     repeated rows one), all columns as they are; rows without doc_id or words are in no group."""
-    sketch, classes, links = linked(docs, width, similar)
-    nodes = written(_with_component(classes.select("node", "digest", "first"), links), "forest-nodes")
-    stands = nodes.groupBy("comp").agg(F.min("first").alias("stands"))
-    rows = sketch.where("n_shingles > 0 and doc_id is not null").select("digest", F.struct("doc_id", "text_key").alias("row")).distinct()
-    gone = rows.join(nodes.select("digest", "comp").join(stands, "comp"), "digest").where("row <> stands")
-    gone = gone.select(F.col("row.doc_id").alias("_rf_llm_gone"), F.col("row.text_key").alias("_rf_llm_text"))
+    with only_last_kept(docs.sparkSession):
+        sketch, classes, links = linked(docs, width, similar)
+        nodes = written(_with_component(classes.select("node", "digest", "first"), links), "forest-nodes")
+        stands = nodes.groupBy("comp").agg(F.min("first").alias("stands"))
+        rows = sketch.where("n_shingles > 0 and doc_id is not null").select("digest", F.struct("doc_id", "text_key").alias("row")).distinct()
+        gone = rows.join(nodes.select("digest", "comp").join(stands, "comp"), "digest").where("row <> stands")
+        gone = written(gone.select(F.col("row.doc_id").alias("_rf_llm_gone"), F.col("row.text_key").alias("_rf_llm_text")), "forest-gone")
     left = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_rf_llm_gone")) & (text_key() == F.col("_rf_llm_text")), "left_anti")
+    left = written(left, "forest-left")  # read three times below: the texts are dealt out once at most
     # repeated rows are few: only their ids are told apart by text
     again = left.where("doc_id is not null").groupBy(F.col("doc_id").alias("_rf_llm_again")).count().where("count > 1").select("_rf_llm_again")
+    again = written(again, "forest-again")  # their size is known before the joins are planned
     repeated = F.col("doc_id") == F.col("_rf_llm_again")
     once = left.join(again, repeated, "left_anti")
     return once.unionByName(left.join(again, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
