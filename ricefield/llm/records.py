@@ -33,11 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ricefield.llm.common import shared_folder, sized, table, written
+from ricefield.llm.common import released, shared_folder, sized, table, written
 from ricefield.llm.token_ids import token_ids
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
 FILE_BYTES = 256_000_000
+BATCH = 4_000_000  # bytes of text encoded at once
 # Fixed values of the frame format: the mask of a checksum, and a frame's fixed parts.
 MASK = 0xA282EAD8
 HEAD, FOOT, WHO = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qB")
@@ -94,7 +95,7 @@ def write_partition(folder: str, vocabulary: str, end_id: int, file_bytes: int):
         codes, context = token_ids(vocabulary), TaskContext.get()
         width = 2 if codes.whole.get_vocab_size() <= 65536 else 4
         (store, root), files, out = file_system(folder), [], None
-        for batch in sized(batches, "text"):
+        for batch in released(sized(batches, "text", BATCH)):
             ids, ends = codes.encode(batch.column("text"))
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):
                 if out is None or out.at >= file_bytes:

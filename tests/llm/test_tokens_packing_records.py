@@ -105,6 +105,26 @@ def test_records_round_trip(spark, documents):
     assert zlib.crc32(ids.tobytes()) in {r.ids_crc32 for r in got if r.doc_id == doc}
 
 
+def test_records_encode_a_bounded_batch_at_once(tmp_path, monkeypatch):
+    """A task's rows come in one Arrow batch of 12 MB; no more than 4 MB of it are encoded at once."""
+    sizes = []
+
+    class Codes:
+        whole = type("Whole", (), {"get_vocab_size": lambda self: 50_000})()
+
+        def encode(self, texts):
+            sizes.append(sum(len(t) for t in texts.to_pylist()))
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+
+    context = type("Context", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 0), "taskAttemptId": classmethod(lambda c: 0)})
+    monkeypatch.setattr(records, "token_ids", lambda path: Codes())
+    monkeypatch.setattr(records, "TaskContext", context)
+    batch = pa.record_batch([pa.array(range(120), pa.int64()), pa.array(["x" * 100_000] * 120)], ["doc_id", "text"])
+    (rows,) = records.write_partition(f"file:{tmp_path}", "", 0, 10**9)(iter([batch]))
+    assert max(sizes) <= 4_000_000 and sum(sizes) == 12_000_000
+    assert rows.column("n_records").to_pylist() == [120] and rows.column("n_tokens").to_pylist() == [120]
+
+
 def test_a_changed_byte_is_found():
     data = bytearray(records.frame(b"payload"))
     assert bytes(records.unframe(memoryview(bytes(data)))) == b"payload"
