@@ -122,3 +122,32 @@ def test_the_piece_filter_drops_no_repeat():
     assert apart  # a byte less is often seen already
     alone = np.frombuffer(noise(N) + b"\xff" + noise(N) + b"\xff", np.uint8)
     assert rs.may_share(alone, np.array([N + 1, N + 1]), np.full(2, key).view(np.int64)).all()
+
+
+def test_fragments_in_blocks(monkeypatch):
+    """Runs of strings with one minimizer, by their definition, whatever the block; the scan
+    holds less than 24 bytes for a byte of text."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    for block in (7, 64, 1 << 16):
+        monkeypatch.setattr(rs, "BLOCK", block, raising=False)
+        for alphabet in (1, 2, 20):
+            ends = np.concatenate([[0], np.cumsum(r.choice([0, 1, 49, 50, 51, 60, 200], 12))]).astype(np.int64)
+            data = r.integers(97, 97 + alphabet, ends[-1]).astype(np.uint8)
+            grams = rs.gram_hashes(data)
+            want = []
+            for d, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                for at in range(a, b - rs.LENGTH + 1):
+                    least = int(grams[at : at + rs.LENGTH - rs.GRAM + 1].min())
+                    if want and want[-1][0] == d and want[-1][3] == least:
+                        want[-1][2] += 1
+                    else:
+                        want.append([d, at, 1, least])
+            assert [list(x) for x in zip(*(x.tolist() for x in rs.fragments(data, ends)))] == want
+    data = r.integers(97, 123, 1_000_000).astype(np.uint8)
+    tracemalloc.start()
+    rs.fragments(data, np.arange(0, 1_000_001, 2000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(data)
