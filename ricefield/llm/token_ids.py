@@ -1,4 +1,4 @@
-"""Token ids of whole texts with a public tokenizer, each distinct piece encoded once a batch.
+"""Token ids of whole texts with a public tokenizer, each distinct piece encoded once.
 
 The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)`` with special
 tokens' strings read as ordinary text.  Pre-tokenization splits at places that can be
@@ -11,7 +11,8 @@ the library once, and the ids are put together again:
 
 Only texts whose cuts are certain are cut: Latin-1 characters (which need no
 normalisation), blanks and line breaks that stand alone.  All others go to the library
-whole.
+whole.  The units of earlier batches are known with their ids up to ``KNOWN`` of them, so
+small batches cost no more than large ones.
 """
 
 from __future__ import annotations
@@ -24,6 +25,20 @@ from ricefield.llm.common import ragged_take
 
 BLANK, CUT = "\x01", "\x02"  # stand for a blank before a word, and for a cut between pieces
 PLAIN = r"^[\n\x20-\x7e\x{a1}-\x{ff}]*$"
+KNOWN, KNOWN_BYTES = 500_000, 8_000_000  # units of earlier batches whose ids are kept, and their text
+
+END = "\x00"  # between pieces; no piece holds it
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level models write for bytes: printable ones stand for themselves,
+    the others are counted on from 256.  ``END`` stays."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {b: 256 + k for k, b in enumerate(others) if b}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class TokenIds:
@@ -31,16 +46,13 @@ class TokenIds:
     otherwise white space is dropped and letters are lower-cased first."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.byte_level = self.whole.normalizer is None
-        self.bare = Tokenizer(self.whole.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split(CUT, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
-        (self.cut_id,) = self.bare.encode(CUT, add_special_tokens=False).ids  # no piece holds this byte
+        self.model = self.whole.model
+        self.known = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of each text's ids); null is empty."""
@@ -70,14 +82,34 @@ class TokenIds:
             lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
         units = lists.flatten().dictionary_encode()
         ends = np.asarray(lists.offsets, dtype=np.int64)
-        unit_ids, unit_counts = self._units(units.dictionary)
-        which = units.indices.to_numpy()
+        unit_ids, unit_counts, places = self._looked_up(units.dictionary)
+        which = places[units.indices.to_numpy()]
         counts = unit_counts[which]
         ids = ragged_take(unit_ids, (np.cumsum(unit_counts) - unit_counts)[which], counts)
         before = np.concatenate([[0], np.cumsum(counts)])
         ends = before[ends - ends[0]]
         return ids, np.diff(ends)
 
+    def _looked_up(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and number of ids of known and new units, and the place of each unit there."""
+        names, ids, counts = self.known
+        places = pc.index_in(units, value_set=names)
+        new = places.is_null()
+        fresh = units.filter(new)
+        new_ids, new_counts = self._units(fresh)
+        new = new.to_numpy(zero_copy_only=False)
+        places = places.fill_null(0).to_numpy().astype(np.int64)
+        places[new] = len(names) + np.arange(len(fresh))
+        ids, counts = np.concatenate([ids, new_ids]), np.concatenate([counts, new_counts])
+        names = pa.concat_arrays([names, fresh])
+        if len(names) <= KNOWN and _text_bytes(names) <= KNOWN_BYTES:
+            self.known = names, ids, counts
+        elif len(units) <= KNOWN // 2 and _text_bytes(units) <= KNOWN_BYTES // 2:
+            self.known = units, ragged_take(ids, (np.cumsum(counts) - counts)[places], counts[places]), counts[places]
+        else:
+            self.known = units[:0], ids[:0].copy(), counts[:0].copy()
+        return ids, counts, places
+
     def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and number of ids of each distinct unit."""
         odd = pc.match_substring(units, "'")
@@ -100,17 +132,15 @@ class TokenIds:
         return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[ends - ends[0]])
 
     def _pieces(self, names: pa.Array, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of one pre-token are encoded many to a call; the others one by one."""
+        """Pieces of one pre-token go to the tokenizer's model as they are, in its letters for
+        bytes; the others are encoded by the library one by one."""
         counts, parts = np.zeros(len(names), np.int64), []
         single = np.flatnonzero(~alone)
-        strings = names.filter(pa.array(~alone)).to_pylist()
-        step = 4096
-        for at in range(0, len(strings), step):
-            (code,) = self.bare.encode_batch_fast([CUT.join(strings[at : at + step])], add_special_tokens=False)
-            code = np.array(code.ids, np.uint32)
-            cuts = np.flatnonzero(code == self.cut_id)
-            parts.append(np.delete(code, cuts))
-            counts[single[at : at + step]] = np.diff(np.concatenate([[-1], cuts, [len(code)]])) - 1
+        if len(single):
+            letters = END.join(names.filter(pa.array(~alone)).to_pylist()).encode().decode("latin-1").translate(BYTE_LETTERS)
+            codes = [[t.id for t in self.model.tokenize(x)] for x in letters.split(END)]
+            counts[single] = [len(c) for c in codes]
+            parts.append(np.array([i for c in codes for i in c], np.uint32))
         codes = self.whole.encode_batch_fast(names.filter(pa.array(alone)).to_pylist(), add_special_tokens=False)
         others = np.flatnonzero(alone)
         counts[others] = [len(c.ids) for c in codes]
@@ -122,6 +152,10 @@ class TokenIds:
         return ragged_take(flat, starts, counts), counts
 
 
+def _text_bytes(names: pa.Array) -> int:
+    return pc.sum(pc.binary_length(names), min_count=0).as_py()
+
+
 _LOADED: dict[str, TokenIds] = {}
 
 

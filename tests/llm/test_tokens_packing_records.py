@@ -10,6 +10,7 @@ from llm.conftest import odd_rows, prose
 from tokenizers import Tokenizer
 
 from ricefield.llm import packing, records
+from ricefield.llm import token_ids as tokens
 from ricefield.llm.common import shared_folder
 from ricefield.llm.token_ids import token_ids
 
@@ -33,6 +34,24 @@ def test_cut_texts_give_the_library_s_ids(name, texts):
         assert ids[ends[k] : ends[k + 1]].tolist() == codes.whole.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_units_of_earlier_batches_are_not_encoded_again(name, monkeypatch):
+    codes, seen = tokens.TokenIds(public_tokenizers.path(name)), []
+    units = codes._units
+    monkeypatch.setattr(codes, "_units", lambda x: seen.append(len(x)) or units(x))
+    for known in (tokens.KNOWN, 120, 0):  # as many as there are, some of them, none
+        monkeypatch.setattr(tokens, "KNOWN", known)
+        del seen[:]
+        for turn in range(3):
+            texts = [prose(k, 20) for k in (range(12), range(12), range(6, 18))[turn]]
+            ids, ends = codes.encode(pa.array(texts))
+            for k, text in enumerate(texts):
+                assert ids[ends[k] : ends[k + 1]].tolist() == codes.whole.encode(text, add_special_tokens=False).ids
+            assert len(codes.known[0]) <= known and len(codes.known[0]) == len(codes.known[2])
+        if known == tokens.KNOWN > 120:
+            assert seen[0] > 0 == seen[1]
+
+
 @settings(max_examples=60, deadline=None)
 @given(lengths=st.lists(st.integers(1, 40), max_size=60))
 def test_best_fit_fills_bins_without_overlap(lengths):
