@@ -47,13 +47,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ricefield.llm.common import only_last_kept, sized, table, words_of, written
+from ricefield.llm.common import only_last_kept, released, sized, table, words_of, written
 from ricefield.llm.components import components
 from ricefield.llm.quality import mixed
 from ricefield.llm.repeated_spans import maybe_among
 
 TREES, LEAST, CROWD, STEPS, AGREE = 24, 4, 16, 2, 0.55
 K = TREES * LEAST
+BATCH = 1_000_000  # bytes of text worked on at once
 PREFIX = 24  # values of a tree's order that are compared; a prefix of equal ones goes by id
 
 
@@ -122,7 +123,7 @@ def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in sized(batches, "text", 8_000_000):
+        for batch in released(sized(batches, "text", BATCH)):
             sets, ends = shingle_sets(batch.column("text"), width)
             rows = signatures(sets, ends).astype(">u4").tobytes()
             digests = [xxhash.xxh3_128_digest(sets[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
@@ -239,7 +240,7 @@ def candidates(near: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _set_column(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, "text", 8_000_000):
+        for batch in released(sized(batches, "text", BATCH)):
             sets, ends = shingle_sets(batch.column("text"), width)
             own = [sets[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
             yield pa.record_batch([batch.column("node"), pa.array(own, pa.large_binary()).cast(pa.binary())], ["node", "shingles"])

@@ -131,6 +131,19 @@ def test_border_and_crowded_rows_are_marked():
     assert {x["a"] for x in out if x["a"] == x["b"]} == {*range(3), *range(8, 48), *range(54, 60)}
 
 
+def test_texts_are_sketched_a_bounded_part_at_once(monkeypatch):
+    seen, sets = [], lsh_forest.shingle_sets
+    monkeypatch.setattr(lsh_forest, "shingle_sets", lambda texts, width: seen.append(texts.nbytes) or sets(texts, width))
+    texts = [prose(k, 4000) for k in range(120)]
+    rows = [list(range(120)), [b"x"] * 120, texts]
+    batch = pa.record_batch([pa.array(x) for x in rows], ["doc_id", "text_key", "text"])
+    out = list(lsh_forest._sketch(4)(iter([batch])))
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == rows[0]
+    batch = pa.record_batch([pa.array(rows[0]), pa.array(texts)], ["node", "text"])
+    assert [i for b in lsh_forest._set_column(4)(iter([batch])) for i in b.column("node").to_pylist()] == rows[0]
+    assert sum(map(len, texts)) > 2_000_000 and max(seen) < 1_100_000
+
+
 def test_sets_are_exact():
     texts = ["A b c d e A b c d", "a B c", "", None, "x", " a\tb\x0bc d "]
     flat, ends = lsh_forest.shingle_sets(pa.array(texts), 4)
