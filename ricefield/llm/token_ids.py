@@ -138,9 +138,11 @@ class TokenIds:
         single = np.flatnonzero(~alone)
         if len(single):
             letters = END.join(names.filter(pa.array(~alone)).to_pylist()).encode().decode("latin-1").translate(BYTE_LETTERS)
-            codes = [[t.id for t in self.model.tokenize(x)] for x in letters.split(END)]
-            counts[single] = [len(c) for c in codes]
-            parts.append(np.array([i for c in codes for i in c], np.uint32))
+            letters, step = letters.split(END), 4096
+            for at in range(0, len(letters), step):
+                codes = [[t.id for t in self.model.tokenize(x)] for x in letters[at : at + step]]
+                counts[single[at : at + step]] = [len(c) for c in codes]
+                parts.append(np.array([i for c in codes for i in c], np.uint32))
         codes = self.whole.encode_batch_fast(names.filter(pa.array(alone)).to_pylist(), add_special_tokens=False)
         others = np.flatnonzero(alone)
         counts[others] = [len(c.ids) for c in codes]

@@ -4,9 +4,13 @@ import subprocess
 import sys
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm.conftest import prose
 
+from ricefield.llm import decontaminate, packing, token_ids
 from ricefield.llm.common import shared_folder
 from ricefield.llm.quality import judged
 
@@ -79,3 +83,30 @@ def test_line_stage_keeps_one_of_each_line(spark, documents):
     got = corpus_pipeline.line_dedup(spark, documents(rows), None).collect()
     assert {r.doc_id: r.text for r in got} == {1: f"{a}\n{b}\n{c}", 2: d, 3: e, 5: None, 6: ""}
     assert next(r.n_chars for r in got if r.doc_id == 2) == len(d)
+
+
+class NoTask:
+    @staticmethod
+    def get():
+        return NoTask()
+
+    def partitionId(self):
+        return 0
+
+
+def test_packing_and_decontamination_work_on_a_bounded_part_at_once(monkeypatch):
+    texts, seen = [prose(k, 5000) for k in range(250)], []
+    batch = pa.record_batch([pa.array(range(250)), pa.array(range(250)), pa.array(texts)], ["doc_id", "text_hash", "text"])
+    for module in (packing, decontaminate):
+        monkeypatch.setattr(module, "TaskContext", NoTask)
+    encode, hashes = token_ids.TokenIds.encode, decontaminate.token_hashes
+    monkeypatch.setattr(token_ids.TokenIds, "encode", lambda self, x: seen.append(x.nbytes) or encode(self, x))
+    monkeypatch.setattr(decontaminate, "token_hashes", lambda x: seen.append(x.nbytes) or hashes(x))
+    pieces = packing.pack_partition(public_tokenizers.path(packing.VOCABULARY), 4096, 1)(iter([batch]))
+    assert {i for b in pieces for i in b.column("doc_id").to_pylist()} == set(range(250))
+
+    class Nothing:
+        value = np.zeros(1 << decontaminate.BITS - 3, np.uint8)
+
+    list(decontaminate._regions(Nothing, 20, decontaminate.MASKS)(iter([batch])))
+    assert sum(map(len, texts)) > 6_000_000 and len(seen) >= 4 and max(seen) < 4_100_000
