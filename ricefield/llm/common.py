@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ricefield.session import checkpoint_dir, shuffles_freed
+from ricefield.session import checkpoint_dir, shuffles_freed, workers_find_package
 from ricefield.sinks.store import delete
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # workers started by this session find this package, whatever folder they start in
-    root = str(Path(__file__).resolve().parents[2])
-    path = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in path.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, path]))
+    workers_find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,14 +8,22 @@ DataFrames; the display headers are applied by the writers.
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
+import zlib
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ricefield.functions.exprs import slug
 from ricefield.operators.ranking import sequence_number
-from ricefield.session import conf_set
+from ricefield.session import conf_set, workers_find_package
+from ricefield.sinks import store
 
 # Template export headers in order, with the farmer field written under
 # each ('' = always blank).  area and variety appear twice, as in the reference.
@@ -112,21 +120,123 @@ def _display(df: DataFrame, spec) -> DataFrame:
 
 
 # An export has a file for each association.  The tasks put their files in place, not the
-# driver one after the other (``_SUCCESS`` tells a complete export); on a local disk no
-# checksum file, and no process to set its mode, is made for each of them.
-MANY_FILES = {
-    "mapreduce.fileoutputcommitter.algorithm.version": "2",
-    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
-    "fs.file.impl.disable.cache": "true",
-}
+# driver one after the other (``_SUCCESS`` tells a complete export).  On a local disk Hadoop
+# starts a process for each file (to set its mode), so there the tasks write and read the
+# files themselves; lines are made and parsed by Spark's CSV functions as everywhere.
+MANY_FILES = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 # Folders are listed by so many tasks, not by one task each.
 LISTING_TASKS = 64
+CSV = {"header": "true", "escape": '"'}
+AS_IS = {**CSV, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+READ_BYTES, WRITE_CHARS = 1_000_000, 1_000_000  # of lines handed on and written at once
 
 
 def _sort_keys():
     return [F.asc_nulls_first("_last"), F.asc_nulls_first("_first"), F.asc("_id")]
 
 
+def _local(spark, path: str) -> str | None:
+    """The path on the local disk, if that is where it lies."""
+    fs, p = store.fs_path(spark, path)
+    uri = str(fs.makeQualified(p).toUri())
+    return unquote(urlparse(uri).path) if urlparse(uri).scheme == "file" else None
+
+
+# What Spark escapes in the name of a folder, and the folder of NULL and ''.
+ESCAPED = {chr(c): f"%{c:02X}" for c in [*range(1, 32), 127, *map(ord, "\"#%'*/:=?\\{[]^")]}
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def folder_name(column: str, value) -> str:
+    """``column=value`` as Spark names it."""
+    text = "" if value is None else str(value)
+    return f"{column}=" + ("".join(ESCAPED.get(c, c) for c in text) or NO_VALUE)
+
+
+def folder_value(name: str) -> str | None:
+    """The value in a folder's name."""
+    text = name.split("=", 1)[1]
+    return None if text == NO_VALUE else re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), text)
+
+
+def _made(folder: str) -> None:
+    try:
+        os.mkdir(folder)
+    except FileExistsError:
+        pass
+    except FileNotFoundError:
+        _made(os.path.dirname(folder))
+        _made(folder)
+
+
+def _put(top: str, folders: list[str], header: str, job: str):
+    """Write sorted rows (folder columns, line) into one file a folder and task.  A file
+    appears whole, under a name that a second attempt of the task uses again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():05d}-{job}.c000.csv"
+        now, file, at, n, held, size = None, None, None, 0, [], 0
+
+        def flush():
+            left = memoryview("".join(held).encode())
+            while left:
+                left = left[os.write(file, left) :]
+            held.clear()
+
+        def close():
+            if file is not None:
+                flush()
+                os.close(file)
+                os.replace(f"{at}/_{name}.{task.taskAttemptId()}", f"{at}/{name}")
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*folders, "line")]
+            for *key, line in zip(*columns):
+                if key != now:
+                    close()
+                    now, at, size = key, "/".join([top, *map(folder_name, folders, key)]), 0
+                    _made(at)
+                    file = os.open(f"{at}/_{name}.{task.taskAttemptId()}", os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o666)
+                    held.append(header)
+                    n += 1
+                held += (line, "\n")
+                size += len(line)
+                if size > WRITE_CHARS:
+                    flush()
+                    size = 0
+        close()
+        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+
+    return run
+
+
+def _write(rows: DataFrame, spec, folders: list[str], path: str, mode: str) -> None:
+    out = _display(rows, spec)
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*map(F.col, folders), *_sort_keys()]
+    dealt = out.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("pos", *LIST_ORDER)
+    top = _local(spark, path) if mode in ("overwrite", "append") else None
+    if top is None or spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() != "static":
+        dealt.write.mode(mode).partitionBy(*folders).options(**MANY_FILES).options(**AS_IS).csv(path)
+        return
+    if mode == "overwrite":
+        store.delete(spark, path)
+    workers_find_package(spark)
+    names = [h for h, _ in spec]
+
+    def line(cells):
+        return F.coalesce(F.to_csv(F.struct(*[c.alias(h) for c, h in zip(cells, names)]), AS_IS), F.lit(""))
+
+    header = spark.range(1).select(line([F.lit(h) for h in names]).alias("line")).first()["line"] + "\n"
+    lines = dealt.select(*folders, line([F.col(f"`{h}`") for h in names]).alias("line"))
+    lines.mapInArrow(_put(top, folders, header, str(uuid.uuid4())), "n long").collect()  # a row a task
+    os.makedirs(top, exist_ok=True)
+    with open(f"{top}/_SUCCESS", "w"):
+        pass
+
+
 def write_template_export(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header, one folder per (season, association_id), rows in list order.
 
@@ -134,50 +244,79 @@ def write_template_export(rows: DataFrame, path: str, mode: str = "overwrite") -
     (season, association_id, list order) keeps each file an ordered, contiguous slice
     and splits a very large association over several tasks/files (part numbers follow
     list order)."""
-    out = _display(rows, TEMPLATE_EXPORT)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col("season"), F.col("association_id"), *_sort_keys()]
-    (
-        out.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .drop("pos", *LIST_ORDER)
-        .write.mode(mode)
-        .partitionBy("season", "association_id")
-        .options(**MANY_FILES)
-        .option("header", True)
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    _write(rows, TEMPLATE_EXPORT, ["season", "association_id"], path, mode)
 
 
 def write_short_export(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header, one folder per association, rows in list order (see above):
     ``season=<s>/association_id=<id>/file_stem=<name>``.  Associations that share a name
     have folders of their own."""
-    out = _display(rows, SHORT_EXPORT)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col("season"), F.col("association_id"), F.col("file_stem"), *_sort_keys()]
-    (
-        out.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .drop("pos", *LIST_ORDER)
-        .write.mode(mode)
-        .partitionBy("season", "association_id", "file_stem")
-        .options(**MANY_FILES)
-        .option("header", True)
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    _write(rows, SHORT_EXPORT, ["season", "association_id", "file_stem"], path, mode)
+
+
+def _folders(top: str, depth: int, deal: int, task: int, tasks: int) -> Iterator[tuple[list[str], str]]:
+    """(names, path) of the folders ``depth`` levels down; those ``deal`` levels down are dealt
+    out to tasks by their names."""
+
+    def walk(at: str, names: list[str]) -> Iterator[tuple[list[str], str]]:
+        if len(names) == depth:
+            yield names, at
+            return
+        with os.scandir(at) as entries:
+            for e in entries:
+                own = [*names, e.name]
+                if "=" in e.name and e.name[0] not in "._" and (len(own) != deal or zlib.crc32("/".join(own).encode("utf-8", "surrogateescape")) % tasks == task):
+                    yield from walk(e.path, own)
+
+    return walk(top, [])
+
+
+def _get(top: str, folders: list[str], tasks: int):
+    """(folder columns, line) of the files below the folders dealt to each task, without headers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(values, counts, lines):
+            columns = [pa.array([v[i] for v, n in zip(values, counts) for _ in range(n)], pa.string()) for i in range(len(folders))]
+            return pa.record_batch([*columns, pa.array(lines, pa.string())], [*folders, "line"])
+
+        for task in (t for b in batches for t in b.column(0).to_pylist()):
+            values, counts, lines, held = [], [], [], 0
+            for names, at in _folders(top, len(folders), min(2, len(folders)), task, tasks):
+                for name in sorted(os.listdir(at)):
+                    if name[0] in "._":
+                        continue
+                    with open(f"{at}/{name}", encoding="utf-8", newline=None) as file:  # lines end as for Spark's reader
+                        text = file.read()
+                    own = [x for x in text.split("\n") if x.strip(WHITE)][1:]
+                    values.append([folder_value(x) for x in names])
+                    counts.append(len(own))
+                    lines += own
+                    held += len(text)
+                    if held > READ_BYTES:
+                        yield batch(values, counts, lines)
+                        values, counts, lines, held = [], [], [], 0
+            yield batch(values, counts, lines)
+
+    return run
+
+
+WHITE = "".join(map(chr, range(33)))  # a line of nothing else is no row
 
 
 def read_written(spark, path: str, spec, folders: str) -> DataFrame:
     """The rows of a written export, under query-friendly names (all cells as text);
     ``folders``: the schema of its folder levels."""
-    schema = ", ".join(f"`{h}` string" for h, _ in spec) + ", " + folders
-    with conf_set(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", str(LISTING_TASKS)):
-        out = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
-    return out.select(*[c.split()[0] for c in folders.split(", ")], *[F.col(f"`{h}`").alias(column_name(h)) for h, _ in spec])
+    schema = ", ".join(f"`{h}` string" for h, _ in spec)
+    levels = [c.split() for c in folders.split(", ")]
+    top = _local(spark, path)
+    if top is None:
+        with conf_set(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", str(LISTING_TASKS)):
+            out = spark.read.schema(f"{schema}, {folders}").options(**CSV).csv(path)
+        return out.select(*[c for c, _ in levels], *[F.col(f"`{h}`").alias(column_name(h)) for h, _ in spec])
+    workers_find_package(spark)
+    names = [c for c, _ in levels]
+    lines = spark.range(0, LISTING_TASKS, 1, LISTING_TASKS).mapInArrow(
+        _get(top, names, LISTING_TASKS), ", ".join(f"{c} string" for c in [*names, "line"])
+    )
+    out = lines.select(*[F.col(c).cast(t).alias(c) for c, t in levels], F.from_csv("line", schema, {"escape": '"'}).alias("cells"))
+    return out.select(*names, *[F.col("cells").getField(h).alias(column_name(h)) for h, _ in spec])

@@ -366,3 +366,54 @@ def test_an_export_makes_one_file_for_each_association(spark, tmp_path):
     assert "_SUCCESS" in files and len(files) < 2 * 40  # no second file beside each one
     rows = exports.read_written(spark, str(out), exports.TEMPLATE_EXPORT, "season string, association_id long")
     assert rows.count() == 80 and spark.conf.get(key) == before
+
+
+ODD = ["", None, 'a "b", c', " pad ", "\\", "x\\", "#h", "é%41/:=?*[]{}^'", "\t", "ü ", "a\x85b", "\x1c", "0", "''", '"']
+
+
+def test_export_files_are_those_of_sparks_writer(spark, tmp_path, monkeypatch):
+    t = tables(
+        spark, [("wet", 1, "M")], [("wet", k, 1, v or "") for k, v in enumerate(ODD[:-2])],
+        [farmer_row("wet", 100 * j + k, k, v or "", ODD[(k + j) % len(ODD)] or "", ODD[j] or "", v, v or "", 0.1, v or "", 1e10 * j, 50.0) for k, v in enumerate(ODD) for j in range(3)],
+    )
+    short = exports.short_rows(t.farmer, t.association, with_pos=False)
+    short = short.withColumn("file_stem", F.when(F.col("association_id") > 1, F.col("file_stem")))
+    made = [
+        ("template", exports.template_rows(t.farmer, with_pos=False), exports.write_template_export, exports.TEMPLATE_EXPORT, ""),
+        ("short", short, exports.write_short_export, exports.SHORT_EXPORT, ", file_stem string"),
+    ]
+    for name, rows, write, spec, more in made:
+        folders = "season string, association_id long" + more
+        tops = tmp_path / f"{name}-tasks", tmp_path / f"{name}-spark"
+        write(rows, str(tops[0]))
+        write(rows, str(tops[0]))  # takes the place of the first
+        with monkeypatch.context() as m:
+            m.setattr(exports, "_local", lambda s, p: None)
+            write(rows, str(tops[1]))
+            want = sorted(map(repr, exports.read_written(spark, str(tops[1]), spec, folders).collect()))
+        files = [
+            sorted((str(p.parent.relative_to(top)), p.read_bytes()) for p in top.rglob("*") if p.is_file() and p.name[0] not in "._")
+            for top in tops
+        ]
+        assert files[0] == files[1] and len(files[0]) >= len(ODD)
+        assert not [p for p in tops[0].rglob("_*") if p.name != "_SUCCESS"]
+        assert sorted(map(repr, exports.read_written(spark, str(tops[0]), spec, folders).collect())) == want and len(want) > 40
+        write(rows, str(tops[0]), mode="append")
+        assert len([p for p in tops[0].rglob("part-*")]) == 2 * len(files[0])
+
+
+def test_folders_of_an_export_are_named_as_spark_names_them(spark):
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    values = [chr(c) for c in range(1, 300)] + ["", "a b%20", "100%"]
+    for v in values:
+        assert exports.folder_name("k", v) == escape.getPartitionPathString("k", v), repr(v)
+        assert exports.folder_value(exports.folder_name("k", v)) == (v or None)
+    assert exports.folder_value(exports.folder_name("k", None)) is None
+
+
+def test_no_process_is_started_for_a_file_of_an_export(spark, tmp_path):
+    t = tables(spark, [("wet", 1, "M")], [("wet", 1, 1, "A")], [farmer_row("wet", k, 1, f"R-{k}", "Ng", "Li") for k in range(9)])
+    exports.write_template_export(exports.template_rows(t.farmer, with_pos=False), str(tmp_path / "out"))
+    rows = exports.read_written(spark, str(tmp_path / "out"), exports.TEMPLATE_EXPORT, "season string, association_id long")
+    # the files are opened by the tasks' workers, not one by one through Hadoop's local file system
+    assert "MapInArrow" in rows._jdf.queryExecution().toString() and rows.count() == 9
