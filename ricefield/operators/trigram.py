@@ -8,9 +8,10 @@ only these candidates are fetched and confirmed by the same ``LIKE`` as before,
 are those of the scan.
 
 Pieces come from the literal runs of a term (between ``%``, ``_`` and ``\\``); a term without
-a run of three characters gives none, and the search scans.  A list is at most as long as
-its part has rows: farmers are dealt into parts by a hash of their id, so a piece that all
-farmers share is ``parts`` lists and not one, and a part can be sized to a task.  Lists lie
+a run of three characters gives none, and the search scans.  Farmers are dealt into parts by
+a hash of their id, and a part into so many cells that a list has about ``LIST`` ids at most:
+a piece that all farmers share is many short lists, however many farmers there are, as lists
+are built, read and intersected whole in memory (readers hold thousands at once).  Lists lie
 sorted by piece, farmers in one folder per part: a search reads the row groups of its
 pieces and the folders of parts with candidates (dynamic pruning).
 """
@@ -27,6 +28,7 @@ from ricefield.session import stored
 
 COLUMNS = ("rsbsa", "last_name", "first_name")
 PARTS = 32
+LIST = 512
 KEY = ["part", "season", "id"]
 
 
@@ -49,7 +51,7 @@ def grams_of(df: DataFrame, term: str) -> list[str]:
 
 @dataclass
 class FarmerIndex:
-    """``rows``: farmers by part; ``postings``: gram, field, part, season, ids."""
+    """``rows``: farmers by part; ``postings``: gram, field, part, cell, season, ids."""
 
     rows: DataFrame
     postings: DataFrame
@@ -59,7 +61,7 @@ class FarmerIndex:
         grams = grams_of(self.rows, term)
         if not grams:
             return self.rows.drop("part")
-        lists = self.postings.where(F.col("gram").isin(grams)).groupBy("field", "part", "season").agg(F.collect_list("ids").alias("lists"))
+        lists = self.postings.where(F.col("gram").isin(grams)).groupBy("field", "part", "cell", "season").agg(F.collect_list("ids").alias("lists"))
         whole = lists.where(F.size("lists") == len(grams))
         both = F.aggregate(F.expr("slice(lists, 2, size(lists))"), F.col("lists")[0], F.array_intersect)
         ids = whole.select("part", "season", F.explode(both).alias("id")).distinct()
@@ -70,7 +72,11 @@ def build_index(farmer: DataFrame, columns: tuple[str, ...] = COLUMNS, parts: in
     """Write farmers by part and their posting lists below the checkpoint folder."""
     dealt = farmer.withColumn("part", F.pmod(F.xxhash64("season", "id"), F.lit(parts)).cast("int"))
     rows = stored(dealt.repartition("part"), "farmers-by-part", partition_by=["part"])
+    cells = max(1, -(-rows.count() // (parts * LIST)))
+    # other bits of the hash than those of the part
+    cell = F.pmod(F.shiftrightunsigned(F.xxhash64("season", "id"), 32), F.lit(cells)).cast("int").alias("cell")
     each = F.array(*[F.struct(F.lit(c).alias("field"), pieces(F.col(c)).alias("grams")) for c in columns])
-    found = rows.select(*KEY, F.explode(each).alias("f")).select(*KEY, "f.field", F.explode("f.grams").alias("gram"))
-    lists = found.groupBy("gram", "field", "part", "season").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return FarmerIndex(rows, stored(lists.repartitionByRange("gram").sortWithinPartitions("gram"), "postings"))
+    found = rows.select(*KEY, cell, F.explode(each).alias("f")).select(*KEY, "cell", "f.field", F.explode("f.grams").alias("gram"))
+    lists = found.groupBy("gram", "field", "part", "cell", "season").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    order = ["gram", "part", "cell"]
+    return FarmerIndex(rows, stored(lists.repartitionByRange(*order).sortWithinPartitions(*order), "postings"))

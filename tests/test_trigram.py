@@ -62,3 +62,15 @@ def test_empty_table(spark):
     t = tables(spark, [("wet", 1, "m")], [("wet", 1, 1, "a")], [farmer_row("wet", 1, 1)])
     index = trigram.build_index(t.farmer.where("id < 0"))
     assert index.candidates("abc").collect() == [] == index.candidates("a").collect()
+
+
+def test_lists_of_a_piece_that_all_share_stay_short(spark, monkeypatch):
+    rows = [farmer_row("wet" if k % 3 else "dry", k, 1, f"R-{k}", "Santos", f"Ana {k % 7}") for k in range(600)]
+    t = tables(spark, [("wet", 1, "m"), ("dry", 1, "m")], [("wet", 1, 1, "a"), ("dry", 1, 1, "a")], rows)
+    monkeypatch.setattr(trigram, "LIST", 10)
+    index = trigram.build_index(t.farmer, parts=4)
+    longest = index.postings.selectExpr("max(size(ids))").first()[0]
+    assert 5 < longest < 30  # about 150 before
+    for term in ("santos", "ana 3", "san%tos", "r-59"):
+        want = found(search.farmer_search(t, term, LABELS))
+        assert found(search.farmer_search(t, term, LABELS, index=index)) == want and want
